@@ -46,4 +46,4 @@ def register(name: str, sql: str | None):
 
 
 # Importing the query modules fills the registries.
-from . import queries_catalog, queries_changes, queries_orders, queries_stock  # noqa: E402,F401
+from . import queries_catalog, queries_changes, queries_grid, queries_orders, queries_stock  # noqa: E402,F401
