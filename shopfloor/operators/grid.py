@@ -31,6 +31,22 @@ TAG_RE = "<[A-Za-z/!][^>]*>"
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"),
             ("&nbsp;", " "), ("&amp;", "&")]
 DATE_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy"]
+# Shape of each accepted date text; a value is only parsed with the format its
+# shape names, so no parse is tried (and fails) per row for the others.
+DATE_SHAPES = [
+    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$",
+    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
+    r"^\d{4}-\d{2}-\d{2}$",
+    r"^\d{1,2}/\d{1,2}/\d{4}$",
+]
+
+
+def parse_date(s: Column) -> Column:
+    """Timestamp of an ISO or M/d/yyyy date text; NULL when it is neither."""
+    out = F.lit(None).cast("timestamp")
+    for fmt, shape in reversed(list(zip(DATE_FORMATS, DATE_SHAPES))):
+        out = F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))).otherwise(out)
+    return out
 
 
 def _as_text(df: DataFrame, c: str) -> Column:
@@ -131,8 +147,7 @@ def sort_key(value: Column, kind: str = "string") -> Column:
             t = F.regexp_replace(t, NUMBER_FORMATTING, "")
         return F.when(_empty(s), F.lit(None).cast("double")).otherwise(_to_double(t))
     if kind == "date":
-        parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS])
-        return F.coalesce(F.unix_micros(parsed.cast("timestamp")), F.lit(0))
+        return F.coalesce(F.unix_micros(parse_date(s).cast("timestamp")), F.lit(0))
     raise ValueError(f"unknown sort type {kind}")
 
 
@@ -140,7 +155,7 @@ def _to_double(t: Column) -> Column:
     return F.when(t.rlike(NUMBER_RE), F.trim(t).cast("double"))
 
 
-def sort_keys(
+def sort_spec(
     df: DataFrame,
     order: Sequence[tuple[str, str]] | None = None,
     position: Sequence[str] | str | None = None,
@@ -148,8 +163,8 @@ def sort_keys(
     fixed_pre: Sequence[tuple[str, str]] = (),
     fixed_post: Sequence[tuple[str, str]] = (),
     data_sort: dict[str, Sequence[str]] | None = None,
-) -> list[Column]:
-    """Sort orders of a stable multi-column grid sort.
+) -> list[tuple[Column, str]]:
+    """(key expression, 'asc'|'desc') pairs of a stable multi-column grid sort.
 
     ``order`` is a list of (column, 'asc'|'desc'); the default is the first
     column ascending.  ``position`` names the column(s) holding each row's
@@ -161,23 +176,38 @@ def sort_keys(
     order = list(order) if order else [(df.columns[0], "asc")]
     types = types or {}
     data_sort = data_sort or {}
-    keys: list[Column] = []
+    spec: list[tuple[Column, str]] = []
     for col, direction in [*fixed_pre, *order, *fixed_post]:
         for target in data_sort.get(col, [col]):
-            k = sort_key(F.col(target), types.get(target, "string"))
-            keys.append(k.desc_nulls_last() if direction == "desc" else k.asc_nulls_first())
+            spec.append((sort_key(F.col(target), types.get(target, "string")), direction))
     pos = [position] if isinstance(position, str) else list(position or [])
-    return [*keys, *[F.col(p).asc() for p in pos]]
+    return [*spec, *[(F.col(p), "asc") for p in pos]]
+
+
+def keyed_frame(df: DataFrame, *args, **kwargs) -> tuple[DataFrame, list[Column], list[str]]:
+    """``df`` with every sort key projected into a column (computed once per
+    row, so the sort compares plain values instead of re-running regexes and
+    date parsing per comparison), the sort orders, and the key column names."""
+    spec = sort_spec(df, *args, **kwargs)
+    names = [f"_k{i}" for i in range(len(spec))]
+    keyed = df.select("*", *[expr.alias(n) for (expr, _), n in zip(spec, names)])
+    orders = [
+        F.col(n).desc_nulls_last() if direction == "desc" else F.col(n).asc_nulls_first()
+        for (_, direction), n in zip(spec, names)
+    ]
+    return keyed, orders, names
 
 
 def grid_sort(df: DataFrame, *args, **kwargs) -> DataFrame:
-    """The rows in grid order (see ``sort_keys``): one range-partitioned sort."""
-    return df.orderBy(*sort_keys(df, *args, **kwargs))
+    """The rows in grid order (see ``sort_spec``): one range-partitioned sort."""
+    keyed, orders, names = keyed_frame(df, *args, **kwargs)
+    return keyed.orderBy(*orders).drop(*names)
 
 
-def grid_rank(df: DataFrame, keys: Sequence[Column], rank_col: str = "row_pos") -> DataFrame:
+def grid_rank(df: DataFrame, *args, rank_col: str = "row_pos", **kwargs) -> DataFrame:
     """Every row with its 1-based place in the grid order, without a single-task window."""
-    return number_rows(df, list(keys), id_col=rank_col)
+    keyed, orders, names = keyed_frame(df, *args, **kwargs)
+    return number_rows(keyed, orders, id_col=rank_col).drop(*names)
 
 
 def grid_page(sorted_df: DataFrame, start: int = 0, length: int = 10) -> DataFrame:
@@ -235,20 +265,33 @@ def _is_number(s: Column) -> Column:
     return s.rlike(NUMBER_RE)
 
 
+FORMAT_CHARS = "',$£€¥%\u2009\u202F"
+
+
 def _detectors(s: Column) -> dict[str, Column]:
+    """Per-value detector results.  Cheap guards decide first: without '<'
+    the html variants equal the plain ones, without formatting characters
+    the formatted ones do, and only digit-led text is parsed as a date."""
     empty = _empty(s)
+    has_lt = F.instr(s, "<") > 0
+    fmt = F.translate(s, FORMAT_CHARS, "")
+    has_fmt = F.length(fmt) != F.length(s)
+    num_s = _is_number(s)
+    num_fmt = F.when(has_fmt, _is_number(fmt)).otherwise(num_s)
     stripped = F.regexp_replace(s, "<.*?>", "")
-    fmt = F.regexp_replace(s, NUMBER_FORMATTING, "")
-    fmt_stripped = F.regexp_replace(stripped, NUMBER_FORMATTING, "")
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS])
-    date_ok = s.rlike(r"^[\w+\-]") & s.rlike(r"[\w+\-]$") & parsed.isNotNull()
+    html_num = F.when(has_lt, _is_number(stripped)).otherwise(num_s)
+    html_num_fmt = F.when(has_lt, _is_number(F.translate(stripped, FORMAT_CHARS, ""))).otherwise(num_fmt)
+    # every accepted date text starts and ends with a digit, so the grid's
+    # start/end character rule holds whenever the parse succeeds
+    digit_led = F.substring(s, 1, 1).between("0", "9")
+    date_ok = digit_led & parse_date(s).isNotNull()
     return {
-        "num": empty | _is_number(s),
+        "num": empty | num_s,
         "date": empty | date_ok,
-        "num-fmt": empty | _is_number(fmt),
-        "html-num": empty | _is_number(stripped),
-        "html-num-fmt": empty | _is_number(fmt_stripped),
-        "html": empty | (F.instr(s, "<") > 0),
+        "num-fmt": empty | num_fmt,
+        "html-num": empty | html_num,
+        "html-num-fmt": empty | html_num_fmt,
+        "html": empty | has_lt,
     }
 
 
@@ -258,19 +301,26 @@ def grid_column_types(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     One aggregate pass; the result is one row per column."""
     cols = list(cols or df.columns)
     aggs = []
+    fixed: dict[str, str] = {}
     for i, c in enumerate(cols):
         dtype = df.schema[c].dataType
-        s = F.col(c).cast("string")
-        dets = _detectors(s)
         if isinstance(dtype, T.NumericType):
-            dets["num"] = F.lit(True)
+            fixed[c] = "num"  # numbers pass the first detector whatever their text
+            continue
+        if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            fixed[c] = "date"  # never numeric text; always a parseable date or empty
+            continue
+        dets = _detectors(F.col(c).cast("string"))
         for j, name in enumerate(TYPE_ORDER):
             aggs.append(F.coalesce(F.bool_and(dets[name]), F.lit(True)).alias(f"_{i}_{j}"))
-    flags = df.agg(*aggs)
+    flags = df.agg(*aggs) if aggs else df.limit(1).select(F.lit(1).alias("_one"))
     rows = []
     for i, c in enumerate(cols):
-        kind = F.lit("string")
-        for j in reversed(range(len(TYPE_ORDER))):
-            kind = F.when(F.col(f"_{i}_{j}"), F.lit(TYPE_ORDER[j])).otherwise(kind)
+        if c in fixed:
+            kind = F.lit(fixed[c])
+        else:
+            kind = F.lit("string")
+            for j in reversed(range(len(TYPE_ORDER))):
+                kind = F.when(F.col(f"_{i}_{j}"), F.lit(TYPE_ORDER[j])).otherwise(kind)
         rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"), kind.alias("type")))
     return flags.select(F.inline(F.array(*rows)))

@@ -126,9 +126,7 @@ FROM v_item i JOIN v_item_country ic ON i.id = ic.item_id JOIN v_country c ON ic
 )
 def grid_sort(t: RetailTables) -> DataFrame:
     """Price list in grid order (country name, then price high to low), with each row's place."""
-    prices = C.price_list(t)
-    keys = G.sort_keys(prices, PRICE_ORDER, PRICE_POSITION, PRICE_TYPES)
-    return G.grid_rank(prices, keys)
+    return G.grid_rank(C.price_list(t), PRICE_ORDER, PRICE_POSITION, PRICE_TYPES)
 
 
 @register(
@@ -169,9 +167,8 @@ FROM ({_SALES_TEXT_SQL}) s""",
 def grid_sort_typed(t: RetailTables) -> DataFrame:
     """Sales sorted on typed text keys: M/d/yyyy dates newest first, then $-formatted amounts."""
     rows = sales_text(t).select("id", "created_text", "amount_text")
-    keys = G.sort_keys(rows, [("created_text", "desc"), ("amount_text", "asc")], "id",
+    return G.grid_rank(rows, [("created_text", "desc"), ("amount_text", "asc")], "id",
                        {"created_text": "date", "amount_text": "num-fmt"})
-    return G.grid_rank(rows, keys)
 
 
 # ---- column types --------------------------------------------------------------------
