@@ -22,6 +22,7 @@ from ..functions.exprs import round_half_up_1, sku_image
 from ..plans.batches import last_per_key, sum_per_key
 from ..plans.ids import max_id, number_rows
 from ..plans.joins import fixed_broadcast, maybe_broadcast
+from ..plans.materialize import sized_side
 
 
 def _seq(batch: DataFrame) -> list[Column]:
@@ -31,7 +32,9 @@ def _seq(batch: DataFrame) -> list[Column]:
 def _apply_updates(base: DataFrame, changes: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Left join ``changes`` (one row per key) and take the new value where matched."""
     renamed = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in cols]).withColumn("_hit", F.lit(True))
-    joined = base.join(renamed, list(keys), "left")
+    # a batch is usually far smaller than the snapshot: ship it to the snapshot's
+    # tasks when its size check passes instead of shuffling the whole snapshot
+    joined = base.join(sized_side(renamed, "changes"), list(keys), "left")
     out = [
         F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
         for c in base.columns
@@ -69,7 +72,7 @@ def update_prices(prices: DataFrame, updates: DataFrame) -> DataFrame:
 
 def remove_prices(prices: DataFrame, keys: DataFrame) -> DataFrame:
     """Delete prices whose (item_id, country_id) is in ``keys``."""
-    return prices.join(keys.select("item_id", "country_id"), ["item_id", "country_id"], "left_anti")
+    return prices.join(sized_side(keys.select("item_id", "country_id"), "price_keys"), ["item_id", "country_id"], "left_anti")
 
 
 # ---- items ----------------------------------------------------------------
@@ -139,7 +142,7 @@ class RemoveItems:
 
 def remove_items(items: DataFrame, subtypes: DataFrame, prices: DataFrame, ids: DataFrame) -> RemoveItems:
     """Delete items with their subtype rows and all their prices (one key set, three anti joins)."""
-    keys = ids.select("id").distinct()
+    keys = sized_side(ids.select("id").distinct(), "item_keys")
     return RemoveItems(
         items=items.join(keys, "id", "left_anti"),
         subtypes=subtypes.join(keys, "id", "left_anti"),
@@ -173,7 +176,7 @@ def update_line_quantity(lines: DataFrame, changes: DataFrame, mode: str = "set"
     """Set (``mode='set'``, last change wins) or add (``mode='add'``, deltas summed) line quantities by id."""
     if mode == "add":
         deltas = sum_per_key(changes.select("id", "quantity"), ["id"], "quantity").withColumnRenamed("quantity", "_d")
-        joined = lines.join(deltas, "id", "left")
+        joined = lines.join(sized_side(deltas, "line_deltas"), "id", "left")
         return joined.select(
             *[(F.col(c) + F.coalesce(F.col("_d"), F.lit(0))).cast("long").alias(c) if c == "quantity" else F.col(c)
               for c in lines.columns]
@@ -185,7 +188,7 @@ def update_line_quantity(lines: DataFrame, changes: DataFrame, mode: str = "set"
 
 def remove_order_lines(lines: DataFrame, line_ids: DataFrame) -> DataFrame:
     """Delete lines (and with them their order links) by line id."""
-    return lines.join(line_ids.select("id").distinct(), "id", "left_anti")
+    return lines.join(sized_side(line_ids.select("id").distinct(), "line_keys"), "id", "left_anti")
 
 
 # ---- orders ---------------------------------------------------------------
@@ -251,7 +254,7 @@ def apply_status(orders: DataFrame, lines: DataFrame, changes: DataFrame, as_of:
     day = F.lit(as_of).cast("timestamp_ntz")
     moved = ok.withColumn("_ship", F.when(F.col("status") == K.SHIPPED, day))
     renamed = moved.select("id", F.col("status").alias("_new_status"), "_ship", F.lit(True).alias("_hit"))
-    joined = orders.join(renamed, "id", "left")
+    joined = orders.join(sized_side(renamed, "status_changes"), "id", "left")
     out = []
     for c in orders.columns:
         if c == "status":
@@ -291,7 +294,7 @@ def receive_shipments(orders: DataFrame, lines: DataFrame, bins: DataFrame, rece
     )
     located = located.withColumn("reason", reason)
     rejects = located.filter(F.col("reason").isNotNull()).select(F.col("id").alias("order_id"), "reason")
-    accepted = located.filter(F.col("reason").isNull()).select(F.col("id").alias("order_id"), "bin_id")
+    accepted = sized_side(located.filter(F.col("reason").isNull()).select(F.col("id").alias("order_id"), "bin_id"), "accepted")
 
     received = (
         lines.select("order_id", "item_id", "quantity")
@@ -299,6 +302,7 @@ def receive_shipments(orders: DataFrame, lines: DataFrame, bins: DataFrame, rece
         .groupBy("bin_id", "item_id")
         .agg(F.sum("quantity").alias("_add"))
     )
+    received = sized_side(received, "received")
     # the line that takes the credit: lowest id of the item in the bin
     holders = (
         lines.select("id", "bin_id", "item_id")
@@ -307,7 +311,7 @@ def receive_shipments(orders: DataFrame, lines: DataFrame, bins: DataFrame, rece
         .agg(F.min("id").alias("id"))
     )
     credits = received.join(holders, ["bin_id", "item_id"]).select("id", "_add")
-    credited = lines.join(credits, "id", "left").select(
+    credited = lines.join(sized_side(credits, "credits"), "id", "left").select(
         *[(F.col(c) + F.coalesce(F.col("_add"), F.lit(0))).cast("long").alias(c) if c == "quantity" else F.col(c)
           for c in lines.columns]
     )

@@ -24,12 +24,14 @@ def number_rows(
     id_col: str = "id",
     start: int | Column = 0,
     materialize: bool = True,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``id_col = start + row_number() over (order by order)`` (1-based).
 
     ``order`` must be a total order for deterministic ids.  With
     ``materialize`` the sorted rows are checkpointed to the session's shared
-    checkpoint folder so the sort runs once and lineage is cut.
+    checkpoint folder so the sort runs once and lineage is cut.  ``keep``
+    limits the columns carried past the sort (default: all).
     """
     ordered = (
         df.repartitionByRange(*order)
@@ -37,6 +39,8 @@ def number_rows(
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
     )
+    if keep is not None:
+        ordered = ordered.select(*keep, "_pid", "_mid")
     if materialize:
         ordered = ordered.checkpoint(eager=True)
     counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
