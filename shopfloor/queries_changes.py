@@ -31,6 +31,11 @@ def _memo(t: RetailTables, name: str, build):
     return _MEMO[key]
 
 
+def reset() -> None:
+    """Forget memoized multi-output changes (the bench times each key in full)."""
+    _MEMO.clear()
+
+
 def _latest(sql_from: str, keys: str, order: str, cols: str) -> str:
     return f"""SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS _rn
   FROM {sql_from}) z WHERE _rn = 1"""

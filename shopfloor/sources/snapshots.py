@@ -1,0 +1,87 @@
+"""Reading and writing table snapshots.
+
+A change operator returns new snapshots of one or more tables.  They are
+published all together: every table is first written as a new parquet
+version folder, then one small manifest naming all current versions is
+created.  Readers follow the newest manifest, so they see either all of a
+change or none of it, and a failed job leaves only unreferenced folders.
+
+Manifests are created with ``overwrite=False``: two writers racing for the
+same sequence number cannot both succeed.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _manifests(spark: SparkSession, base: str) -> list[tuple[int, str]]:
+    fs, root = _fs(spark, f"{base}/_manifests")
+    if not fs.exists(root):
+        return []
+    out = []
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.endswith(".json") and name[:-5].isdigit():
+            out.append((int(name[:-5]), status.getPath().toString()))
+    return sorted(out)
+
+
+def current_versions(spark: SparkSession, base: str) -> dict[str, str]:
+    """Table name -> folder of its current version (empty when nothing is published)."""
+    found = _manifests(spark, base)
+    if not found:
+        return {}
+    fs, p = _fs(spark, found[-1][1])
+    stream = fs.open(p)
+    try:
+        raw = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return json.loads(raw)["tables"]
+
+
+def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """Current snapshot of one table."""
+    versions = current_versions(spark, base)
+    if name not in versions:
+        raise KeyError(f"table {name!r} has no published snapshot under {base}")
+    return spark.read.parquet(versions[name])
+
+
+def publish(spark: SparkSession, base: str, tables: dict[str, DataFrame]) -> dict[str, str]:
+    """Write new versions of ``tables`` and publish them in one manifest."""
+    written = {}
+    for name, df in tables.items():
+        path = f"{base}/{name}/v-{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(path)
+        written[name] = path
+    versions = {**current_versions(spark, base), **written}
+    found = _manifests(spark, base)
+    seq = found[-1][0] + 1 if found else 1
+    fs, p = _fs(spark, f"{base}/_manifests/{seq:012d}.json")
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(json.dumps({"seq": seq, "tables": versions}).encode("utf-8")))
+    finally:
+        out.close()
+    return versions
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, str],
+              partition_column: str | None = None, lower: int | None = None, upper: int | None = None,
+              num_partitions: int | None = None) -> DataFrame:
+    """Read one table of the store's relational database in parallel ranges of a numeric key."""
+    if partition_column:
+        return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower, upperBound=upper,
+                               numPartitions=num_partitions, properties=properties)
+    return spark.read.jdbc(url, table, properties=properties)

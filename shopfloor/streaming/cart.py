@@ -1,0 +1,61 @@
+"""The cart fold as a Structured Streaming job.
+
+Add-to-cart events arrive as a stream; the stock each (session, item) sees is
+a static table.  The stream is joined to the stock first (a stateless
+stream-static join), then folded per (session, item) with the same guard as
+the batch ``cart_fold``: accepted = least(adds, greatest(stock, 0)).
+
+State: without ``idle_gap`` the fold keeps one small state row per
+(session, item) for the life of the query (update mode).  With ``idle_gap``
+a cart ends after that much idle time (a session window on ``ts``); a
+watermark of the same length lets Spark drop finished carts from state, and
+late events older than the watermark are ignored.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..plans.joins import maybe_broadcast
+from ..session import ensure_checkpoint_dir
+
+
+def cart_fold_stream(adds: DataFrame, stock: DataFrame, idle_gap: str | None = None) -> DataFrame:
+    """Streaming fold of ``adds`` (session, item_id, ts) under ``stock`` (session, item_id, stock)."""
+    guarded = adds.join(maybe_broadcast(stock.select("session", "item_id", "stock")), ["session", "item_id"], "left")
+    keys = [F.col("session"), F.col("item_id")]
+    if idle_gap:
+        guarded = guarded.withWatermark("ts", idle_gap)
+        keys.append(F.session_window("ts", idle_gap).alias("cart"))
+    folded = guarded.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("adds"),
+        F.min("ts").alias("first_ts"),
+        F.max("stock").alias("stock"),
+    )
+    accepted = F.least(F.col("adds"), F.greatest(F.coalesce(F.col("stock"), F.lit(0)), F.lit(0)))
+    return folded.withColumn("accepted", accepted.cast("long"))
+
+
+def start_cart_fold(
+    adds: DataFrame,
+    stock: DataFrame,
+    name: str,
+    sink: str = "memory",
+    idle_gap: str | None = None,
+    trigger_available_now: bool = False,
+) -> StreamingQuery:
+    """Start the streaming fold; its checkpoint lives in the session's shared checkpoint folder."""
+    spark = adds.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    writer = (
+        cart_fold_stream(adds, stock, idle_gap)
+        .writeStream.outputMode("append" if idle_gap else "update")
+        .format(sink)
+        .queryName(name)
+        .option("checkpointLocation", f"{root}/streams/{name}")
+    )
+    if trigger_available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

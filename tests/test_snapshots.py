@@ -1,0 +1,20 @@
+"""Publishing snapshots: all tables of a change become visible together."""
+
+from __future__ import annotations
+
+import tempfile
+
+from shopfloor.sources.snapshots import current_versions, publish, read_table
+
+
+def test_publish_and_read(spark):
+    base = tempfile.mkdtemp(prefix="snap-")
+    assert current_versions(spark, base) == {}
+    a1 = spark.createDataFrame([(1, "x")], "id long, v string")
+    b1 = spark.createDataFrame([(1,)], "id long")
+    publish(spark, base, {"a": a1, "b": b1})
+    a2 = spark.createDataFrame([(1, "y"), (2, "z")], "id long, v string")
+    v = publish(spark, base, {"a": a2})
+    assert sorted(r.v for r in read_table(spark, base, "a").collect()) == ["y", "z"]
+    assert read_table(spark, base, "b").count() == 1  # untouched table keeps its version
+    assert set(v) == {"a", "b"}
