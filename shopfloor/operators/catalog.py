@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.exprs import catalogue_image, live, percent_text, price_text, promotion_image, volume
 from ..plans.joins import fixed_broadcast, maybe_broadcast
+from ..plans.materialize import sized_side
 from ..sources.fixtures import RetailTables
 
 FURNITURE = "FurnitureEntity"
@@ -62,7 +63,7 @@ def retail_by_category(t: RetailTables, country_id=None, category: str | None =
 
 def items_by_sku(t: RetailTables, skus: DataFrame, country_id) -> DataFrame:
     """Live furniture and retail products for many SKUs, priced in a country."""
-    wanted = skus.select("sku").distinct()
+    wanted = sized_side(skus.select("sku").distinct(), "wanted_skus")
     parts = []
     for dtype in (FURNITURE, RETAIL):
         rows = subtype_items(t, dtype).filter(live()).join(wanted, "sku", "left_semi")
@@ -113,8 +114,10 @@ def showroom_by_room(t: RetailTables, rooms: DataFrame, room_map: DataFrame) ->
         "room", F.coalesce("category", "room").alias("category")
     )
     rows = subtype_items(t, FURNITURE).select(*SHOWROOM_COLUMNS)
-    # the requested (room, category) list is small by nature; size-check it anyway
-    in_room = rows.join(maybe_broadcast(mapped), "category")
+    # joined on category, a key with few values: as a shuffle join each category
+    # would sit in one task, so the (room, category) list is written once (its
+    # size is then known) and broadcast when small
+    in_room = rows.join(sized_side(mapped, "room_categories"), "category")
     return _showroom_view(in_room.join(_max_price(t), "id", "left"))
 
 

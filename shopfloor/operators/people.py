@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..plans.joins import fixed_broadcast, maybe_broadcast
+from ..plans.materialize import sized_side
 from ..sources.fixtures import RetailTables
 
 
@@ -76,4 +77,4 @@ def stores_by_country(t: RetailTables) -> DataFrame:
 def lookup_by_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Rows of ``df`` whose key is among ``keys`` (equality lookup for many keys at once)."""
     cols = [on] if isinstance(on, str) else list(on)
-    return df.join(keys.select(*cols), cols, "left_semi")
+    return df.join(sized_side(keys.select(*cols).distinct(), "lookup_keys"), cols, "left_semi")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.exprs import availability
 from ..plans.joins import is_small, maybe_broadcast
+from ..plans.materialize import sized_side
 from ..sources.fixtures import RetailTables
 
 
@@ -114,7 +115,15 @@ def first_inbound_bin(t: RetailTables) -> DataFrame:
 
 def item_in_bin(t: RetailTables, requests: DataFrame) -> DataFrame:
     """For requested (bin_id, item_id): does a line of the bin hold the item?"""
-    held = t.line.select("bin_id", "item_id").distinct().withColumn("present", F.lit(True))
+    wanted = sized_side(requests.select("bin_id", "item_id").distinct(), "bin_item_requests")
+    # only lines of requested pairs are kept before the distinct, so the big
+    # line table is filtered map-side and never shuffled whole
+    held = (
+        t.line.select("bin_id", "item_id")
+        .join(wanted, ["bin_id", "item_id"], "left_semi")
+        .distinct()
+        .withColumn("present", F.lit(True))
+    )
     return requests.select("bin_id", "item_id").join(held, ["bin_id", "item_id"], "left").select(
         "bin_id", "item_id", F.coalesce("present", F.lit(False)).alias("present")
     )
