@@ -335,12 +335,26 @@ def receive_shipments(orders: DataFrame, lines: DataFrame, bins: DataFrame, rece
 # ---- people ---------------------------------------------------------------
 
 
+PASSWORD_FIELDS = ("passwordhash", "passwordsalt", "passwordreset", "securityanswer")
+
+
+def update_profiles(people: DataFrame, changes: DataFrame, key: str = "email", cols: Sequence[str] | None = None) -> DataFrame:
+    """Set profile fields of members or staff by ``key`` (password fields are never changed here)."""
+    wanted = [c for c in (cols or changes.columns) if c not in (key, "seq") and c in people.columns]
+    wanted = [c for c in wanted if c.lower() not in PASSWORD_FIELDS]
+    one = last_per_key(changes.select(key, *wanted, *(["seq"] if "seq" in changes.columns else [])), [key],
+                       [*_seq(changes), F.struct(*wanted)]).drop("seq")
+    return _apply_updates(people, one, [key], wanted)
+
+
 def update_members(members: DataFrame, changes: DataFrame, cols: Sequence[str] = ("name", "phone", "address", "zipcode")) -> DataFrame:
-    """Set profile and delivery fields by email (no password fields)."""
-    cols = [c for c in cols if c in changes.columns]
-    one = last_per_key(changes.select("email", *cols, *(["seq"] if "seq" in changes.columns else [])), ["email"],
-                       [*_seq(changes), F.struct(*cols)]).drop("seq")
-    return _apply_updates(members, one, ["email"], cols)
+    """Set member profile and delivery fields by email."""
+    return update_profiles(members, changes, "email", [c for c in cols if c in changes.columns])
+
+
+def update_staff(staff: DataFrame, changes: DataFrame, key: str = "email") -> DataFrame:
+    """Set staff profile fields (id number, name, phone, address, ...) by email."""
+    return update_profiles(staff, changes, key)
 
 
 # ---- appends --------------------------------------------------------------

@@ -64,10 +64,19 @@ def cell_text(value: Column) -> Column:
     return F.regexp_replace(v, "[\r\n]", "")
 
 
-def row_text(df: DataFrame, cols: Sequence[str] | None = None) -> Column:
-    """Searchable text of a row: its cells joined by two spaces."""
+def html_search_text(value: Column) -> Column:
+    """Search text of an HTML cell: line breaks become spaces, tags are dropped."""
+    return F.regexp_replace(F.regexp_replace(value, "[\r\n]", " "), "<.*?>", "")
+
+
+def row_text(df: DataFrame, cols: Sequence[str] | None = None, html_cols: Sequence[str] = ()) -> Column:
+    """Searchable text of a row: its cells joined by two spaces (HTML cells lose their tags first)."""
     cols = list(cols or df.columns)
-    return F.concat_ws("  ", *[cell_text(_as_text(df, c)) for c in cols])
+    cells = []
+    for c in cols:
+        v = _as_text(df, c)
+        cells.append(cell_text(html_search_text(v) if c in html_cols else v))
+    return F.concat_ws("  ", *cells)
 
 
 def search_terms(text: str, smart: bool = True) -> list[str]:
@@ -102,15 +111,19 @@ def grid_search(
     column_search: dict[str, str] | None = None,
     extra: Sequence[Column] = (),
     keep: str = "applied",
+    html_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows matching the global search, every column search and ``extra`` predicates.
+    """Rows matching the global search, every column search and ``extra`` predicates
+    (the caller's own filter functions, as Columns).
 
     ``keep='applied'`` returns the matches, ``'removed'`` the rows the search
-    removed, ``'none'`` all rows.
+    removed, ``'none'`` all rows.  ``html_cols`` are searched without their tags.
     """
-    cond = search_condition(row_text(df, cols), text, regex, smart, case_insensitive)
+    cond = search_condition(row_text(df, cols, html_cols), text, regex, smart, case_insensitive)
     for col, term in (column_search or {}).items():
-        cond = cond & search_condition(cell_text(_as_text(df, col)), term, regex, smart, case_insensitive)
+        v = _as_text(df, col)
+        v = html_search_text(v) if col in html_cols else v
+        cond = cond & search_condition(cell_text(v), term, regex, smart, case_insensitive)
     for pred in extra:
         cond = cond & pred
     if keep == "none":

@@ -78,3 +78,11 @@ def lookup_by_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> D
     """Rows of ``df`` whose key is among ``keys`` (equality lookup for many keys at once)."""
     cols = [on] if isinstance(on, str) else list(on)
     return df.join(sized_side(keys.select(*cols).distinct(), "lookup_keys"), cols, "left_semi")
+
+
+def email_known(members: DataFrame, emails: DataFrame) -> DataFrame:
+    """For each requested email: does a member already use it?"""
+    known = members.select("email").distinct().withColumn("_known", F.lit(True))
+    return emails.select("email").distinct().join(known, "email", "left").select(
+        "email", F.coalesce(F.col("_known"), F.lit(False)).alias("known")
+    )

@@ -160,3 +160,22 @@ def lookup_by_keys(t: RetailTables) -> DataFrame:
     """Stores looked up by every store id named in an access right."""
     keys = t.accessright.select(F.col("store_id").alias("id")).filter(F.col("id").isNotNull())
     return P.lookup_by_keys(t.store, keys, "id")
+
+
+def email_requests(t: RetailTables) -> DataFrame:
+    """Sign-up emails: every delivery name (members) and every supplier name (not members)."""
+    def as_email(c):
+        return F.concat(F.lower(F.regexp_replace(c, "#", ".")), F.lit("@example.com")).alias("email")
+
+    return t.delivery.select(as_email(F.col("name"))).unionByName(t.supplier.select(as_email(F.col("suppliername"))))
+
+
+@register(
+    "email_known",
+    """WITH r AS (SELECT concat(lower(replace(name, '#', '.')), '@example.com') AS email FROM v_delivery
+  UNION SELECT concat(lower(replace(suppliername, '#', '.')), '@example.com') FROM v_supplier)
+SELECT r.email, EXISTS (SELECT 1 FROM v_member m WHERE m.email = r.email) AS known FROM r""",
+)
+def email_known(t: RetailTables) -> DataFrame:
+    """Is each sign-up email already a member's?"""
+    return P.email_known(t.member, email_requests(t))

@@ -262,3 +262,58 @@ def test_grid_column_types(spark):
     )
     got = {r.column_name: r.type for r in G.grid_column_types(df).collect()}
     assert got == {"a": "num", "b": "date", "c": "num-fmt", "d": "html-num", "e": "html", "f": "string", "g": "num"}
+
+
+def test_profile_updates_skip_password_fields(spark):
+    staff = spark.createDataFrame(
+        [(1, "a@x", "Ann", "111", "h1"), (2, "b@x", "Bob", "222", "h2")],
+        "id long, email string, name string, phone string, passwordhash string",
+    )
+    ch = spark.createDataFrame([("a@x", "Anne", "999", "evil", 1), ("a@x", "Anna", "998", "evil", 2)],
+                               "email string, name string, phone string, passwordhash string, seq long")
+    got = {r.email: (r.name, r.phone, r.passwordhash) for r in W.update_staff(staff, ch).collect()}
+    assert got == {"a@x": ("Anna", "998", "h1"), "b@x": ("Bob", "222", "h2")}
+
+
+def test_append_feedback_and_sales(spark):
+    feedback = spark.createDataFrame([("a@x", "hi", "Ann", "S")], "email string, message string, name string, subject string")
+    new = spark.createDataFrame([("Bob", "b@x", "Q", "msg")], "name string, email string, subject string, message string")
+    assert W.append_rows(feedback, new).count() == 2
+    sales = spark.createDataFrame([(4, 1, dt.datetime(2020, 1, 1), 5.0, 5.0, "SGD")],
+                                  "id long, member_id long, createddate timestamp_ntz, amountdue double, amountpaid double, currency string")
+    new_sales = spark.createDataFrame([(7, 12.5), (3, 1.0)], "member_id long, amount double")
+    out = {r.id: r for r in W.append_sales(sales, new_sales, dt.date(2021, 1, 1), ["member_id"]).collect()}
+    assert out[5].member_id == 3 and out[6].member_id == 7
+    assert out[6].amountdue == out[6].amountpaid == 12.5 and out[6].currency == "SGD"
+
+
+def test_html_columns_search_without_tags(spark):
+    df = spark.createDataFrame([(1, "<b>red</b>\nchair"), (2, "<span class='red'>x</span>")], "id long, h string")
+    ids = lambda d: sorted(r.id for r in d.collect())
+    assert ids(G.grid_search(df, "red chair", html_cols=["h"])) == [1]
+    assert ids(G.grid_search(df, "class", html_cols=["h"])) == []
+    assert ids(G.grid_search(df, "class")) == [2]
+
+
+def test_email_known_and_lookup(spark):
+    from shopfloor.operators import people as P
+
+    members = spark.createDataFrame([(1, "a@x"), (2, "b@x")], "id long, email string")
+    asks = spark.createDataFrame([("a@x",), ("z@x",), ("a@x",)], "email string")
+    assert {r.email: r.known for r in P.email_known(members, asks).collect()} == {"a@x": True, "z@x": False}
+    keys = spark.createDataFrame([(2,), (2,), (9,)], "id long")
+    assert [r.id for r in P.lookup_by_keys(members, keys, "id").collect()] == [2]
+
+
+def test_shipping_order_listing_keeps_shipped_date(spark):
+    from shopfloor.operators import orders as O
+
+    so = spark.createDataFrame(
+        [(1, dt.datetime(2020, 1, 1), dt.datetime(2020, 1, 9), dt.datetime(2020, 1, 3), "Shipped", 10, 20)],
+        "id long, createddate timestamp_ntz, expecteddate timestamp_ntz, shippeddate timestamp_ntz, status string, origin_id long, destination_id long",
+    )
+    wh = spark.createDataFrame([(10, "W10", 0), (20, "W20", 0)], "id long, warehousename string, country_id int")
+    t = _tables(spark, shippingorder=so, warehouse=wh)
+    row = O.shipping_orders(t).collect()[0]
+    assert row.shippeddate == dt.datetime(2020, 1, 3)  # the real date, not the expected one
+    assert (row.origin_name, row.destination_name) == ("W10", "W20")
