@@ -86,3 +86,13 @@ def email_known(members: DataFrame, emails: DataFrame) -> DataFrame:
     return emails.select("email").distinct().join(known, "email", "left").select(
         "email", F.coalesce(F.col("_known"), F.lit(False)).alias("known")
     )
+
+
+DIMENSIONS = ("country", "supplier", "warehouse", "store", "storagebin", "facility", "office", "staff", "member")
+
+
+def scan_dimension(t: RetailTables, name: str) -> DataFrame:
+    """Every row of a dimension table with the library's column names."""
+    if name not in DIMENSIONS:
+        raise ValueError(f"unknown dimension {name!r}; one of {DIMENSIONS}")
+    return getattr(t, name)

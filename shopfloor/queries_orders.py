@@ -179,3 +179,21 @@ SELECT r.email, EXISTS (SELECT 1 FROM v_member m WHERE m.email = r.email) AS kno
 def email_known(t: RetailTables) -> DataFrame:
     """Is each sign-up email already a member's?"""
     return P.email_known(t.member, email_requests(t))
+
+
+@register("scan_dimension", "SELECT * FROM v_warehouse")
+def scan_dimension(t: RetailTables) -> DataFrame:
+    """Full scan of the warehouse dimension (renamed columns)."""
+    return P.scan_dimension(t, "warehouse")
+
+
+@register("scan_country", "SELECT * FROM v_country")
+def scan_country(t: RetailTables) -> DataFrame:
+    """Full scan of the country dimension."""
+    return P.scan_dimension(t, "country")
+
+
+@register("scan_supplier", "SELECT * FROM v_supplier")
+def scan_supplier(t: RetailTables) -> DataFrame:
+    """Full scan of the supplier dimension."""
+    return P.scan_dimension(t, "supplier")
