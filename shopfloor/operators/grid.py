@@ -212,7 +212,11 @@ def keyed_frame(df: DataFrame, *args, **kwargs) -> tuple[DataFrame, list[Column]
 
 
 def grid_sort(df: DataFrame, *args, **kwargs) -> DataFrame:
-    """The rows in grid order (see ``sort_spec``): one range-partitioned sort."""
+    """The rows in grid order (see ``sort_spec``).
+
+    A logical global sort: a later ``limit`` / ``offset`` becomes a top-K per
+    task (no full shuffle) and keeps the order.
+    """
     keyed, orders, names = keyed_frame(df, *args, **kwargs)
     return keyed.orderBy(*orders).drop(*names)
 

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import fixed_broadcast
+from .joins import fixed_broadcast, sort_partitions
 
 
 def number_rows(
@@ -34,7 +34,7 @@ def number_rows(
     limits the columns carried past the sort (default: all).
     """
     ordered = (
-        df.repartitionByRange(*order)
+        df.repartitionByRange(sort_partitions(df), *order)
         .sortWithinPartitions(*order)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())

@@ -19,23 +19,36 @@ DEFAULT_LIMIT = 10 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer size estimate of a DataFrame (no job is run)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    """Optimizer size estimate of a DataFrame (no job is run).
+
+    Where the estimate is not reachable (e.g. a remote session) the answer is
+    "unbounded", so nothing is broadcast on a guess.
+    """
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        return int(str(stats.sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return 1 << 62
+
+
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
 
 def broadcast_limit(df: DataFrame) -> int:
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", str(DEFAULT_LIMIT))
+    """The session's broadcast threshold in bytes; 0 when broadcasting is switched off (-1)."""
+    raw = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", str(DEFAULT_LIMIT))).strip().lower()
+    digits = raw.lstrip("-0123456789")
+    number, unit = raw[: len(raw) - len(digits)], digits.strip()
     try:
-        value = int(str(raw).lower().rstrip("b"))
+        value = int(number) * _UNITS.get(unit, 1)
     except ValueError:
         value = DEFAULT_LIMIT
-    return value if value > 0 else DEFAULT_LIMIT
+    return max(value, 0)
 
 
 def is_small(df: DataFrame, limit: int | None = None) -> bool:
     limit = broadcast_limit(df) if limit is None else limit
-    return estimated_bytes(df) * EXPANSION <= limit
+    return limit > 0 and estimated_bytes(df) * EXPANSION <= limit
 
 
 def maybe_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
@@ -46,3 +59,38 @@ def maybe_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
 def fixed_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast a table built from fixed values (its size does not grow with data)."""
     return F.broadcast(df)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the plan's leaf inputs (scanned files, local tables).
+
+    A proxy for the data volume of a derived table that does not inflate
+    like the optimizer's estimate of a join output.
+    """
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Exception:  # noqa: BLE001
+        return 1 << 62
+
+
+# Target input bytes (as estimated on disk) per partition of a range-partitioned sort.
+SORT_PARTITION_BYTES = 128 * 1024 * 1024
+MAX_SORT_PARTITIONS = 200_000
+
+
+def sort_partitions(df: DataFrame) -> int:
+    """Partition count for a range-partitioned sort of ``df``.
+
+    AQE can merge small shuffle partitions but cannot split a range
+    partition, so the count is sized from the input estimate (at least the
+    session's shuffle partitions) to keep every sorted partition within memory.
+    """
+    try:
+        base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    except ValueError:
+        base = 200
+    est = input_bytes(df)
+    if est >= 1 << 60:
+        return base
+    return int(min(MAX_SORT_PARTITIONS, max(base, -(-est // SORT_PARTITION_BYTES))))

@@ -41,12 +41,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     reach; it is used as is.  Only when it is unset (local tests) a private
     scratch folder is created and registered.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (remote sessions have no local context)
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
+    current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="shopfloor-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc.setCheckpointDir(path)
+    return sc._jsc.sc().getCheckpointDir().get()

@@ -296,7 +296,8 @@ _CACHE: dict[tuple[int, str], RetailTables] = {}
 
 def tables(spark: SparkSession, root: str) -> RetailTables:
     """One shared ``RetailTables`` per session and folder (views built once)."""
-    key = (id(spark._jsparkSession), root.rstrip("/"))
-    if key not in _CACHE:
-        _CACHE[key] = RetailTables(spark, root)
-    return _CACHE[key]
+    key = (id(spark), root.rstrip("/"))
+    cached = _CACHE.get(key)
+    if cached is None or cached.spark is not spark:
+        cached = _CACHE[key] = RetailTables(spark, root)
+    return cached
