@@ -23,15 +23,17 @@ def number_rows(
     order: Sequence[str | Column],
     id_col: str = "id",
     start: int | Column = 0,
-    materialize: bool = True,
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``id_col = start + row_number() over (order by order)`` (1-based).
 
-    ``order`` must be a total order for deterministic ids.  With
-    ``materialize`` the sorted rows are checkpointed to the session's shared
-    checkpoint folder so the sort runs once and lineage is cut.  ``keep``
-    limits the columns carried past the sort (default: all).
+    ``order`` must be a total order for deterministic ids.  The sorted rows
+    are checkpointed to the session's shared checkpoint folder before they
+    are counted.  This is needed for correctness, not only speed: the range
+    partitioner samples with a seed tied to the plan's RDD, so two separate
+    executions of the sort may cut the ranges differently, and offsets counted
+    in one would not fit the rows of the other.  ``keep`` limits the columns
+    carried past the sort.
     """
     ordered = (
         df.repartitionByRange(sort_partitions(df), *order)
@@ -41,8 +43,7 @@ def number_rows(
     )
     if keep is not None:
         ordered = ordered.select(*keep, "_pid", "_mid")
-    if materialize:
-        ordered = ordered.checkpoint(eager=True)
+    ordered = ordered.checkpoint(eager=True)
     counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -210,10 +210,12 @@ def test_expressions(spark):
 
 
 def test_number_rows_matches_row_number(spark):
-    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k"), F.col("id").alias("v")).repartition(7)
+    # enough rows over enough partitions that range bounds come from sampling
+    n = 200_000
+    df = spark.range(0, n).select((F.col("id") * 7919 % 100_003).alias("k"), F.col("id").alias("v")).repartition(16)
     got = number_rows(df, ["k", "v"], id_col="n", start=100)
     rows = sorted((r.k, r.v, r.n) for r in got.collect())
-    assert [r[2] for r in rows] == list(range(101, 5101))
+    assert [r[2] for r in rows] == list(range(101, n + 101))
 
 
 def test_grid_search_terms_and_complement(spark):
