@@ -27,8 +27,9 @@ def cart_fold_stream(adds: DataFrame, stock: DataFrame, idle_gap: str | None = N
     guarded = adds.join(maybe_broadcast(stock.select("session", "item_id", "stock")), ["session", "item_id"], "left")
     keys = [F.col("session"), F.col("item_id")]
     if idle_gap:
-        guarded = guarded.withWatermark("ts", idle_gap)
-        keys.append(F.session_window("ts", idle_gap).alias("cart"))
+        # watermarks need a TIMESTAMP event time; the adds carry wall-clock TIMESTAMP_NTZ
+        guarded = guarded.withColumn("_event", F.col("ts").cast("timestamp")).withWatermark("_event", idle_gap)
+        keys.append(F.session_window("_event", idle_gap).alias("cart"))
     folded = guarded.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("adds"),
         F.min("ts").alias("first_ts"),

@@ -319,3 +319,18 @@ def test_shipping_order_listing_keeps_shipped_date(spark):
     row = O.shipping_orders(t).collect()[0]
     assert row.shippeddate == dt.datetime(2020, 1, 3)  # the real date, not the expected one
     assert (row.origin_name, row.destination_name) == ("W10", "W20")
+
+
+def test_grid_sort_options_and_custom_filter(spark):
+    df = spark.createDataFrame(
+        [(1, "b", 2, "x"), (2, "a", 2, "y"), (3, "a", 1, "x"), (4, "c", 0, "y")],
+        "id long, name string, rank long, grp string",
+    )
+    ids = lambda d: [r.id for r in d.collect()]
+    # sorting the "name" column actually sorts by rank then name
+    assert ids(G.grid_sort(df, [("name", "asc")], "id", {"rank": "num"}, data_sort={"name": ["rank", "name"]})) == [4, 3, 2, 1]
+    # a fixed leading key always applies first, whatever the user sorts by
+    assert ids(G.grid_sort(df, [("name", "desc")], "id", fixed_pre=[("grp", "asc")])) == [1, 3, 4, 2]
+    assert ids(G.grid_sort(df, [("grp", "asc")], "id", fixed_post=[("rank", "desc")], types={"rank": "num"})) == [1, 3, 2, 4]
+    # caller predicates are ANDed with the search
+    assert sorted(ids(G.grid_search(df, "x", extra=[F.col("rank") > 1]))) == [1]

@@ -41,3 +41,27 @@ def test_stream_matches_batch(spark):
     q.stop()
     got = {(r.session, r.item_id): (r.adds, r.accepted) for r in final}
     assert got == batch
+
+
+def test_stream_idle_carts_close_after_watermark(spark):
+    import datetime as dt
+
+    from shopfloor.streaming.cart import start_cart_fold
+
+    src = tempfile.mkdtemp(prefix="cart-idle-")
+    t0 = dt.datetime(2024, 1, 1, 10, 0, 0)
+    schema = "session long, item_id long, ts timestamp_ntz"
+    first = [(1, 1, t0), (1, 1, t0 + dt.timedelta(minutes=1)), (1, 1, t0 + dt.timedelta(minutes=2))]
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(os.path.join(src, "b1"))
+    stock = spark.createDataFrame([(1, 1, 2)], "session long, item_id long, stock long")
+    adds = spark.readStream.schema(schema).parquet(os.path.join(src, "*"))
+    q = start_cart_fold(adds, stock, name="cart_idle_test", idle_gap="30 minutes")
+    q.processAllAvailable()
+    # a much later event moves the watermark past the first cart's end
+    spark.createDataFrame([(9, 9, t0 + dt.timedelta(hours=2))], schema).coalesce(1).write.parquet(os.path.join(src, "b2"))
+    q.processAllAvailable()
+    spark.createDataFrame([(9, 9, t0 + dt.timedelta(hours=3))], schema).coalesce(1).write.parquet(os.path.join(src, "b3"))
+    q.processAllAvailable()
+    rows = spark.sql("SELECT session, item_id, adds, accepted FROM cart_idle_test").collect()
+    q.stop()
+    assert [(r.session, r.item_id, r.adds, r.accepted) for r in rows if r.session == 1] == [(1, 1, 3, 2)]
