@@ -281,7 +281,9 @@ def receive_shipments(orders: DataFrame, lines: DataFrame, bins: DataFrame, rece
     rejected.  The order's line quantities are summed per item; an item the
     bin already holds credits the bin's lowest-id line of that item, a new
     item becomes a new line in the bin (ids continue after the largest,
-    ordered by bin and item).  Accepted orders become Completed.
+    ordered by bin and item).  Accepted orders become Completed.  As in the
+    store, the origin warehouse's stock is not reduced (the goods left it
+    when the order shipped, outside this flow).
     """
     inbound = bins.filter(F.col("type") == K.BIN_INBOUND).groupBy("warehouse_id").agg(F.min("id").alias("bin_id"))
     wanted = receipts.select("id").distinct()

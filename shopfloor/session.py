@@ -38,18 +38,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a folder every executor can
-    reach; it is used as is.  Only when it is unset (local tests) a private
-    scratch folder is created and registered.
+    reach; it is read from the session and used as is (and required).  Only a
+    local session without it (tests) gets a private scratch folder.
     """
+    try:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001
+        named = None
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001  (remote sessions have no local context)
-        return spark.conf.get("spark.checkpoint.dir", None) or ""
+        if not named:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster") from None
+        return named
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = sc.getConf().get("spark.checkpoint.dir", None)
+    path = named or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not str(sc.master).startswith("local"):
+            # a machine-local folder is not reachable by other executors, and is
+            # lost with its machine: a cluster must name a shared folder
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
         path = tempfile.mkdtemp(prefix="shopfloor-ckpt-")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
