@@ -234,8 +234,13 @@ def grid_page(sorted_df: DataFrame, start: int = 0, length: int = 10) -> DataFra
 
 
 def page_number_start(page: int | str, current_start: int, length: int, total: int | None = None) -> int:
-    """Start row of first / previous / next / last / page n."""
-    if length < 0:
+    """Start row after a paging action: 'first', 'previous', 'next', 'last' or a page number.
+
+    ``total`` is the number of rows shown after search.  With no rows or
+    ``length`` -1 the start is 0; a page number whose start lies beyond the
+    rows goes back to the first page; 'next' stays put on the last page.
+    """
+    if length < 0 or total == 0:
         return 0
     if page == "first":
         return 0
@@ -245,10 +250,11 @@ def page_number_start(page: int | str, current_start: int, length: int, total: i
         nxt = current_start + length
         return nxt if total is None or nxt < total else current_start
     if page == "last":
-        if not total:
-            return 0
+        if total is None:
+            raise ValueError("the last page needs the row count")
         return ((total - 1) // length) * length
-    return int(page) * length
+    start = int(page) * length
+    return 0 if total is not None and start > total else start
 
 
 def grid_page_info(df: DataFrame, match: Column, start: int = 0, length: int = 10) -> DataFrame:

@@ -254,6 +254,8 @@ def test_grid_sort_typed_and_pages(spark):
     info = G.grid_page_info(df, F.col("id") > 1, 2, 2).collect()[0]
     assert (info.page, info.pages, info.start, info.end, info.records_total, info.records_display) == (1, 2, 2, 4, 5, 4)
     assert G.page_number_start("last", 0, 2, 5) == 4 and G.page_number_start("next", 4, 2, 5) == 4
+    assert G.page_number_start(3, 0, 2, 5) == 0 and G.page_number_start(2, 0, 2, 5) == 4  # past the end -> first page
+    assert G.page_number_start("previous", 1, 2, 5) == 0 and G.page_number_start(1, 0, 2, 0) == 0
 
 
 def test_grid_column_types(spark):
