@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.exprs import round_half_up_1, sku_image
+from ..functions.exprs import round_half_up_1, sku_image, volume
 from ..plans.batches import last_per_key, sum_per_key
 from ..plans.ids import max_id, number_rows
 from ..plans.joins import fixed_broadcast, maybe_broadcast
@@ -113,8 +113,15 @@ def add_items(items: DataFrame, subtypes: DataFrame, new: DataFrame) -> ItemsCha
     fresh = one.join(items.select("sku"), "sku", "left_anti")
     start = max_id(items)
     numbered = number_rows(fresh, ["sku"], id_col="id", start=start)
+    derived = {
+        "isdeleted": F.lit(False),
+        # filled when the snapshot keeps them: volume and the subtype's type text
+        "volume": volume("length", "width", "height"),
+        "type": F.element_at(F.create_map(*[F.lit(x) for kv in K.SUBTYPE_TYPE.items() for x in kv]), F.col("dtype")),
+    }
     base_rows = numbered.select(
-        *[F.lit(False).alias(c) if c == "isdeleted" else F.col(c) for c in items.columns]
+        *[derived[c].cast(items.schema[c].dataType).alias(c) if c in derived and c not in fresh.columns else F.col(c)
+          for c in items.columns]
     )
     image = F.when(F.col("dtype") == "RawMaterialEntity", F.lit(None).cast("string")).otherwise(sku_image("sku"))
     sub_rows = numbered.select("id", image.alias("imageurl"))

@@ -336,3 +336,15 @@ def test_grid_sort_options_and_custom_filter(spark):
     assert ids(G.grid_sort(df, [("grp", "asc")], "id", fixed_post=[("rank", "desc")], types={"rank": "num"})) == [1, 3, 2, 4]
     # caller predicates are ANDed with the search
     assert sorted(ids(G.grid_search(df, "x", extra=[F.col("rank") > 1]))) == [1]
+
+
+def test_add_items_fills_volume_and_type_when_kept(spark):
+    items = spark.createDataFrame(
+        [(1, "A", "a", "c", "d", "RawMaterialEntity", 1, 1, 1, False, 1.0, "Raw Material")],
+        ITEM + ", volume double, type string",
+    )
+    sub = spark.createDataFrame([(1, None)], "id long, imageurl string")
+    new = spark.createDataFrame([("B", "b", "cat", "d", "FurnitureEntity", 2, 3, 4)],
+                                "sku string, name string, category string, description string, dtype string, length int, width long, height long")
+    row = [r for r in W.add_items(items, sub, new).items.collect() if r.sku == "B"][0]
+    assert (row.id, row.volume, row.type, row.isdeleted) == (2, 24.0, "Furniture", False)
