@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import constants as K
 from .operators import changes as X
 from .plans.ids import max_id, number_rows
-from .queries import ORDER_AS_OF, PROMO_AS_OF, register
+from .queries import COUNTRY, ORDER_AS_OF, PROMO_AS_OF, register
 from .sources.fixtures import RetailTables
 
 _MEMO: dict[tuple[int, str], object] = {}
@@ -514,3 +514,42 @@ def append_delivery(t: RetailTables) -> DataFrame:
         F.col("id").alias("salerecord_id"), "member_id", "name", F.lit("SELF PICKUP").alias("delivery_address")
     )
     return X.append_rows(t.delivery, new)
+
+
+CHECKOUT_AS_OF = dt.date(2024, 2, 1)
+
+
+def checkout_amounts(t: RetailTables) -> DataFrame:
+    """Amount of every cart at checkout: accepted adds times the item's price in the fixture country.
+
+    Money is summed as decimal(18,2) (exact in every engine), then shown as double.
+    """
+    from .operators.stock import cart_fold
+    from .queries_stock import cart_adds, cart_stock
+
+    adds = cart_adds(t)
+    carts = cart_fold(adds, cart_stock(t, adds)).filter(F.col("accepted") > 0)
+    prices = t.item_country.filter(F.col("country_id") == COUNTRY).select("item_id", "retailprice")
+    line = F.col("retailprice").cast("decimal(18,2)") * F.col("accepted")
+    return (
+        carts.join(prices, "item_id")
+        .groupBy(F.col("session").alias("member_id"))
+        .agg(F.sum(line).cast("double").alias("amount"))
+    )
+
+
+@register(
+    "append_sales",
+    f"""WITH adds AS (SELECT session, item_id % 10 AS item_id, ts FROM v_cart),
+agg AS (SELECT session, item_id, count(*) AS adds FROM adds GROUP BY session, item_id),
+cf AS (SELECT a.session, a.item_id, least(a.adds, greatest(coalesce(x.stock % 4, 0), 0)) AS accepted
+  FROM agg a LEFT JOIN x_store_stock x ON x.store_id = a.session % 10 AND x.item_id = a.item_id),
+amt AS (SELECT cf.session AS member_id, cast(sum(cast(ic.retailprice AS DECIMAL(18,2)) * cf.accepted) AS DOUBLE) AS amount
+  FROM cf JOIN v_item_country ic ON ic.item_id = cf.item_id AND ic.country_id = {COUNTRY} WHERE cf.accepted > 0 GROUP BY cf.session)
+SELECT * FROM v_sale UNION ALL
+SELECT (SELECT max(id) FROM v_sale) + row_number() OVER (ORDER BY member_id), member_id,
+  TIMESTAMP '{CHECKOUT_AS_OF.isoformat()} 00:00:00', amount, amount, 'SGD' FROM amt""",
+)
+def append_sales(t: RetailTables) -> DataFrame:
+    """Sales snapshot with one new sale record per cart checked out."""
+    return X.append_sales(t.sale, checkout_amounts(t), CHECKOUT_AS_OF, ["member_id"])
