@@ -172,7 +172,7 @@ def sort_spec(
     df: DataFrame,
     order: Sequence[tuple[str, str]] | None = None,
     position: Sequence[str] | str | None = None,
-    types: dict[str, str] | None = None,
+    types: dict[str, str] | str | None = None,
     fixed_pre: Sequence[tuple[str, str]] = (),
     fixed_post: Sequence[tuple[str, str]] = (),
     data_sort: dict[str, Sequence[str]] | None = None,
@@ -183,10 +183,13 @@ def sort_spec(
     column ascending.  ``position`` names the column(s) holding each row's
     original position: they break ties, so equal keys keep their order and
     the result order is total.  ``types`` gives a column's sort type
-    (string by default); ``fixed_pre`` / ``fixed_post`` always sort first /
+    (string by default; ``"auto"`` detects them as the grid does);
+    ``fixed_pre`` / ``fixed_post`` always sort first /
     last; ``data_sort`` sorts a column by other columns instead.
     """
     order = list(order) if order else [(df.columns[0], "asc")]
+    if types == "auto":
+        types = detect_types(df)
     types = types or {}
     data_sort = data_sort or {}
     spec: list[tuple[Column, str]] = []
@@ -347,3 +350,8 @@ def grid_column_types(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
                 kind = F.when(F.col(f"_{i}_{j}"), F.lit(TYPE_ORDER[j])).otherwise(kind)
         rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"), kind.alias("type")))
     return flags.select(F.inline(F.array(*rows)))
+
+
+def detect_types(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, str]:
+    """Column -> detected grid type (one aggregate pass; the result has one row per column)."""
+    return {r.column_name: r.type for r in grid_column_types(df, cols).collect()}

@@ -348,3 +348,9 @@ def test_add_items_fills_volume_and_type_when_kept(spark):
                                 "sku string, name string, category string, description string, dtype string, length int, width long, height long")
     row = [r for r in W.add_items(items, sub, new).items.collect() if r.sku == "B"][0]
     assert (row.id, row.volume, row.type, row.isdeleted) == (2, 24.0, "Furniture", False)
+
+
+def test_grid_sort_auto_types(spark):
+    df = spark.createDataFrame([(1, "10"), (2, "9"), (3, ""), (4, "100")], "id long, amount string")
+    assert [r.id for r in G.grid_sort(df, [("amount", "asc")], "id", "auto").collect()] == [3, 2, 1, 4]
+    assert [r.id for r in G.grid_sort(df, [("amount", "asc")], "id").collect()] == [3, 1, 4, 2]  # as text
