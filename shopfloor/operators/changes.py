@@ -22,21 +22,27 @@ from ..functions.exprs import round_half_up_1, sku_image, volume
 from ..plans.batches import last_per_key, sum_per_key
 from ..plans.ids import max_id, number_rows
 from ..plans.joins import fixed_broadcast, maybe_broadcast
-from ..plans.materialize import sized_side
+from ..plans.materialize import sized_side, write_table
 
 
 def _seq(batch: DataFrame) -> list[Column]:
     return [F.col("seq")] if "seq" in batch.columns else []
 
 
-def _apply_updates(base: DataFrame, changes: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Left join ``changes`` (one row per key) and take the new value where matched."""
+def _apply_updates(
+    base: DataFrame, changes: DataFrame, keys: Sequence[str], cols: Sequence[str], guard: Column | None = None
+) -> DataFrame:
+    """Left join ``changes`` (one row per key) and take the new value where
+    matched (and where ``guard``, a condition on the base row, holds)."""
     renamed = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in cols]).withColumn("_hit", F.lit(True))
     # a batch is usually far smaller than the snapshot: ship it to the snapshot's
     # tasks when its size check passes instead of shuffling the whole snapshot
     joined = base.join(sized_side(renamed, "changes"), list(keys), "left")
+    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    if guard is not None:
+        hit = hit & F.coalesce(guard, F.lit(False))
     out = [
-        F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
+        F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
         for c in base.columns
     ]
     return joined.select(*out)
@@ -206,9 +212,8 @@ def update_orders(orders: DataFrame, changes: DataFrame, editable_status: str =
     cols = [c for c in ("expecteddate", "origin_id", "supplier_id", "destination_id") if c in changes.columns]
     one = last_per_key(changes.select("id", *cols, *(["seq"] if "seq" in changes.columns else [])), ["id"],
                        [*_seq(changes), F.struct(*cols)]).drop("seq")
-    editable = orders.filter(F.col("status") == editable_status).select("id")
-    allowed = one.join(editable, "id", "left_semi")
-    return _apply_updates(orders, allowed, ["id"], cols)
+    # the edit lock is a condition on the order row itself: no join against all orders
+    return _apply_updates(orders, one, ["id"], cols, guard=F.col("status") == editable_status)
 
 
 @dataclass
@@ -234,11 +239,14 @@ def apply_status(orders: DataFrame, lines: DataFrame, changes: DataFrame, as_of:
     spark = orders.sparkSession
     one = last_per_key(changes.select("id", "new_status", *(["seq"] if "seq" in changes.columns else [])), ["id"],
                        [*_seq(changes), F.col("new_status")]).drop("seq")
+    one = write_table(one, "status_requests")
+    ids = sized_side(one.select("id"), "status_ids")
     rules = fixed_broadcast(transition_table(spark))
-    cur = orders.select("id", "status")
+    # only the requested orders and their lines are read past the scan (map-side semi joins)
+    cur = orders.select("id", "status").join(ids, "id", "left_semi")
     counted = (
         lines.select(F.col("order_id").alias("id"))
-        .join(one.select("id"), "id", "left_semi")
+        .join(ids, "id", "left_semi")
         .groupBy("id")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -293,8 +301,10 @@ def receive_shipments(orders: DataFrame, lines: DataFrame, bins: DataFrame, rece
     when the order shipped, outside this flow).
     """
     inbound = bins.filter(F.col("type") == K.BIN_INBOUND).groupBy("warehouse_id").agg(F.min("id").alias("bin_id"))
-    wanted = receipts.select("id").distinct()
-    cur = orders.select("id", "status", F.col("destination_id").alias("warehouse_id")).join(wanted, "id", "right")
+    wanted = sized_side(receipts.select("id").distinct(), "receipts")
+    # the requested orders are picked out map-side; unknown ids survive the outer join
+    known = orders.select("id", "status", F.col("destination_id").alias("warehouse_id")).join(wanted, "id", "left_semi")
+    cur = wanted.join(known, "id", "left")
     located = cur.join(maybe_broadcast(inbound), "warehouse_id", "left")
     reason = (
         F.when(F.col("status").isNull(), F.lit("unknown order"))
@@ -319,6 +329,7 @@ def receive_shipments(orders: DataFrame, lines: DataFrame, bins: DataFrame, rece
         .groupBy("bin_id", "item_id")
         .agg(F.min("id").alias("id"))
     )
+    holders = write_table(holders, "holders")  # read twice below: the line table is scanned once
     credits = received.join(holders, ["bin_id", "item_id"]).select("id", "_add")
     credited = lines.join(sized_side(credits, "credits"), "id", "left").select(
         *[(F.col(c) + F.coalesce(F.col("_add"), F.lit(0))).cast("long").alias(c) if c == "quantity" else F.col(c)
