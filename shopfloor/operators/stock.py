@@ -129,23 +129,27 @@ def item_in_bin(t: RetailTables, requests: DataFrame) -> DataFrame:
     )
 
 
-def cart_fold(adds: DataFrame, stock: DataFrame) -> DataFrame:
+def cart_fold(adds: DataFrame, stock: DataFrame, on: tuple[str, ...] = ("session", "item_id")) -> DataFrame:
     """Fold add-to-cart events per (session, item_id) under a stock guard.
 
     An add is accepted while the count already in the cart is below the stock,
     so the cart may reach the stock exactly; NULL, zero or negative stock
     rejects every add.  The accepted adds are the first ones in time, so the
     result is ``least(adds, greatest(stock, 0))``.  If ``adds`` carries a
-    ``price`` column, the price seen at the first add is kept.
+    ``price`` column, the price seen at the first add is kept.  ``stock`` is
+    joined on ``on``: (session, item_id) by default, or e.g. (store_id,
+    item_id) when each add carries the store it was made in.
 
     Written as an aggregate (partial, map-side), so one busy session or item
-    never has to sit whole in one task.
+    never has to sit whole in one task; the stock is joined to the folded
+    carts, one row per cart.
     """
+    keys = ["session", "item_id", *[c for c in on if c not in ("session", "item_id")]]
     aggs = [F.count(F.lit(1)).alias("adds"), F.min("ts").alias("first_ts")]
     if "price" in adds.columns:
         aggs.append(F.min_by("price", "ts").alias("price"))
-    folded = adds.groupBy("session", "item_id").agg(*aggs)
-    guarded = folded.join(stock.select("session", "item_id", "stock"), ["session", "item_id"], "left")
+    folded = adds.groupBy(*keys).agg(*aggs)
+    guarded = folded.join(stock.select(*on, "stock"), list(on), "left")
     accepted = F.least(F.col("adds"), F.greatest(F.coalesce(F.col("stock"), F.lit(0)), F.lit(0)))
     cols = ["session", "item_id", "adds", "stock", accepted.cast("long").alias("accepted")]
     if "price" in adds.columns:

@@ -527,8 +527,7 @@ def checkout_amounts(t: RetailTables) -> DataFrame:
     from .operators.stock import cart_fold
     from .queries_stock import cart_adds, cart_stock
 
-    adds = cart_adds(t)
-    carts = cart_fold(adds, cart_stock(t, adds)).filter(F.col("accepted") > 0)
+    carts = cart_fold(cart_adds(t), cart_stock(t), on=("store_id", "item_id")).filter(F.col("accepted") > 0)
     prices = t.item_country.filter(F.col("country_id") == COUNTRY).select("item_id", "retailprice")
     line = F.col("retailprice").cast("decimal(18,2)") * F.col("accepted")
     return (

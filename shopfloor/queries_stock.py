@@ -134,15 +134,16 @@ def item_in_bin(t: RetailTables) -> DataFrame:
 
 
 def cart_adds(t: RetailTables) -> DataFrame:
-    """Cart adds with the item folded to 10 products so the stock guard fires."""
-    return t.cart.select("session", (F.col("item_id") % 10).alias("item_id"), "ts")
+    """Cart adds with the item folded to 10 products so the stock guard fires;
+    each session shops at store ``session % 10``."""
+    return t.cart.select(
+        "session", (F.col("item_id") % 10).alias("item_id"), "ts", (F.col("session") % 10).alias("store_id")
+    )
 
 
-def cart_stock(t: RetailTables, adds: DataFrame) -> DataFrame:
-    """Stock each (session, item) sees: its store is ``session % 10``; stock kept small (% 4)."""
-    pairs = adds.select("session", "item_id").distinct().withColumn("store_id", F.col("session") % 10)
-    stock = S.store_item_stock(t).select("store_id", "item_id", (F.col("stock") % 4).alias("stock"))
-    return pairs.join(stock, ["store_id", "item_id"], "left").select("session", "item_id", "stock")
+def cart_stock(t: RetailTables) -> DataFrame:
+    """Stock per (store, item) as the cart sees it, kept small (% 4)."""
+    return S.store_item_stock(t).select("store_id", "item_id", (F.col("stock") % 4).alias("stock"))
 
 
 @register(
@@ -155,5 +156,4 @@ FROM agg a LEFT JOIN x_store_stock x ON x.store_id = a.session % 10 AND x.item_i
 )
 def cart_fold(t: RetailTables) -> DataFrame:
     """Add-to-cart folds under the stock guard."""
-    adds = cart_adds(t)
-    return S.cart_fold(adds, cart_stock(t, adds)).drop("first_ts")
+    return S.cart_fold(cart_adds(t), cart_stock(t), on=("store_id", "item_id"))

@@ -18,7 +18,12 @@ from .conftest import SMOKE
 def test_stream_matches_batch(spark):
     t = tables(spark, SMOKE)
     adds = cart_adds(t)
-    stock = cart_stock(t, adds)
+    # the stream joins stock per (session, item): give each cart its store's stock
+    stock = (
+        adds.select("session", "item_id", "store_id").distinct()
+        .join(cart_stock(t), ["store_id", "item_id"], "left")
+        .select("session", "item_id", "stock")
+    )
     batch = {(r.session, r.item_id): (r.adds, r.accepted) for r in cart_fold(adds, stock).collect()}
 
     src = tempfile.mkdtemp(prefix="cart-src-")
