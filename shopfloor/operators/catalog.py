@@ -18,6 +18,8 @@ RETAIL = "RetailProductEntity"
 RAW = "RawMaterialEntity"
 
 LISTING_COLUMNS = ["id", "name", "imageurl", "sku", "description", "length", "width", "height", "category"]
+# the retail category pages list no dimensions
+RETAIL_CATEGORY_COLUMNS = ["id", "name", "imageurl", "sku", "description", "category"]
 
 
 def subtype_items(t: RetailTables, dtype: str) -> DataFrame:
@@ -40,7 +42,10 @@ def _priced(rows: DataFrame, t: RetailTables, country_id) -> DataFrame:
     return rows.join(prices, "id")
 
 
-def catalog_by_category(t: RetailTables, country_id=None, category: str | None = None, dtype: str = FURNITURE) -> DataFrame:
+def catalog_by_category(
+    t: RetailTables, country_id=None, category: str | None = None, dtype: str = FURNITURE,
+    columns: list[str] | None = None,
+) -> DataFrame:
     """Live items of a subtype, optionally one category, priced in a country.
 
     Conditions whose argument is empty are left out when the plan is built;
@@ -49,7 +54,7 @@ def catalog_by_category(t: RetailTables, country_id=None, category: str | None =
     rows = subtype_items(t, dtype).filter(live())
     if category:
         rows = rows.filter(F.col("category") == category)
-    rows = rows.select(*LISTING_COLUMNS)
+    rows = rows.select(*(columns or LISTING_COLUMNS))
     if country_id is None or country_id == "":
         return rows
     return _priced(rows, t, country_id)
@@ -58,7 +63,7 @@ def catalog_by_category(t: RetailTables, country_id=None, category: str | None =
 def retail_by_category(t: RetailTables, country_id=None, category: str | None = K.ALL_RETAIL) -> DataFrame:
     """Retail products; the pseudo category 'All Retail Products' lifts the filter."""
     cat = None if category in (None, "", K.ALL_RETAIL) else category
-    return catalog_by_category(t, country_id, cat, dtype=RETAIL)
+    return catalog_by_category(t, country_id, cat, dtype=RETAIL, columns=RETAIL_CATEGORY_COLUMNS)
 
 
 def items_by_sku(t: RetailTables, skus: DataFrame, country_id) -> DataFrame:

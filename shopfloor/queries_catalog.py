@@ -39,8 +39,8 @@ def list_raw_materials(t: RetailTables) -> DataFrame:
     return C.list_items(t, C.RAW)
 
 
-def _priced_sql(dtype: str) -> str:
-    return f"""SELECT {_LISTING}, ic.retailprice AS price FROM v_item i JOIN v_subtype f ON i.id = f.id
+def _priced_sql(dtype: str, cols: str = _LISTING) -> str:
+    return f"""SELECT {cols}, ic.retailprice AS price FROM v_item i JOIN v_subtype f ON i.id = f.id
 JOIN v_item_country ic ON ic.item_id = i.id
 WHERE i.dtype = '{dtype}' AND i.isdeleted = FALSE AND ic.country_id = {COUNTRY}"""
 
@@ -51,7 +51,7 @@ def catalog_by_category(t: RetailTables) -> DataFrame:
     return C.catalog_by_category(t, COUNTRY, None)
 
 
-@register("retail_by_category", _priced_sql(C.RETAIL))
+@register("retail_by_category", _priced_sql(C.RETAIL, "i.id, i.name, f.imageurl, i.sku, i.description, i.category"))
 def retail_by_category(t: RetailTables) -> DataFrame:
     """Priced retail products, pseudo category 'All Retail Products'."""
     return C.retail_by_category(t, COUNTRY, K.ALL_RETAIL)
