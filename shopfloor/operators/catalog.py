@@ -66,13 +66,22 @@ def retail_by_category(t: RetailTables, country_id=None, category: str | None =
     return catalog_by_category(t, country_id, cat, dtype=RETAIL, columns=RETAIL_CATEGORY_COLUMNS)
 
 
-def items_by_sku(t: RetailTables, skus: DataFrame, country_id) -> DataFrame:
-    """Live furniture and retail products for many SKUs, priced in a country."""
+def items_by_sku(t: RetailTables, skus: DataFrame, country_id=None) -> DataFrame:
+    """Live furniture and retail products for many SKUs, priced in a country.
+
+    Retail products answer without dimensions (NULL here, so both kinds share
+    one schema); without a country there is no price column.
+    """
     wanted = sized_side(skus.select("sku").distinct(), "wanted_skus")
     parts = []
     for dtype in (FURNITURE, RETAIL):
         rows = subtype_items(t, dtype).filter(live()).join(wanted, "sku", "left_semi")
-        parts.append(_priced(rows.select(*LISTING_COLUMNS), t, country_id).withColumn("dtype", F.lit(dtype)))
+        if dtype == RETAIL:
+            rows = rows.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) if c in ("length", "width", "height")
+                                 else F.col(c) for c in rows.columns])
+        rows = rows.select(*LISTING_COLUMNS)
+        priced = rows if country_id is None or country_id == "" else _priced(rows, t, country_id)
+        parts.append(priced.withColumn("dtype", F.lit(dtype)))
     return parts[0].unionByName(parts[1])
 
 

@@ -65,7 +65,11 @@ def cart_skus(t: RetailTables) -> DataFrame:
 @register(
     "items_by_sku",
     f"""WITH req AS (SELECT DISTINCT concat('SKU_', cast(item_id AS VARCHAR)) AS sku FROM v_cart)
-SELECT {_LISTING}, ic.retailprice AS price, i.dtype FROM v_item i JOIN v_subtype f ON i.id = f.id
+SELECT i.id, i.name, f.imageurl, i.sku, i.description,
+  CASE WHEN i.dtype = 'FurnitureEntity' THEN i.length END AS length,
+  CASE WHEN i.dtype = 'FurnitureEntity' THEN i.width END AS width,
+  CASE WHEN i.dtype = 'FurnitureEntity' THEN i.height END AS height,
+  i.category, ic.retailprice AS price, i.dtype FROM v_item i JOIN v_subtype f ON i.id = f.id
 JOIN v_item_country ic ON ic.item_id = i.id
 WHERE i.dtype IN ('FurnitureEntity', 'RetailProductEntity') AND i.isdeleted = FALSE AND ic.country_id = {COUNTRY}
 AND i.sku IN (SELECT sku FROM req)""",
