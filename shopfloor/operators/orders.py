@@ -67,11 +67,13 @@ def purchase_history(t: RetailTables, country_id) -> DataFrame:
     priced = furniture.join(prices, "item_id")
     sales = t.sale.select(F.col("id").alias("sale_id"), "member_id", "createddate")
     delivery = t.delivery.select(F.col("salerecord_id").alias("sale_id"), "name", "delivery_address")
+    # one row per sale first; then the lines meet a single join on the sale id,
+    # whose hot sales AQE can split (two chained joins on one key would stop it)
+    sale_info = sales.join(delivery, "sale_id")
     lines = t.line.select(F.col("order_id").alias("sale_id"), "item_id", "quantity")
     return (
         lines.join(priced, "item_id")
-        .join(sales, "sale_id")
-        .join(delivery, "sale_id")
+        .join(sale_info, "sale_id")
         .select(
             "member_id", "sku", "item_name", "retailprice", "quantity", "createddate", "imageurl", "sale_id",
             "name", "delivery_address",
