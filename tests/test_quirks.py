@@ -354,3 +354,13 @@ def test_grid_sort_auto_types(spark):
     df = spark.createDataFrame([(1, "10"), (2, "9"), (3, ""), (4, "100")], "id long, amount string")
     assert [r.id for r in G.grid_sort(df, [("amount", "asc")], "id", "auto").collect()] == [3, 2, 1, 4]
     assert [r.id for r in G.grid_sort(df, [("amount", "asc")], "id").collect()] == [3, 1, 4, 2]  # as text
+
+
+def test_default_sort_keeps_server_order_and_case_flag(spark):
+    # staff pages put an empty hidden first column: the default sort keeps the given order
+    df = spark.createDataFrame([("", 3, "Red"), ("", 1, "red"), ("", 2, "RED x")], "blank string, pos long, t string")
+    assert [r.pos for r in G.grid_sort(df, position="pos").collect()] == [1, 2, 3]
+    ids = lambda d: sorted(r.pos for r in d.collect())
+    assert ids(G.grid_search(df, "red", case_insensitive=False)) == [1]
+    assert ids(G.grid_search(df, "red")) == [1, 2, 3]
+    assert ids(G.grid_search(df, "^red$", regex=True, smart=False, cols=["t"])) == [1, 3]
