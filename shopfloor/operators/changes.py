@@ -239,8 +239,9 @@ def apply_status(orders: DataFrame, lines: DataFrame, changes: DataFrame, as_of:
     spark = orders.sparkSession
     one = last_per_key(changes.select("id", "new_status", *(["seq"] if "seq" in changes.columns else [])), ["id"],
                        [*_seq(changes), F.col("new_status")]).drop("seq")
+    # written once: its real size decides the broadcast of the id list below
     one = write_table(one, "status_requests")
-    ids = sized_side(one.select("id"), "status_ids")
+    ids = maybe_broadcast(one.select("id"))
     rules = fixed_broadcast(transition_table(spark))
     # only the requested orders and their lines are read past the scan (map-side semi joins)
     cur = orders.select("id", "status").join(ids, "id", "left_semi")
@@ -330,10 +331,17 @@ def receive_shipments(orders: DataFrame, lines: DataFrame, bins: DataFrame, rece
         .agg(F.min("id").alias("id"))
     )
     holders = write_table(holders, "holders")  # read twice below: the line table is scanned once
-    credits = received.join(holders, ["bin_id", "item_id"]).select("id", "_add")
-    credited = lines.join(sized_side(credits, "credits"), "id", "left").select(
-        *[(F.col(c) + F.coalesce(F.col("_add"), F.lit(0))).cast("long").alias(c) if c == "quantity" else F.col(c)
-          for c in lines.columns]
+    # credit = the received sum of the holder line's (bin, item): two joins with
+    # written (size-proven) sides, so the line snapshot is streamed, not shuffled
+    hold = holders.select("id", F.col("bin_id").alias("_hb"), F.col("item_id").alias("_hi"))
+    sums = received.select(F.col("bin_id").alias("_hb"), F.col("item_id").alias("_hi"), "_add")
+    credited = (
+        lines.join(maybe_broadcast(hold), "id", "left")
+        .join(maybe_broadcast(sums), ["_hb", "_hi"], "left")
+        .select(
+            *[(F.col(c) + F.coalesce(F.col("_add"), F.lit(0))).cast("long").alias(c) if c == "quantity" else F.col(c)
+              for c in lines.columns]
+        )
     )
     fresh = received.join(holders, ["bin_id", "item_id"], "left_anti")
     start = max_id(lines)
