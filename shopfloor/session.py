@@ -63,3 +63,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="shopfloor-ckpt-")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Settings for a cluster run over ``input_bytes`` of parquet with ``total_cores`` task slots.
+
+    Scan splits and shuffle partitions are sized so one task handles about
+    ``partition_bytes`` (fits executor memory with room for sort/aggregate
+    buffers), with at least three waves of tasks for the cores.  AQE then
+    merges small shuffle partitions toward the same size, splits skewed ones
+    (a partition 5x the median and above the size is split), and may turn
+    a sort-merge join into a broadcast join from measured sizes.
+    """
+    shuffle = max(3 * total_cores, -(-input_bytes // partition_bytes))
+    return {
+        **SQL_DEFAULTS,
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }
