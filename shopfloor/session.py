@@ -65,23 +65,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+def cluster_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
     """Settings for a cluster run over ``input_bytes`` of parquet with ``total_cores`` task slots.
 
-    Scan splits and shuffle partitions are sized so one task handles about
-    ``partition_bytes`` (fits executor memory with room for sort/aggregate
-    buffers), with at least three waves of tasks for the cores.  AQE then
-    merges small shuffle partitions toward the same size, splits skewed ones
-    (a partition 5x the median and above the size is split), and may turn
-    a sort-merge join into a broadcast join from measured sizes.
+    * Scan splits: input / 100,000, kept within 256 MB .. 2 GB, so a 100 TB
+      scan runs as about 100,000 map tasks of 1 GB.
+    * Shuffle partitions: input / 2 GB, at least three waves of tasks for the
+      cores and at most 50,000.  Map tasks x reduce partitions is the number
+      of shuffle blocks to track and fetch, so both are kept bounded.
+    * AQE merges small shuffle partitions toward 256 MB, splits a partition
+      five times the median and above 256 MB (skew), and may turn a
+      sort-merge join into a broadcast join from measured sizes.
     """
-    shuffle = max(3 * total_cores, -(-input_bytes // partition_bytes))
+    mb, gb = 1 << 20, 1 << 30
+    split = min(2 * gb, max(256 * mb, input_bytes // 100_000))
+    shuffle = min(50_000, max(3 * total_cores, -(-input_bytes // (2 * gb))))
     return {
         **SQL_DEFAULTS,
-        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.shuffle.partitions": str(shuffle),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * mb),
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
-        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * mb),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * mb),
     }
