@@ -75,8 +75,8 @@ def input_bytes(df: DataFrame) -> int:
 
 
 # Target input bytes (as estimated on disk) per partition of a range-partitioned sort.
-SORT_PARTITION_BYTES = 128 * 1024 * 1024
-MAX_SORT_PARTITIONS = 200_000
+SORT_PARTITION_BYTES = 512 * 1024 * 1024
+MAX_SORT_PARTITIONS = 50_000  # map tasks x partitions = shuffle blocks: keep bounded
 
 
 def sort_partitions(df: DataFrame) -> int:
