@@ -73,16 +73,19 @@ def items_by_sku(t: RetailTables, skus: DataFrame, country_id=None) -> DataFrame
     one schema); without a country there is no price column.
     """
     wanted = sized_side(skus.select("sku").distinct(), "wanted_skus")
-    parts = []
-    for dtype in (FURNITURE, RETAIL):
-        rows = subtype_items(t, dtype).filter(live()).join(wanted, "sku", "left_semi")
-        if dtype == RETAIL:
-            rows = rows.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) if c in ("length", "width", "height")
-                                 else F.col(c) for c in rows.columns])
-        rows = rows.select(*LISTING_COLUMNS)
-        priced = rows if country_id is None or country_id == "" else _priced(rows, t, country_id)
-        parts.append(priced.withColumn("dtype", F.lit(dtype)))
-    return parts[0].unionByName(parts[1])
+    # both subtypes in one pass over items and prices
+    rows = (
+        t.item.filter(F.col("dtype").isin(FURNITURE, RETAIL))
+        .join(t.subtype, "id")
+        .filter(live())
+        .join(wanted, "sku", "left_semi")
+    )
+    furniture = F.col("dtype") == FURNITURE
+    rows = rows.select(
+        *[F.when(furniture, F.col(c)).alias(c) if c in ("length", "width", "height") else F.col(c) for c in LISTING_COLUMNS],
+        "dtype",
+    )
+    return rows if country_id is None or country_id == "" else _priced(rows, t, country_id)
 
 
 def price_list(t: RetailTables) -> DataFrame:
