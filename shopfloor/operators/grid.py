@@ -90,15 +90,27 @@ def search_terms(text: str, smart: bool = True) -> list[str]:
 def search_condition(text_col: Column, text: str, regex: bool = False, smart: bool = True,
                      case_insensitive: bool = True) -> Column:
     """Every term must occur in the text (as a regex when ``regex``)."""
-    cond = F.lit(True)
-    for term in search_terms(text, smart):
-        if regex:
-            cond = cond & text_col.rlike(("(?i)" if case_insensitive else "") + term)
-        elif case_insensitive:
-            cond = cond & (F.instr(F.lower(text_col), term.lower()) > 0)
-        else:
-            cond = cond & (F.instr(text_col, term) > 0)
-    return cond
+    terms = search_terms(text, smart)
+    if not terms:
+        return F.lit(True)
+    bound = F.lower(text_col) if case_insensitive and not regex else text_col
+
+    def all_terms(txt: Column) -> Column:
+        cond = None
+        for term in terms:
+            if regex:
+                c = txt.rlike(("(?i)" if case_insensitive else "") + term)
+            else:
+                c = F.instr(txt, term.lower() if case_insensitive else term) > 0
+            cond = c if cond is None else cond & c
+        return cond
+
+    if len(terms) == 1:
+        return all_terms(bound)
+    # several terms: the (lowered) text is built once per row and bound to the
+    # lambda variable; written directly, every term would rebuild it (the
+    # optimizer inlines a projected column back into the filter)
+    return F.exists(F.array(bound), all_terms)
 
 
 def grid_search(
