@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import fixed_broadcast, sort_partitions
+from .materialize import write_table
 
 
 def number_rows(
@@ -28,8 +29,8 @@ def number_rows(
     """Add ``id_col = start + row_number() over (order by order)`` (1-based).
 
     ``order`` must be a total order for deterministic ids.  The sorted rows
-    are checkpointed to the session's shared checkpoint folder before they
-    are counted.  This is needed for correctness, not only speed: the range
+    (with their partition and position) are written to the session's shared
+    checkpoint folder before they are counted.  This is needed for correctness, not only speed: the range
     partitioner samples with a seed tied to the plan's RDD, so two separate
     executions of the sort may cut the ranges differently, and offsets counted
     in one would not fit the rows of the other.  ``keep`` limits the columns
@@ -43,7 +44,9 @@ def number_rows(
     )
     if keep is not None:
         ordered = ordered.select(*keep, "_pid", "_mid")
-    ordered = ordered.checkpoint(eager=True)
+    # written once as parquet (fast, columnar; the lineage is cut): the ids use the
+    # stored _pid / _mid, so they do not depend on how the files are read back
+    ordered = write_table(ordered, "numbered")
     counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
