@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 
 from ..plans.ids import number_rows
 
+# FIXED VALUES — the grid's own rules, which results must follow (stated in
+# natural order; the accepted date formats are this library's choice).
 # Characters the grid strips from formatted numbers: ' , $ £ € ¥ % thin space, narrow no-break space.
 NUMBER_FORMATTING = "[',$£€¥%  ]"
 NUMBER_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
