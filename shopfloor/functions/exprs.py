@@ -20,6 +20,7 @@ def round_half_up_1(x: str | Column) -> Column:
 
 
 def volume(length: str | Column, width: str | Column, height: str | Column) -> Column:
+    """Length x width x height, as stored with a new item."""
     return _c(length) * _c(width) * _c(height)
 
 
@@ -77,6 +78,7 @@ def promotion_image(url: str | Column, legacy_prefix: str | None = None) -> Colu
 
 
 def sku_image(sku: str | Column) -> Column:
+    """Image path a new furniture or retail item gets from its SKU."""
     return F.concat(F.lit(K.PRODUCT_IMAGE_DIR), _c(sku), F.lit(".jpg"))
 
 

@@ -161,6 +161,7 @@ def promo_image_path(t: RetailTables, legacy_prefix: str | None = None) -> DataF
 
 
 def item_volume(t: RetailTables) -> DataFrame:
+    """Volume of every item (a projection, no shuffle)."""
     return t.item.select("id", "sku", volume("length", "width", "height").alias("volume"))
 
 

@@ -223,6 +223,7 @@ class StatusChange:
 
 
 def transition_table(spark) -> DataFrame:
+    """Allowed (status, new_status, needs_lines) rows: a fixed five-row table."""
     return spark.createDataFrame(
         [(a, b, need) for a, b, need in K.STATUS_TRANSITIONS], "status string, new_status string, needs_lines boolean"
     )

@@ -82,6 +82,7 @@ def purchase_history(t: RetailTables, country_id) -> DataFrame:
 
 
 def line_with_sku(t: RetailTables) -> DataFrame:
+    """Every line item with its item's SKU."""
     items = t.item.select(F.col("id").alias("item_id"), "sku")
     return t.line.join(items, "item_id").select(*t.line.columns, "sku")
 

@@ -57,6 +57,7 @@ def staff_location(t: RetailTables) -> DataFrame:
 
 
 def area_table(spark: SparkSession, area_roles: dict[str, Sequence[int]] | None = None) -> DataFrame:
+    """(role_id, area) rows from the fixed area -> roles lists."""
     mapping = K.AREA_ROLES if area_roles is None else area_roles
     rows = [(int(r), area) for area, roles in mapping.items() for r in roles]
     return spark.createDataFrame(rows, "role_id long, area string")

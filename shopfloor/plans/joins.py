@@ -47,6 +47,7 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    """True when the size estimate times the decompression margin is within the threshold."""
     limit = broadcast_limit(df) if limit is None else limit
     return limit > 0 and estimated_bytes(df) * EXPANSION <= limit
 

@@ -52,6 +52,7 @@ def _sql_search(text_sql: str, text: str, regex: bool = False) -> str:
 
 
 def documents(t: RetailTables) -> DataFrame:
+    """The documents table with the columns the grid shows (whole texts)."""
     return t.raw("documents").select(*DOC_COLS)
 
 
