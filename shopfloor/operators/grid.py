@@ -77,7 +77,11 @@ def row_text(df: DataFrame, cols: Sequence[str] | None = None, html_cols: Sequen
     cells = []
     for c in cols:
         v = _as_text(df, c)
-        cells.append(cell_text(html_search_text(v) if c in html_cols else v))
+        if isinstance(df.schema[c].dataType, T.NumericType):
+            # a number's text has no entities or line breaks: nothing to clean
+            cells.append(F.coalesce(v, F.lit("")))
+        else:
+            cells.append(cell_text(html_search_text(v) if c in html_cols else v))
     return F.concat_ws("  ", *cells)
 
 
