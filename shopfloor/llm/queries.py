@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing
+from ..plans.materialize import write_table
+from ..session import ensure_checkpoint_dir
+from . import chat, decontaminate, langid, licenses, mixing, neardup, pii, quality, tokens, topk
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,12 +30,135 @@ def register(name: str, sql: str | None = None):
 
 
 _SPACE_WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = (
-    r"list_filter(regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',"
-    r" 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+    r"list_filter(regexp_split_to_array(" + _LOWER.format("coalesce({0}, '')")
+    + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 )
 
 
+@register("op1_personal_data")
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base counts and digest, and all spans."""
+    return pii.scan(read(spark, sf_dir, "documents"))
+
+
+@register(
+    "op2_near_duplicates",
+    f"""
+    WITH RECURSIVE
+    d AS (SELECT doc_id, {_SPACE_WORDS.format(_LOWER.format('text'))} AS ws FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, array_to_string(list_slice(ws, p0, p0 + n - 1), ' ') AS g
+      FROM (SELECT doc_id, ws, least(len(ws), 5) AS n, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS p0
+            FROM d WHERE len(ws) > 0)),
+    c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i
+          FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    l AS (SELECT x, y FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y
+          WHERE 100 * i >= 85 * (cx.n + cy.n - i)),
+    e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    r AS (SELECT doc_id, doc_id AS low FROM d
+          UNION SELECT e.y, r.low FROM r JOIN e ON e.x = r.doc_id WHERE r.low < e.y)
+    SELECT d.doc_id, coalesce(any_value(c.n), 0)::BIGINT AS n_shingles, min(r.low) AS component_id,
+           d.doc_id = min(r.low) AS kept
+    FROM d JOIN r USING (doc_id) LEFT JOIN c USING (doc_id) GROUP BY d.doc_id
+    """,
+)
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@register(
+    "op3_top_k",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+)
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector against all others."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
+@register("op4_licenses")
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document, own or inherited from its directory.
+
+    Documents carry no path, so each stands as the file ``source/lang/hundreds/doc_id.txt``.
+    """
+    docs = read(spark, sf_dir, "documents")
+    folder = F.floor(F.col("doc_id") / 100).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = docs.select(F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text")
+    return licenses.scan(files).select(
+        F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long").alias("doc_id"), "path", "license", F.round("cosine", 6).alias("cosine"), "how"
+    )
+
+
+@register("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals by source, language and tokenizer version after four batches.
+
+    All documents are inserted; those labelled toxic are removed, those labelled low quality are
+    recounted under another vocabulary, and the removal is sent again (which changes nothing).
+    """
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    ledger = tokens.Ledger(spark, f"{ensure_checkpoint_dir(spark)}/token-ledger-{uuid.uuid4().hex}")
+    toxic = labels.filter("toxic = 1").select("doc_id")
+    poor = labels.filter("quality = 0").select("doc_id").join(toxic, "doc_id", "left_anti").distinct()
+    ledger.insert("load", tokens.count_tokens(docs, tokens.BYTE_BPE))
+    ledger.remove("toxic", toxic)
+    ledger.revise("recount", tokens.count_tokens(docs.join(poor, "doc_id", "left_semi"), tokens.MULTI_BPE))
+    ledger.remove("toxic", toxic)
+    return ledger.totals()
+
+
+@register("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+_ESCAPE = (
+    r"regexp_replace(replace({0}, '\', '\\'), '(<)(</SYS>>|<SYS>>|/s>|s>|\|)|(\[)(/INST\]|INST\])|(\|)(>)',"
+    r" '\1\3\5\\\2\4\6', 'g')"
+)
+
+
+@register(
+    "op7_chat",
+    f"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+      UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           sum(length('<|im_start|><|im_sep|><|im_end|>') + length({_ESCAPE.format('role')}) + length({_ESCAPE.format('text')}))::BIGINT
+             AS formatted_chars
+    FROM c GROUP BY conv_id
+    """,
+)
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted with its loss mask, and digests of what is read back from it."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    formatted = write_table(chat.format_conversations(rows.unionByName(extra)), "chat")
+    return chat.read_back(formatted)
+
+
 @register(
     "op8_mix",
     f"""
@@ -109,3 +235,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@register("op10_language")
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.identify(read(spark, sf_dir, "documents"))
