@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from shopfloor.queries import QUERIES
 from shopfloor.sources.fixtures import TABLES
 
 from .conftest import SMOKE
@@ -45,7 +46,7 @@ def duck():
 
 
 def test_every_query_has_oracle():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(QUERIES) - set(E.oracle_sql())
     assert not missing, f"queries without oracle SQL: {sorted(missing)}"
 
 
@@ -55,7 +56,7 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_oracle(spark, duck, name):
     got = E.queries()[name](spark, SMOKE).toPandas()
     want = duck.execute(E.oracle_sql()[name]).df()
