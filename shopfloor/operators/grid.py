@@ -6,15 +6,17 @@ each step is a DataFrame operator, so it runs over all rows on the cluster:
 * search -> one ``filter`` over a per-row search text (JVM string functions);
 * sort   -> ``orderBy`` on typed sort keys plus a caller-supplied position
             column, which makes the sort stable and the order total;
-* page   -> ``offset`` + ``limit`` after the sort (Spark plans a top-K for
-            shallow pages; a deep page costs a full range-partitioned sort);
+* page   -> a top-K for a page near the top; any other page by row number
+            from a range-partitioned sort and a filter on it;
 * info   -> both counts in one aggregate pass;
 * types  -> one aggregate pass over all columns.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from html.entities import html5 as HTML5
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,57 +25,94 @@ from pyspark.sql import types as T
 
 from ..plans.ids import number_rows
 
-# FIXED VALUES — the grid's own rules, which results must follow (stated in
-# natural order; the accepted date formats are this library's choice).
+# FIXED VALUES — the grid's own rules, which results must follow.
 # Characters the grid strips from formatted numbers: ' , $ £ € ¥ % thin space, narrow no-break space.
-NUMBER_FORMATTING = "[',$£€¥%  ]"
+FORMAT_CHARS = "',$£€¥%\u2009\u202F"
 NUMBER_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-TAG_RE = "<[A-Za-z/!][^>]*>"
-# Entities decoded in cells that contain '&' (named ones the grid meets in practice).
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&amp;", "&")]
-DATE_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy"]
-# Shape of each accepted date text; a value is only parsed with the format its
-# shape names, so no parse is tried (and fails) per row for the others.
-DATE_SHAPES = [
-    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$",
-    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
-    r"^\d{4}-\d{2}-\d{2}$",
-    r"^\d{1,2}/\d{1,2}/\d{4}$",
-]
+MARKUP_RE = "<.*?>"  # what the cleaner of an HTML column drops
+TAG_RE = "<[A-Za-z/!][^>]*>"  # what a browser takes for a tag
+WORD_RE = r'"[^"]+"|[^ ]+'  # a word or quoted phrase of a smart search
+DATE_RE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+US_DATE_RE = r"^\d{1,2}/\d{1,2}/\d{4}$"
+TYPE_ORDER = ["num", "date", "num-fmt", "html-num", "html-num-fmt", "html"]
+ENTITY_RE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
+# References to the C1 range mean the characters of this code page, as in every browser.
+LEGACY_CODE_PAGE = "cp1252"
 
 
 def parse_date(s: Column) -> Column:
-    """Timestamp of an ISO or M/d/yyyy date text; NULL when it is neither."""
-    out = F.lit(None).cast("timestamp")
-    for fmt, shape in reversed(list(zip(DATE_FORMATS, DATE_SHAPES))):
-        out = F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))).otherwise(out)
-    return out
+    """Timestamp of an ISO date or date-time (with fraction and zone, if any) or an M/d/yyyy date; NULL otherwise."""
+    iso = F.when(s.rlike(DATE_RE), s.try_cast("timestamp"))
+    return F.coalesce(iso, F.when(s.rlike(US_DATE_RE), F.try_to_timestamp(s, F.lit("M/d/yyyy"))))
 
 
 def _as_text(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("string")
 
 
-def cell_text(value: Column) -> Column:
-    """Search text of one cell: NULL -> '', entities decoded and tags dropped
-    when the cell contains '&', line breaks removed."""
+def _legacy_character(code: int) -> str:
+    try:
+        return bytes([code]).decode(LEGACY_CODE_PAGE)
+    except UnicodeDecodeError:
+        return chr(code)
+
+
+def decode_entities(value: Column) -> Column:
+    """Character references decoded as a browser does: all named ones (a legacy name also without its
+    semicolon, the longest that fits), decimal and hexadecimal ones."""
+    named = F.from_json(F.lit(json.dumps(HTML5)), "map<string,string>")
+    legacy = F.array(*[F.lit(n) for n in sorted(n for n in HTML5 if not n.endswith(";"))])
+    low = F.from_json(F.lit(json.dumps({str(c): _legacy_character(c) for c in range(0x80, 0xA0)})), "map<string,string>")
+
+    def decoded(e: Column) -> Column:
+        body = F.substring(e, 2, 1 << 20)
+        digits = F.regexp_replace(body, "[#xX;]", "")
+        code = F.when(body.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+        code = F.coalesce(code.try_cast("int"), F.lit(0x110000))  # too long a number is no code point
+        bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        point = F.when(bad, F.lit(0xFFFD)).otherwise(code)
+        char = F.coalesce(
+            F.try_element_at(low, code.cast("string")), F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        )
+        prefix = F.array_max(F.filter(legacy, lambda n: body.startswith(n)))
+        name = F.coalesce(
+            F.try_element_at(named, body),
+            F.concat(F.try_element_at(named, prefix), F.substr(body, F.length(prefix) + 1)),
+            e,
+        )
+        return F.when(body.startswith("#"), char).otherwise(name)
+
+    parts, found = F.split(value, ENTITY_RE), F.regexp_extract_all(value, F.lit(ENTITY_RE), F.lit(0))
+    pieces = F.zip_with(parts, F.transform(found, decoded), lambda p, d: F.concat(p, F.coalesce(d, F.lit(""))))
+    return F.array_join(pieces, "")
+
+
+def cell_text(value: Column, kind: str = "string") -> Column:
+    """Search text of one cell, cleaned by its column's type.
+
+    In string and html columns line breaks become spaces, and an html column
+    loses its markup.  Whatever the type, a cell with '&' is read as HTML
+    (tags dropped, character references decoded), and line breaks that are
+    left are removed.  NULL is ''.
+    """
     v = F.coalesce(value, F.lit(""))
-    decoded = F.regexp_replace(v, TAG_RE, "")
-    for ent, ch in ENTITIES:
-        decoded = F.replace(decoded, F.lit(ent), F.lit(ch))
-    v = F.when(F.instr(v, "&") > 0, decoded).otherwise(v)
-    return F.regexp_replace(v, "[\r\n]", "")
-
+    if kind in ("string", "html"):
+        v = F.translate(v, "\r\n", "  ")
+    if kind == "html":
+        v = F.regexp_replace(v, MARKUP_RE, "")
+    v = F.when(F.instr(v, "&") > 0, decode_entities(F.regexp_replace(v, TAG_RE, ""))).otherwise(v)
+    return F.translate(v, "\r\n", "")
 
-def html_search_text(value: Column) -> Column:
-    """Search text of an HTML cell: line breaks become spaces, tags are dropped."""
-    return F.regexp_replace(F.regexp_replace(value, "[\r\n]", " "), "<.*?>", "")
 
+def row_text(df: DataFrame, cols: Sequence[str] | None = None, types: dict[str, str] | None = None,
+             position: str | None = None) -> Column:
+    """Searchable text of a row: its cells, cleaned by column type, joined by two spaces.
 
-def row_text(df: DataFrame, cols: Sequence[str] | None = None, html_cols: Sequence[str] = ()) -> Column:
-    """Searchable text of a row: its cells joined by two spaces (HTML cells lose their tags first)."""
+    ``types`` are the columns' grid types; those left out come from the schema
+    or are detected (one aggregate pass, see ``column_types``).
+    """
     cols = list(cols or df.columns)
+    kinds = column_types(df, cols, types, position)
     cells = []
     for c in cols:
         v = _as_text(df, c)
@@ -81,7 +120,7 @@ def row_text(df: DataFrame, cols: Sequence[str] | None = None, html_cols: Sequen
             # a number's text has no entities or line breaks: nothing to clean
             cells.append(F.coalesce(v, F.lit("")))
         else:
-            cells.append(cell_text(html_search_text(v) if c in html_cols else v))
+            cells.append(cell_text(v, kinds[c]))
     return F.concat_ws("  ", *cells)
 
 
@@ -89,7 +128,7 @@ def search_terms(text: str, smart: bool = True) -> list[str]:
     """Split a smart search into words; double quotes keep a phrase together."""
     if not smart:
         return [text]
-    words = re.findall(r'"[^"]+"|[^ ]+', text)
+    words = re.findall(WORD_RE, text)
     return [w[1:-1] if w.startswith('"') and w.endswith('"') and len(w) > 1 else w for w in words]
 
 
@@ -105,7 +144,7 @@ def search_condition(text_col: Column, text: str, regex: bool = False, smart: bo
         cond = None
         for term in terms:
             if regex:
-                c = txt.rlike(("(?i)" if case_insensitive else "") + term)
+                c = txt.rlike(("(?iu)" if case_insensitive else "") + term)
             else:
                 c = F.instr(txt, term.lower() if case_insensitive else term) > 0
             cond = c if cond is None else cond & c
@@ -129,19 +168,20 @@ def grid_search(
     column_search: dict[str, str] | None = None,
     extra: Sequence[Column] = (),
     keep: str = "applied",
-    html_cols: Sequence[str] = (),
+    types: dict[str, str] | None = None,
+    position: str | None = None,
 ) -> DataFrame:
     """Rows matching the global search, every column search and ``extra`` predicates
     (the caller's own filter functions, as Columns).
 
     ``keep='applied'`` returns the matches, ``'removed'`` the rows the search
-    removed, ``'none'`` all rows.  ``html_cols`` are searched without their tags.
+    removed, ``'none'`` all rows.  ``types`` and ``position`` are those of ``row_text``.
     """
-    cond = search_condition(row_text(df, cols, html_cols), text, regex, smart, case_insensitive)
-    for col, term in (column_search or {}).items():
-        v = _as_text(df, col)
-        v = html_search_text(v) if col in html_cols else v
-        cond = cond & search_condition(cell_text(v), term, regex, smart, case_insensitive)
+    column_search = column_search or {}
+    kinds = column_types(df, [*(cols or df.columns), *column_search], types, position)
+    cond = search_condition(row_text(df, cols, kinds), text, regex, smart, case_insensitive)
+    for col, term in column_search.items():
+        cond = cond & search_condition(cell_text(_as_text(df, col), kinds[col]), term, regex, smart, case_insensitive)
     for pred in extra:
         cond = cond & pred
     if keep == "none":
@@ -158,27 +198,32 @@ def _empty(s: Column) -> Column:
     return s.isNull() | (s == "") | (s == "-")
 
 
-def sort_key(value: Column, kind: str = "string") -> Column:
+def sort_key(value: Column, kind: str = "string", dtype: T.DataType | None = None) -> Column:
     """Typed sort key of a cell.
 
-    string: lower case, blank -> ''; html: tags dropped, lower case;
-    num / num-fmt: formatting stripped then a number, blank -> NULL (first
-    ascending, like minus infinity); date: ISO or M/d/yyyy, unparsable -> epoch 0.
+    A numeric, date or timestamp column sorts on its own values under the types
+    ``num`` and ``date``.  Text is read by type: string: lower case, blank -> '';
+    html: markup dropped, lower case; num and its variants: formatting stripped,
+    then a number, blank -> NULL (first ascending, like minus infinity); date:
+    see ``parse_date``, anything else -> epoch 0.
     """
     s = value.cast("string")
     if kind == "string":
         return F.when(_empty(s), F.lit("")).otherwise(F.lower(s))
     if kind == "html":
-        return F.when(_empty(s), F.lit("")).otherwise(F.lower(F.regexp_replace(s, "<.*?>", "")))
+        return F.when(_empty(s), F.lit("")).otherwise(F.lower(F.regexp_replace(s, MARKUP_RE, "")))
     if kind in ("num", "num-fmt", "html-num", "html-num-fmt"):
+        if isinstance(dtype, T.NumericType):
+            return value
         t = s
         if kind.startswith("html"):
-            t = F.regexp_replace(t, "<.*?>", "")
+            t = F.regexp_replace(t, MARKUP_RE, "")
         if kind.endswith("fmt"):
-            t = F.regexp_replace(t, NUMBER_FORMATTING, "")
+            t = F.translate(t, FORMAT_CHARS, "")
         return F.when(_empty(s), F.lit(None).cast("double")).otherwise(_to_double(t))
     if kind == "date":
-        return F.coalesce(F.unix_micros(parse_date(s).cast("timestamp")), F.lit(0))
+        moment = value.cast("timestamp") if isinstance(dtype, _MOMENTS) else parse_date(s)
+        return F.coalesce(F.unix_micros(moment), F.lit(0))
     raise ValueError(f"unknown sort type {kind}")
 
 
@@ -190,7 +235,7 @@ def sort_spec(
     df: DataFrame,
     order: Sequence[tuple[str, str]] | None = None,
     position: Sequence[str] | str | None = None,
-    types: dict[str, str] | str | None = None,
+    types: dict[str, str] | None = None,
     fixed_pre: Sequence[tuple[str, str]] = (),
     fixed_post: Sequence[tuple[str, str]] = (),
     data_sort: dict[str, Sequence[str]] | None = None,
@@ -200,21 +245,17 @@ def sort_spec(
     ``order`` is a list of (column, 'asc'|'desc'); the default is the first
     column ascending.  ``position`` names the column(s) holding each row's
     original position: they break ties, so equal keys keep their order and
-    the result order is total.  ``types`` gives a column's sort type
-    (string by default; ``"auto"`` detects them as the grid does);
+    the result order is total.  ``types`` gives columns' sort types; a type left
+    out comes from the schema, or for text is detected (see ``column_types``);
     ``fixed_pre`` / ``fixed_post`` always sort first /
     last; ``data_sort`` sorts a column by other columns instead.
     """
     order = list(order) if order else [(df.columns[0], "asc")]
-    if types == "auto":
-        types = detect_types(df)
-    types = types or {}
     data_sort = data_sort or {}
-    spec: list[tuple[Column, str]] = []
-    for col, direction in [*fixed_pre, *order, *fixed_post]:
-        for target in data_sort.get(col, [col]):
-            spec.append((sort_key(F.col(target), types.get(target, "string")), direction))
+    targets = [(t, direction) for col, direction in [*fixed_pre, *order, *fixed_post] for t in data_sort.get(col, [col])]
     pos = [position] if isinstance(position, str) else list(position or [])
+    kinds = column_types(df, [t for t, _ in targets], types, pos[0] if len(pos) == 1 else None)
+    spec = [(sort_key(F.col(t), kinds[t], df.schema[t].dataType), direction) for t, direction in targets]
     return [*spec, *[(F.col(p), "asc") for p in pos]]
 
 
@@ -248,10 +289,25 @@ def grid_rank(df: DataFrame, *args, rank_col: str = "row_pos", **kwargs) -> Data
     return number_rows(keyed, orders, id_col=rank_col).drop(*names)
 
 
-def grid_page(sorted_df: DataFrame, start: int = 0, length: int = 10) -> DataFrame:
-    """One page of a sorted result: rows start+1 .. start+length (length -1 = all)."""
-    out = sorted_df.offset(start) if start > 0 else sorted_df
-    return out if length is None or length < 0 else out.limit(length)
+TOP_ROWS = 10_000  # a page within the first rows is a top-K; a deeper one is found by position
+
+
+def grid_page(df: DataFrame, start: int = 0, length: int = 10, *args, **kwargs) -> DataFrame:
+    """One page in grid order: rows start+1 .. start+length (length -1 = all that follow); further arguments as ``sort_spec``.
+
+    A page within the first TOP_ROWS rows is a top-K per task.  Any other page
+    numbers the rows (``grid_rank``, a range-partitioned sort) and filters on
+    the position, so no task handles more than its share of the rows.
+    """
+    start = max(start, 0)
+    rest = length is None or length < 0
+    if not rest and start + length <= TOP_ROWS:
+        return grid_sort(df, *args, **kwargs).offset(start).limit(length)
+    ranked = grid_rank(df, *args, rank_col="_row_pos", **kwargs)
+    wanted = F.col("_row_pos") > start
+    if not rest:
+        wanted = wanted & (F.col("_row_pos") <= start + length)
+    return ranked.filter(wanted).orderBy("_row_pos").drop("_row_pos")
 
 
 def page_number_start(page: int | str, current_start: int, length: int, total: int | None = None) -> int:
@@ -302,16 +358,11 @@ def grid_page_info(df: DataFrame, match: Column, start: int = 0, length: int = 1
 
 # ---- type detection --------------------------------------------------------
 
-TYPE_ORDER = ["num", "date", "num-fmt", "html-num", "html-num-fmt", "html"]
-
 
 def _is_number(s: Column) -> Column:
     return s.rlike(NUMBER_RE)
 
 
-FORMAT_CHARS = "',$£€¥%\u2009\u202F"
-
-
 def _detectors(s: Column) -> dict[str, Column]:
     """Per-value detector results.  Cheap guards decide first: without '<'
     the html variants equal the plain ones, without formatting characters
@@ -322,10 +373,10 @@ def _detectors(s: Column) -> dict[str, Column]:
     has_fmt = F.length(fmt) != F.length(s)
     num_s = _is_number(s)
     num_fmt = F.when(has_fmt, _is_number(fmt)).otherwise(num_s)
-    stripped = F.regexp_replace(s, "<.*?>", "")
+    stripped = F.regexp_replace(s, MARKUP_RE, "")
     html_num = F.when(has_lt, _is_number(stripped)).otherwise(num_s)
     html_num_fmt = F.when(has_lt, _is_number(F.translate(stripped, FORMAT_CHARS, ""))).otherwise(num_fmt)
-    # every accepted date text starts and ends with a digit, so the grid's
+    # every accepted date text starts and ends with a digit or a zone, so the grid's
     # start/end character rule holds whenever the parse succeeds
     digit_led = F.substring(s, 1, 1).between("0", "9")
     date_ok = digit_led & parse_date(s).isNotNull()
@@ -335,41 +386,61 @@ def _detectors(s: Column) -> dict[str, Column]:
         "num-fmt": empty | num_fmt,
         "html-num": empty | html_num,
         "html-num-fmt": empty | html_num_fmt,
-        "html": empty | has_lt,
     }
 
 
-def grid_column_types(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Detected grid type of every column: the first detector every value
-    passes (num, date, num-fmt, html-num, html-num-fmt, html), else string.
-    One aggregate pass; the result is one row per column."""
+_MOMENTS = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _schema_type(df: DataFrame, c: str) -> str | None:
+    """The type a column has whatever its values: numbers and moments pass their detector on every row."""
+    dtype = df.schema[c].dataType
+    return "num" if isinstance(dtype, T.NumericType) else "date" if isinstance(dtype, _MOMENTS) else None
+
+
+def grid_column_types(df: DataFrame, cols: Sequence[str] | None = None, position: str | None = None) -> DataFrame:
+    """Grid type of every column, one row per column, in one aggregate pass.
+
+    A text column has the first of num, date, num-fmt, html-num, html-num-fmt
+    that every value passes.  Else it is html when the grid meets markup: the
+    grid looks at its first row only (blank or with '<'), which is the row of
+    the smallest ``position``; without a position, one value with '<' is
+    enough.  Else, and for an empty table, it is string.
+    """
     cols = list(cols or df.columns)
-    aggs = []
-    fixed: dict[str, str] = {}
+    aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):
-        dtype = df.schema[c].dataType
-        if isinstance(dtype, T.NumericType):
-            fixed[c] = "num"  # numbers pass the first detector whatever their text
-            continue
-        if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            fixed[c] = "date"  # never numeric text; always a parseable date or empty
-            continue
-        dets = _detectors(F.col(c).cast("string"))
-        for j, name in enumerate(TYPE_ORDER):
-            aggs.append(F.coalesce(F.bool_and(dets[name]), F.lit(True)).alias(f"_{i}_{j}"))
-    flags = df.agg(*aggs) if aggs else df.limit(1).select(F.lit(1).alias("_one"))
+        if _schema_type(df, c) is None:
+            s = F.col(c).cast("string")
+            dets = _detectors(s)
+            aggs += [F.bool_and(dets[name]).alias(f"_{i}_{j}") for j, name in enumerate(TYPE_ORDER[:-1])]
+            markup = F.instr(s, "<") > 0
+            if position is None:
+                html = F.bool_or(F.coalesce(markup, F.lit(False)))
+            else:
+                # min over (position, flag): the smallest position's flag, as a hash aggregate over plain values
+                html = F.min_by(F.coalesce(_empty(s) | markup, F.lit(True)), F.col(position))
+            aggs.append(html.alias(f"_{i}_{len(TYPE_ORDER) - 1}"))
+    flags = df.agg(*aggs)
     rows = []
     for i, c in enumerate(cols):
-        if c in fixed:
-            kind = F.lit(fixed[c])
-        else:
-            kind = F.lit("string")
+        kind = F.lit(_schema_type(df, c) or "string")
+        if _schema_type(df, c) is None:
             for j in reversed(range(len(TYPE_ORDER))):
                 kind = F.when(F.col(f"_{i}_{j}"), F.lit(TYPE_ORDER[j])).otherwise(kind)
         rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"), kind.alias("type")))
     return flags.select(F.inline(F.array(*rows)))
 
 
-def detect_types(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, str]:
-    """Column -> detected grid type (one aggregate pass; the result has one row per column)."""
-    return {r.column_name: r.type for r in grid_column_types(df, cols).collect()}
+def column_types(df: DataFrame, cols: Sequence[str], given: dict[str, str] | None = None, position: str | None = None) -> dict[str, str]:
+    """Column -> grid type: the given one, else the schema's, else detected (one aggregate pass over those columns)."""
+    kinds = {c: (given or {}).get(c) or _schema_type(df, c) for c in dict.fromkeys(cols)}
+    open_ = [c for c, kind in kinds.items() if kind is None]
+    if open_:
+        kinds |= {r["column_name"]: r["type"] for r in grid_column_types(df, open_, position).collect()}
+    return kinds
+
+
+def detect_types(df: DataFrame, cols: Sequence[str] | None = None, position: str | None = None) -> dict[str, str]:
+    """Column -> detected grid type (the result has one row per column)."""
+    return column_types(df, list(cols or df.columns), None, position)

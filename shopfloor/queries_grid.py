@@ -16,39 +16,33 @@ from .sources.fixtures import RetailTables
 
 DOC_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
 SMART_TEXT = 'licen "of the"'
+PHRASE_TEXT = '"the. in"'
 REGEX_TEXT = r"licen[cs]e \d{2}"
 COLUMN_TEXT = ("data", {"source": "src1"})
 PAGE_START, PAGE_LENGTH = 75, 25
 INFO_START, INFO_LENGTH = 10, 10
 
 
-# ---- oracle helpers (SQL text) ------------------------------------------------
+# ---- the grid's rules, stated for DuckDB on their own ----------------------------
+# (nothing here is taken from the operators, so a misread rule shows as a difference)
 
 
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+def _sql_cell(expr: str, markup: str = "FALSE") -> str:
+    """Search text of a text column's cell; ``markup`` says whether the column is html."""
+    spaced = f"regexp_replace(coalesce({expr}, ''), '[\\r\\n]', ' ', 'g')"
+    v = f"(CASE WHEN {markup} THEN regexp_replace({spaced}, '<.*?>', '', 'g') ELSE {spaced} END)"
+    read = f"regexp_replace({v}, '<[A-Za-z/!][^>]*>', '', 'g')"
+    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        read = f"replace({read}, '{ref}', '{char}')"
+    return f"(CASE WHEN contains({v}, '&') THEN {read} ELSE {v} END)"
 
 
-def _sql_cell(expr: str) -> str:
-    v = f"coalesce({expr}, '')"
-    dec = f"regexp_replace({v}, {_sql_str(G.TAG_RE)}, '', 'g')"
-    for ent, ch in G.ENTITIES:
-        dec = f"replace({dec}, {_sql_str(ent)}, {_sql_str(ch)})"
-    return f"regexp_replace(CASE WHEN strpos({v}, '&') > 0 THEN {dec} ELSE {v} END, '[\\r\\n]', '', 'g')"
-
-
-def _sql_row_text(cols: list[str]) -> str:
-    return "concat_ws('  ', " + ", ".join(_sql_cell(f"cast({c} AS VARCHAR)") for c in cols) + ")"
-
-
-def _sql_search(text_sql: str, text: str, regex: bool = False) -> str:
-    conds = []
-    for term in G.search_terms(text):
-        if regex:
-            conds.append(f"regexp_matches({text_sql}, {_sql_str(term)}, 'i')")
-        else:
-            conds.append(f"strpos(lower({text_sql}), {_sql_str(term.lower())}) > 0")
-    return " AND ".join(conds) or "TRUE"
+# the first row decides whether the text column is html
+_FIRST_MARKUP = "(SELECT coalesce(min_by(text IN ('', '-') OR contains(text, '<'), doc_id), TRUE) FROM documents)"
+_ROW = f"""concat(doc_id, '  ', {_sql_cell('text', _FIRST_MARKUP)}, '  ', {_sql_cell('lang')}, '  ',
+  {_sql_cell('source')}, '  ', n_chars)"""
+_SMART = f"(contains(lower({_ROW}), 'licen') AND contains(lower({_ROW}), 'of the'))"
+_PHRASE = f"contains(lower({_ROW}), 'the. in')"
 
 
 def documents(t: RetailTables) -> DataFrame:
@@ -58,48 +52,48 @@ def documents(t: RetailTables) -> DataFrame:
 
 # ---- search -------------------------------------------------------------------
 
+_SELECT = f"SELECT {', '.join(DOC_COLS)} FROM documents WHERE"
 
-@register(
-    "grid_search",
-    f"SELECT {', '.join(DOC_COLS)} FROM documents WHERE {_sql_search(_sql_row_text(DOC_COLS), SMART_TEXT)}",
-)
+
+@register("grid_search", f"{_SELECT} {_SMART}")
 def grid_search(t: RetailTables) -> DataFrame:
     """Documents matching a smart search (words in any order, quoted phrase kept)."""
-    return G.grid_search(documents(t), SMART_TEXT)
+    return G.grid_search(documents(t), SMART_TEXT, position="doc_id")
 
 
-@register(
-    "grid_search_removed",
-    f"SELECT {', '.join(DOC_COLS)} FROM documents WHERE NOT ({_sql_search(_sql_row_text(DOC_COLS), SMART_TEXT)})",
-)
+@register("grid_search_phrase", f"{_SELECT} {_PHRASE}")
+def grid_search_phrase(t: RetailTables) -> DataFrame:
+    """Documents with a phrase that often stands across a line break."""
+    return G.grid_search(documents(t), PHRASE_TEXT, position="doc_id")
+
+
+@register("grid_search_removed", f"{_SELECT} NOT {_SMART}")
 def grid_search_removed(t: RetailTables) -> DataFrame:
     """Documents the smart search removes (search complement)."""
-    return G.grid_search(documents(t), SMART_TEXT, keep="removed")
+    return G.grid_search(documents(t), SMART_TEXT, keep="removed", position="doc_id")
 
 
 @register(
     "grid_search_regex",
-    f"SELECT {', '.join(DOC_COLS)} FROM documents WHERE {_sql_search(_sql_row_text(DOC_COLS), REGEX_TEXT, regex=True)}",
+    rf"{_SELECT} regexp_matches({_ROW}, 'licen[cs]e', 'i') AND regexp_matches({_ROW}, '\d{{2}}')",
 )
 def grid_search_regex(t: RetailTables) -> DataFrame:
     """Documents matching every regex word, case-insensitive."""
-    return G.grid_search(documents(t), REGEX_TEXT, regex=True)
+    return G.grid_search(documents(t), REGEX_TEXT, regex=True, position="doc_id")
 
 
 @register(
     "grid_search_column",
-    f"""SELECT {', '.join(DOC_COLS)} FROM documents WHERE {_sql_search(_sql_row_text(DOC_COLS), COLUMN_TEXT[0])}
-AND {_sql_search(_sql_cell("source"), COLUMN_TEXT[1]["source"])}""",
+    f"{_SELECT} contains(lower({_ROW}), 'data') AND contains(lower({_sql_cell('source')}), 'src1')",
 )
 def grid_search_column(t: RetailTables) -> DataFrame:
     """Documents matching a global search and a search on the source column."""
-    return G.grid_search(documents(t), COLUMN_TEXT[0], column_search=COLUMN_TEXT[1])
+    return G.grid_search(documents(t), COLUMN_TEXT[0], column_search=COLUMN_TEXT[1], position="doc_id")
 
 
 @register(
     "grid_page_info",
-    f"""WITH c AS (SELECT count(*) AS records_total,
-  count(*) FILTER (WHERE {_sql_search(_sql_row_text(DOC_COLS), SMART_TEXT)}) AS records_display FROM documents)
+    f"""WITH c AS (SELECT count(*) AS records_total, count(*) FILTER (WHERE {_SMART}) AS records_display FROM documents)
 SELECT cast({INFO_START // INFO_LENGTH} AS BIGINT) AS page, cast(ceil(records_display / {INFO_LENGTH}) AS BIGINT) AS pages,
   cast({INFO_START} AS BIGINT) AS start, cast(least({INFO_START + INFO_LENGTH}, records_display) AS BIGINT) AS "end",
   cast({INFO_LENGTH} AS BIGINT) AS length, records_total, records_display FROM c""",
@@ -107,14 +101,14 @@ SELECT cast({INFO_START // INFO_LENGTH} AS BIGINT) AS page, cast(ceil(records_di
 def grid_page_info(t: RetailTables) -> DataFrame:
     """Paging summary of the smart search over documents (second page of 10)."""
     docs = documents(t)
-    match = G.search_condition(G.row_text(docs), SMART_TEXT)
+    match = G.search_condition(G.row_text(docs, position="doc_id"), SMART_TEXT)
     return G.grid_page_info(docs, match, INFO_START, INFO_LENGTH)
 
 
 # ---- sort and page ---------------------------------------------------------------
 
 PRICE_ORDER = [("country_name", "asc"), ("retailprice", "desc")]
-PRICE_TYPES = {"retailprice": "num"}
+PRICE_TYPES = {"country_name": "string"}
 PRICE_POSITION = ["item_id", "country_id"]
 _PRICE_ORDER_SQL = "lower(country_name), retailprice DESC NULLS LAST, item_id, country_id"
 _PRICE_LIST_SQL = """SELECT ic.item_id, i.sku, c.name AS country_name, ic.country_id, ic.retailprice
@@ -136,8 +130,60 @@ def grid_sort(t: RetailTables) -> DataFrame:
 )
 def grid_page(t: RetailTables) -> DataFrame:
     """Fourth page of 25 rows of the sorted price list."""
-    prices = C.price_list(t)
-    return G.grid_page(G.grid_sort(prices, PRICE_ORDER, PRICE_POSITION, PRICE_TYPES), PAGE_START, PAGE_LENGTH)
+    return G.grid_page(C.price_list(t), PAGE_START, PAGE_LENGTH, PRICE_ORDER, PRICE_POSITION, PRICE_TYPES)
+
+
+_BY_VALUE = "SELECT id, amountdue FROM v_sale ORDER BY amountdue DESC NULLS LAST, id"
+
+
+@register("grid_page_deep", f"{_BY_VALUE} LIMIT {PAGE_LENGTH} OFFSET (SELECT count(*) // 2 FROM v_sale)")
+def grid_page_deep(t: RetailTables) -> DataFrame:
+    """A page in the middle of all sales by amount, found by position."""
+    sales = t.sale.select("id", "amountdue")
+    ranked = G.grid_rank(sales, [("amountdue", "desc")], "id")
+    half = sales.agg(F.expr("count(1) div 2").alias("half"))
+    at = ranked.crossJoin(F.broadcast(half))  # one row: the middle
+    return at.filter((F.col("row_pos") > F.col("half")) & (F.col("row_pos") <= F.col("half") + PAGE_LENGTH)).select("id", "amountdue")
+
+
+@register("grid_page_rest", f"SELECT event_id, ts, value FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id) AS p FROM events) WHERE p > 40")
+def grid_page_rest(t: RetailTables) -> DataFrame:
+    """All events after the first forty, newest first (page length -1)."""
+    rows = t.raw("events").select("event_id", "ts", "value")
+    return G.grid_page(rows, 40, -1, [("ts", "desc")], "event_id")
+
+
+@register(
+    "grid_sort_events",
+    """SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS row_pos FROM events""",
+)
+def grid_sort_events(t: RetailTables) -> DataFrame:
+    """Events in time order (timestamps with fractions), with each row's place."""
+    return G.grid_rank(t.raw("events").select("event_id", "ts"), [("ts", "asc")], "event_id")
+
+
+@register(
+    "grid_sort_events_text",
+    """SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS row_pos FROM events""",
+)
+def grid_sort_events_text(t: RetailTables) -> DataFrame:
+    """Events by the ISO text of their time (detected as dates, with fraction and zone), newest first."""
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("stamp")
+    rows = t.raw("events").select("event_id", text)
+    return G.grid_rank(rows, [("stamp", "desc")], "event_id").select("event_id", "row_pos")
+
+
+@register(
+    "grid_sort_default",
+    """SELECT ps_partkey, ps_suppkey, qty, row_number() OVER (ORDER BY qty, ps_partkey, ps_suppkey) AS row_pos
+FROM (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, cast(sum(l_quantity) AS BIGINT) AS qty FROM lineitem GROUP BY ALL)""",
+)
+def grid_sort_default(t: RetailTables) -> DataFrame:
+    """Quantities per part and supplier sorted without any given type (numbers as numbers)."""
+    rows = t.raw("lineitem").groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(
+        F.sum("l_quantity").cast("long").alias("qty")
+    )
+    return G.grid_rank(rows, [("qty", "asc")], ["ps_partkey", "ps_suppkey"])
 
 
 def sales_text(t: RetailTables) -> DataFrame:
@@ -174,39 +220,43 @@ def grid_sort_typed(t: RetailTables) -> DataFrame:
 
 # ---- column types --------------------------------------------------------------------
 
-_TYPE_COLS = ["id", "createddate", "created_text", "amount_text", "link_html", "note_html", "currency", "amountdue"]
-_NUMERIC = {"id", "amountdue"}
-
-
-def _sql_detectors(c: str) -> list[str]:
-    s = f"cast({c} AS VARCHAR)"
-    empty = f"({s} IS NULL OR {s} = '' OR {s} = '-')"
-    num = lambda x: f"regexp_matches({x}, {_sql_str(G.NUMBER_RE)})"
-    stripped = f"regexp_replace({s}, '<.*?>', '', 'g')"
-    fmt = lambda x: f"regexp_replace({x}, {_sql_str(G.NUMBER_FORMATTING)}, '', 'g')"
-    fmts = ", ".join(_sql_str(f) for f in ["%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%m/%d/%Y"])
-    date_ok = (f"(regexp_matches({s}, '^[\\w+\\-]') AND regexp_matches({s}, '[\\w+\\-]$') "
-               f"AND try_strptime({s}, [{fmts}]) IS NOT NULL)")
-    return [
-        "TRUE" if c in _NUMERIC else f"({empty} OR {num(s)})",
-        f"({empty} OR {date_ok})",
-        f"({empty} OR {num(fmt(s))})",
-        f"({empty} OR {num(stripped)})",
-        f"({empty} OR {num(fmt(stripped))})",
-        f"({empty} OR strpos({s}, '<') > 0)",
-    ]
+_TYPE_COLS = ["id", "createddate", "created_text", "amount_text", "link_html", "note_html", "mixed_html", "currency", "amountdue"]
+
+
+def _typed_sales(t: RetailTables) -> DataFrame:
+    """The sales grid with one more column, in which only the first row holds markup."""
+    mixed = F.when(F.col("id") == 1, F.lit("<i>first</i>")).otherwise(F.col("currency"))
+    return sales_text(t).withColumn("mixed_html", mixed)
 
 
 def _types_sql() -> str:
-    parts = []
-    for i, c in enumerate(_TYPE_COLS):
-        flags = ", ".join(f"coalesce(bool_and({d}), TRUE) AS f{j}" for j, d in enumerate(_sql_detectors(c)))
-        case = "CASE " + " ".join(f"WHEN f{j} THEN '{name}'" for j, name in enumerate(G.TYPE_ORDER)) + " ELSE 'string' END"
-        parts.append(f"SELECT '{c}' AS column_name, {i} AS position, {case} AS type FROM (SELECT {flags} FROM s)")
-    return f"WITH s AS ({_SALES_TEXT_SQL})\n" + "\nUNION ALL ".join(parts)
+    rows = f"""SELECT *, CASE WHEN id = 1 THEN '<i>first</i>' ELSE currency END AS mixed_html FROM ({_SALES_TEXT_SQL})"""
+    number = "regexp_full_match({0}, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')"
+    plain = "translate({0}, '$,', '')"
+    bare = "regexp_replace({0}, '<.*?>', '', 'g')"
+
+    def text(c: str) -> str:
+        tests = [
+            ("num", number.format(f"trim({c})")),
+            ("date", f"(try_strptime({c}, ['%Y-%m-%d', '%m/%d/%Y']) IS NOT NULL)"),
+            ("num-fmt", number.format(plain.format(c))),
+            ("html-num", number.format(bare.format(c))),
+            ("html-num-fmt", number.format(plain.format(bare.format(c)))),
+        ]
+        blank = f"({c} IS NULL OR {c} IN ('', '-'))"
+        whens = " ".join(f"WHEN bool_and({blank} OR {test}) THEN '{kind}'" for kind, test in tests)
+        return f"CASE {whens} WHEN min_by({blank} OR contains({c}, '<'), id) THEN 'html' ELSE 'string' END"
+
+    known = {"id": "'num'", "createddate": "'date'", "amountdue": "'num'"}
+    parts = [
+        f"SELECT '{c}' AS column_name, {i} AS position, {known.get(c) or text(c)} AS type FROM s GROUP BY ALL"
+        if c not in known else f"SELECT '{c}' AS column_name, {i} AS position, {known[c]} AS type"
+        for i, c in enumerate(_TYPE_COLS)
+    ]
+    return f"WITH s AS ({rows})\n" + "\nUNION ALL ".join(parts)
 
 
 @register("grid_column_types", _types_sql())
 def grid_column_types(t: RetailTables) -> DataFrame:
-    """Detected grid type of every column of the sales grid."""
-    return G.grid_column_types(sales_text(t), _TYPE_COLS)
+    """Grid type of every column of the sales grid."""
+    return G.grid_column_types(_typed_sales(t), _TYPE_COLS, position="id")

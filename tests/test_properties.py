@@ -78,11 +78,11 @@ def test_receipt_adds_exactly_the_received_quantity(spark, lines, status):
 @given(values=st.lists(st.integers(0, 20), min_size=1, max_size=30), length=st.integers(1, 7))
 def test_pages_concatenate_to_the_sorted_table(spark, values, length):
     df = spark.createDataFrame(list(enumerate(values)), "pos long, v long")
-    srt = G.grid_sort(df, [("v", "desc")], "pos", {"v": "num"})
+    srt = G.grid_sort(df, [("v", "desc")], "pos")
     whole = [r.pos for r in srt.collect()]
     pages = []
     for start in range(0, len(values), length):
-        pages.extend(r.pos for r in G.grid_page(srt, start, length).collect())
+        pages.extend(r.pos for r in G.grid_page(df, start, length, [("v", "desc")], "pos").collect())
     assert pages == whole
     ranked = sorted((r.row_pos, r.pos) for r in G.grid_rank(df, [("v", "desc")], "pos", {"v": "num"}).collect())
     assert [p for _, p in ranked] == whole

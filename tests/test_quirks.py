@@ -227,7 +227,8 @@ def test_grid_search_terms_and_complement(spark):
     assert ids(G.grid_search(df, "CHAIR red")) == [1, 2]
     assert ids(G.grid_search(df, '"red chair"')) == [1]
     assert ids(G.grid_search(df, "with")) == [1]
-    assert ids(G.grid_search(df, "chairwith")) == [1]  # line breaks are removed, not spaced
+    assert ids(G.grid_search(df, "chairwith")) == [] and ids(G.grid_search(df, '"chair with"')) == [1]  # a line break is a space
+    assert ids(G.grid_search(df, "chairwith", types={"t": "num"})) == [1]  # other types only lose their line breaks
     assert ids(G.grid_search(df, "& chair")) == [3]  # entities decoded
     assert ids(G.grid_search(df, "a+b (c)", smart=False)) == [5]  # regex characters are literal
     assert ids(G.grid_search(df, r"^\d+\s+a\+b", regex=True)) == [5]
@@ -247,10 +248,12 @@ def test_grid_sort_typed_and_pages(spark):
     assert order == [1, 4, 5, 2, 3]  # unparsable -> epoch, last when descending
     ranked = {r.id: r.row_pos for r in G.grid_rank(df, [("amount", "asc")], "id", {"amount": "num-fmt"}).collect()}
     assert ranked == {2: 1, 4: 2, 3: 3, 5: 4, 1: 5}
-    srt = G.grid_sort(df, [("id", "asc")], "id", {"id": "num"})
-    assert [r.id for r in G.grid_page(srt, 4, 2).collect()] == [5]
-    assert G.grid_page(srt, 10, 2).count() == 0  # page past the end
-    assert G.grid_page(srt, 0, -1).count() == 5
+    by_id = ([("id", "asc")], "id")
+    assert [r.id for r in G.grid_page(df, 4, 2, *by_id).collect()] == [5]
+    assert G.grid_page(df, 10, 2, *by_id).count() == 0  # page past the end
+    assert [r.id for r in G.grid_page(df, 0, -1, *by_id).collect()] == [1, 2, 3, 4, 5]
+    assert [r.id for r in G.grid_page(df, 3, -1, *by_id).collect()] == [4, 5]
+    assert G.grid_page(df, G.TOP_ROWS, 5, *by_id).count() == 0
     info = G.grid_page_info(df, F.col("id") > 1, 2, 2).collect()[0]
     assert (info.page, info.pages, info.start, info.end, info.records_total, info.records_display) == (1, 2, 2, 4, 5, 4)
     assert G.page_number_start("last", 0, 2, 5) == 4 and G.page_number_start("next", 4, 2, 5) == 4
@@ -294,9 +297,9 @@ def test_append_feedback_and_sales(spark):
 def test_html_columns_search_without_tags(spark):
     df = spark.createDataFrame([(1, "<b>red</b>\nchair"), (2, "<span class='red'>x</span>")], "id long, h string")
     ids = lambda d: sorted(r.id for r in d.collect())
-    assert ids(G.grid_search(df, "red chair", html_cols=["h"])) == [1]
-    assert ids(G.grid_search(df, "class", html_cols=["h"])) == []
-    assert ids(G.grid_search(df, "class")) == [2]
+    assert ids(G.grid_search(df, '"red chair"')) == [1]  # detected as html
+    assert ids(G.grid_search(df, "class")) == []
+    assert ids(G.grid_search(df, "class", types={"h": "string"})) == [2]
 
 
 def test_email_known_and_lookup(spark):
@@ -350,10 +353,46 @@ def test_add_items_fills_volume_and_type_when_kept(spark):
     assert (row.id, row.volume, row.type, row.isdeleted) == (2, 24.0, "Furniture", False)
 
 
-def test_grid_sort_auto_types(spark):
+def test_grid_sort_types_come_from_schema_or_values(spark):
     df = spark.createDataFrame([(1, "10"), (2, "9"), (3, ""), (4, "100")], "id long, amount string")
-    assert [r.id for r in G.grid_sort(df, [("amount", "asc")], "id", "auto").collect()] == [3, 2, 1, 4]
-    assert [r.id for r in G.grid_sort(df, [("amount", "asc")], "id").collect()] == [3, 1, 4, 2]  # as text
+    assert [r.id for r in G.grid_sort(df, [("amount", "asc")], "id").collect()] == [3, 2, 1, 4]
+    assert [r.id for r in G.grid_sort(df, [("amount", "asc")], "id", {"amount": "string"}).collect()] == [3, 1, 4, 2]  # as text
+    big = spark.createDataFrame([(1, 2**53 + 1), (2, 2**53), (3, 10), (4, 9)], "id long, n long")
+    assert [r.id for r in G.grid_sort(big, [("n", "asc")], "id").collect()] == [4, 3, 2, 1]
+    days = spark.createDataFrame(
+        [(1, "2024-01-01T00:00:00.25Z"), (2, "2024-01-01T00:00:00.125Z"), (3, "2024-01-01T02:00:00+02:00"), (4, "")], "id long, d string"
+    )
+    assert [r.id for r in G.grid_sort(days, [("d", "asc")], "id").collect()] == [4, 3, 2, 1]
+    stamps = days.select("id", F.expr("try_cast(d as timestamp)").alias("d"))
+    assert [r.id for r in G.grid_sort(stamps, [("d", "asc")], "id").collect()] == [4, 3, 2, 1]
+
+
+def test_html_type_is_decided_by_the_first_row(spark):
+    df = spark.createDataFrame([(2, "plain"), (1, "<a>x</a>"), (3, None)], "pos long, t string")
+    kind = lambda d, **k: {r.column_name: r.type for r in G.grid_column_types(d, ["t"], **k).collect()}["t"]
+    assert kind(df, position="pos") == "html" and kind(df) == "html"
+    assert kind(df.filter("pos > 1"), position="pos") == "string"
+    assert kind(df.filter("pos <> 1").union(spark.createDataFrame([(9, "<b>")], df.schema)), position="pos") == "string"
+    empty = {r.column_name: r.type for r in G.grid_column_types(df.limit(0)).collect()}
+    assert empty == {"pos": "num", "t": "string"}
+
+
+def test_character_references_are_decoded_as_in_a_browser(spark):
+    import html
+
+    cells = ["&eacute;t&eacute;", "&#233;&#xE9;&#XE9", "&amp;lt;", "&notit; &notin; &not;", "&copy 2020 &copyx", "&#0; &#x80; &#150; &#xD800; &#99999999999;",
+             "&unknown; & && &;", "a&nbsp;b", "&CounterClockwiseContourIntegral;", "&#39;&apos;&quot;", "AT&T", "&fjlig;"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = {r.c: r.d for r in df.select("c", G.decode_entities(F.col("c")).alias("d")).collect()}
+    assert got == {c: html.unescape(c) for c in cells}
+    seen = df.select(G.cell_text(F.lit("<b>x</b> &lt;y&gt;\nz")).alias("t")).first().t
+    assert seen == "x <y> z"
+
+
+def test_regex_search_folds_all_letters(spark):
+    df = spark.createDataFrame([(1, "ÉTÉ"), (2, "ete")], "id long, t string")
+    assert [r.id for r in G.grid_search(df, "été", regex=True).collect()] == [1]
+    assert [r.id for r in G.grid_search(df, "été").collect()] == [1]
 
 
 def test_default_sort_keeps_server_order_and_case_flag(spark):
