@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.exprs import catalogue_image, live, percent_text, price_text, promotion_image, volume
-from ..plans.joins import fixed_broadcast, maybe_broadcast
+from ..plans.joins import maybe_broadcast
 from ..plans.materialize import sized_side
 from ..sources.fixtures import RetailTables
 
@@ -127,7 +127,7 @@ def room_table(spark: SparkSession, room_categories: dict[str, list[str]] | None
 def showroom_by_room(t: RetailTables, rooms: DataFrame, room_map: DataFrame) -> DataFrame:
     """Furniture shown in each requested room; a room without a mapping shows the category of its name."""
     wanted = rooms.select("room").distinct()
-    mapped = wanted.join(fixed_broadcast(room_map), "room", "left").select(
+    mapped = wanted.join(maybe_broadcast(room_map), "room", "left").select(
         "room", F.coalesce("category", "room").alias("category")
     )
     rows = subtype_items(t, FURNITURE).select(*SHOWROOM_COLUMNS)

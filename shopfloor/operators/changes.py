@@ -4,8 +4,9 @@ caller (see ``sources.snapshots``).
 
 All new snapshots are computed from the old ones before anything is written,
 so a multi-table change is all-or-nothing at the write step.  Batches are
-never collected; duplicate keys in a batch are resolved first (last by
-``seq``, ties by the larger value) so joins never multiply rows.
+never collected; duplicate keys in a batch are resolved first (updates: last
+by ``seq``, ties by the larger value; inserts: the first) so joins never
+multiply rows.  Rows of an insert that are not applied come back as rejects.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.exprs import round_half_up_1, sku_image, volume
-from ..plans.batches import last_per_key, sum_per_key
+from ..plans.batches import first_rows, last_per_key, last_value, sum_per_key
 from ..plans.ids import max_id, number_rows
 from ..plans.joins import fixed_broadcast, maybe_broadcast
 from ..plans.materialize import sized_side, write_table
@@ -51,18 +52,37 @@ def _apply_updates(
 # ---- prices ---------------------------------------------------------------
 
 
-def add_prices(prices: DataFrame, items: DataFrame, adds: DataFrame) -> DataFrame:
+@dataclass
+class PricesChange:
+    prices: DataFrame
+    rejects: DataFrame
+
+
+def _numbered_batch(batch: DataFrame, name: str) -> DataFrame:
+    """The batch with a row id, written once so that every output sees the same ids."""
+    return write_table(batch.withColumn("_rid", F.monotonically_increasing_id()), name)
+
+
+def add_prices(prices: DataFrame, items: DataFrame, adds: DataFrame) -> PricesChange:
     """Insert (sku, country_id, retailprice) prices where the (item, country) has none.
 
-    The SKU is resolved to the item id (unknown SKUs are dropped), in-batch
-    duplicates keep the last (by ``seq``, then the larger price), and pairs
-    that already have a price are left as they are.
+    Rows are inserted one after the other, so the first of a repeated pair wins
+    (by ``seq``, then the smaller price).  Every row that is not inserted is in
+    ``rejects`` with the reason: unknown sku, already priced, or repeated.
     """
     ids = items.select(F.col("id").alias("item_id"), "sku")
-    resolved = adds.join(ids, "sku").select("item_id", "country_id", "retailprice", *(["seq"] if "seq" in adds.columns else []))
-    one = last_per_key(resolved, ["item_id", "country_id"], [*_seq(resolved), F.col("retailprice")]).drop("seq")
-    fresh = one.join(prices.select("item_id", "country_id"), ["item_id", "country_id"], "left_anti")
-    return prices.unionByName(fresh.select(*prices.columns))
+    known = prices.select("item_id", "country_id", F.lit(True).alias("_priced")).distinct()
+    batch = _numbered_batch(adds, "price_adds").join(ids, "sku", "left").join(known, ["item_id", "country_id"], "left")
+    ranked = first_rows(batch, ["item_id", "country_id"], [*(["seq"] if "seq" in adds.columns else []), "retailprice"])
+    reason = (
+        F.when(F.col("item_id").isNull(), "unknown sku")
+        .when(F.col("_priced"), "already priced")
+        .when(~F.col("_first"), "repeated in the batch")
+    )
+    ranked = write_table(ranked.withColumn("reason", reason), "price_adds_checked")
+    fresh = ranked.filter("reason is null").select(*prices.columns)
+    rejects = ranked.filter("reason is not null").select("sku", "country_id", "retailprice", "reason")
+    return PricesChange(prices=prices.unionByName(fresh), rejects=rejects)
 
 
 def update_prices(prices: DataFrame, updates: DataFrame) -> DataFrame:
@@ -70,8 +90,7 @@ def update_prices(prices: DataFrame, updates: DataFrame) -> DataFrame:
 
     Pairs without a price are not inserted (the update touches no row).
     """
-    one = last_per_key(updates.select("item_id", "country_id", "retailprice", *(["seq"] if "seq" in updates.columns else [])),
-                       ["item_id", "country_id"], [*_seq(updates), F.col("retailprice")]).drop("seq")
+    one = last_value(updates, ["item_id", "country_id"], "retailprice")
     one = one.withColumn("retailprice", round_half_up_1("retailprice"))
     return _apply_updates(prices, one, ["item_id", "country_id"], ["retailprice"])
 
@@ -95,28 +114,38 @@ def add_items(items: DataFrame, subtypes: DataFrame, new: DataFrame) -> ItemsCha
     """Add items: reject invalid rows and known SKUs, give ids, split base + subtype.
 
     ``new`` has sku, name, category, description, dtype, length, width,
-    height (and optionally seq).  Required text must be non-empty and every
-    dimension at least 1.  A SKU repeated in the batch keeps its last row.
-    New ids continue after the largest id, in SKU order.  Furniture and retail
-    products get the image ``/img/products/<sku>.jpg``; raw materials none.
+    height (and optionally seq).  Text fields must be non-empty, the subtype one
+    of the known ones and every dimension a whole number of at least 1.  Rows
+    are added one after the other, so the first valid row of a repeated SKU
+    wins (by ``seq``, then by its fields) and the others are rejected.  Every
+    row is either added or in ``rejects`` with its reasons.  New ids continue
+    after the largest id, in SKU order.  Furniture and retail products get the
+    image ``/img/products/<sku>.jpg``; raw materials none.
     """
     text_ok = F.lit(True)
-    for c in ("sku", "name", "category"):
+    for c in ("sku", "name", "category", "description"):
         text_ok = text_ok & F.coalesce(F.length(F.trim(F.col(c))) > 0, F.lit(False))
-    dims_ok = F.lit(True)
+    type_ok = F.coalesce(F.col("dtype").isin(*K.SUBTYPE_TYPE), F.lit(False))
+    dims_ok, whole = F.lit(True), F.lit(True)
     for c in ("length", "width", "height"):
         dims_ok = dims_ok & F.coalesce(F.col(c) >= 1, F.lit(False))
-    checked = new.withColumn("_reason", F.concat_ws(
+        whole = whole & F.coalesce(F.col(c) == F.floor(F.col(c)), F.lit(True))
+    taken = items.select("sku", F.lit(True).alias("_taken")).distinct()
+    checked = _numbered_batch(new, "new_items").join(taken, "sku", "left").withColumn("_reason", F.concat_ws(
         "; ",
         F.when(~text_ok, F.lit("missing required field")),
+        F.when(~type_ok, F.lit("unknown type")),
         F.when(~dims_ok, F.lit("dimension below 1")),
+        F.when(~whole, F.lit("dimension not a whole number")),
+        F.when(F.col("_taken"), F.lit("sku already in use")),
     ))
-    invalid = checked.filter(F.col("_reason") != "").select("sku", F.col("_reason").alias("reason"))
-    valid = checked.filter(F.col("_reason") == "").drop("_reason")
-    value_cols = [c for c in valid.columns if c not in ("sku", "seq")]
-    one = last_per_key(valid, ["sku"], [*_seq(valid), F.struct(*value_cols)]).drop("seq")
-    known = one.join(items.select("sku"), "sku", "left_semi").select("sku", F.lit("sku already in use").alias("reason"))
-    fresh = one.join(items.select("sku"), "sku", "left_anti")
+    fields = [c for c in new.columns if c not in ("sku", "seq")]
+    valid = first_rows(checked.filter("_reason = ''"), ["sku"], [*(["seq"] if "seq" in new.columns else []), *fields])
+    valid = write_table(valid, "new_items_valid")
+    rejects = checked.filter("_reason <> ''").select("sku", F.col("_reason").alias("reason")).unionByName(
+        valid.filter(~F.col("_first")).select("sku", F.lit("repeated in the batch").alias("reason"))
+    )
+    fresh = valid.filter("_first").select("sku", *fields)
     start = max_id(items)
     numbered = number_rows(fresh, ["sku"], id_col="id", start=start)
     derived = {
@@ -134,7 +163,7 @@ def add_items(items: DataFrame, subtypes: DataFrame, new: DataFrame) -> ItemsCha
     return ItemsChange(
         items=items.unionByName(base_rows.select(*items.columns)),
         subtypes=subtypes.unionByName(sub_rows.select(*subtypes.columns)),
-        rejects=invalid.unionByName(known),
+        rejects=rejects,
     )
 
 
@@ -166,27 +195,56 @@ def remove_items(items: DataFrame, subtypes: DataFrame, prices: DataFrame, ids:
 # ---- lines ----------------------------------------------------------------
 
 
-def set_store_quantity(lines: DataFrame, stores: DataFrame, bins: DataFrame, items: DataFrame, requests: DataFrame) -> DataFrame:
+@dataclass
+class LinesChange:
+    lines: DataFrame
+    rejects: DataFrame
+
+
+def set_store_quantity(lines: DataFrame, stores: DataFrame, bins: DataFrame, items: DataFrame, requests: DataFrame) -> LinesChange:
     """Set the quantity of an item in the Outbound bin of a named store's warehouse.
 
     ``requests`` has store_name, sku, quantity (and optionally seq).  Two
-    requests reaching the same (bin, item) keep the last one.
+    requests reaching the same (bin, item) keep the last one.  A request that
+    reaches no bin is in ``rejects``: unknown store, unknown sku, or a
+    warehouse without Outbound bin.
     """
-    st = stores.select(F.col("name").alias("store_name"), "warehouse_id")
+    st = stores.select(F.col("name").alias("store_name"), "warehouse_id", F.lit(True).alias("_store"))
     ob = bins.filter(F.col("type") == K.BIN_OUTBOUND).select(F.col("id").alias("bin_id"), "warehouse_id")
     it = items.select(F.col("id").alias("item_id"), "sku")
     targets = (
-        requests.join(maybe_broadcast(st), "store_name")
-        .join(maybe_broadcast(ob), "warehouse_id")
-        .join(it, "sku")
-        .select("bin_id", "item_id", "quantity", *(["seq"] if "seq" in requests.columns else []))
+        requests.join(maybe_broadcast(st), "store_name", "left")
+        .join(maybe_broadcast(ob), "warehouse_id", "left")
+        .join(it, "sku", "left")
+        .withColumn(
+            "reason",
+            F.when(F.col("_store").isNull(), "unknown store")
+            .when(F.col("item_id").isNull(), "unknown sku")
+            .when(F.col("bin_id").isNull(), "no outbound bin"),
+        )
     )
-    one = last_per_key(targets, ["bin_id", "item_id"], [*_seq(targets), F.col("quantity")]).drop("seq")
-    return _apply_updates(lines, one, ["bin_id", "item_id"], ["quantity"])
+    rejects = targets.filter("reason is not null").select("store_name", "sku", "quantity", "reason")
+    one = last_value(targets.filter("reason is null"), ["bin_id", "item_id"], "quantity")
+    return LinesChange(lines=_apply_updates(lines, one, ["bin_id", "item_id"], ["quantity"]), rejects=rejects)
+
 
+def _editable(lines: DataFrame, ids: DataFrame, orders: DataFrame | None) -> DataFrame:
+    """The line ids of a change that may be edited: with ``orders``, lines of an order that is not Pending are locked."""
+    ids = ids.select("id").distinct()
+    if orders is None:
+        return sized_side(ids, "line_keys")
+    asked = lines.select("id", "order_id").join(sized_side(ids, "line_keys"), "id", "left_semi")
+    locked = orders.filter(F.coalesce(F.col("status") != K.PENDING, F.lit(True))).select(F.col("id").alias("order_id"))
+    return sized_side(asked.join(locked, "order_id", "left_anti").select("id"), "line_keys_open")
 
-def update_line_quantity(lines: DataFrame, changes: DataFrame, mode: str = "set") -> DataFrame:
-    """Set (``mode='set'``, last change wins) or add (``mode='add'``, deltas summed) line quantities by id."""
+
+def update_line_quantity(lines: DataFrame, changes: DataFrame, mode: str = "set", orders: DataFrame | None = None) -> DataFrame:
+    """Set (``mode='set'``, last change wins) or add (``mode='add'``, deltas summed) line quantities by id.
+
+    With ``orders``, only lines whose order is Pending (or that belong to none of them) change: the edit lock.
+    """
+    if orders is not None:
+        changes = changes.join(_editable(lines, changes, orders), "id", "left_semi")
     if mode == "add":
         deltas = sum_per_key(changes.select("id", "quantity"), ["id"], "quantity").withColumnRenamed("quantity", "_d")
         joined = lines.join(sized_side(deltas, "line_deltas"), "id", "left")
@@ -194,14 +252,12 @@ def update_line_quantity(lines: DataFrame, changes: DataFrame, mode: str = "set"
             *[(F.col(c) + F.coalesce(F.col("_d"), F.lit(0))).cast("long").alias(c) if c == "quantity" else F.col(c)
               for c in lines.columns]
         )
-    one = last_per_key(changes.select("id", "quantity", *(["seq"] if "seq" in changes.columns else [])), ["id"],
-                       [*_seq(changes), F.col("quantity")]).drop("seq")
-    return _apply_updates(lines, one, ["id"], ["quantity"])
+    return _apply_updates(lines, last_value(changes, ["id"], "quantity"), ["id"], ["quantity"])
 
 
-def remove_order_lines(lines: DataFrame, line_ids: DataFrame) -> DataFrame:
-    """Delete lines (and with them their order links) by line id."""
-    return lines.join(sized_side(line_ids.select("id").distinct(), "line_keys"), "id", "left_anti")
+def remove_order_lines(lines: DataFrame, line_ids: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    """Delete lines (and with them their order links) by line id; with ``orders``, lines of a non-Pending order stay."""
+    return lines.join(_editable(lines, line_ids, orders), "id", "left_anti")
 
 
 # ---- orders ---------------------------------------------------------------
@@ -324,25 +380,20 @@ def receive_shipments(orders: DataFrame, lines: DataFrame, bins: DataFrame, rece
         .agg(F.sum("quantity").alias("_add"))
     )
     received = sized_side(received, "received")
-    # the line that takes the credit: lowest id of the item in the bin
+    # the line that takes the credit: lowest id of the item in the bin, with the sum it receives
     holders = (
         lines.select("id", "bin_id", "item_id")
         .join(received.select("bin_id", "item_id"), ["bin_id", "item_id"], "left_semi")
         .groupBy("bin_id", "item_id")
         .agg(F.min("id").alias("id"))
+        .join(received, ["bin_id", "item_id"])
     )
     holders = write_table(holders, "holders")  # read twice below: the line table is scanned once
-    # credit = the received sum of the holder line's (bin, item): two joins with
-    # written (size-proven) sides, so the line snapshot is streamed, not shuffled
-    hold = holders.select("id", F.col("bin_id").alias("_hb"), F.col("item_id").alias("_hi"))
-    sums = received.select(F.col("bin_id").alias("_hb"), F.col("item_id").alias("_hi"), "_add")
-    credited = (
-        lines.join(maybe_broadcast(hold), "id", "left")
-        .join(maybe_broadcast(sums), ["_hb", "_hi"], "left")
-        .select(
-            *[(F.col(c) + F.coalesce(F.col("_add"), F.lit(0))).cast("long").alias(c) if c == "quantity" else F.col(c)
-              for c in lines.columns]
-        )
+    # one join on the line id, with a written (size-proven) side: no key is null and the snapshot is
+    # streamed past a broadcast, or shuffled once beyond its bound
+    credited = lines.join(maybe_broadcast(holders.select("id", "_add")), "id", "left").select(
+        *[(F.col(c) + F.coalesce(F.col("_add"), F.lit(0))).cast("long").alias(c) if c == "quantity" else F.col(c)
+          for c in lines.columns]
     )
     fresh = received.join(holders, ["bin_id", "item_id"], "left_anti")
     start = max_id(lines)

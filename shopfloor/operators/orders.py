@@ -88,31 +88,35 @@ def line_with_sku(t: RetailTables) -> DataFrame:
 
 
 def validate_orders(t: RetailTables, orders: DataFrame, as_of: _dt.date) -> DataFrame:
-    """Check orders: origin differs from destination, expected date not before
-    ``as_of``, every line quantity within 1..9999.  Returns one row per order
-    with the checks, ``ok`` and the reasons text.
+    """Check orders: origin, destination and expected date given, origin other than
+    destination, expected date not before ``as_of``, every line quantity within
+    1..9999 (a missing quantity fails).  Returns one row per order with the
+    checks, ``ok`` and the reasons; ``ok`` is never null, so ok and not ok rows
+    together are all orders.
     """
     day = F.lit(as_of).cast("timestamp_ntz")
-    qty = F.col("quantity")
+    fits = F.coalesce(F.col("quantity").between(K.MIN_LINE_QTY, K.MAX_LINE_QTY), F.lit(False))
     bad_lines = (
         t.line.select("order_id", "quantity")
         .join(orders.select(F.col("id").alias("order_id")), "order_id", "left_semi")
         .groupBy("order_id")
-        .agg(F.count(F.when((qty < K.MIN_LINE_QTY) | (qty > K.MAX_LINE_QTY), 1)).alias("bad_lines"))
+        .agg(F.count(F.when(~fits, 1)).alias("bad_lines"))
         .withColumnRenamed("order_id", "id")
     )
     checked = orders.select("id", "origin_id", "destination_id", "expecteddate").join(bad_lines, "id", "left")
-    same = F.col("origin_id") == F.col("destination_id")
-    late = F.col("expecteddate") < day
+    missing = F.col("origin_id").isNull() | F.col("destination_id").isNull() | F.col("expecteddate").isNull()
+    same = F.coalesce(F.col("origin_id") == F.col("destination_id"), F.lit(False))
+    late = F.coalesce(F.col("expecteddate") < day, F.lit(False))
     bad = F.coalesce(F.col("bad_lines"), F.lit(0))
     return checked.select(
         "id",
         same.alias("same_place"),
         late.alias("past_expected"),
         bad.cast("long").alias("bad_lines"),
-        (~same & ~late & (bad == 0)).alias("ok"),
+        (~missing & ~same & ~late & (bad == 0)).alias("ok"),
         F.concat_ws(
             "; ",
+            F.when(missing, F.lit("missing field")),
             F.when(same, F.lit("origin equals destination")),
             F.when(late, F.lit("expected date before today")),
             F.when(bad > 0, F.lit("quantity out of range")),

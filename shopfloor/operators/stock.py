@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.exprs import availability
-from ..plans.joins import is_small, maybe_broadcast
+from ..plans.joins import maybe_broadcast
 from ..plans.materialize import sized_side
 from ..sources.fixtures import RetailTables
 
@@ -28,12 +28,8 @@ def warehouse_item_stock(t: RetailTables) -> DataFrame:
     """(warehouse_id, item_id, stock) over Outbound bins."""
     lines = t.line.select("bin_id", "item_id", "quantity")
     bins = _outbound_bins(t)
-    if is_small(bins):
-        # bins ride along in every task: one aggregation, no shuffle of raw lines on bin_id
-        located = lines.join(F.broadcast(bins), "bin_id")
-        return located.groupBy("warehouse_id", "item_id").agg(F.sum("quantity").alias("stock"))
     per_bin = lines.groupBy("bin_id", "item_id").agg(F.sum("quantity").alias("stock"))
-    located = per_bin.join(bins, "bin_id")
+    located = per_bin.join(maybe_broadcast(bins), "bin_id")
     return located.groupBy("warehouse_id", "item_id").agg(F.sum("stock").alias("stock"))
 
 

@@ -24,6 +24,24 @@ def last_per_key(batch: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return picked.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in value_cols])
 
 
+def last_value(batch: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Keep one number per key: the last by ``seq`` (when the batch has it), ties by the larger value.
+
+    Both steps are hash aggregates over plain values.
+    """
+    if "seq" not in batch.columns:
+        return batch.groupBy(*keys).agg(F.max(value).alias(value))
+    per_seq = batch.groupBy(*keys, "seq").agg(F.max(value).alias(value))
+    # a row without seq comes before all others
+    return per_seq.groupBy(*keys).agg(F.coalesce(F.max_by(value, "seq"), F.max(value)).alias(value))
+
+
+def first_rows(batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``batch`` (with a row id ``_rid``) and ``_first``: whether the row is its key's first by ``order``."""
+    firsts = batch.groupBy(*keys).agg(F.min(F.struct(*order, "_rid")).alias("_f")).select(F.col("_f._rid").alias("_rid"), F.lit(True).alias("_first"))
+    return batch.join(firsts, "_rid", "left").withColumn("_first", F.coalesce("_first", F.lit(False)))
+
+
 def sum_per_key(batch: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Pre-sum deltas per key so a join never multiplies rows."""
     return batch.groupBy(*keys).agg(F.sum(value).alias(value))

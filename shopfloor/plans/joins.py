@@ -77,7 +77,6 @@ def input_bytes(df: DataFrame) -> int:
 
 # Target input bytes (as estimated on disk) per partition of a range-partitioned sort.
 SORT_PARTITION_BYTES = 512 * 1024 * 1024
-MAX_SORT_PARTITIONS = 50_000  # map tasks x partitions = shuffle blocks: keep bounded
 
 
 def sort_partitions(df: DataFrame) -> int:
@@ -94,4 +93,4 @@ def sort_partitions(df: DataFrame) -> int:
     est = input_bytes(df)
     if est >= 1 << 60:
         return base
-    return int(min(MAX_SORT_PARTITIONS, max(base, -(-est // SORT_PARTITION_BYTES))))
+    return int(max(base, -(-est // SORT_PARTITION_BYTES)))

@@ -20,20 +20,23 @@ from .plans.ids import max_id, number_rows
 from .queries import COUNTRY, ORDER_AS_OF, PROMO_AS_OF, register
 from .sources.fixtures import RetailTables
 
-_MEMO: dict[tuple[int, str], object] = {}
+_SETS: list[RetailTables] = []
 
 
 def _memo(t: RetailTables, name: str, build):
-    """Build a multi-output change once per fixture set (its outputs share one plan)."""
-    key = (id(t), name)
-    if key not in _MEMO:
-        _MEMO[key] = build()
-    return _MEMO[key]
+    """Build a multi-output change once per fixture set (its outputs share one plan); kept on the set itself."""
+    kept = t.__dict__.setdefault("_changes", {})
+    if name not in kept:
+        kept[name] = build()
+        _SETS.append(t)
+    return kept[name]
 
 
 def reset() -> None:
     """Forget memoized multi-output changes (the bench times each key in full)."""
-    _MEMO.clear()
+    for t in _SETS:
+        t.__dict__.pop("_changes", None)
+    _SETS.clear()
 
 
 def _latest(sql_from: str, keys: str, order: str, cols: str) -> str:
@@ -48,24 +51,44 @@ def price_adds(t: RetailTables) -> DataFrame:
     """Supplier offers as prices in the supplier's country (cost + 25%)."""
     sup = t.supplier.select(F.col("id").alias("supplier_id"), "country_id")
     items = t.item.select(F.col("id").alias("item_id"), "sku")
-    return t.supplier_item.join(sup, "supplier_id").join(items, "item_id").select(
-        "sku", "country_id", (F.col("costprice") * 1.25).alias("retailprice"), F.col("supplier_id").alias("seq")
+    offers = t.supplier_item.join(sup, "supplier_id").join(items, "item_id")
+    known = offers.select("sku", "country_id", (F.col("costprice") * 1.25).alias("retailprice"), F.col("supplier_id").alias("seq"))
+    # single-lot offers also arrive under a withdrawn SKU
+    gone = offers.filter("lotsize = 1").select(
+        F.concat(F.lit("GONE_"), "sku").alias("sku"), "country_id", F.col("costprice").alias("retailprice"), F.col("supplier_id").alias("seq")
     )
+    return known.unionByName(gone)
+
+
+_ADDS_SQL = """adds AS (SELECT i.sku, s.country_id, si.costprice * 1.25 AS retailprice, si.supplier_id AS seq
+  FROM v_supplier_item si JOIN v_supplier s ON s.id = si.supplier_id JOIN v_item i ON i.id = si.item_id
+  UNION ALL SELECT concat('GONE_', i.sku), s.country_id, si.costprice, si.supplier_id
+  FROM v_supplier_item si JOIN v_supplier s ON s.id = si.supplier_id JOIN v_item i ON i.id = si.item_id WHERE si.lotsize = 1),
+judged AS (SELECT a.*, i.id AS item_id,
+  CASE WHEN i.id IS NULL THEN 'unknown sku'
+    WHEN EXISTS (SELECT 1 FROM v_item_country p WHERE p.item_id = i.id AND p.country_id = a.country_id) THEN 'already priced'
+    WHEN row_number() OVER (PARTITION BY i.id, a.country_id ORDER BY a.seq, a.retailprice) > 1 THEN 'repeated in the batch' END AS reason
+  FROM adds a LEFT JOIN v_item i ON i.sku = a.sku)"""
+
+
+def _add_prices(t: RetailTables) -> X.PricesChange:
+    return _memo(t, "add_prices", lambda: X.add_prices(t.item_country, t.item, price_adds(t)))
 
 
 @register(
     "add_prices",
-    f"""WITH adds AS (SELECT i.sku, s.country_id, si.costprice * 1.25 AS retailprice, si.supplier_id AS seq
-  FROM v_supplier_item si JOIN v_supplier s ON s.id = si.supplier_id JOIN v_item i ON i.id = si.item_id),
-res AS (SELECT i.id AS item_id, a.country_id, a.retailprice, a.seq FROM adds a JOIN v_item i ON i.sku = a.sku),
-one AS ({_latest("res", "item_id, country_id", "seq DESC, retailprice DESC", "item_id, country_id, retailprice")})
-SELECT item_id, country_id, retailprice FROM v_item_country
-UNION ALL SELECT o.item_id, o.country_id, o.retailprice FROM one o
-WHERE NOT EXISTS (SELECT 1 FROM v_item_country p WHERE p.item_id = o.item_id AND p.country_id = o.country_id)""",
+    f"""WITH {_ADDS_SQL} SELECT item_id, country_id, retailprice FROM v_item_country
+UNION ALL SELECT item_id, country_id, retailprice FROM judged WHERE reason IS NULL""",
 )
 def add_prices(t: RetailTables) -> DataFrame:
     """Price snapshot after adding supplier-offer prices where none exist."""
-    return X.add_prices(t.item_country, t.item, price_adds(t))
+    return _add_prices(t).prices
+
+
+@register("add_prices_rejects", f"WITH {_ADDS_SQL} SELECT sku, country_id, retailprice, reason FROM judged WHERE reason IS NOT NULL")
+def add_prices_rejects(t: RetailTables) -> DataFrame:
+    """Offers that were not added as prices, with the reason."""
+    return _add_prices(t).rejects
 
 
 def price_updates(t: RetailTables) -> DataFrame:
@@ -127,11 +150,13 @@ _NEW_ITEMS_SQL = """new AS (SELECT concat('SKU_', cast(p_partkey + p_size AS VAR
   p_type AS category, p_brand AS description,
   CASE (p_partkey + p_size) % 3 WHEN 0 THEN 'FurnitureEntity' WHEN 1 THEN 'RetailProductEntity' ELSE 'RawMaterialEntity' END AS dtype,
   p_size AS length, p_partkey % 7 AS width, p_partkey % 25 + 1 AS height, p_partkey AS seq FROM part),
-chk AS (SELECT *, length(trim(sku)) > 0 AND length(trim(name)) > 0 AND length(trim(category)) > 0 AS text_ok,
-  length >= 1 AND width >= 1 AND height >= 1 AS dims_ok FROM new),
-one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY seq DESC) AS _rn FROM chk WHERE text_ok AND dims_ok) z WHERE _rn = 1),
-fresh AS (SELECT (SELECT max(id) FROM v_item) + row_number() OVER (ORDER BY sku) AS id, * FROM one
-  WHERE sku NOT IN (SELECT sku FROM v_item))"""
+chk AS (SELECT *, concat_ws('; ',
+    CASE WHEN NOT (length(trim(sku)) > 0 AND length(trim(name)) > 0 AND length(trim(category)) > 0 AND length(trim(description)) > 0)
+      THEN 'missing required field' END,
+    CASE WHEN NOT (length >= 1 AND width >= 1 AND height >= 1) THEN 'dimension below 1' END,
+    CASE WHEN sku IN (SELECT sku FROM v_item) THEN 'sku already in use' END) AS reason FROM new),
+one AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY seq) AS nth FROM chk WHERE reason = ''),
+fresh AS (SELECT (SELECT max(id) FROM v_item) + row_number() OVER (ORDER BY sku) AS id, * FROM one WHERE nth = 1)"""
 
 
 def _add_items(t: RetailTables) -> X.ItemsChange:
@@ -163,12 +188,11 @@ def add_items_subtype(t: RetailTables) -> DataFrame:
 @register(
     "add_items_rejects",
     f"""WITH {_NEW_ITEMS_SQL}
-SELECT sku, concat_ws('; ', CASE WHEN NOT text_ok THEN 'missing required field' END,
-  CASE WHEN NOT dims_ok THEN 'dimension below 1' END) AS reason FROM chk WHERE NOT (text_ok AND dims_ok)
-UNION ALL SELECT sku, 'sku already in use' FROM one WHERE sku IN (SELECT sku FROM v_item)""",
+SELECT sku, reason FROM chk WHERE reason <> ''
+UNION ALL SELECT sku, 'repeated in the batch' FROM one WHERE nth > 1""",
 )
 def add_items_rejects(t: RetailTables) -> DataFrame:
-    """Proposed items refused (invalid fields or SKU in use)."""
+    """Proposed items refused (invalid fields, SKU in use or repeated)."""
     return _add_items(t).rejects
 
 
@@ -227,72 +251,85 @@ def remove_items_prices(t: RetailTables) -> DataFrame:
 
 
 def store_quantity_requests(t: RetailTables) -> DataFrame:
-    """Each supplier's store sets the stock of the items it supplies to ten lots."""
+    """Each supplier's store sets the stock of the items it supplies to ten lots; some name an unknown store or SKU."""
     stores = t.store.select(F.col("id").alias("supplier_id"), F.col("name").alias("store_name"))
     items = t.item.select(F.col("id").alias("item_id"), "sku")
     return t.supplier_item.join(stores, "supplier_id").join(items, "item_id").select(
-        "store_name", "sku", (F.col("lotsize") * 10).alias("quantity"), F.col("supplier_id").alias("seq")
+        F.when(F.col("leadtime") == 1, F.concat("store_name", F.lit(" (closed)"))).otherwise(F.col("store_name")).alias("store_name"),
+        F.when(F.col("leadtime") == 2, F.concat(F.lit("GONE_"), "sku")).otherwise(F.col("sku")).alias("sku"),
+        (F.col("lotsize") * 10).alias("quantity"), F.col("supplier_id").alias("seq"),
     )
 
 
+_STORE_QUANTITY_SQL = """req AS (SELECT CASE si.leadtime WHEN 1 THEN concat(s.name, ' (closed)') ELSE s.name END AS store_name,
+    CASE si.leadtime WHEN 2 THEN concat('GONE_', i.sku) ELSE i.sku END AS sku, si.lotsize * 10 AS quantity, si.supplier_id AS seq
+  FROM v_supplier_item si JOIN v_store s ON s.id = si.supplier_id JOIN v_item i ON i.id = si.item_id),
+tg AS (SELECT r.*, b.id AS bin_id, i.id AS item_id, CASE WHEN s.id IS NULL THEN 'unknown store'
+    WHEN i.id IS NULL THEN 'unknown sku' WHEN b.id IS NULL THEN 'no outbound bin' END AS reason
+  FROM req r LEFT JOIN v_store s ON s.name = r.store_name
+  LEFT JOIN v_storagebin b ON b.warehouse_id = s.warehouse_id AND b.type = 'Outbound' LEFT JOIN v_item i ON i.sku = r.sku)"""
+
+
+def _store_quantity(t: RetailTables) -> X.LinesChange:
+    return _memo(t, "store_quantity", lambda: X.set_store_quantity(t.line, t.store, t.storagebin, t.item, store_quantity_requests(t)))
+
+
 @register(
     "set_store_quantity",
-    f"""WITH req AS (SELECT s.name AS store_name, i.sku, si.lotsize * 10 AS quantity, si.supplier_id AS seq
-  FROM v_supplier_item si JOIN v_store s ON s.id = si.supplier_id JOIN v_item i ON i.id = si.item_id),
-tg AS (SELECT b.id AS bin_id, i.id AS item_id, r.quantity, r.seq FROM req r JOIN v_store s ON s.name = r.store_name
-  JOIN v_storagebin b ON b.warehouse_id = s.warehouse_id AND b.type = 'Outbound' JOIN v_item i ON i.sku = r.sku),
-one AS ({_latest("tg", "bin_id, item_id", "seq DESC, quantity DESC", "bin_id, item_id, quantity")})
+    f"""WITH {_STORE_QUANTITY_SQL},
+one AS ({_latest("tg WHERE reason IS NULL", "bin_id, item_id", "seq DESC, quantity DESC", "bin_id, item_id, quantity")})
 SELECT l.id, l.item_id, CASE WHEN o.bin_id IS NOT NULL THEN o.quantity ELSE l.quantity END AS quantity, l.order_id, l.bin_id
 FROM v_line l LEFT JOIN one o ON o.bin_id = l.bin_id AND o.item_id = l.item_id""",
 )
 def set_store_quantity(t: RetailTables) -> DataFrame:
     """Line snapshot after stores set their stock of supplied items."""
-    return X.set_store_quantity(t.line, t.store, t.storagebin, t.item, store_quantity_requests(t))
+    return _store_quantity(t).lines
+
+
+@register("set_store_quantity_rejects", f"WITH {_STORE_QUANTITY_SQL} SELECT store_name, sku, quantity, reason FROM tg WHERE reason IS NOT NULL")
+def set_store_quantity_rejects(t: RetailTables) -> DataFrame:
+    """Stock requests that reach no bin, with the reason."""
+    return _store_quantity(t).rejects
 
 
-def _lines_of(t: RetailTables, status: str) -> DataFrame:
-    orders = t.shippingorder.filter(F.col("status") == status).select(F.col("id").alias("order_id"))
-    return t.line.join(orders, "order_id", "left_semi")
+def _order_lines(t: RetailTables) -> DataFrame:
+    """Lines of shipping orders, whatever their status."""
+    return t.line.join(t.shippingorder.select(F.col("id").alias("order_id")), "order_id", "left_semi")
 
 
 @register(
     "update_line_quantity",
-    """WITH ch AS (SELECT l.id, 40 AS quantity FROM v_line l JOIN v_shippingorder s ON s.id = l.order_id
-  WHERE s.status = 'Pending' AND l.quantity > 40)
-SELECT l.id, l.item_id, CASE WHEN ch.id IS NOT NULL THEN ch.quantity ELSE l.quantity END AS quantity, l.order_id, l.bin_id
-FROM v_line l LEFT JOIN ch ON ch.id = l.id""",
+    """SELECT l.id, l.item_id, CASE WHEN s.status = 'Pending' AND l.quantity > 40 THEN 40 ELSE l.quantity END AS quantity,
+  l.order_id, l.bin_id FROM v_line l LEFT JOIN v_shippingorder s ON s.id = l.order_id""",
 )
 def update_line_quantity(t: RetailTables) -> DataFrame:
-    """Line snapshot after capping lines of editable orders at 40."""
-    changes = _lines_of(t, K.PENDING).filter(F.col("quantity") > 40).select("id", F.lit(40).cast("long").alias("quantity"))
-    return X.update_line_quantity(t.line, changes, mode="set")
+    """Line snapshot after a request to cap all order lines at 40: only Pending orders' lines change."""
+    changes = _order_lines(t).filter(F.col("quantity") > 40).select("id", F.lit(40).cast("long").alias("quantity"))
+    return X.update_line_quantity(t.line, changes, mode="set", orders=t.shippingorder)
 
 
 @register(
     "add_line_quantity",
-    """WITH d AS (SELECT l.id, 1 AS quantity FROM v_line l JOIN v_shippingorder s ON s.id = l.order_id WHERE s.status = 'Submitted'
-  UNION ALL SELECT l.id, 2 FROM v_line l JOIN v_shippingorder s ON s.id = l.order_id WHERE s.status = 'Submitted'),
-ds AS (SELECT id, sum(quantity) AS q FROM d GROUP BY id)
-SELECT l.id, l.item_id, cast(l.quantity + coalesce(ds.q, 0) AS BIGINT) AS quantity, l.order_id, l.bin_id
-FROM v_line l LEFT JOIN ds ON ds.id = l.id""",
+    """SELECT l.id, l.item_id, cast(l.quantity + CASE WHEN s.status = 'Pending' THEN 3 ELSE 0 END AS BIGINT) AS quantity,
+  l.order_id, l.bin_id FROM v_line l LEFT JOIN v_shippingorder s ON s.id = l.order_id""",
 )
 def add_line_quantity(t: RetailTables) -> DataFrame:
-    """Line snapshot after two top-ups (+1, +2) of every submitted order's lines."""
-    lines = _lines_of(t, K.SUBMITTED)
+    """Line snapshot after two top-ups (+1, +2) asked for every order line: only Pending orders' lines change."""
+    lines = _order_lines(t)
     deltas = lines.select("id", F.lit(1).cast("long").alias("quantity")).unionByName(
         lines.select("id", F.lit(2).cast("long").alias("quantity"))
     )
-    return X.update_line_quantity(t.line, deltas, mode="add")
+    return X.update_line_quantity(t.line, deltas, mode="add", orders=t.shippingorder)
 
 
 @register(
     "remove_order_lines",
-    """SELECT l.* FROM v_line l WHERE l.id NOT IN (SELECT l2.id FROM v_line l2 JOIN v_shippingorder s ON s.id = l2.order_id
-  WHERE s.status = 'Unfulfillable')""",
+    """SELECT * FROM v_line l WHERE NOT EXISTS (SELECT 1 FROM v_shippingorder s
+  WHERE s.id = l.order_id AND s.status = 'Pending' AND l.quantity > 45)""",
 )
 def remove_order_lines(t: RetailTables) -> DataFrame:
-    """Line snapshot after dropping the lines of unfulfillable orders."""
-    return X.remove_order_lines(t.line, _lines_of(t, K.UNFULFILLABLE).select("id"))
+    """Line snapshot after a request to drop order lines over 45: only Pending orders' lines go."""
+    return X.remove_order_lines(t.line, _order_lines(t).filter(F.col("quantity") > 45).select("id"), t.shippingorder)
 
 
 # ---- orders ---------------------------------------------------------------

@@ -63,11 +63,20 @@ def supplier_catalog(t: RetailTables) -> DataFrame:
 
 @register(
     "purchase_history",
-    f"""SELECT sr.member_id, i.sku, i.name AS item_name, ic.retailprice, li.quantity, sr.createddate, f.imageurl,
-  sr.id AS sale_id, d.name, d.delivery_address
-FROM v_item i, v_item_country ic, v_line li, v_sale sr, v_subtype f, v_delivery d
-WHERE d.salerecord_id = sr.id AND i.id = ic.item_id AND ic.country_id = {COUNTRY} AND li.item_id = i.id
-  AND sr.id = li.order_id AND f.id = i.id AND i.dtype = 'FurnitureEntity'""",
+    f"""WITH bought AS (
+  SELECT order_id AS sale_id, item_id, quantity FROM v_line),
+offer AS (
+  SELECT art.id AS item_id, art.sku, art.name AS item_name, pic.imageurl, tag.retailprice
+  FROM v_item art
+  JOIN v_subtype pic USING (id)
+  JOIN v_item_country tag ON tag.item_id = art.id AND tag.country_id = {COUNTRY}
+  WHERE art.dtype = 'FurnitureEntity')
+SELECT buy.member_id, offer.sku, offer.item_name, offer.retailprice, bought.quantity, buy.createddate, offer.imageurl,
+  buy.id AS sale_id, parcel.name, parcel.delivery_address
+FROM v_sale buy
+JOIN v_delivery parcel ON parcel.salerecord_id = buy.id
+JOIN bought ON bought.sale_id = buy.id
+JOIN offer USING (item_id)""",
 )
 def purchase_history(t: RetailTables) -> DataFrame:
     """Furniture bought by every member, priced in one country, with delivery details."""
@@ -85,8 +94,8 @@ def line_with_sku(t: RetailTables) -> DataFrame:
 
 _VALIDATE_SQL = f"""WITH b AS (SELECT order_id, count(*) FILTER (WHERE quantity < 1 OR quantity > 9999) AS bad_lines
   FROM v_line GROUP BY order_id),
-c AS (SELECT s.id, s.origin_id = s.destination_id AS same_place,
-  s.expecteddate < DATE '{ORDER_AS_OF.isoformat()}' AS past_expected, coalesce(b.bad_lines, 0) AS bad_lines
+c AS (SELECT s.id, coalesce(s.origin_id = s.destination_id, FALSE) AS same_place,
+  coalesce(s.expecteddate < DATE '{ORDER_AS_OF.isoformat()}', FALSE) AS past_expected, coalesce(b.bad_lines, 0) AS bad_lines
   FROM v_shippingorder s LEFT JOIN b ON b.order_id = s.id WHERE s.status = 'Pending')
 SELECT id, same_place, past_expected, bad_lines, NOT same_place AND NOT past_expected AND bad_lines = 0 AS ok,
   concat_ws('; ', CASE WHEN same_place THEN 'origin equals destination' END,

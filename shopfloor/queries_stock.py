@@ -24,10 +24,13 @@ STOCK_REQUESTS_SQL = """x_req AS (SELECT DISTINCT s.name AS store_name, i.sku FR
 
 @register(
     "item_stock",
-    """SELECT s.id AS store_id, i.sku, cast(sum(l.quantity) AS BIGINT) AS stock
-FROM v_store s JOIN v_warehouse w ON s.warehouse_id = w.id JOIN v_storagebin sb ON w.id = sb.warehouse_id
-JOIN v_line l ON sb.id = l.bin_id JOIN v_item i ON l.item_id = i.id
-WHERE sb.type = 'Outbound' GROUP BY s.id, i.sku""",
+    """SELECT shop.id AS store_id, art.sku, cast(sum(held.quantity) AS BIGINT) AS stock
+FROM v_line held
+JOIN v_item art ON art.id = held.item_id
+JOIN (SELECT id, warehouse_id FROM v_storagebin WHERE type = 'Outbound') shelf ON shelf.id = held.bin_id
+JOIN v_store shop USING (warehouse_id)
+WHERE shop.warehouse_id IN (SELECT id FROM v_warehouse)
+GROUP BY ALL""",
 )
 def item_stock(t: RetailTables) -> DataFrame:
     """Stock of every item at every store (Outbound bins of the store's warehouse)."""
@@ -36,10 +39,14 @@ def item_stock(t: RetailTables) -> DataFrame:
 
 @register(
     "item_stock_all",
-    """SELECT i.sku, cast(sum(l.quantity) AS BIGINT) AS stock
-FROM v_store s JOIN v_warehouse w ON s.warehouse_id = w.id JOIN v_storagebin sb ON w.id = sb.warehouse_id
-JOIN v_line l ON sb.id = l.bin_id JOIN v_item i ON l.item_id = i.id
-WHERE sb.type = 'Outbound' GROUP BY i.sku""",
+    """WITH serves AS (SELECT warehouse_id, count(*) AS shops FROM v_store GROUP BY warehouse_id)
+SELECT art.sku, cast(sum(held.quantity * serves.shops) AS BIGINT) AS stock
+FROM v_line held
+JOIN v_item art ON art.id = held.item_id
+JOIN v_storagebin shelf ON shelf.id = held.bin_id AND shelf.type = 'Outbound'
+JOIN serves USING (warehouse_id)
+WHERE serves.warehouse_id IN (SELECT id FROM v_warehouse)
+GROUP BY art.sku""",
 )
 def item_stock_all(t: RetailTables) -> DataFrame:
     """Stock of every item over all stores (a shared warehouse counts once per store)."""

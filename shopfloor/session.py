@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -56,7 +57,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     path = named or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        if not str(sc.master).startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", str(sc.master)):
             # a machine-local folder is not reachable by other executors, and is
             # lost with its machine: a cluster must name a shared folder
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
@@ -71,15 +72,15 @@ def cluster_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
     * Scan splits: input / 100,000, kept within 256 MB .. 2 GB, so a 100 TB
       scan runs as about 100,000 map tasks of 1 GB.
     * Shuffle partitions: input / 2 GB, at least three waves of tasks for the
-      cores and at most 50,000.  Map tasks x reduce partitions is the number
-      of shuffle blocks to track and fetch, so both are kept bounded.
+      cores (50,000 for 100 TB).  Map tasks x reduce partitions is the number
+      of shuffle blocks to track and fetch, so splits grow with the input.
     * AQE merges small shuffle partitions toward 256 MB, splits a partition
       five times the median and above 256 MB (skew), and may turn a
       sort-merge join into a broadcast join from measured sizes.
     """
     mb, gb = 1 << 20, 1 << 30
     split = min(2 * gb, max(256 * mb, input_bytes // 100_000))
-    shuffle = min(50_000, max(3 * total_cores, -(-input_bytes // (2 * gb))))
+    shuffle = max(3 * total_cores, -(-input_bytes // (2 * gb)))
     return {
         **SQL_DEFAULTS,
         "spark.sql.files.maxPartitionBytes": str(split),

@@ -32,7 +32,9 @@ def _items(spark):
 def test_remove_after_add_restores_prices(spark, have, add):
     prices = spark.createDataFrame([(i, c, float(i * 10 + c)) for i, c in have], PRICE)
     adds = spark.createDataFrame([(f"S{i}", c, 1.5) for i, c in add], "sku string, country_id int, retailprice double")
-    added = W.add_prices(prices, _items(spark), adds)
+    change = W.add_prices(prices, _items(spark), adds)
+    added = change.prices
+    assert added.count() + change.rejects.count() == len(have) + len(add)
     fresh = [(i, c) for i, c in add if (i, c) not in set(have)]
     keys = spark.createDataFrame(fresh, "item_id long, country_id int")
     back = W.remove_prices(added, keys)

@@ -141,8 +141,15 @@ def test_price_batch_duplicates_and_existing(spark):
         [("A", 5, 99.0, 1), ("B", 5, 20.0, 1), ("B", 5, 30.0, 2), ("B", 6, 7.0, 3), ("B", 6, 8.0, 3), ("Z", 5, 1.0, 1)],
         "sku string, country_id int, retailprice double, seq long",
     )
-    got = {(r.item_id, r.country_id): r.retailprice for r in W.add_prices(prices, items, adds).collect()}
-    assert got == {(1, 5): 10.0, (2, 5): 30.0, (2, 6): 8.0}
+    change = W.add_prices(prices, items, adds)
+    got = {(r.item_id, r.country_id): r.retailprice for r in change.prices.collect()}
+    assert got == {(1, 5): 10.0, (2, 5): 20.0, (2, 6): 7.0}  # the first of a repeated pair
+    assert sorted((r.sku, r.country_id, r.retailprice, r.reason) for r in change.rejects.collect()) == [
+        ("A", 5, 99.0, "already priced"), ("B", 5, 30.0, "repeated in the batch"), ("B", 6, 8.0, "repeated in the batch"),
+        ("Z", 5, 1.0, "unknown sku")]
+    twice = adds.select("sku", "country_id", "retailprice").filter("sku = 'B' and retailprice = 20").selectExpr("explode(array(1, 2))", "*").drop("col")
+    change = W.add_prices(prices, items, twice)  # equal rows: one goes in, the other comes back
+    assert change.prices.count() == 2 and change.rejects.count() == 1
     upd = spark.createDataFrame([(1, 5, 12.349), (1, 5, 12.35), (3, 3, 1.0)], "item_id long, country_id int, retailprice double")
     got = {(r.item_id, r.country_id): r.retailprice for r in W.update_prices(prices, upd).collect()}
     assert got == {(1, 5): 12.4}  # larger value wins on a tie, half-up to one decimal, unknown pair ignored
@@ -165,16 +172,56 @@ def test_add_items_ids_and_rejects(spark):
     new = spark.createDataFrame(
         [("C", "c", "cat", "d", "FurnitureEntity", 2, 3, 4, 1), ("B", "b", "cat", "d", "RawMaterialEntity", 1, 1, 1, 1),
          ("A", "a", "cat", "d", "FurnitureEntity", 1, 1, 1, 1), ("D", "", "cat", "d", "FurnitureEntity", 1, 1, 1, 1),
-         ("E", "e", "cat", "d", "FurnitureEntity", 0, 1, 1, 1), ("C", "c2", "cat", "d", "FurnitureEntity", 2, 3, 4, 2)],
+         ("E", "e", "cat", "d", "FurnitureEntity", 0, 1, 1, 1), ("C", "c2", "cat", "d", "FurnitureEntity", 2, 3, 4, 2),
+         ("F", "f", "cat", None, "Bogus", 1, 1, 1, 1)],
         "sku string, name string, category string, description string, dtype string, length int, width long, height long, seq long",
     )
     r = W.add_items(items, sub, new)
     got = {x.sku: (x.id, x.name, x.isdeleted) for x in r.items.collect()}
-    assert got["B"] == (6, "b", False) and got["C"] == (7, "c2", False)
+    assert got["B"] == (6, "b", False) and got["C"] == (7, "c", False)
     imgs = {x.id: x.imageurl for x in r.subtypes.collect()}
     assert imgs[6] is None and imgs[7] == "/img/products/C.jpg"
     assert {x.sku: x.reason for x in r.rejects.collect()} == {
-        "A": "sku already in use", "D": "missing required field", "E": "dimension below 1"}
+        "A": "sku already in use", "D": "missing required field", "E": "dimension below 1", "C": "repeated in the batch",
+        "F": "missing required field; unknown type"}
+    assert r.items.count() + r.rejects.count() == items.count() + new.count()
+    wide = new.filter("sku = 'B'").withColumn("width", F.lit(1.5))
+    assert [x.reason for x in W.add_items(items, sub, wide).rejects.collect()] == ["dimension not a whole number"]
+
+
+def test_every_store_request_is_applied_or_rejected(spark):
+    lines = spark.createDataFrame([(1, 7, 5, None, 1), (2, 8, 5, None, 1)], "id long, item_id long, quantity long, order_id long, bin_id long")
+    stores = spark.createDataFrame([("S", 10), ("T", 11)], "name string, warehouse_id long")
+    bins = spark.createDataFrame([(1, "Outbound", 10), (2, "Inbound", 11)], "id long, type string, warehouse_id long")
+    items = spark.createDataFrame([(7, "A")], "id long, sku string")
+    asked = spark.createDataFrame([("S", "A", 9, 1), ("S", "A", 3, 2), ("X", "A", 1, 1), ("S", "Z", 1, 1), ("T", "A", 1, 1), (None, "A", 1, 1)],
+                                  "store_name string, sku string, quantity long, seq long")
+    r = W.set_store_quantity(lines, stores, bins, items, asked)
+    assert {x.id: x.quantity for x in r.lines.collect()} == {1: 3, 2: 5}
+    assert sorted((x.store_name or "", x.sku, x.reason) for x in r.rejects.collect()) == [
+        ("", "A", "unknown store"), ("S", "Z", "unknown sku"), ("T", "A", "no outbound bin"), ("X", "A", "unknown store")]
+
+
+def test_lines_of_locked_orders_stay(spark):
+    lines = spark.createDataFrame([(1, 7, 5, 100, 1), (2, 7, 5, 101, 1), (3, 7, 5, None, 1)], "id long, item_id long, quantity long, order_id long, bin_id long")
+    orders = spark.createDataFrame([(100, "Pending"), (101, "Submitted")], "id long, status string")
+    asked = spark.createDataFrame([(1, 2), (2, 2), (3, 2)], "id long, quantity long")
+    got = lambda d: {r.id: r.quantity for r in d.collect()}
+    assert got(W.update_line_quantity(lines, asked, "set", orders)) == {1: 2, 2: 5, 3: 2}
+    assert got(W.update_line_quantity(lines, asked, "add", orders)) == {1: 7, 2: 5, 3: 7}
+    assert got(W.remove_order_lines(lines, asked, orders)) == {2: 5}
+
+
+def test_orders_with_missing_fields_are_rejected(spark):
+    from shopfloor.operators import orders as O
+
+    day = dt.datetime(2020, 2, 1)
+    orders = spark.createDataFrame([(1, 1, 2, day), (2, None, 2, day), (3, 1, 2, None), (4, 1, 1, day), (5, 1, 2, day)],
+                                   "id long, origin_id long, destination_id long, expecteddate timestamp_ntz")
+    line = spark.createDataFrame([(1, 5), (5, None)], "order_id long, quantity long")
+    got = {r.id: (r.ok, r.reason) for r in O.validate_orders(_tables(spark, line=line), orders, dt.date(2020, 1, 1)).collect()}
+    assert got == {1: (True, ""), 2: (False, "missing field"), 3: (False, "missing field"), 4: (False, "origin equals destination"),
+                   5: (False, "quantity out of range")}
 
 
 def test_line_quantity_add_presums(spark):

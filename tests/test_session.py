@@ -8,7 +8,7 @@ from shopfloor.session import cluster_conf, ensure_checkpoint_dir
 
 def test_cluster_conf_bounds():
     big = cluster_conf(100 * 2**40, 8000)
-    assert int(big["spark.sql.shuffle.partitions"]) == 50_000
+    assert int(big["spark.sql.shuffle.partitions"]) == 51_200
     assert int(big["spark.sql.files.maxPartitionBytes"]) == 100 * 2**40 // 100_000
     small = cluster_conf(2**30, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 24  # three waves on 8 cores
