@@ -14,7 +14,7 @@ driver).  Scoring covers every text as a whole.
 Defined cases: null text is read as empty; empty texts get the score their
 statistics get; rows with a null id or label are not learned from; labels of
 repeated ids each count; without labels, or with one class only, every score
-is the training share of label 1 (0.5 without labels); an empty table gives
+is close to the training share of label 1 (0.5 without labels); an empty table gives
 no rows; extra columns are ignored.
 """
 
@@ -102,9 +102,11 @@ class Trees:
 
 def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     """Boosted trees on logistic loss with quantile-binned statistics."""
-    share = float(y.mean()) if len(y) else 0.5
+    if not len(y):
+        return Trees(0.0)
+    share = float(y.mean())
     if not 0 < share < 1:
-        return Trees(float(np.log((share + 1e-3) / (1 - share + 1e-3))) if len(y) else 0.0)
+        return Trees(float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     model = Trees(float(np.log(share / (1 - share))))
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
