@@ -167,7 +167,7 @@ def item_volume(t: RetailTables) -> DataFrame:
 
 def sku_available(t: RetailTables, candidates: DataFrame) -> DataFrame:
     """For each candidate SKU: true when no item has it."""
-    known = t.item.select("sku").distinct().withColumn("_known", F.lit(True))
-    return candidates.select("sku").distinct().join(known, "sku", "left").select(
-        "sku", F.col("_known").isNull().alias("available")
-    )
+    asked = sized_side(candidates.select("sku").distinct(), "candidate_skus")
+    # the items are cut to the candidates map-side, before anything is shuffled
+    known = t.item.select("sku").join(asked, "sku", "left_semi").distinct().withColumn("_known", F.lit(True))
+    return asked.join(known, "sku", "left").select("sku", F.col("_known").isNull().alias("available"))

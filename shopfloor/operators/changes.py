@@ -1,6 +1,6 @@
 """Set-based writes: each operator takes the current snapshot(s) and a change
 batch (DataFrames) and returns the new snapshot(s), to be written by the
-caller (see ``sources.snapshots``).
+caller.
 
 All new snapshots are computed from the old ones before anything is written,
 so a multi-table change is all-or-nothing at the write step.  Batches are

@@ -83,10 +83,10 @@ def lookup_by_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> D
 
 def email_known(members: DataFrame, emails: DataFrame) -> DataFrame:
     """For each requested email: does a member already use it?"""
-    known = members.select("email").distinct().withColumn("_known", F.lit(True))
-    return emails.select("email").distinct().join(known, "email", "left").select(
-        "email", F.coalesce(F.col("_known"), F.lit(False)).alias("known")
-    )
+    asked = sized_side(emails.select("email").distinct(), "emails")
+    # the members are cut to the requested addresses map-side, before anything is shuffled
+    known = members.select("email").join(asked, "email", "left_semi").distinct().withColumn("_known", F.lit(True))
+    return asked.join(known, "email", "left").select("email", F.coalesce(F.col("_known"), F.lit(False)).alias("known"))
 
 
 DIMENSIONS = ("country", "supplier", "warehouse", "store", "storagebin", "facility", "office", "staff", "member")

@@ -51,6 +51,15 @@ def catalog_by_category(t: RetailTables) -> DataFrame:
     return C.catalog_by_category(t, COUNTRY, None)
 
 
+CATEGORY = "MEDIUM"
+
+
+@register("catalog_one_category", f"SELECT * FROM ({_priced_sql(C.FURNITURE)}) AS priced WHERE category = '{CATEGORY}'")
+def catalog_one_category(t: RetailTables) -> DataFrame:
+    """Priced furniture of one category in one country."""
+    return C.catalog_by_category(t, COUNTRY, CATEGORY)
+
+
 @register("retail_by_category", _priced_sql(C.RETAIL, "i.id, i.name, f.imageurl, i.sku, i.description, i.category"))
 def retail_by_category(t: RetailTables) -> DataFrame:
     """Priced retail products, pseudo category 'All Retail Products'."""

@@ -484,6 +484,32 @@ def update_members(t: RetailTables) -> DataFrame:
     return X.update_members(t.member, changes)
 
 
+@register(
+    "update_staff",
+    """SELECT s.id, CASE WHEN c.c_acctbal < 0 THEN upper(s.name) ELSE s.name END AS name
+FROM v_staff s JOIN customer c ON c.c_custkey = s.id""",
+)
+def update_staff(t: RetailTables) -> DataFrame:
+    """Staff snapshot after a name change of some."""
+    ids = t.raw("customer").filter(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("id"))
+    changes = t.staff.join(ids, "id", "left_semi").select("id", F.upper("name").alias("name"))
+    return X.update_staff(t.staff, changes, key="id")
+
+
+@register(
+    "update_purchase_orders",
+    """SELECT id, createddate, CASE WHEN status = 'Pending' THEN expecteddate + INTERVAL 7 DAY ELSE expecteddate END AS expecteddate,
+  status, CASE WHEN status = 'Pending' THEN (supplier_id + 1) % 10 ELSE supplier_id END AS supplier_id, destination_id
+FROM v_purchaseorder""",
+)
+def update_purchase_orders(t: RetailTables) -> DataFrame:
+    """Purchase-order snapshot after re-planning all orders (only Pending ones change)."""
+    changes = t.purchaseorder.select(
+        "id", (F.col("expecteddate") + F.expr("INTERVAL 7 DAYS")).alias("expecteddate"), ((F.col("supplier_id") + 1) % 10).alias("supplier_id")
+    )
+    return X.update_orders(t.purchaseorder, changes)
+
+
 # ---- appends --------------------------------------------------------------
 
 REISSUE_AS_OF = dt.date(2001, 9, 1)
@@ -521,6 +547,20 @@ def append_orders(t: RetailTables) -> DataFrame:
     return X.append_orders(t.shippingorder, _reissued(t), REISSUE_AS_OF, ["old_id"], after=_order_id_floor(t))
 
 
+@register(
+    "append_purchase_orders",
+    f"""SELECT * FROM v_purchaseorder UNION ALL
+SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY id), TIMESTAMP '{REISSUE_AS_OF.isoformat()} 00:00:00',
+  expecteddate + INTERVAL 30 DAY, 'Pending', supplier_id, destination_id FROM v_purchaseorder WHERE status = 'Completed'""",
+)
+def append_purchase_orders(t: RetailTables) -> DataFrame:
+    """Purchase-order snapshot with every completed order placed again."""
+    new = t.purchaseorder.filter(F.col("status") == K.COMPLETED).select(
+        F.col("id").alias("old_id"), (F.col("expecteddate") + F.expr("INTERVAL 30 DAYS")).alias("expecteddate"), "supplier_id", "destination_id"
+    )
+    return X.append_orders(t.purchaseorder, new, REISSUE_AS_OF, ["old_id"], after=_order_id_floor(t))
+
+
 @register(
     "append_order_lines",
     f"""WITH {_REISSUE_SQL},

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import constants as K
+from .operators import grid as G
 from .operators import orders as O
 from .operators import people as P
 from .queries import COUNTRY, ORDER_AS_OF, register
@@ -34,6 +35,53 @@ def shipping_orders(t: RetailTables) -> DataFrame:
     return O.shipping_orders(t)
 
 
+@register(
+    "purchase_orders_order",
+    "SELECT id, row_number() OVER (ORDER BY createddate DESC, id DESC) AS row_pos FROM v_purchaseorder",
+)
+def purchase_orders_order(t: RetailTables) -> DataFrame:
+    """Place of every purchase order in the listing (newest first), to check the order itself."""
+    listed = O.purchase_orders(t, newest_first=False).select("id", "createddate", F.lit(None).cast("string").alias("blank"))
+    return G.grid_rank(listed, [("createddate", "desc"), ("id", "desc")]).select("id", "row_pos")
+
+
+def _full_order_ids(t: RetailTables) -> DataFrame:
+    """Orders named by a line of the largest quantity."""
+    return t.line.filter(F.col("quantity") == 50).select(F.col("order_id").alias("id"))
+
+
+@register(
+    "purchase_order_by_id",
+    """SELECT p.*, maker.suppliername, depot.warehousename FROM v_purchaseorder p
+JOIN v_supplier maker ON maker.id = p.supplier_id JOIN v_warehouse depot ON depot.id = p.destination_id
+WHERE p.id IN (SELECT order_id FROM v_line WHERE quantity = 50)""",
+)
+def purchase_order_by_id(t: RetailTables) -> DataFrame:
+    """Purchase orders looked up by id."""
+    return P.lookup_by_keys(O.purchase_orders(t, newest_first=False), _full_order_ids(t), "id")
+
+
+@register(
+    "shipping_order_by_id",
+    """SELECT s.*, goal.warehousename AS destination_name, start.warehousename AS origin_name FROM v_shippingorder s
+JOIN v_warehouse goal ON goal.id = s.destination_id JOIN v_warehouse start ON start.id = s.origin_id
+WHERE s.id IN (SELECT order_id FROM v_line WHERE quantity = 50)""",
+)
+def shipping_order_by_id(t: RetailTables) -> DataFrame:
+    """Shipping orders looked up by id."""
+    return P.lookup_by_keys(O.shipping_orders(t), _full_order_ids(t), "id")
+
+
+@register(
+    "supplier_items",
+    "SELECT * FROM v_supplier_item WHERE supplier_id IN (SELECT supplier_id FROM v_purchaseorder WHERE status = 'Submitted')",
+)
+def supplier_items(t: RetailTables) -> DataFrame:
+    """Offers of every supplier that has a submitted purchase order."""
+    keys = t.purchaseorder.filter(F.col("status") == K.SUBMITTED).select("supplier_id")
+    return P.lookup_by_keys(t.supplier_item, keys, "supplier_id")
+
+
 def _lines_sql(view: str) -> str:
     return f"""SELECT p.id AS order_id, l.id AS lineitem_id, l.quantity, {_ITEM_COLS}
 FROM {view} p JOIN v_line l ON l.order_id = p.id JOIN v_item i ON i.id = l.item_id"""
