@@ -339,6 +339,12 @@ def apply_status(orders: DataFrame, lines: DataFrame, changes: DataFrame, as_of:
     return StatusChange(orders=joined.select(*out), rejects=rejects)
 
 
+def set_status(orders: DataFrame, changes: DataFrame) -> DataFrame:
+    """Set the status of orders by id without a state machine (purchase orders); the last change wins."""
+    one = last_value(changes.withColumnRenamed("new_status", "status"), ["id"], "status")
+    return _apply_updates(orders, one, ["id"], ["status"])
+
+
 @dataclass
 class Receipt:
     lines: DataFrame

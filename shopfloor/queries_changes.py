@@ -409,6 +409,22 @@ def apply_status_rejects(t: RetailTables) -> DataFrame:
     return _status(t).rejects
 
 
+@register(
+    "set_purchase_status",
+    f"""SELECT p.id, p.createddate, p.expecteddate, CASE left(o.o_orderpriority, 1)
+  {" ".join(f"WHEN '{d}' THEN '{st}'" for d, st in _STATUS_BY_PRIORITY.items())} ELSE 'Pending' END AS status,
+  p.supplier_id, p.destination_id FROM v_purchaseorder p JOIN orders o ON o.o_orderkey = p.id""",
+)
+def set_purchase_status(t: RetailTables) -> DataFrame:
+    """Purchase-order snapshot after every order's requested status (set as it is)."""
+    digit = F.substring("o_orderpriority", 1, 1)
+    status = F.lit(K.PENDING)
+    for d, st in _STATUS_BY_PRIORITY.items():
+        status = F.when(digit == d, F.lit(st)).otherwise(status)
+    asked = t.raw("orders").select(F.col("o_orderkey").alias("id"), status.alias("new_status"))
+    return X.set_status(t.purchaseorder, asked)
+
+
 def _receipt(t: RetailTables) -> X.Receipt:
     receipts = t.shippingorder.filter(F.col("status").isin(K.SHIPPED, K.SUBMITTED)).select("id")
     return _memo(t, "receive", lambda: X.receive_shipments(t.shippingorder, t.line, t.storagebin, receipts))
