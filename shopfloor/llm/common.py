@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.materialize import write_table
+
 # Separators of the two word definitions (regular expression classes).
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 NON_WORD_CLASS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,3 +39,13 @@ def words(text: Column, separators: str = SPACE_CLASS) -> Column:
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id's text modulo ``modulus`` (null for a null id)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
+
+
+# A key table is broadcast up to this many rows (a long key takes about 24 bytes there: 48 MB).
+BROADCAST_ROWS = 2_000_000
+
+
+def keys_side(keys: DataFrame, name: str) -> DataFrame:
+    """A side of distinct keys, written once and counted: broadcast up to BROADCAST_ROWS, joined by shuffle beyond."""
+    written = write_table(keys.distinct(), name)
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written

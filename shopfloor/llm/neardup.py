@@ -10,14 +10,13 @@ a pair is missed once in about four million.
 1. One scan gives every document its set size, a 128-bit fingerprint of its
    set and its band keys.  Documents with equal sets form a class, stood for
    by its smallest id; only class representatives are banded.
-2. In every bucket each member is paired with the bucket's smallest and
-   largest id (a star, not all pairs); pairs are confirmed on the full sets
-   and linked documents are joined into components.
-3. Buckets whose other members are still in different components go on:
-   members already used as hubs leave, and the rest meet new hubs.  When a
-   bucket has few members left, the pairs between different components are
-   confirmed directly.  So every pair that shares a bucket is either confirmed
+2. In every bucket each member is paired with the bucket's smallest id, its
+   hub (a star, not all pairs), and compared with it on the full sets.
+3. Members linked to the same hub are connected.  Any other pair of a star is
+   found by an exact prefix join on the members' differences from the hub and
+   confirmed on them, so every pair that shares a bucket is either confirmed
    or already connected, whatever the bucket's size: no cap drops a pair.
+4. Linked documents are joined into components.
 
 Sets are compared as sets of 64-bit shingle hashes.
 
@@ -35,10 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import write_table
+from .common import keys_side
 from .components import components
 
 SHINGLE = 5
@@ -46,7 +46,6 @@ PERMUTATIONS = 192
 ROWS = 8
 BANDS = 2 * PERMUTATIONS // ROWS
 PERCENT = 85  # linked when 100 * intersection >= PERCENT * union
-SMALL_BUCKET = 32  # members left in a bucket below which cross pairs are confirmed directly
 SEED = 20240501
 
 _U64 = np.uint64
@@ -142,71 +141,88 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (x, hub) whose full sets are similar enough.
+def differences(docs: DataFrame, stars: DataFrame) -> DataFrame:
+    """Of every star pair (x, hub): nx, nh, what x's set has beyond the hub's, what it lacks, and whether they are linked.
 
-    Only the sets of documents in a pair are shuffled, and each text is read once per side.
+    Only the sets of documents in a pair leave the scan of the texts.
     """
-    def sets_of(side: str) -> DataFrame:
-        wanted = pairs.select(F.col(side).alias("w")).distinct()
-        texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("w"), "left_semi")
-        return texts.mapInArrow(_sets, "id long, set array<long>")
+    wanted = keys_side(stars.select(F.col("x").alias("w")).union(stars.select("hub")), "dedup-wanted")
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("w"), "left_semi")
+    sets = write_table(texts.mapInArrow(_sets, "id long, set array<long>"), "dedup-sets")
+    both = stars.join(sets.toDF("x", "xs"), "x").join(sets.toDF("hub", "hs"), "hub")
+    return (
+        both.select(
+            "hub", "x", F.size("xs").alias("nx"), F.size("hs").alias("nh"),
+            F.sort_array(F.array_except("xs", "hs")).alias("added"), F.sort_array(F.array_except("hs", "xs")).alias("lacking"),
+        )
+        .withColumn("nd", F.size("added") + F.size("lacking"))
+        .withColumn("linked", _linked("nx", "nh", F.col("nd")))
+    )
+
 
-    left = pairs.join(sets_of("x").withColumnsRenamed({"id": "xi", "set": "xs"}), F.col("x") == F.col("xi"))
-    both = left.join(sets_of("hub").withColumnsRenamed({"id": "hi", "set": "hs"}), F.col("hub") == F.col("hi"))
-    shared = F.size(F.array_intersect("xs", "hs"))
-    union = F.size("xs") + F.size("hs") - shared
-    return both.filter(100 * shared >= PERCENT * union).select("x", "hub")
+def _linked(n: str, m: str, apart: Column) -> Column:
+    """Whether sets of n and m shingles, ``apart`` of which are in one set only, reach PERCENT of their union."""
+    both = F.col(n) + F.col(m)
+    return 100 * (both - apart) >= PERCENT * (both + apart)
 
 
-def _sizes_allow(n: str, m: str):
-    """Sets of these sizes can reach the similarity."""
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+_SKETCH = ["b0", "b1", "b2", "b3"]
 
 
-def _links(docs: DataFrame, members: DataFrame) -> DataFrame | None:
-    """Confirmed links between the members (k, rep, n) of buckets; None when there are no candidates.
+def _hub_links(diffs: DataFrame) -> DataFrame:
+    """Links (x, y) between members of one star that are not yet in one component (so not both linked to its hub).
 
-    Every pair of members of a bucket ends up confirmed, refuted, or inside one component.
+    The sets of x and y are apart by what their differences from the hub are
+    apart.  With d, d' the sizes of the differences (d <= d'), a link needs
+    them to share more than a number that grows with d, so they must share an
+    element of x's first elements in any fixed order (prefix filter).  Taking
+    the elements that the hub lacks first makes that prefix rare.
+
+    Let a link allow the sets to be apart by T = (100 - P) (nx + ny) / (100 + P).
+    Sharing o elements, they are d + d' - 2 o apart, hence o >= (d + d' - T) / 2.
+    Whoever of the two is not linked to the hub is more than
+    (100 - P) (n + nh) / (100 + P) from it; put in, o is more than half of the
+    other's difference plus (100 - P) (nh - n) / (100 + P), n its size.
     """
-    found: DataFrame | None = None
-    labels: DataFrame | None = None
-    rest = members  # members not yet used as a hub of their bucket, with their component
-    rest = write_table(rest.withColumn("component", F.col("rep")), "dedup-members")
-    while not rest.isEmpty():
-        hubs = rest.groupBy("k").agg(
-            F.min(F.struct("rep", "n", "component")).alias("lo"),
-            F.max(F.struct("rep", "n", "component")).alias("hi"),
-            F.count(F.lit(1)).alias("many"),
-        )
-        at = rest.join(hubs, "k")
-        star = at.select("rep", "n", "component", F.explode(F.array("lo", "hi")).alias("h")).select(
-            F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"), F.col("h.rep").alias("hub"),
-            F.col("h.n").alias("hn"), F.col("h.component").alias("hc"),
-        )
-        few = at.filter(F.col("many") <= SMALL_BUCKET).select("k", "rep", "n", "component")
-        if found is not None:  # after the first star, small buckets are settled at once
-            other = few.withColumnsRenamed({"rep": "hub", "n": "hn", "component": "hc"})
-            cross = few.withColumnsRenamed({"rep": "x", "n": "xn", "component": "xc"}).join(other, "k").filter("x > hub").drop("k")
-            star = star.unionByName(cross)
-        pairs = star.filter((F.col("xc") != F.col("hc")) & _sizes_allow("xn", "hn")).select(
-            F.greatest("x", "hub").alias("x"), F.least("x", "hub").alias("hub")
-        ).distinct()
-        pairs = write_table(pairs, "dedup-pairs")
-        fresh = write_table(confirm(docs, pairs), "dedup-links")
-        left = at.filter((F.col("rep") != F.col("lo.rep")) & (F.col("rep") != F.col("hi.rep")))
-        if found is not None:
-            left = left.filter(F.col("many") > SMALL_BUCKET)
-            fresh = found.union(fresh)
-        found = fresh
-        labels = components(found, "x", "hub")
-        named = left.select("k", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select(
-            "k", "rep", "n", F.coalesce("component", "rep").alias("component")
-        )
-        # a bucket whose remaining members are in one component is settled
-        open_buckets = named.groupBy("k").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
-        rest = write_table(named.join(open_buckets.select("k"), "k"), "dedup-members")
-    return labels
+    a, b = 100 - PERCENT, 100 + PERCENT
+    open_stars = keys_side(diffs.filter(~F.col("linked")).select(F.col("hub").alias("oh")), "dedup-open")
+    rows = diffs.join(open_stars, F.col("hub") == F.col("oh"), "left_semi").withColumn("d", F.concat("added", "lacking"))
+    # a bit map of the difference: bits that differ are at least as many shingles apart, which refutes most pairs in the join
+    bit = "shiftleft(1L, cast(shiftrightunsigned(e, 2) & 63 AS int))"
+    rows = rows.withColumns({b: F.expr(f"aggregate(filter(d, e -> (e & 3) = {i}), 0L, (a, e) -> a | {bit})") for i, b in enumerate(_SKETCH)})
+    # x as the smaller difference: the least overlap of a link
+    apart = F.floor(F.lit(a) * (F.col("nx") + F.floor(100 * F.col("nx") / PERCENT)) / b)  # T at the largest partner
+    if_linked = F.floor((b * F.col("nd") + a * (F.col("nh") - F.col("nx"))) / (2 * b)) + 1  # the partner is not linked
+    if_not = F.greatest(F.col("nd") - F.floor(apart / 2), F.floor((b - a) * F.col("nd") / (2 * b)) + 1)
+    least = F.greatest(F.when(F.col("linked"), if_linked).otherwise(if_not), F.lit(1))
+    index = rows.select(
+        "hub", "x", "nx", "nd", "c", *_SKETCH, F.explode(F.slice("d", F.lit(1), (F.col("nd") - least + 1).cast("int"))).alias("e")
+    )
+    probe = rows.select("hub", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("nd").alias("nd2"), F.col("c").alias("c2"), *[F.col(b).alias(f"{b}_2") for b in _SKETCH], F.explode("d").alias("e"))
+    differing = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_2"))) for b in _SKETCH), F.lit(0))
+    met = (
+        index.join(probe, ["hub", "e"])
+        .filter((F.col("nd") < F.col("nd2")) | ((F.col("nd") == F.col("nd2")) & (F.col("x") < F.col("y"))))
+        .filter((F.col("c") != F.col("c2")) & _linked("nx", "ny", differing))
+        .select("hub", "x", "y").distinct()
+    )
+    left = rows.select("hub", "x", "nx", "nd", "added", "lacking")
+    right = rows.select("hub", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("nd").alias("nd2"), F.col("added").alias("added2"), F.col("lacking").alias("lacking2"))
+    shared = F.size(F.array_intersect("added", "added2")) + F.size(F.array_intersect("lacking", "lacking2"))
+    return met.join(left, ["hub", "x"]).join(right, ["hub", "y"]).filter(
+        _linked("nx", "ny", F.col("nd") + F.col("nd2") - 2 * shared)
+    ).select("x", "y")
+
+
+def _labels(docs: DataFrame, banded: DataFrame) -> DataFrame:
+    """node, component over all links between representatives that share a bucket; banded holds (rep, k)."""
+    hubs = banded.groupBy("k").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("k", "hub")
+    stars = write_table(banded.join(hubs, "k").filter("rep <> hub").select(F.col("rep").alias("x"), "hub").distinct(), "dedup-stars")
+    diffs = write_table(differences(docs, stars), "dedup-differences")
+    links = diffs.filter("linked").select("x", F.col("hub").alias("y"))
+    first = components(links, "x", "y")
+    placed = diffs.join(first, F.col("x") == F.col("node"), "left").withColumn("c", F.coalesce("component", "x")).drop("node", "component")
+    return components(links.union(_hub_links(write_table(placed, "dedup-placed"))), "x", "y")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -215,15 +231,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     usable = signed.filter("print is not null and doc_id is not null")
     classes = write_table(usable.groupBy("print").agg(F.min("doc_id").alias("rep")), "dedup-classes")
     banded = usable.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(
-        F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("k")
+        F.col("doc_id").alias("rep"), F.explode("bands").alias("k")
+    )
+    named = classes.join(_labels(docs, banded), F.col("rep") == F.col("node"), "left").select(
+        "print", F.coalesce("component", "rep").alias("rep")
     )
-    shared = banded.groupBy("k").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).filter("r0 < r1").select("k")
-    labels = _links(docs, banded.join(shared, "k").select("k", "rep", "n"))
-    named = classes
-    if labels is not None:
-        named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(
-            "print", F.coalesce("component", "rep").alias("rep")
-        )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     return (
         signed.select("doc_id", "n_shingles", "print")
@@ -235,5 +247,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stand for their group (its smallest id), with all their columns."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
+    gone = keys_side(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone_id")), "dedup-gone")
     return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
