@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import write_table
-from .common import NON_WORD_CLASS, ascii_lower, whole_text, words
+from .common import NON_WORD_CLASS, ascii_lower, keys_side, whole_text, words
 
 WINDOW = 13
 BROADCAST_BYTES = 64 << 20
@@ -108,9 +108,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, unchanged, with all their columns."""
-    bad = contamination(docs, benchmark, window).filter("contaminated").select(
-        F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")
-    ).distinct()
+    found = contamination(docs, benchmark, window).filter("contaminated")
+    bad = keys_side(found.select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")), "bench-contaminated")
     same = F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64("text") == F.col("__bad_key"))
     return docs.join(bad, same, "left_anti")
 
