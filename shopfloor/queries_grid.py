@@ -133,17 +133,15 @@ def grid_page(t: RetailTables) -> DataFrame:
     return G.grid_page(C.price_list(t), PAGE_START, PAGE_LENGTH, PRICE_ORDER, PRICE_POSITION, PRICE_TYPES)
 
 
-_BY_VALUE = "SELECT id, amountdue FROM v_sale ORDER BY amountdue DESC NULLS LAST, id"
-
-
-@register("grid_page_deep", f"{_BY_VALUE} LIMIT {PAGE_LENGTH} OFFSET (SELECT count(*) // 2 FROM v_sale)")
+@register(
+    "grid_page_deep",
+    f"""SELECT id, item_id, quantity FROM v_line ORDER BY quantity DESC, id
+LIMIT {PAGE_LENGTH} OFFSET (SELECT count(*) // 2 FROM v_line)""",
+)
 def grid_page_deep(t: RetailTables) -> DataFrame:
-    """A page in the middle of all sales by amount, found by position."""
-    sales = t.sale.select("id", "amountdue")
-    ranked = G.grid_rank(sales, [("amountdue", "desc")], "id")
-    half = sales.agg(F.expr("count(1) div 2").alias("half"))
-    at = ranked.crossJoin(F.broadcast(half))  # one row: the middle
-    return at.filter((F.col("row_pos") > F.col("half")) & (F.col("row_pos") <= F.col("half") + PAGE_LENGTH)).select("id", "amountdue")
+    """A page in the middle of all lines by quantity, found by position."""
+    lines = t.line.select("id", "item_id", "quantity")
+    return G.grid_page(lines, lines.count() // 2, PAGE_LENGTH, [("quantity", "desc")], "id")
 
 
 @register("grid_page_rest", f"SELECT event_id, ts, value FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id) AS p FROM events) WHERE p > 40")

@@ -26,6 +26,23 @@ def test_receipt_does_not_shuffle_the_line_snapshot(spark):
     assert "BroadcastHashJoin" in first_join and "LeftOuter" in first_join
 
 
+def test_receipt_joins_the_line_snapshot_once_when_nothing_broadcasts(spark):
+    from shopfloor import queries_changes
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    queries_changes.reset()
+    try:
+        plan = _plan(spark, "receive_shipments")
+        credited = plan.split("BroadcastNestedLoopJoin")[0].split("Union")[1]
+        assert "BroadcastHashJoin" not in credited.split("_off")[0].split("SortMergeJoin")[0]
+        joins = [x for x in plan.split("\n") if "SortMergeJoin" in x]
+        assert len(joins) <= 2 and any("LeftOuter" in x and "id#" in x for x in joins)  # the credit, and new lines against holders
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        queries_changes.reset()
+
+
 def test_first_row_rules_are_aggregates_not_windows(spark):
     for name in ("staff_roles", "first_inbound_bin", "cart_fold"):
         plan = _plan(spark, name)
@@ -40,7 +57,7 @@ def test_filters_reach_the_scan(spark):
 
 def test_single_partition_only_for_partition_offsets(spark):
     # the only single-partition step is the running sum over per-partition counts
-    for name in ("grid_sort", "add_items", "receive_shipments"):
+    for name in ("grid_sort", "add_items", "receive_shipments", "grid_page_rest", "grid_page_deep"):
         plan = _plan(spark, name)
         for line in plan.split("\n"):
             if "SinglePartition" in line:
