@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import fold
 
 ORDERS = (1, 2, 3)
-BUCKETS = 1 << 15
+BITS = 15
+BUCKETS = 1 << BITS
 ALPHA = 0.1  # additive smoothing
 SLICE = 1 << 18  # characters handled at once
 UNDETERMINED = "und"
@@ -65,7 +66,7 @@ def gram_buckets(text: str) -> Iterator[np.ndarray]:
             gram = gram[: len(whole) - n + 1] * _U64(0x100000001B3) + whole[n - 1 :] + _U64(n)
             new = gram[max(0, len(tail) - n + 1) :]  # grams that end in this slice
             if n in ORDERS:
-                out.append(((new * _U64(0x9E3779B97F4A7C15)) >> _U64(49)).astype(np.intp))
+                out.append(((new * _U64(0x9E3779B97F4A7C15)) >> _U64(64 - BITS)).astype(np.intp))
         tail = whole[len(whole) - min(overlap, len(whole)) :].astype(np.uint32)
         if out:
             yield np.concatenate(out)
@@ -130,7 +131,7 @@ def train(docs: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` except ``text`` are ignored but doc_id: doc_id, held_out, lang_pred, score."""
+    """doc_id, held_out, lang_pred, score of every document, from its text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

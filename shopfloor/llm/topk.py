@@ -159,8 +159,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, block: int = BLOCK) -
     candidates = write_table(integer_vectors(vectors), "search-vectors")
     asked = candidates.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = write_table(asked.withColumn("dim", F.size("v")), "search-queries")
-    # block bounds: the first id of every block per dimension, from counts per range of ids
-    out: DataFrame | None = None
+    out: DataFrame | None = None  # one written table per block
     for dim in [r["dim"] for r in asked.select("dim").distinct().orderBy("dim").collect()]:
         after: int | None = None
         while True:
