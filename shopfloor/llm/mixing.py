@@ -11,8 +11,9 @@ fractional repetition), so a source's total is its target rounded to a word.
 
 Scale.  Texts are read once, into a narrow table (id, source, size, seeded
 hash).  The fill only handles one row per source.  The seeded order is cut
-into hash slots per source; only the one slot at the edge of the fill is
-sorted, so a source holding a third of all rows is never ordered as a whole.
+into hash slots per source, and the slot at the edge of the fill again, so
+that only one document in some sixteen million is sorted: a source holding a
+third of all rows is never ordered as a whole.
 
 Defined cases: null text has size 0; a null source is a source of its own
 (last in order); null ids are ordered by their text's digest; repeated rows
@@ -35,7 +36,7 @@ from .common import whole_text, words
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = "mix-v1"
-SLOT_DIGITS = 4  # hash slots per source: 16 ** SLOT_DIGITS
+DIGITS, LEVELS = 2, 3  # the edge is found in LEVELS steps of 16 ** DIGITS hash slots per source
 
 
 def sized_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -83,7 +84,7 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target and ``taken`` (words the mix takes, repeats counted)."""
     key = ["no_source", "source_key"]
-    sized = write_table(sized_documents(docs, seed), "mix-sizes").withColumn("slot", F.substring("h", 1, SLOT_DIGITS))
+    sized = write_table(sized_documents(docs, seed), "mix-sizes")
     sources = water_fill(source_weights(sized, weights), max_epochs)
     wanted = F.floor(F.col("target") + 0.5)
     plan = sources.select(
@@ -91,21 +92,23 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX
         F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(0).cast("long").alias("whole"),
         F.when(F.col("source_size") > 0, wanted % F.col("source_size")).otherwise(0).cast("long").alias("part"),
     )
-    # the slot in which the running size passes ``part``: at most 16 ** SLOT_DIGITS rows per source are ordered
-    slots = sized.groupBy(*key, "slot").agg(F.sum("size").alias("slot_size"))
-    running = F.sum("slot_size").over(Window.partitionBy(*key).orderBy("slot"))
-    edges = (
-        slots.withColumn("upto", running)
-        .join(plan.select(*key, "part"), key)
-        .filter(F.col("upto") > F.col("part"))
-        .groupBy(*key)
-        .agg(F.min("slot").alias("edge"), F.min(F.struct("slot", (F.col("upto") - F.col("slot_size")).alias("before"))).alias("_first"))
-        .select(*key, "edge", F.col("_first.before").alias("before"))
-    )
-    plan = maybe_broadcast(write_table(plan.join(edges, key, "left"), "mix-plan"))
+    # the edge of the fill: the prefix of the seeded hash in which the running size passes ``part``; every level
+    # looks at DIGITS more digits of the documents in the edge found so far, 16 ** DIGITS sums per source
+    plan = plan.withColumn("edge", F.lit("")).withColumn("before", F.lit(0).cast("long"))
+    for level in range(1, LEVELS + 1):
+        plan = maybe_broadcast(write_table(plan, "mix-plan"))
+        inside = sized.join(plan.select(*key, "edge", "part", "before"), key).filter(F.col("h").startswith(F.col("edge")))
+        sums = inside.groupBy(*key, F.substring("h", 1, level * DIGITS).alias("slot"), "part", "before").agg(F.sum("size").alias("slot_size"))
+        upto = F.col("before") + F.sum("slot_size").over(Window.partitionBy(*key).orderBy("slot"))
+        passed = sums.withColumn("upto", upto).filter(F.col("upto") > F.col("part"))
+        edges = passed.groupBy(*key).agg(F.min_by(F.struct("slot", (F.col("upto") - F.col("slot_size")).alias("before")), "slot").alias("_e"))
+        plan = plan.drop("edge", "before").join(edges, key, "left").select(
+            *plan.drop("edge", "before").columns, F.col("_e.slot").alias("edge"), F.col("_e.before").alias("before")
+        )
+    plan = maybe_broadcast(write_table(plan, "mix-plan"))
     rows = sized.join(plan, key)
-    in_edge = F.coalesce(F.col("slot") == F.col("edge"), F.lit(False))
-    outside = rows.filter(~in_edge).withColumn("extra", F.when(F.col("slot") < F.col("edge"), F.col("size")).otherwise(0))
+    in_edge = F.coalesce(F.col("h").startswith(F.col("edge")), F.lit(False))
+    outside = rows.filter(~in_edge).withColumn("extra", F.when(F.col("h") < F.col("edge"), F.col("size")).otherwise(0))
     seen = F.sum("size").over(Window.partitionBy(*key).orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
     room = F.col("part") - F.col("before") - F.coalesce(seen, F.lit(0))
     inside = rows.filter(in_edge).withColumn("extra", F.least(F.greatest(room, F.lit(0)), F.col("size")))
