@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import constants as K
 from .operators import changes as X
+from .operators import links as L
 from .plans.ids import max_id, number_rows
 from .queries import COUNTRY, ORDER_AS_OF, PROMO_AS_OF, register
 from .sources.fixtures import RetailTables
@@ -609,6 +610,55 @@ def append_delivery(t: RetailTables) -> DataFrame:
     return X.append_rows(t.delivery, new)
 
 
+# ---- link rows --------------------------------------------------------------
+
+
+@register(
+    "line_links",
+    """WITH in_bin AS (SELECT bin_id, id AS lineitem_id FROM v_line WHERE bin_id IS NOT NULL),
+in_order AS (SELECT l.order_id, l.id AS lineitem_id FROM v_line l WHERE l.order_id IN (SELECT id FROM v_shippingorder))
+SELECT l.id, l.item_id, l.quantity, o.order_id, b.bin_id FROM v_line l
+LEFT JOIN in_order o ON o.lineitem_id = l.id LEFT JOIN in_bin b ON b.lineitem_id = l.id""",
+)
+def line_links(t: RetailTables) -> DataFrame:
+    """Lines joined to their bin and shipping-order link rows."""
+    rows = t.line.select("id", "item_id", "quantity")
+    return L.fold_links(rows, L.bin_links(t.line), L.order_links(t.line, t.shippingorder))
+
+
+@register(
+    "append_order_lines_bridge",
+    f"""WITH {_REISSUE_SQL},
+nl AS (SELECT re.id AS order_id, l.id AS old_line FROM v_line l JOIN re ON re.old_id = l.order_id)
+SELECT order_id, id AS lineitem_id FROM v_line UNION ALL
+SELECT order_id, (SELECT max(id) FROM v_line) + row_number() OVER (ORDER BY order_id, old_line) FROM nl""",
+)
+def append_order_lines_bridge(t: RetailTables) -> DataFrame:
+    """Order link rows after the lines of every re-issued order are copied."""
+    return L.order_links(append_order_lines(t))
+
+
+@register(
+    "remove_order_lines_bridge",
+    """SELECT s.id AS order_id, l.id AS lineitem_id FROM v_line l JOIN v_shippingorder s ON s.id = l.order_id
+WHERE NOT (s.status = 'Pending' AND l.quantity > 45)""",
+)
+def remove_order_lines_bridge(t: RetailTables) -> DataFrame:
+    """Shipping-order link rows after lines over 45 were dropped from Pending orders."""
+    return L.order_links(remove_order_lines(t), t.shippingorder)
+
+
+@register(
+    "receive_shipments_bridge",
+    f"""WITH {_RECEIPT_SQL}
+SELECT bin_id, id AS lineitem_id FROM v_line WHERE bin_id IS NOT NULL UNION ALL
+SELECT bin_id, (SELECT max(id) FROM v_line) + row_number() OVER (ORDER BY bin_id, item_id) FROM fresh""",
+)
+def receive_shipments_bridge(t: RetailTables) -> DataFrame:
+    """Bin link rows after every shipped order was received."""
+    return L.bin_links(_receipt(t).lines)
+
+
 CHECKOUT_AS_OF = dt.date(2024, 2, 1)
 
 

@@ -212,6 +212,20 @@ def test_lines_of_locked_orders_stay(spark):
     assert got(W.remove_order_lines(lines, asked, orders)) == {2: 5}
 
 
+def test_links_fold_into_lines_and_back(spark):
+    from shopfloor.operators import links as L
+
+    lines = spark.createDataFrame([(1, 7, 5), (2, 8, 6), (3, 9, 1)], "id long, item_id long, quantity long")
+    bins = spark.createDataFrame([(10, 1), (11, 1), (10, 2)], "bin_id long, lineitem_id long")  # line 1 stands in two bins
+    orders = spark.createDataFrame([(100, 1)], "order_id long, lineitem_id long")
+    folded = L.fold_links(lines, bins, orders)
+    assert sorted(map(tuple, folded.collect()), key=str) == sorted(
+        [(1, 7, 5, 100, 10), (1, 7, 5, 100, 11), (2, 8, 6, None, 10), (3, 9, 1, None, None)], key=str)
+    assert sorted(map(tuple, L.bin_links(folded).collect())) == [(10, 1), (10, 2), (11, 1)]
+    assert set(map(tuple, L.order_links(folded).collect())) == {(100, 1)}
+    assert L.order_links(folded, spark.createDataFrame([(5,)], "id long")).count() == 0
+
+
 def test_orders_with_missing_fields_are_rejected(spark):
     from shopfloor.operators import orders as O
 
