@@ -34,7 +34,7 @@ BUCKETS = 1 << BITS
 ALPHA = 0.1  # additive smoothing
 SLICE = 1 << 18  # characters handled at once
 UNDETERMINED = "und"
-MIN_SCORE = 0.5  # below this a document's language counts as rejected
+MIN_SCORE = 0.3  # below this a document's language counts as rejected: short texts of one language stay well above
 FOLDS, HELD_OUT = 4, 2
 
 _U64 = np.uint64
