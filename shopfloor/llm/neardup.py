@@ -130,7 +130,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, print (fingerprint of the set, null when empty), bands."""
-    return docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, print binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, "doc_id long, n_shingles long, print binary, bands array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,7 @@ def differences(docs: DataFrame, stars: DataFrame) -> DataFrame:
     Only the sets of documents in a pair leave the scan of the texts.
     """
     wanted = keys_side(stars.select(F.col("x").alias("w")).union(stars.select("hub")), "dedup-wanted")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("w"), "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("w"), "left_semi")
     sets = write_table(texts.mapInArrow(_sets, "id long, set array<long>"), "dedup-sets")
     both = stars.join(sets.toDF("x", "xs"), "x").join(sets.toDF("hub", "hs"), "hub")
     return (
