@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_text_batches
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 # Markers of the template, and other templates' control strings that are escaped too.
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -112,6 +114,7 @@ def _tokenizer(spec: str):
 
 def format_conversations(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """One row per conversation: the formatted text, its tokens with offsets (start, end, start, end, ...), mask and loss spans."""
+    bound_text_batches(rows.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         spec = rows.sparkSession.sparkContext.broadcast(f.read())
 

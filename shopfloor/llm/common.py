@@ -41,6 +41,17 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
+# Whole texts are handed to Python in Arrow batches of at most this many rows, which bounds a worker's memory.
+TEXT_BATCH = 1024
+
+
+def bound_text_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to TEXT_BATCH rows where it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= TEXT_BATCH:
+        spark.conf.set(key, str(TEXT_BATCH))
+
+
 # A key table is broadcast up to this many rows (a long key takes about 24 bytes there: 48 MB).
 BROADCAST_ROWS = 2_000_000
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import bound_text_batches, fold
 
 ORDERS = (1, 2, 3)
 BITS = 15
@@ -113,6 +113,7 @@ class Model:
 
 def train(docs: DataFrame) -> Model:
     """Fit on the rows with text and language outside the held-out fold."""
+    bound_text_batches(docs.sparkSession)
     rows = docs.filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(fold("doc_id", FOLDS) != HELD_OUT, F.lit(False))
     ).select("lang", "text")
@@ -132,6 +133,7 @@ def train(docs: DataFrame) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document, from its text alone."""
+    bound_text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

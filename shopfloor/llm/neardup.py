@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import write_table
-from .common import keys_side
+from .common import bound_text_batches, keys_side
 from .components import components
 
 SHINGLE = 5
@@ -130,6 +130,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, print (fingerprint of the set, null when empty), bands."""
+    bound_text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, "doc_id long, n_shingles long, print binary, bands array<long>")
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, whole_text
+from .common import bound_text_batches, fold, whole_text
 
 FOLDS, HELD_OUT = 3, 1
 TRAIN_ROWS = 30_000
@@ -164,6 +164,7 @@ def _measure(texts: pa.Array) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     """Fit on at most ``rows`` labelled documents outside the held-out fold."""
+    bound_text_batches(docs.sparkSession)
     usable = labels.filter(
         F.col("quality").isin(0, 1) & F.coalesce(fold("doc_id", FOLDS) != HELD_OUT, F.lit(False))
     ).select(F.col("doc_id").alias("l_id"), "quality")
@@ -187,6 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
 
 def score(docs: DataFrame, model: Trees) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted."""
+    bound_text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

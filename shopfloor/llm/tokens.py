@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import bound_text_batches, whole_text
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, MULTI_BPE = "byte_bpe_50k", "byte_bpe_multi_50k"
@@ -50,6 +50,7 @@ def _encoding(version: str, lines: bytes):
 
 def count_tokens(docs: DataFrame, version: str, folder: str = TOKENIZERS) -> DataFrame:
     """One insert entry per document under a tokenizer version (the name of its vocabulary file)."""
+    bound_text_batches(docs.sparkSession)
     with open(f"{folder}/{version}.tiktoken", "rb") as f:
         lines = docs.sparkSession.sparkContext.broadcast(f.read())
 
