@@ -170,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     ).select(F.col("doc_id").alias("l_id"), "quality")
     picked = usable.withColumn("o", F.xxhash64(F.lit("quality-sample"), "l_id")).orderBy("o", "l_id", "quality").limit(rows)
     texts = docs.select("doc_id", whole_text("text").alias("text"))
-    joined = texts.join(picked, F.col("doc_id") == F.col("l_id")).select("quality", "l_id", "text")
+    # the sample is bounded by ``rows``, so it goes to the texts and no text is shuffled
+    joined = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("quality", "l_id", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
