@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.materialize import write_table
 from ..session import ensure_checkpoint_dir
 from . import chat, decontaminate, langid, licenses, mixing, neardup, pii, quality, tokens, topk
-from .common import read
+from .common import keys_side, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,7 +114,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     ledger = tokens.Ledger(spark, f"{ensure_checkpoint_dir(spark)}/token-ledger-{uuid.uuid4().hex}")
     toxic = labels.filter("toxic = 1").select("doc_id")
-    poor = labels.filter("quality = 0").select("doc_id").join(toxic, "doc_id", "left_anti").distinct()
+    poor = labels.filter("quality = 0").select("doc_id").join(toxic, "doc_id", "left_anti")
+    poor = keys_side(poor, "poor-documents")  # so that the texts stay where they are read
     ledger.insert("load", tokens.count_tokens(docs, tokens.BYTE_BPE))
     ledger.remove("toxic", toxic)
     ledger.revise("recount", tokens.count_tokens(docs.join(poor, "doc_id", "left_semi"), tokens.MULTI_BPE))

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_text_batches, whole_text
+from ..plans.materialize import write_table
+from .common import bound_text_batches, keys_side, whole_text
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, MULTI_BPE = "byte_bpe_50k", "byte_bpe_multi_50k"
@@ -104,7 +105,7 @@ class Ledger:
 
     def standing(self, ids: DataFrame) -> DataFrame:
         """What the ledger holds of the documents with these ids, one row per id and key."""
-        wanted = ids.select(F.col("doc_id").alias("w")).distinct()
+        wanted = keys_side(ids.select(F.col("doc_id").alias("w")), "ledger-ids")
         held = self.entries().join(wanted, F.col("doc_id") == F.col("w"), "left_semi")
         return held.groupBy("doc_id", *KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES]).filter("n_docs <> 0")
 
@@ -127,7 +128,10 @@ class Ledger:
 
     def revise(self, batch: str, counted: DataFrame) -> bool:
         """Replace the entries of documents by new counts (under any version)."""
-        return not self.is_committed(batch) and self.commit(batch, negated(self.standing(counted)).unionByName(counted))
+        if self.is_committed(batch):
+            return False
+        counted = write_table(counted, "ledger-counts")  # read twice: for its ids and as the new entries
+        return self.commit(batch, negated(self.standing(counted)).unionByName(counted))
 
 
 def negated(entries: DataFrame) -> DataFrame:
