@@ -241,3 +241,64 @@ def test_notice_cosine_matches_a_plain_sum(spark):
             assert got[n][0] == top and abs(got[n][1] - cosine) < 1e-6
         else:
             assert n not in got
+
+
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD_TEXT = """Copyright (c) 2021, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_THIRD = """
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+"""
+
+
+def test_wrapped_headers_and_license_texts(spark):
+    def commented(text, mark):
+        return "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+
+    code = "\nimport os\n" + "value = compute(value, other)\n" * 20
+    files = {
+        "p/LICENSE": ("MIT", licenses.TEMPLATES["MIT"][0]),
+        "p/gpl2.py": ("GPL-2.0", commented(GPL_HEADER.format(2), "#") + code),
+        "p/gpl3.c": ("GPL-3.0", "/*\n" + commented("Copyright (C) 2020 Some Body. All rights reserved.\n\n" + GPL_HEADER.format(3), " *") + "\n */" + code),
+        "p/plain.c": ("GPL-3.0", "/* " + GPL_HEADER.format(3) + "*/" + code),
+        "p/lesser.js": ("LGPL-3.0", commented(GPL_HEADER.format(3).replace("GNU General", "GNU Lesser General"), "//") + code),
+        "p/affero.js": ("AGPL-3.0", commented(GPL_HEADER.format(3).replace("GNU General", "GNU Affero General"), "//") + code),
+        "p/bsd2.h": ("BSD-2-Clause", commented(BSD_TEXT.format(""), "//") + code),
+        "two/LICENSE.txt": ("BSD-2-Clause", BSD_TEXT.format("")),
+        "three/COPYING": ("BSD-3-Clause", BSD_TEXT.format(BSD_THIRD)),
+        "p/closed.c": ("Proprietary", "// Copyright (c) 2020 Some Body.\n// All rights reserved." + code),
+    }
+    frame = spark.createDataFrame([(p, t) for p, (_, t) in files.items()] + [("three/x.py", code)], "path string, text string")
+    got = {r["path"]: (r["license"], r["how"]) for r in licenses.scan(frame).collect()}
+    assert got == {**{p: (k, "own") for p, (k, _) in files.items()}, "three/x.py": ("BSD-3-Clause", "inherited")}
