@@ -9,7 +9,9 @@ Scale.  Documents are scanned once, without shuffling texts: windows are
 exploded from the row, looked up map-side and dropped unless they hit.  Only
 hits and one marker row per document reach the shuffle.  The window table is
 broadcast only while its measured size is at most ``BROADCAST_BYTES``; beyond
-that the lookup is a shuffle join on the window hash, which AQE can split.
+that every window of a document is shuffled as its position and the 128-bit
+digest of its words (the digest then stands for the words) and joined on the
+digest, which AQE can split; marker rows stay out of that join.
 
 Defined cases: null text has no words (n_words 0, never contaminated); a
 benchmark row with null text or no words has no windows; an item without id
@@ -53,6 +55,59 @@ def _hashes(ws: str, length: int) -> Column:
     )
 
 
+def _looked_up(lowered: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """One marker row per document and one row per hit: doc_id, text_key, n_words, is_row, hit, items; windows are broadcast."""
+    marker = F.array(F.lit(None).cast("long"))  # keeps a row for documents without a hit
+    hashed = lowered.select(
+        "doc_id", "text_key", F.size("ws").alias("n_words"), "ws",
+        F.concat(marker, *[_hashes("ws", n) for n in lengths]).alias("hs"),
+    )
+    # the outer form: the inner one would add a filter on the array's size that recomputes it before the projection
+    scanned = hashed.select("doc_id", "text_key", "n_words", "ws", F.posexplode_outer("hs").alias("pos", "wh"))
+    # arrays of one length each: the window's first word (0-based) is (pos - 1) modulo n_words
+    at = F.pmod(F.col("pos") - 1, F.greatest(F.col("n_words"), F.lit(1)))
+    found = scanned.join(
+        F.broadcast(windows), (F.col("wh") == F.col("h")) & (F.slice("ws", at + 1, F.greatest(F.col("len"), F.lit(1))) == F.col("gram")), "left"
+    ).filter(F.col("h").isNotNull() | (F.col("pos") == 0))
+    is_hit = F.col("h").isNotNull()
+    return found.select(
+        "doc_id", "text_key", "n_words",
+        (F.col("pos") == 0).cast("int").alias("is_row"),
+        F.when(is_hit, F.struct(at.alias("at"), "len")).alias("hit"),
+        F.when(is_hit, F.col("items")).alias("items"),
+    )
+
+
+def _digest(gram: Column) -> Column:
+    """128-bit digest of a window (no word holds a space)."""
+    return F.unhex(F.md5(F.array_join(gram, " ").cast("binary")))
+
+
+def _shuffled(lowered: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """The rows of ``_looked_up`` by a shuffle join of digests; only full windows take part."""
+    def starts(length: int) -> Column:
+        last = F.size("ws") - length
+        each = F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda i: F.struct(i.alias("at"), F.lit(length).alias("len"), _digest(F.slice(F.col("ws"), i + 1, length)).alias("d")),
+        )
+        return F.when(last >= 0, each).otherwise(F.array().cast("array<struct<at:int,len:int,d:binary>>"))
+
+    n_words = F.size("ws").alias("n_words")
+    each = lowered.select("doc_id", "text_key", n_words, F.concat(*[starts(n) for n in lengths]).alias("hs"))
+    # the outer form, as above
+    each = each.select("doc_id", "text_key", "n_words", F.explode_outer("hs").alias("w")).filter("w is not null").select("doc_id", "text_key", "n_words", "w.*")
+    known = windows.select(_digest(F.col("gram")).alias("d"), "items")
+    hits = each.join(known, "d").select(
+        "doc_id", "text_key", "n_words", F.lit(0).alias("is_row"), F.struct("at", "len").alias("hit"), "items"
+    )
+    markers = lowered.select(
+        "doc_id", "text_key", n_words, F.lit(1).alias("is_row"),
+        F.lit(None).cast(hits.schema["hit"].dataType).alias("hit"), F.lit(None).cast(hits.schema["items"].dataType).alias("items"),
+    )
+    return hits.unionByName(markers)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, text_key, n_words, n_hit, n_items, items, hits (positions of hit words), contaminated."""
     windows = write_table(benchmark_windows(benchmark, window), "bench-windows")
@@ -62,32 +117,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         F.sum(F.octet_length(F.array_join("gram", " ")) + 16 * F.size("gram") + 32 * F.size("items") + 64),
     ).first()
     lengths, held = list(row[0] or []), int(row[1] or 0)
-    windows = F.broadcast(windows) if held <= BROADCAST_BYTES else windows
 
     lowered = docs.select(
         "doc_id", F.xxhash64("text").alias("text_key"),
         words(ascii_lower(whole_text("text")), NON_WORD_CLASS).alias("ws"),
     )
-    marker = F.array(F.lit(None).cast("long"))  # keeps a row for documents without a hit
-    hashed = lowered.select(
-        "doc_id", "text_key", F.size("ws").alias("n_words"), "ws",
-        F.concat(marker, *[_hashes("ws", n) for n in lengths]).alias("hs"),
-    )
-    # the outer form: the inner one would add a filter on the array's size that recomputes it before the projection
-    scanned = hashed.select("doc_id", "text_key", "n_words", "ws", F.posexplode_outer("hs").alias("pos", "wh"))
-    # arrays of one length each: the window's first word (0-based) is (pos - 1) modulo n_words
-    at = F.pmod(F.col("pos") - 1, F.greatest(F.col("n_words"), F.lit(1)))
-    found = scanned.join(
-        windows, (F.col("wh") == F.col("h")) & (F.slice("ws", at + 1, F.greatest(F.col("len"), F.lit(1))) == F.col("gram")), "left"
-    ).filter(F.col("h").isNotNull() | (F.col("pos") == 0))
-    is_hit = F.col("h").isNotNull()
+    found = _looked_up(lowered, windows, lengths) if held <= BROADCAST_BYTES else _shuffled(lowered, windows, lengths)
     per_doc = (
-        found.select(
-            "doc_id", "text_key", "n_words",
-            (F.col("pos") == 0).cast("int").alias("is_row"),
-            F.when(is_hit, F.struct(at.alias("at"), "len")).alias("hit"),
-            F.when(is_hit, F.col("items")).alias("items"),
-        )
+        found
         .groupBy("doc_id", "text_key", "n_words")
         .agg(F.sum("is_row").alias("rows"), F.collect_set("hit").alias("hits"), F.collect_set("items").alias("items"))
     )

@@ -111,6 +111,18 @@ def test_contamination_matches_brute_force(spark):
     assert have == Counter((r[0], *brute.contamination(r[1], ITEMS)) for r in data)
 
 
+def test_contamination_beyond_the_broadcast_bound(spark, monkeypatch):
+    """The shuffle join gives the same rows and carries no document's words."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    bench = spark.createDataFrame([(i, t, "clash") for i, t in ITEMS], "item_id long, text string, ws string")
+    data = rows(CONTAMINATED) + [(None, *r[1:]) for r in rows(["short item here"])] * 2
+    got = decontaminate.contamination(frame(spark, data), bench)
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x]
+    assert joins and not any("ws#" in x for x in joins)
+    have = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], brute.sha(",".join(r["items"])), r["contaminated"]) for r in got.collect())
+    assert have == Counter((r[0], *brute.contamination(r[1], ITEMS)) for r in data)
+
+
 def test_decontaminated_documents_and_spans(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     data = rows(CONTAMINATED)
