@@ -6,8 +6,11 @@ check (octets, Luhn, digit count) are dropped.
 
 Bootstrapping.  Base matches are the seed instances.  The words around an
 instance induce lexical patterns: the two words before it, and the word
-before with the word after.  Other identifier-like tokens (with the look of a
-kind, outside base spans) are candidate instances of the same patterns.
+before with the word after.  Candidate instances of the same patterns are other
+identifier-like tokens (with the look of a kind, outside base spans) and cards
+and phones written in groups, without the + or a Luhn check; of candidates of
+one kind that lie in one another the longest counts.  The words around seeds
+and candidates alike are those of the text, whatever other matches stand there.
 Patterns and instances form a weighted graph, scored in rounds: a pattern's
 confidence is the mean score of its distinct instances, a candidate's score
 is the noisy-or of its patterns' confidences, and seeds keep score 1.  Only
@@ -62,8 +65,16 @@ LOOKS = {
     "card": r"^[0-9](?:-?[0-9]){11,18}$",
     "phone": r"^[+(]?[0-9](?:[().-]?[0-9]){6,14}$",
 }
+# Candidates written in groups of digits, by kind, and the digits they may have.
+SPANNED = {
+    "card": r"(?<![A-Za-z0-9])(?:[0-9]{4}(?:[\x20-][0-9]{4}){3}(?:[\x20-][0-9]{1,3})?|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}"
+    r"|[0-9]{2,6}(?:[\x20-][0-9]{2,6}){2,6})(?![A-Za-z0-9])",
+    "phone": r"(?<![A-Za-z0-9+(])(?:\+?[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{1,4}\)[\x20.-]?|[0-9]{2,5}[\x20.-])[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){0,4}(?![A-Za-z0-9])",
+}
+SPANNED_NEEDS = r"[0-9][\x20().-]{1,2}[0-9]"
+SPANNED_DIGITS = {"card": (12, 19), "phone": (7, 15)}
 _KEY = ["doc_id", "text_key"]
-_CONTEXT = 80  # characters of a gap that can hold the context words
+_CONTEXT = 80  # characters beside a match that can hold the context words
 
 
 def _digits(match: Column) -> Column:
@@ -88,7 +99,7 @@ def _valid(kind: Column, match: Column) -> Column:
 
 
 def _matches(text: Column, kind: str, pattern: str, needs: str) -> Column:
-    """All matches of a pattern: array of (kind, i, gap length, match, words before, words after).
+    """All matches of a pattern: array of (kind, i, gap length, match, gap before, gap after), gaps cut to ``_CONTEXT``.
 
     Splitting at the pattern gives the gaps between the same matches, so the
     running sum of gaps and matches is a match's position.
@@ -110,9 +121,10 @@ def _matches(text: Column, kind: str, pattern: str, needs: str) -> Column:
 
 
 def _all_matches(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_key, kind, start, end, match, before, after) of base matches and candidate tokens (kind "token")."""
+    """Rows (doc_id, text_key, kind, start, end, match, before, after) of base matches, candidate tokens (kind "token") and grouped candidates (kind "spanned_...")."""
     text = F.col("t")
     arrays = [_matches(text, k, PATTERNS[k], NEEDS[k]) for k in KINDS] + [_matches(text, "token", TOKEN, "[0-9@]")]
+    arrays += [_matches(text, f"spanned_{k}", p, SPANNED_NEEDS) for k, p in SPANNED.items()]
     none = F.array().cast("array<struct<kind:string,i:int,gap:int,match:string,before:string,after:string>>")
     rows = (
         docs.select("doc_id", F.xxhash64("text").alias("text_key"), whole_text("text").alias("t"))
@@ -123,8 +135,19 @@ def _all_matches(docs: DataFrame) -> DataFrame:
         .select(*_KEY, "m.*")
         .dropDuplicates([*_KEY, "kind", "i"])
     )
-    upto = F.sum(F.col("gap") + F.length("match")).over(Window.partitionBy(*_KEY, "kind").orderBy("i"))
-    return rows.withColumn("end", upto.cast("long")).withColumn("start", F.col("end") - F.length("match")).drop("gap", "i")
+    order = Window.partitionBy(*_KEY, "kind").orderBy("i")
+    upto = F.sum(F.col("gap") + F.length("match")).over(order)
+    # the context is that of the text: a short gap goes on with the matches beside it (each takes two characters at least)
+    many = _CONTEXT // 2
+    earlier = F.array_join(F.collect_list(F.concat("before", "match")).over(order.rowsBetween(-many, -1)), "")
+    later = F.array_join(F.collect_list(F.concat("match", "after")).over(order.rowsBetween(1, many)), "")
+    return (
+        rows.select("*", upto.cast("long").alias("end"), earlier.alias("earlier"), later.alias("later"))
+        .withColumn("before", F.right(F.concat("earlier", "before"), F.lit(_CONTEXT)))
+        .withColumn("after", F.left(F.concat("after", "later"), F.lit(_CONTEXT)))
+        .withColumn("start", F.col("end") - F.length("match"))
+        .drop("gap", "i", "earlier", "later")
+    )
 
 
 def _context(rows: DataFrame) -> DataFrame:
@@ -143,25 +166,35 @@ def _context(rows: DataFrame) -> DataFrame:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Identifier-like tokens outside base spans, trimmed, one row per kind they look like."""
-    base = rows.filter("kind <> 'token'").select(*_KEY, "start", "end", F.lit(True).alias("is_base"), F.lit(None).cast("string").alias("match"), "patterns")
+    """Identifier-like tokens (trimmed) and grouped candidates outside base spans, one row per kind they look like."""
+    base = rows.filter(F.col("kind").isin(*KINDS)).select(*_KEY, "start", "end", F.lit(True).alias("is_base"), F.lit(None).cast("string").alias("match"), "patterns", F.array().cast("array<string>").alias("kinds"))
     core = F.regexp_extract("match", r"[+(]?[A-Za-z0-9](?:.*[A-Za-z0-9])?", 0)
     lead = F.length(F.regexp_extract("match", r"^[^A-Za-z0-9]*?(?=[+(]?[A-Za-z0-9])", 0))
+    looks = F.array_compact(F.array(*[F.when(F.col("match").rlike(LOOKS[k]), F.lit(k)) for k in KINDS]))
     tokens = (
         rows.filter("kind = 'token'")
         .select(*_KEY, (F.col("start") + lead).alias("start"), core.alias("match"), "patterns")
-        .select(*_KEY, "start", (F.col("start") + F.length("match")).alias("end"), F.lit(False).alias("is_base"), "match", "patterns")
-        .filter("match <> '' and size(patterns) > 0")
+        .select(*_KEY, "start", (F.col("start") + F.length("match")).alias("end"), F.lit(False).alias("is_base"), "match", "patterns", looks.alias("kinds"))
+        .filter("match <> ''")
+    )
+    n, enough = F.length(_digits(F.col("match"))), F.lit(False)
+    for k, (low, high) in SPANNED_DIGITS.items():
+        enough = enough | ((F.col("kind") == f"spanned_{k}") & n.between(low, high))
+    spanned = rows.filter(enough).select(
+        *_KEY, "start", "end", F.lit(False).alias("is_base"), "match", "patterns", F.array(F.substring_index("kind", "_", -1)).alias("kinds")
     )
     order = Window.partitionBy(*_KEY).orderBy("start", "end")
     behind = F.max(F.when(F.col("is_base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     ahead = F.min(F.when(F.col("is_base"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     free = (
-        base.unionByName(tokens).withColumn("behind", behind).withColumn("ahead", ahead)
+        base.unionByName(tokens.unionByName(spanned).filter("size(patterns) > 0 and size(kinds) > 0")).withColumn("behind", behind).withColumn("ahead", ahead)
         .filter("not is_base and coalesce(behind, 0) <= start and (ahead is null or ahead >= end)")
     )
-    looks = F.array_compact(F.array(*[F.when(F.col("match").rlike(LOOKS[k]), F.lit(k)) for k in KINDS]))
-    return free.select(*_KEY, "start", "end", "match", "patterns", F.explode(looks).alias("kind"))
+    wider = Window.partitionBy(*_KEY, "kind").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        free.select(*_KEY, "start", "end", "match", "patterns", F.explode("kinds").alias("kind"))
+        .withColumn("reach", F.max("end").over(wider)).filter("reach is null or reach < end").drop("reach")
+    )
 
 
 def _confident_patterns(seeds: DataFrame, candidates: DataFrame, min_seeds: int, min_confidence: float) -> DataFrame:
@@ -191,9 +224,9 @@ def _confident_patterns(seeds: DataFrame, candidates: DataFrame, min_seeds: int,
 def find_spans(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """doc_id, text_key, kind, start, end, match, is_base of every span (one set per distinct id and text)."""
     rows = write_table(_context(_all_matches(docs)), "pii-matches")
-    base = rows.filter(F.col("kind") != "token").filter(_valid(F.col("kind"), F.col("match")))
+    base = rows.filter(F.col("kind").isin(*KINDS)).filter(_valid(F.col("kind"), F.col("match")))
     valid = base.select(*_KEY, "kind", "start", "end", "match", "patterns")
-    candidates = write_table(_candidates(valid.unionByName(rows.filter("kind = 'token'").select(*valid.columns))), "pii-candidates")
+    candidates = write_table(_candidates(valid.unionByName(rows.filter(~F.col("kind").isin(*KINDS)).select(*valid.columns))), "pii-candidates")
     good = _confident_patterns(valid, candidates, min_seeds, min_confidence)
     found = (
         candidates.select(*_KEY, "kind", "start", "end", "match", F.explode("patterns").alias("pattern"))

@@ -174,6 +174,29 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     assert cut[0] == "please call me at [PHONE] today" and cut[8] == cut[0] and cut[9] == unseen[1] and cut[10] is None
 
 
+def test_contexts_find_identifiers_written_in_groups(spark):
+    def card(i):  # the last digit makes the number pass Luhn
+        stem = f"453957876362{i:03d}"
+        return next(stem + str(d) for d in range(10) if brute.luhn(stem + str(d)))
+
+    seeds = [f"please call me at +1 (487) 555-72{i:02d} today" for i in range(4)] + [f"she paid with card {card(i)} yesterday" for i in range(4)]
+    wrong = "4539 5787 6362 1487"
+    assert not brute.luhn(wrong.replace(" ", ""))
+    unseen = [
+        "please call me at (487) 555-7209 today", "please call me at 487 555 7209 today", f"she paid with card {wrong} yesterday",
+        "on 12 may please call me at (487) 555-7209 today", "the part (487) 555-7209 is sold out",
+        "call me at +1 (487) 555-7203, please call me at 555-0199 today",
+    ]
+    got = {r["doc_id"]: r["spans"] for r in pii.scan(frame(spark, rows(seeds + unseen))).collect()}
+    assert [got[8 + i] for i in range(6)] == [
+        "phone:18:32", "phone:18:30", "card:19:38", "phone:28:42", "", "phone:11:28,phone:48:56",
+    ]
+    # the words before a match are those of the text, also across another match of its kind
+    near = [f"call +1 (487) 555-72{i:02d}/+1 (487) 555-73{i:02d} now" for i in range(4)]
+    found = pii._context(pii._all_matches(frame(spark, rows(near)))).filter("kind = 'phone'").collect()
+    assert len(found) == 8 and {tuple(r["patterns"]) for r in found} == {("call _ now",)}
+
+
 def test_redaction_joins_overlapping_spans(spark):
     said = f"é +{CARD[:15]} x {CARD}, a@1.2.3.4 b@c.d"
     docs = frame(spark, rows([said, "clean"]))
