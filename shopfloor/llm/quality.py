@@ -9,7 +9,8 @@ of them in numpy, one array step per level.
 
 The classifier is fitted on at most ``TRAIN_ROWS`` labelled rows, chosen by a
 hash of the id (a documented bound: 30,000 rows of 28 floats reach the
-driver).  Scoring covers every text as a whole.
+driver, also where one id stands on many document rows: equal rows of an id
+are learned from once, and the bound holds again after the join).  Scoring covers every text as a whole.
 
 Defined cases: null text is read as empty; empty texts get the score their
 statistics get; rows with a null id or label are not learned from; labels of
@@ -169,16 +170,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
         F.col("quality").isin(0, 1) & F.coalesce(fold("doc_id", FOLDS) != HELD_OUT, F.lit(False))
     ).select(F.col("doc_id").alias("l_id"), "quality")
     picked = usable.withColumn("o", F.xxhash64(F.lit("quality-sample"), "l_id")).orderBy("o", "l_id", "quality").limit(rows)
+    picked = picked.groupBy("l_id", "quality").agg(F.count(F.lit(1)).alias("n"))
     texts = docs.select("doc_id", whole_text("text").alias("text"))
     # the sample is bounded by ``rows``, so it goes to the texts and no text is shuffled
-    joined = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("quality", "l_id", "text")
+    joined = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("quality", "l_id", "n", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _measure(batch.column("text"))
-            yield pa.record_batch([batch.column("quality"), batch.column("l_id"), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "id", "x"])
+            yield pa.record_batch([batch.column("quality"), batch.column("l_id"), batch.column("n"), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "id", "n", "x"])
 
-    found = joined.mapInArrow(measure, "y int, id long, x array<double>").toArrow()
+    measured = joined.mapInArrow(measure, "y int, id long, n long, x array<double>").distinct()
+    each = measured.select("y", "id", "x", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("copy")).drop("copy")
+    found = each.orderBy(F.xxhash64(F.lit("quality-sample"), "id", "x"), "id", "y", "x").limit(rows).toArrow()
     if not found.num_rows:
         return fit(np.zeros((0, FEATURES)), np.zeros(0))
     x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)

@@ -302,3 +302,16 @@ def test_wrapped_headers_and_license_texts(spark):
     frame = spark.createDataFrame([(p, t) for p, (_, t) in files.items()] + [("three/x.py", code)], "path string, text string")
     got = {r["path"]: (r["license"], r["how"]) for r in licenses.scan(frame).collect()}
     assert got == {**{p: (k, "own") for p, (k, _) in files.items()}, "three/x.py": ("BSD-3-Clause", "inherited")}
+
+
+def test_quality_sample_is_bounded_after_the_join(spark, monkeypatch):
+    """One labelled id on many document rows: equal rows count once, different ones up to the bound."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(y)))
+    free = spark.range(50).filter(quality.fold("id", quality.FOLDS) != quality.HELD_OUT).first()[0]
+    labels = spark.createDataFrame([(free, 1), (free, 1)], "doc_id long, quality int")
+    same = spark.createDataFrame([(free, "the same text")] * 40, "doc_id long, text string")
+    other = spark.createDataFrame([(free, "word " * (i + 1)) for i in range(40)], "doc_id long, text string")
+    quality.train(same, labels, rows=10)
+    quality.train(other, labels, rows=10)
+    assert seen == [2, 10]
