@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.materialize import write_table
 from ..session import ensure_checkpoint_dir
-from . import chat, decontaminate, langid, licenses, mixing, neardup, pii, quality, tokens, topk
+from . import chat, collocations, decontaminate, langid, lexical, licenses, mixing, neardup, packing, pii, quality, tokens, topk
 from .common import keys_side, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,3 +242,75 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return langid.identify(read(spark, sf_dir, "documents"))
+
+
+@register("op11_packing")
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 1024 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
+
+
+_TERMS = (
+    r"list_filter(regexp_split_to_array(" + _LOWER.format("coalesce({0}, '')")
+    + r", '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+)
+
+
+@register(
+    "op12_lexical_search",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format('text')} AS ts FROM documents),
+    u AS (SELECT r, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM d),
+    c AS (SELECT count(*)::BIGINT AS nn, sum(len(ts))::BIGINT AS ll FROM d WHERE len(ts) > 0),
+    tf AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*)::BIGINT AS tf FROM u GROUP BY r, term),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    i AS (SELECT DISTINCT item_id, unnest({_TERMS.format('text')}) AS term FROM benchmark),
+    w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, c),
+    s AS (
+      SELECT i.item_id, tf.r, any_value(tf.doc_id) AS doc_id,
+             sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * tf.n * nn) // ll))))::BIGINT AS score
+      FROM i JOIN w USING (term) JOIN tf USING (term), c GROUP BY i.item_id, tf.r)
+    SELECT item_id, rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+    WHERE rank <= 10
+    """,
+)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@register(
+    "op13_collocations",
+    f"""
+    WITH p AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents),
+    w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+    tot AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+    f AS (
+      SELECT lang, k, phrase, count(*)::BIGINT AS a
+      FROM (SELECT lang, k, array_to_string(list_slice(ws, p0, p0 + k - 1), ' ') AS phrase
+            FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS p0 FROM w, (SELECT unnest(range(1, 5)) AS k) WHERE len(ws) >= k))
+      GROUP BY lang, k, phrase HAVING count(*) >= 30),
+    c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+    cuts AS (
+      SELECT lang, phrase, k, a, ws, cut, array_to_string(list_slice(ws, 1, cut), ' ') AS head, array_to_string(list_slice(ws, cut + 1, k), ' ') AS rest
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+    sc AS (
+      SELECT cuts.*, h.a AS l, t.a AS r, ((2000000::HUGEINT * cuts.a) // (h.a + t.a))::BIGINT AS score
+      FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = cuts.head JOIN f t ON t.lang = cuts.lang AND t.phrase = cuts.rest),
+    low AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    inside AS (
+      SELECT lang, array_to_string(list_slice(ws, p0, p0 + m - 1), ' ') AS phrase, max(a) AS around
+      FROM (SELECT *, unnest(range(1, k - m + 2)) AS p0 FROM (SELECT *, unnest(range(2, k)) AS m FROM c))
+      GROUP BY ALL),
+    kept AS (SELECT low.* FROM low LEFT JOIN inside USING (lang, phrase) WHERE NOT coalesce(100::HUGEINT * around >= 80::HUGEINT * a, false))
+    SELECT lang, rank, phrase, a, l, r, n, score
+    FROM (SELECT kept.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN tot USING (lang)
+    WHERE rank <= 2000
+    """,
+)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two to four words of every language."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -126,3 +127,56 @@ def mix(docs: list[tuple], seed: str = "mix-v1", epochs: int = 3) -> Counter:
         seen[s] += n
         out[(doc_id, n, size[s], taken)] += 1
     return out
+
+
+def terms(text: str | None) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", ascii_lower(text or ""))
+
+
+def search(docs: list[tuple], items: list[tuple], top: int = 10) -> list[tuple]:
+    """(item_id, rank, doc_id, score); ids None rank last."""
+    counted = [(d, Counter(terms(t))) for d, t in docs]
+    n_docs, total = sum(1 for _, c in counted if c), sum(sum(c.values()) for _, c in counted)
+    df = Counter(t for _, c in counted for t in c)
+    wanted = defaultdict(set)
+    for i, text in items:
+        wanted[i] |= set(terms(text))
+    out = []
+    for i, ts in wanted.items():
+        scored = []
+        for d, c in counted:
+            m = 10 + 90 * sum(c.values()) * n_docs // total if total else 0
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * m))
+                for t in ts if c[t]
+            )
+            if score > 0:
+                scored.append((-score, d is None, d or 0, d))
+        out += [(i, k + 1, s[3], -s[0]) for k, s in enumerate(sorted(scored, key=lambda s: s[:3])[:top])]
+    return out
+
+
+def collocations(docs: list[tuple], min_count: int = 30, longest: int = 4, top: int = 2000) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text)."""
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", ascii_lower(text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                f[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, counts in f.items():
+        found = {p: a for p, a in counts.items() if len(p) > 1 and a >= min_count}
+        rows = []
+        for p, a in found.items():
+            if any(
+                len(q) > len(p) and 100 * b >= 80 * a and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, b in found.items()
+            ):
+                continue
+            score, _, left, right = min((2_000_000 * a // (counts[p[:k]] + counts[p[k:]]), k, counts[p[:k]], counts[p[k:]]) for k in range(1, len(p)))
+            rows.append((-score, -a, " ".join(p).encode(), left, right))
+        for rank, (s, a, phrase, left, right) in enumerate(sorted(rows)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n[lang], -s))
+    return out
