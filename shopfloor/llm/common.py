@@ -56,6 +56,14 @@ def bound_text_batches(spark: SparkSession) -> None:
 BROADCAST_ROWS = 2_000_000
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keys_side(keys: DataFrame, name: str) -> DataFrame:
     """A side of distinct keys, written once and counted: broadcast up to BROADCAST_ROWS, joined by shuffle beyond."""
     written = write_table(keys.distinct(), name)

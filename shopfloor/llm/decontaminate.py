@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import write_table
-from .common import NON_WORD_CLASS, ascii_lower, keys_side, whole_text, words
+from .common import NON_WORD_CLASS, ascii_lower, fresh, keys_side, whole_text, words
 
 WINDOW = 13
 BROADCAST_BYTES = 64 << 20
@@ -146,30 +146,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, unchanged, with all their columns."""
     found = contamination(docs, benchmark, window).filter("contaminated")
-    bad = keys_side(found.select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")), "bench-contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64("text") == F.col("__bad_key"))
+    bad_id, bad_key = fresh(docs, "bad_id"), fresh(docs, "bad_key")
+    bad = keys_side(found.select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)), "bench-contaminated")
+    same = F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_key))
     return docs.join(bad, same, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with every hit word, and the separator after it, cut out of ``text``."""
+    bad_id, bad_key, hits, parts, gaps = (fresh(docs, n) for n in ("bad_id", "bad_key", "hits", "parts", "gaps"))
     found = contamination(docs, benchmark, window).filter("n_hit > 0").select(
-        F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key"), F.col("hits").alias("__hits"),
-    ).dropDuplicates(["__bad_id", "__bad_key"])
-    same = F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64("text") == F.col("__bad_key"))
+        F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key), F.col("hits").alias(hits),
+    ).dropDuplicates([bad_id, bad_key])
+    same = F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_key))
     joined = docs.join(found, same, "left")
     # lower-casing A-Z keeps every position, so the words and gaps of the text itself line up with the hits;
     # a leading gap of "" keeps the two arrays aligned (gap i stands before word i)
     token = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    parts, gaps = F.regexp_extract_all("text", F.lit(token), F.lit(0)), F.split("text", token)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__hits"))
+    found_parts, found_gaps = F.regexp_extract_all("text", F.lit(token), F.lit(0)), F.split("text", token)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(hits))
     rebuilt = F.concat(
-        F.element_at("__gaps", 1),
-        F.array_join(F.transform(kept, lambda i: F.concat(F.get("__parts", i), F.get("__gaps", i + 1))), ""),
+        F.element_at(gaps, 1),
+        F.array_join(F.transform(kept, lambda i: F.concat(F.get(parts, i), F.get(gaps, i + 1))), ""),
     )
     return (
-        joined.withColumn("__parts", F.when(F.col("__hits").isNotNull(), parts))
-        .withColumn("__gaps", F.when(F.col("__hits").isNotNull(), gaps))
-        .withColumn("text", F.when(F.col("__hits").isNotNull(), rebuilt).otherwise(F.col("text")))
+        joined.withColumn(parts, F.when(F.col(hits).isNotNull(), found_parts))
+        .withColumn(gaps, F.when(F.col(hits).isNotNull(), found_gaps))
+        .withColumn("text", F.when(F.col(hits).isNotNull(), rebuilt).otherwise(F.col("text")))
         .select(*docs.columns)
     )

@@ -9,6 +9,13 @@ Text is lower-cased; every run of non-letters counts as one blank.  All
 labelled training rows and all of each text are used; long texts are read in
 overlapping slices, so memory is bounded.
 
+The posterior says which learned language fits best, not whether it fits.
+``keep_identified`` therefore also asks how far a text's mean log-probability
+a gram lies below what that language's own grams give on average, in standard
+deviations of one gram and allowing ``CHANCE / sqrt(grams)`` for short texts:
+a text in a language that was not learned, or keyboard junk, lies beyond
+``MAX_STRANGE``.
+
 Defined cases: null text or text without a letter: ``und`` with score 0;
 rows with a null id or null language are never learned from (they are
 predicted; held_out is false for a null id); ties go to the language that is
@@ -26,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_text_batches, fold
+from .common import bound_text_batches, fold, fresh
 
 ORDERS = (1, 2, 3)
 BITS = 15
@@ -35,6 +42,7 @@ ALPHA = 0.1  # additive smoothing
 SLICE = 1 << 18  # characters handled at once
 UNDETERMINED = "und"
 MIN_SCORE = 0.3  # below this a document's language counts as rejected: short texts of one language stay well above
+MAX_STRANGE, CHANCE = 2.0, 3.0
 FOLDS, HELD_OUT = 4, 2
 
 _U64 = np.uint64
@@ -100,15 +108,26 @@ class Model:
         smooth = counts + ALPHA
         self.logp = np.ascontiguousarray(np.log(smooth / smooth.sum(axis=0)).astype(np.float32)) if langs else counts
         self.prior = np.log(docs / docs.sum()) if langs else docs
+        # mean and deviation of the log-probability of a language's own grams
+        share = np.exp(self.logp, dtype=np.float64) if langs else counts
+        self.usual = (share * self.logp).sum(axis=0)
+        self.spread = np.sqrt((share * (self.logp - self.usual) ** 2).sum(axis=0))
 
-    def predict(self, text: str) -> tuple[str, float]:
+    def judge(self, text: str) -> tuple[str, float, float]:
+        """Language, posterior, and how strange the text is for that language (0: as usual)."""
         if not self.langs:
-            return UNDETERMINED, 0.0
-        total = self.prior.copy()
+            return UNDETERMINED, 0.0, 0.0
+        total, grams = self.prior.copy(), 0
         for found in gram_buckets(text):
             total += self.logp[found].sum(axis=0, dtype=np.float64)
+            grams += len(found)
         best = int(np.argmax(total))
-        return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+        below = self.usual[best] - (total[best] - self.prior[best]) / max(grams, 1)
+        strange = below / max(self.spread[best], 1e-9) - CHANCE / np.sqrt(max(grams, 1))
+        return self.langs[best], float(1.0 / np.exp(total - total[best]).sum()), float(strange)
+
+    def predict(self, text: str) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def train(docs: DataFrame) -> Model:
@@ -165,19 +184,20 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs))
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents whose language is determined with at least ``min_score``, with all their columns."""
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, max_strange: float = MAX_STRANGE) -> DataFrame:
+    """The documents whose language is determined with at least ``min_score`` and not too strange for it, with all their columns."""
     model = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    has_letter = fresh(docs, "has_letter")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             good = []
-            for text, ok in zip(batch.column("text"), batch.column("__has_letter"), strict=True):
-                lang, score = model.predict(text.as_py()) if ok.as_py() else (UNDETERMINED, 0.0)
-                good.append(lang != UNDETERMINED and score >= min_score)
-            yield batch.drop_columns(["__has_letter"]).filter(pa.array(good, pa.bool_()))
+            for text, ok in zip(batch.column("text"), batch.column(has_letter), strict=True):
+                lang, score, strange = model.judge(text.as_py()) if ok.as_py() else (UNDETERMINED, 0.0, 0.0)
+                good.append(lang != UNDETERMINED and score >= min_score and strange <= max_strange)
+            yield batch.drop_columns([has_letter]).filter(pa.array(good, pa.bool_()))
 
-    marked = docs.withColumn("__has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    marked = docs.withColumn(has_letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return marked.mapInArrow(keep, docs.schema)

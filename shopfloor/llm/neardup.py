@@ -8,23 +8,28 @@ similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS: at 0.85,
 a pair is missed once in about four million.
 
 1. One scan gives every document its set size, a 128-bit fingerprint of its
-   set and its band keys.  Documents with equal sets form a class, stood for
-   by its smallest id; only class representatives are banded.
-2. In every bucket each member is paired with the bucket's smallest id, its
-   hub (a star, not all pairs), and compared with it on the full sets.
-3. Members linked to the same hub are connected.  Any other pair of a star is
-   found by an exact prefix join on the members' differences from the hub and
-   confirmed on them, so every pair that shares a bucket is either confirmed
-   or already connected, whatever the bucket's size: no cap drops a pair.
-4. Linked documents are joined into components.
+   set and its band keys.  Rows with equal sets form a class; only one row of
+   a class is banded.
+2. In every bucket each member is paired with the bucket's hub (a star, not
+   all pairs) and compared with it on the full sets.  The hub is the member
+   that meets most others over all its buckets: the text that others were
+   copied from, where there is one.
+3. Buckets that still hold two components are dealt again: their members go to
+   finer buckets by one further (later) band, each with a hub of its own, and
+   so on until no bucket holds two components.  A bucket of two is always
+   compared, whatever its size a bucket costs one comparison a member, and
+   nothing is capped.  A pair at 0.85 that shares two bands or more (all but
+   about 5 in a million) stays together in ever smaller buckets.
+4. Linked classes are joined into components, named by their smallest id.
 
 Sets are compared as sets of 64-bit shingle hashes.
 
 Defined cases: null text or text without words: empty set, linked with
 nothing; fewer than five words: the whole sequence is one shingle; a null id
 takes no part in linking (component null, kept); rows that repeat an id are
-each judged by their own set (sets that stand under one id count as linked);
-an empty table gives no rows; extra columns are ignored.
+each judged by their own set alone (an id does not link its rows), and where a
+group's smallest id stands on several rows ``drop_near_duplicates`` keeps one;
+an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +39,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import write_table
-from .common import bound_text_batches, keys_side
+from .common import bound_text_batches, fresh, keys_side
 from .components import components
 
 SHINGLE = 5
@@ -116,137 +121,128 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sizes, prints, bands = batch.column(0), [], [], []
-        for text in batch.column(1).cast(pa.binary()):
+        sizes, prints, bands = [], [], []
+        for text in batch.column(2).cast(pa.binary()):
             s = shingle_set(text.as_py())
             sizes.append(len(s))
             prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             bands.append(band_keys(s).view(np.int64) if len(s) else None)
         yield pa.record_batch(
-            [ids, pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "print", "bands"],
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            names=["doc_id", "text_key", "n_shingles", "print", "bands"],
         )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, print (fingerprint of the set, null when empty), bands."""
+    """doc_id, text_key (hash of the text), n_shingles, print (fingerprint of the set, null when empty), bands."""
     bound_text_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, "doc_id long, n_shingles long, print binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(_sign, "doc_id long, text_key long, n_shingles long, print binary, bands array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            found = [shingle_set(t.as_py()).view(np.int64) for t in part.column(1).cast(pa.binary())]
-            yield pa.record_batch([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
-
-
-def differences(docs: DataFrame, stars: DataFrame) -> DataFrame:
-    """Of every star pair (x, hub): nx, nh, what x's set has beyond the hub's, what it lacks, and whether they are linked.
-
-    Only the sets of documents in a pair leave the scan of the texts.
-    """
-    wanted = keys_side(stars.select(F.col("x").alias("w")).union(stars.select("hub")), "dedup-wanted")
+            found = [shingle_set(t.as_py()) for t in part.column(1).cast(pa.binary())]
+            prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in found]
+            yield pa.record_batch(
+                [part.column(0), pa.array(prints, pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
+                names=["id", "set_print", "set"],
+            )
+
+
+def _class_sets(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, set of the classes that share a bucket; only those leave the scan of the texts."""
+    nodes = members.select("node").distinct().join(classes, "node").select("node", "rep", "print")
+    wanted = keys_side(nodes.select(F.col("rep").alias("w")), "dedup-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("w"), "left_semi")
-    sets = write_table(texts.mapInArrow(_sets, "id long, set array<long>"), "dedup-sets")
-    both = stars.join(sets.toDF("x", "xs"), "x").join(sets.toDF("hub", "hs"), "hub")
-    return (
-        both.select(
-            "hub", "x", F.size("xs").alias("nx"), F.size("hs").alias("nh"),
-            F.sort_array(F.array_except("xs", "hs")).alias("added"), F.sort_array(F.array_except("hs", "xs")).alias("lacking"),
-        )
-        .withColumn("nd", F.size("added") + F.size("lacking"))
-        .withColumn("linked", _linked("nx", "nh", F.col("nd")))
-    )
-
+    found = texts.mapInArrow(_sets, "id long, set_print binary, set array<long>")
+    placed = found.join(nodes, (F.col("id") == F.col("rep")) & (F.col("set_print") == F.col("print"))).select("node", "set")
+    return write_table(placed.dropDuplicates(["node"]), "dedup-sets")
 
-def _linked(n: str, m: str, apart: Column) -> Column:
-    """Whether sets of n and m shingles, ``apart`` of which are in one set only, reach PERCENT of their union."""
-    both = F.col(n) + F.col(m)
-    return 100 * (both - apart) >= PERCENT * (both + apart)
-
-
-_SKETCH = ["b0", "b1", "b2", "b3"]
-
-
-def _hub_links(diffs: DataFrame) -> DataFrame:
-    """Links (x, y) between members of one star that are not yet in one component (so not both linked to its hub).
-
-    The sets of x and y are apart by what their differences from the hub are
-    apart.  With d, d' the sizes of the differences (d <= d'), a link needs
-    them to share more than a number that grows with d, so they must share an
-    element of x's first elements in any fixed order (prefix filter).  Taking
-    the elements that the hub lacks first makes that prefix rare.
-
-    Let a link allow the sets to be apart by T = (100 - P) (nx + ny) / (100 + P).
-    Sharing o elements, they are d + d' - 2 o apart, hence o >= (d + d' - T) / 2.
-    Whoever of the two is not linked to the hub is more than
-    (100 - P) (n + nh) / (100 + P) from it; put in, o is more than half of the
-    other's difference plus (100 - P) (nh - n) / (100 + P), n its size.
-    """
-    a, b = 100 - PERCENT, 100 + PERCENT
-    open_stars = keys_side(diffs.filter(~F.col("linked")).select(F.col("hub").alias("oh")), "dedup-open")
-    rows = diffs.join(open_stars, F.col("hub") == F.col("oh"), "left_semi").withColumn("d", F.concat("added", "lacking"))
-    # a bit map of the difference: bits that differ are at least as many shingles apart, which refutes most pairs in the join
-    bit = "shiftleft(1L, cast(shiftrightunsigned(e, 2) & 63 AS int))"
-    rows = rows.withColumns({b: F.expr(f"aggregate(filter(d, e -> (e & 3) = {i}), 0L, (a, e) -> a | {bit})") for i, b in enumerate(_SKETCH)})
-    # x as the smaller difference: the least overlap of a link
-    apart = F.floor(F.lit(a) * (F.col("nx") + F.floor(100 * F.col("nx") / PERCENT)) / b)  # T at the largest partner
-    if_linked = F.floor((b * F.col("nd") + a * (F.col("nh") - F.col("nx"))) / (2 * b)) + 1  # the partner is not linked
-    if_not = F.greatest(F.col("nd") - F.floor(apart / 2), F.floor((b - a) * F.col("nd") / (2 * b)) + 1)
-    least = F.greatest(F.when(F.col("linked"), if_linked).otherwise(if_not), F.lit(1))
-    index = rows.select(
-        "hub", "x", "nx", "nd", "c", *_SKETCH, F.explode(F.slice("d", F.lit(1), (F.col("nd") - least + 1).cast("int"))).alias("e")
-    )
-    probe = rows.select("hub", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("nd").alias("nd2"), F.col("c").alias("c2"), *[F.col(b).alias(f"{b}_2") for b in _SKETCH], F.explode("d").alias("e"))
-    differing = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_2"))) for b in _SKETCH), F.lit(0))
-    met = (
-        index.join(probe, ["hub", "e"])
-        .filter((F.col("nd") < F.col("nd2")) | ((F.col("nd") == F.col("nd2")) & (F.col("x") < F.col("y"))))
-        .filter((F.col("c") != F.col("c2")) & _linked("nx", "ny", differing))
-        .select("hub", "x", "y").distinct()
-    )
-    left = rows.select("hub", "x", "nx", "nd", "added", "lacking")
-    right = rows.select("hub", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("nd").alias("nd2"), F.col("added").alias("added2"), F.col("lacking").alias("lacking2"))
-    shared = F.size(F.array_intersect("added", "added2")) + F.size(F.array_intersect("lacking", "lacking2"))
-    return met.join(left, ["hub", "x"]).join(right, ["hub", "y"]).filter(
-        _linked("nx", "ny", F.col("nd") + F.col("nd2") - 2 * shared)
-    ).select("x", "y")
 
-
-def _labels(docs: DataFrame, banded: DataFrame) -> DataFrame:
-    """node, component over all links between representatives that share a bucket; banded holds (rep, k)."""
-    hubs = banded.groupBy("k").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("k", "hub")
-    stars = write_table(banded.join(hubs, "k").filter("rep <> hub").select(F.col("rep").alias("x"), "hub").distinct(), "dedup-stars")
-    diffs = write_table(differences(docs, stars), "dedup-differences")
-    links = diffs.filter("linked").select("x", F.col("hub").alias("y"))
-    first = components(links, "x", "y")
-    placed = diffs.join(first, F.col("x") == F.col("node"), "left").withColumn("c", F.coalesce("component", "x")).drop("node", "component")
-    return components(links.union(_hub_links(write_table(placed, "dedup-placed"))), "x", "y")
+def _compared(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """The star pairs (x, hub) whose sets are linked."""
+    both = stars.join(sets.toDF("x", "xs"), "x").join(sets.toDF("hub", "hs"), "hub")
+    shared = F.size(F.array_intersect("xs", "hs"))
+    return both.filter(100 * shared >= PERCENT * (F.size("xs") + F.size("hs") - shared)).select("x", "hub")
+
+
+def _links(docs: DataFrame, members: DataFrame, classes: DataFrame, banded: DataFrame) -> DataFrame:
+    """x, hub over all links between classes that share a bucket; members holds (k, last, node), banded (node, bands)."""
+    weights = write_table(members.groupBy("node").agg(F.sum("size").alias("weight")), "dedup-weights")
+    members = write_table(members.join(weights, "node").select("k", "last", "node", "weight"), "dedup-members")
+    sets = _class_sets(docs, members, classes)
+    links, seen, place = None, None, weights.select("node", F.col("node").alias("c"))
+    while True:
+        hubs = members.groupBy("k").agg(F.max(F.struct("weight", -F.col("node"))).alias("h")).select("k", (-F.col("h.col2")).alias("hub"))
+        stars = members.join(hubs, "k").filter("node <> hub").select(F.col("node").alias("x"), "hub").distinct()
+        if seen is not None:
+            stars = stars.join(seen, ["x", "hub"], "left_anti")
+        stars = write_table(stars, "dedup-stars")
+        seen = stars if seen is None else seen.union(stars)
+        found = write_table(_compared(stars, sets), "dedup-links")
+        links = found if links is None else links.union(found)
+        named = components(links, "x", "hub")
+        place = weights.select("node").join(named, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
+        placed = write_table(members.join(place, "node"), "dedup-placed")
+        # buckets of two have been compared
+        still = placed.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b and n > 2").select("k")
+        open_ = placed.join(still, "k", "left_semi").select("k", "last", "node", "weight")
+        dealt = open_.join(banded, "node").select("k", "last", "node", "weight", F.posexplode("bands").alias("at", "band")).filter("at > last")
+        # the same set of bands gives the same key
+        dealt = write_table(dealt.select(F.xxhash64("k", "band").alias("k"), F.col("at").alias("last"), "node", "weight").distinct(), "dedup-dealt")
+        shared = dealt.join(place, "node").groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("k")
+        members = write_table(dealt.join(shared, "k", "left_semi"), "dedup-members")
+        if members.isEmpty():
+            return links
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, print, c (its group), component_id of every row."""
+    signed = write_table(signatures(docs), "dedup-signatures")
+    usable = signed.filter("print is not null and doc_id is not null")
+    classes = usable.groupBy("print").agg(F.min("doc_id").alias("rep"))
+    # a class goes by its smallest id; where several classes have the same one, the others by a hash
+    first = classes.groupBy("rep").agg(F.min("print").alias("first"))
+    named = classes.join(first, "rep").select("print", "rep", F.when(F.col("print") == F.col("first"), F.col("rep")).otherwise(F.xxhash64("rep", "print")).alias("node"))
+    classes = write_table(named, "dedup-classes")
+    own = usable.select("doc_id", F.col("print").alias("p"), "bands").join(classes, (F.col("doc_id") == F.col("rep")) & (F.col("p") == F.col("print")))
+    keys = own.select("node", F.posexplode("bands").alias("last", "k"))
+    sizes = keys.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("size")).filter("a <> b").select("k", "size")
+    members = write_table(keys.join(sizes, "k").select("k", "last", "node", "size").distinct(), "dedup-buckets")
+    banded = own.join(members.select("node").distinct(), "node", "left_semi").select("node", "bands").dropDuplicates(["node"])
+    links = _links(docs, members, classes, write_table(banded, "dedup-bands"))
+    joined = classes.join(components(links, "x", "hub"), "node", "left").select("print", "rep", F.coalesce("component", "node").alias("c"))
+    names = joined.groupBy("c").agg(F.min("rep").alias("component_id"))
+    named = write_table(joined.join(names, "c").select("print", "c", "component_id"), "dedup-components")
+    rows = signed.select("doc_id", "text_key", "n_shingles", "print").join(named, "print", "left")
+    return rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
-    signed = write_table(signatures(docs), "dedup-signatures")
-    usable = signed.filter("print is not null and doc_id is not null")
-    classes = write_table(usable.groupBy("print").agg(F.min("doc_id").alias("rep")), "dedup-classes")
-    banded = usable.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(
-        F.col("doc_id").alias("rep"), F.explode("bands").alias("k")
-    )
-    named = classes.join(_labels(docs, banded), F.col("rep") == F.col("node"), "left").select(
-        "print", F.coalesce("component", "rep").alias("rep")
-    )
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
-    return (
-        signed.select("doc_id", "n_shingles", "print")
-        .join(named, "print", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+    return _grouped(docs).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their group (its smallest id), with all their columns."""
-    gone = keys_side(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone_id")), "dedup-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
+    """One document of every group (its smallest id), with all its columns; documents without a set all stay."""
+    rows = _grouped(docs).filter("c is not null and doc_id is not null")
+    groups = rows.groupBy("c", "component_id", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("print"))
+    groups = write_table(groups, "dedup-groups")
+    # rows that repeat an id may stand in different groups, so a row goes by its id and text
+    stay = groups.filter("doc_id = component_id").groupBy("c").agg(F.min(F.struct("print", "text_key")).alias("s"))
+    marked = groups.join(stay, "c").withColumn("stays", (F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.col("s.text_key")))
+    a, b = fresh(docs, "gone_id"), fresh(docs, "gone_key")
+    same = (F.col("doc_id").cast("long") == F.col(a)) & (F.xxhash64("text") == F.col(b))
+    gone = keys_side(marked.filter("not stays").select(F.col("doc_id").alias(a), F.col("text_key").alias(b)), "dedup-gone")
+    left = docs.join(gone, same, "left_anti")
+    repeated = write_table(marked.filter("stays and n > 1").select(F.col("doc_id").alias(a), F.col("text_key").alias(b)), "dedup-repeated")
+    if repeated.isEmpty():
+        return left
+    side = keys_side(repeated, "dedup-repeated")
+    once = left.join(side, same, "left_semi")
+    return left.join(side, same, "left_anti").unionByName(once.dropDuplicates(["doc_id", "text"]))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import write_table
-from .common import whole_text
+from .common import fresh, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS = 3
@@ -260,25 +260,26 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets (``[EMAIL]``); overlapping spans become one."""
+    cuts_, s_id, s_key = fresh(docs, "cuts"), fresh(docs, "s_id"), fresh(docs, "s_key")
     order = Window.partitionBy(*_KEY).orderBy("start", "end", "kind")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = find_spans(docs).withColumn("new", (F.coalesce(reach, F.lit(-1)) <= F.col("start")).cast("int")).withColumn("run", F.sum("new").over(order))
     merged = runs.groupBy(*_KEY, "run").agg(F.min(F.struct("start", "kind")).alias("first"), F.max("end").alias("end"))
     cuts = merged.groupBy(*_KEY).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("first.start").alias("start"), "end", F.col("first.kind").alias("kind")))).alias("__cuts")
-    ).withColumnsRenamed({"doc_id": "__s_id", "text_key": "__s_key"})
+        F.sort_array(F.collect_list(F.struct(F.col("first.start").alias("start"), "end", F.col("first.kind").alias("kind")))).alias(cuts_)
+    ).withColumnsRenamed({"doc_id": s_id, "text_key": s_key})
     cuts = write_table(cuts, "pii-cuts")
-    held = cuts.agg(F.sum(64 + 48 * F.size("__cuts"))).first()[0] or 0
+    held = cuts.agg(F.sum(64 + 48 * F.size(cuts_))).first()[0] or 0
     cuts = F.broadcast(cuts) if held <= BROADCAST_BYTES else cuts
-    same = F.col("doc_id").eqNullSafe(F.col("__s_id")) & (F.xxhash64("text") == F.col("__s_key"))
-    begin = lambda i: F.coalesce(F.get("__cuts", i - 1)["end"], F.lit(0))  # noqa: E731  end of the cut before
+    same = F.col("doc_id").eqNullSafe(F.col(s_id)) & (F.xxhash64("text") == F.col(s_key))
+    begin = lambda i: F.coalesce(F.get(cuts_, i - 1)["end"], F.lit(0))  # noqa: E731  end of the cut before
     pieces = F.transform(
-        F.col("__cuts"),
+        F.col(cuts_),
         lambda c, i: F.concat(
             F.substring(F.col("text"), (begin(i) + 1).cast("int"), (c["start"] - begin(i)).cast("int")),
             F.concat(F.lit("["), F.upper(c["kind"]), F.lit("]")),
         ),
     )
-    rest = F.substring(F.col("text"), (F.element_at("__cuts", -1)["end"] + 1).cast("int"), F.length("text"))
-    cut = F.when(F.col("__cuts").isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text"))
+    rest = F.substring(F.col("text"), (F.element_at(cuts_, -1)["end"] + 1).cast("int"), F.length("text"))
+    cut = F.when(F.col(cuts_).isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text"))
     return docs.join(cuts, same, "left").withColumn("text", cut).select(*docs.columns)
