@@ -50,7 +50,7 @@ LONGEST = 4
 TOP = 2000
 SWALLOWED = 80  # dropped when a longer phrase has at least so many hundredths of the count
 NO_LANG = "und"
-BLOCK = 2_000_000
+BLOCK = 500_000
 # Distinct entries a task holds before it hands them on.
 HELD = 1 << 19
 # What ends a piece, and a byte that UTF-8 never holds to stand for it.
@@ -129,77 +129,92 @@ def _encode(docs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """Double array over phrases of word numbers: state s moves on word c to ``base[s] + c`` if ``check`` there is s.
-
-    A word's state is its number.  ``accept[s]`` is the phrase (its place in
-    the given order, from 0) that ends in state s, or -1.
+    """Double array over phrases of word numbers: state s moves on code c to ``base[s] + c`` if ``check`` there is s.
+
+    The state of a phrase's first word is its number; every further word is
+    read as base-256 digits, so the cells of one state span 256 and states with
+    few moves interleave.  States are placed many at a time: random bases are
+    proposed for all, those whose cells are free and wanted by nobody else
+    stay.  ``accept[s]`` is the phrase (its place in the given order, from 0)
+    that ends in state s, or -1.
     """
 
+    SPAN = 256
+
     def __init__(self, phrases: np.ndarray, words: int):
-        n, width = phrases.shape
-        self.width = width
-        size = words + 1
-        self.base = np.zeros(size, np.int64)
-        self.check = np.full(size, -1, np.int64)
-        self.check[1:] = 0
+        n, self.width = phrases.shape
+        self.digits = max(1, -(-int(words).bit_length() // 8))
+        self.base = np.zeros(words + 1, np.int32)
+        self.check = np.zeros(words + 1, np.int32)  # all of them stand under the root, 0
         rng = np.random.default_rng(7)
         state = phrases[:, 0].astype(np.int64)
-        end = size  # first cell that is free with all after it
-        for k in range(1, width):
-            order = np.lexsort((phrases[:, k], state))
-            s, c = state[order], phrases[order, k].astype(np.int64)
-            new = np.append(True, (s[1:] != s[:-1]) | (c[1:] != c[:-1]))
-            parent, code = s[new], c[new]
-            first = np.flatnonzero(np.append(True, parent[1:] != parent[:-1]))
-            last = np.append(first[1:], len(parent))
-            for p in np.argsort(first - last, kind="stable"):  # most children first
-                codes = code[first[p] : last[p]]
-                base = self._free(codes, size, end, rng)
-                if base < 0:
-                    base = end - int(codes[0])
-                    if end + int(codes[-1] - codes[0]) >= len(self.check):
-                        self._grow(2 * (end + int(codes[-1] - codes[0])) + 1)
-                self.base[parent[first[p]]] = base
-                self.check[base + codes] = parent[first[p]]
-                end = max(end, base + int(codes[-1]) + 1)
-            moved = self.base[s] + c
-            state = np.empty(n, np.int64)
-            state[order] = moved
-        self._grow(end + words + 1, exact=True)  # a base plus any word lies inside
-        self.accept = np.full(len(self.check), -1, np.int64)
+        for k in range(1, self.width):
+            for shift in self._shifts():
+                moves, place = np.unique((state << 8) | ((phrases[:, k].astype(np.int64) >> shift) & 255), return_inverse=True)
+                self._place(moves >> 8, moves & 255, rng)
+                state = (self.base[moves >> 8] + (moves & 255))[place]
+        self._grow(self.SPAN)  # a base plus any code lies inside
+        self.accept = np.full(len(self.check), -1, np.int32)
         self.accept[state] = np.arange(n)
 
-    def _grow(self, size: int, exact: bool = False) -> None:
+    def _shifts(self) -> range:
+        return range(8 * (self.digits - 1), -1, -8)
+
+    def _grow(self, cells: int) -> int:
+        """Add free cells; the first of them."""
         old = len(self.check)
-        if size > old or exact:
-            self.base = np.concatenate([self.base, np.zeros(max(0, size - old), np.int64)])[:size]
-            self.check = np.concatenate([self.check, np.full(max(0, size - old), -1, np.int64)])[:size]
-
-    def _free(self, codes: np.ndarray, low: int, end: int, rng) -> int:
-        """A base within the used cells at which all codes are free (a few random tries), or -1."""
-        room = end - int(codes[-1]) - low + int(codes[0])
-        if room <= 0 or len(codes) > 64:
-            return -1
-        for _ in range(4):
-            bases = rng.integers(low - int(codes[0]), low - int(codes[0]) + room, 64)
-            good = np.flatnonzero((self.check[bases[:, None] + codes] < 0).all(axis=1) & (bases > 0))
-            if len(good):
-                return int(bases[good[0]])
-        return -1
+        self.base = np.concatenate([self.base, np.zeros(cells, np.int32)])
+        self.check = np.concatenate([self.check, np.full(cells, -1, np.int32)])
+        return old
+
+    def _place(self, parent: np.ndarray, code: np.ndarray, rng) -> None:
+        """Bases of the states ``parent`` (sorted, one entry per move)."""
+        first = np.flatnonzero(np.append(True, parent[1:] != parent[:-1]))
+        size = np.diff(np.append(first, len(parent)))
+        # many moves: cells of their own
+        many = np.flatnonzero(size > self.SPAN // 4)
+        if len(many):
+            self.base[parent[first[many]]] = self._grow(self.SPAN * len(many)) + self.SPAN * np.arange(len(many))
+            own = np.repeat(size > self.SPAN // 4, size)
+            self.check[self.base[parent[own]] + code[own]] = parent[own]
+        low = 0
+        for most, least in ((self.SPAN // 4, 17), (16, 5), (4, 1)):
+            todo = np.flatnonzero((size <= most) & (size >= least))
+            if not len(todo):
+                continue
+            start = self._grow(2 * int(size[todo].sum()) + self.SPAN)
+            low = low or start
+            tries = 0
+            while len(todo):
+                tries += 1
+                if tries % 20 == 0:
+                    self._grow(int(size[todo].sum()) + self.SPAN)
+                proposed = rng.integers(low, len(self.check) - self.SPAN + 1, len(todo))
+                owner = np.repeat(np.arange(len(todo)), size[todo])
+                at = np.repeat(first[todo] - np.cumsum(size[todo]) + size[todo], size[todo]) + np.arange(len(owner))
+                cells = proposed[owner] + code[at]
+                good = self.check[cells] < 0
+                _, winner = np.unique(cells, return_index=True)
+                alone = np.zeros(len(cells), bool)
+                alone[winner] = True
+                stays = np.bincount(owner, good & alone, len(todo)) == size[todo]
+                kept = stays[owner]
+                self.base[parent[first[todo[stays]]]] = proposed[stays]
+                self.check[cells[kept]] = parent[at[kept]]
+                todo = todo[~stays]
 
     def states(self, words: np.ndarray) -> np.ndarray:
-        """The phrase that begins at each position, or -1; all positions move on together, one word at a time."""
+        """The phrase that begins at each position, or -1; all positions move on together, one code at a time."""
         n = len(words) - self.width + 1
         if n <= 0:
             return np.empty(0, np.int64)
-        at = np.arange(n)
-        state = words[:n].astype(np.int64)
-        at, state = at[state > 0], state[state > 0]
+        at = np.flatnonzero(words[:n] > 0)
+        state = words[at]
         for k in range(1, self.width):
-            word = words[at + k]
-            moved = self.base[state] + word
-            good = (self.check[moved] == state) & (word > 0)
-            at, state = at[good], moved[good]
+            for shift in self._shifts():
+                moved = self.base[state] + ((words[at + k] >> shift) & 255)
+                good = self.check[moved] == state
+                at, state = at[good], moved[good]
         out = np.full(n, -1, np.int64)
         out[at] = self.accept[state]
         return out
