@@ -13,13 +13,14 @@ a pair is missed once in about four million.
 2. In every bucket each member is paired with the bucket's hub (a star, not
    all pairs) and compared with it on the full sets.  The hub is the member
    that meets most others over all its buckets: the text that others were
-   copied from, where there is one.
-3. Buckets that still hold two components are dealt again: their members go to
-   finer buckets by one further (later) band, each with a hub of its own, and
-   so on until no bucket holds two components.  A bucket of two is always
-   compared, whatever its size a bucket costs one comparison a member, and
-   nothing is capped.  A pair at 0.85 that shares two bands or more (all but
-   about 5 in a million) stays together in ever smaller buckets.
+   copied from, where there is one, so that what a copy has beyond its hub is
+   mostly its own.
+3. Members linked to the same hub are connected.  Any other pair of a star is
+   found by an exact prefix join on the members' differences from the hub,
+   rarest elements first and without elements whose holders are connected
+   already, and confirmed on the differences: every pair that shares a bucket
+   is either confirmed or already connected, whatever the bucket's size, and
+   nothing is capped.
 4. Linked classes are joined into components, named by their smallest id.
 
 Sets are compared as sets of 64-bit shingle hashes.
@@ -39,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import write_table
@@ -162,41 +163,77 @@ def _class_sets(docs: DataFrame, members: DataFrame, classes: DataFrame) -> Data
     return write_table(placed.dropDuplicates(["node"]), "dedup-sets")
 
 
-def _compared(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """The star pairs (x, hub) whose sets are linked."""
+def _linked(n: str, m: str, apart: Column) -> Column:
+    """Whether sets of n and m shingles, ``apart`` of which are in one set only, reach PERCENT of their union."""
+    both = F.col(n) + F.col(m)
+    return 100 * (both - apart) >= PERCENT * (both + apart)
+
+
+def _differences(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of every star pair (x, hub): nx, nh, d (elements in one set only), nd, and whether they are linked."""
     both = stars.join(sets.toDF("x", "xs"), "x").join(sets.toDF("hub", "hs"), "hub")
-    shared = F.size(F.array_intersect("xs", "hs"))
-    return both.filter(100 * shared >= PERCENT * (F.size("xs") + F.size("hs") - shared)).select("x", "hub")
-
-
-def _links(docs: DataFrame, members: DataFrame, classes: DataFrame, banded: DataFrame) -> DataFrame:
-    """x, hub over all links between classes that share a bucket; members holds (k, last, node), banded (node, bands)."""
-    weights = write_table(members.groupBy("node").agg(F.sum("size").alias("weight")), "dedup-weights")
-    members = write_table(members.join(weights, "node").select("k", "last", "node", "weight"), "dedup-members")
-    sets = _class_sets(docs, members, classes)
-    links, seen, place = None, None, weights.select("node", F.col("node").alias("c"))
-    while True:
-        hubs = members.groupBy("k").agg(F.max(F.struct("weight", -F.col("node"))).alias("h")).select("k", (-F.col("h.col2")).alias("hub"))
-        stars = members.join(hubs, "k").filter("node <> hub").select(F.col("node").alias("x"), "hub").distinct()
-        if seen is not None:
-            stars = stars.join(seen, ["x", "hub"], "left_anti")
-        stars = write_table(stars, "dedup-stars")
-        seen = stars if seen is None else seen.union(stars)
-        found = write_table(_compared(stars, sets), "dedup-links")
-        links = found if links is None else links.union(found)
-        named = components(links, "x", "hub")
-        place = weights.select("node").join(named, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
-        placed = write_table(members.join(place, "node"), "dedup-placed")
-        # buckets of two have been compared
-        still = placed.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b and n > 2").select("k")
-        open_ = placed.join(still, "k", "left_semi").select("k", "last", "node", "weight")
-        dealt = open_.join(banded, "node").select("k", "last", "node", "weight", F.posexplode("bands").alias("at", "band")).filter("at > last")
-        # the same set of bands gives the same key
-        dealt = write_table(dealt.select(F.xxhash64("k", "band").alias("k"), F.col("at").alias("last"), "node", "weight").distinct(), "dedup-dealt")
-        shared = dealt.join(place, "node").groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("k")
-        members = write_table(dealt.join(shared, "k", "left_semi"), "dedup-members")
-        if members.isEmpty():
-            return links
+    apart = F.concat(F.array_except("xs", "hs"), F.array_except("hs", "xs"))
+    rows = both.select("hub", "x", F.size("xs").alias("nx"), F.size("hs").alias("nh"), apart.alias("d")).withColumn("nd", F.size("d"))
+    return rows.withColumn("linked", _linked("nx", "nh", F.col("nd")))
+
+
+def _hub_links(diffs: DataFrame) -> DataFrame:
+    """Links (x, y) between members of one star that are not yet in one component (so not both linked to its hub).
+
+    The sets of x and y are apart by what their differences from the hub are
+    apart (an element that the hub lacks is never one that it has).  With d,
+    d' the sizes of the differences (d <= d'), a link needs them to share more
+    than a number that grows with d, so they share an element of x's first
+    elements in any order common to the star (prefix filter); here the order
+    is by the number of members that hold an element.
+
+    Let a link allow the sets to be apart by T = (100 - P) (nx + ny) / (100 + P).
+    Sharing o elements, they are d + d' - 2 o apart, hence o >= (d + d' - T) / 2.
+    Whoever of the two is not linked to the hub is more than
+    (100 - P) (n + nh) / (100 + P) from it; put in, o is more than half of the
+    other's difference plus (100 - P) (nh - n) / (100 + P), n its size.
+    """
+    a, b = 100 - PERCENT, 100 + PERCENT
+    # a star whose members are all in one component has nothing left to find
+    open_stars = diffs.groupBy("hub").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count_if(~F.col("linked")).alias("far"))
+    open_stars = keys_side(open_stars.filter("least <> most and far > 0").select(F.col("hub").alias("oh")), "dedup-open")
+    rows = diffs.join(open_stars, F.col("hub") == F.col("oh"), "left_semi")
+    # x as the smaller difference: the least overlap of a link
+    apart = F.floor(F.lit(a) * (F.col("nx") + F.floor(100 * F.col("nx") / PERCENT)) / b)  # T at the largest partner
+    if_linked = F.floor((b * F.col("nd") + a * (F.col("nh") - F.col("nx"))) / (2 * b)) + 1  # the partner is not linked
+    if_not = F.greatest(F.col("nd") - F.floor(apart / 2), F.floor((b - a) * F.col("nd") / (2 * b)) + 1)
+    least = F.greatest(F.when(F.col("linked"), if_linked).otherwise(if_not), F.lit(1))
+    rows = write_table(rows.select("hub", "x", "nx", "nd", "c", "d", (F.col("nd") - least + 1).alias("prefix")), "dedup-open-rows")
+    held = rows.select("hub", "x", "c", "prefix", F.explode("d").alias("e"))
+    lists = held.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("open"))
+    ranked = held.join(lists, ["hub", "e"]).groupBy("hub", "x").agg(F.sort_array(F.collect_list(F.struct("n", "e", "open"))).alias("all"), F.first("prefix").alias("prefix"))
+    first = ranked.select("hub", "x", F.explode(F.slice("all", F.lit(1), F.greatest(F.col("prefix"), F.lit(0)).cast("int"))).alias("s"))
+    index = first.filter("s.open").select("hub", "x", F.col("s.e").alias("e")).join(rows.select("hub", "x", "nx", "nd", "c"), ["hub", "x"])
+    probe = held.join(lists.filter("open").select("hub", "e"), ["hub", "e"], "left_semi").select("hub", "e", F.col("x").alias("y"))
+    probe = probe.join(rows.select("hub", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("nd").alias("nd2"), F.col("c").alias("c2")), ["hub", "y"])
+    met = (
+        index.join(probe, ["hub", "e"])
+        .filter((F.col("c") != F.col("c2")) & ((F.col("nd") < F.col("nd2")) | ((F.col("nd") == F.col("nd2")) & (F.col("x") < F.col("y")))))
+        # sets that differ in size alone by too much
+        .filter(100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny"))
+        .select("hub", "x", "y").distinct()
+    )
+    left = rows.select("hub", "x", "nx", "nd", "d")
+    right = rows.select("hub", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("nd").alias("nd2"), F.col("d").alias("d2"))
+    shared = F.size(F.array_intersect("d", "d2"))
+    return met.join(left, ["hub", "x"]).join(right, ["hub", "y"]).filter(_linked("nx", "ny", F.col("nd") + F.col("nd2") - 2 * shared)).select("x", F.col("y").alias("hub"))
+
+
+def _links(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """x, hub over all links between classes that share a bucket; members holds (k, node, size)."""
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = write_table(members.join(weights, "node").select("k", "node", "weight"), "dedup-members")
+    hubs = weighed.groupBy("k").agg(F.max(F.struct("weight", -F.col("node"))).alias("h")).select("k", (-F.col("h.col2")).alias("hub"))
+    stars = write_table(weighed.join(hubs, "k").filter("node <> hub").select(F.col("node").alias("x"), "hub").distinct(), "dedup-stars")
+    diffs = write_table(_differences(stars, _class_sets(docs, members, classes)), "dedup-differences")
+    links = diffs.filter("linked").select("x", "hub")
+    placed = diffs.join(components(links, "x", "hub"), F.col("x") == F.col("node"), "left").withColumn("c", F.coalesce("component", "x")).drop("node", "component")
+    return links.union(write_table(_hub_links(write_table(placed, "dedup-placed")), "dedup-more-links"))
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -209,11 +246,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
     named = classes.join(first, "rep").select("print", "rep", F.when(F.col("print") == F.col("first"), F.col("rep")).otherwise(F.xxhash64("rep", "print")).alias("node"))
     classes = write_table(named, "dedup-classes")
     own = usable.select("doc_id", F.col("print").alias("p"), "bands").join(classes, (F.col("doc_id") == F.col("rep")) & (F.col("p") == F.col("print")))
-    keys = own.select("node", F.posexplode("bands").alias("last", "k"))
+    keys = own.select("node", F.explode("bands").alias("k"))
     sizes = keys.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("size")).filter("a <> b").select("k", "size")
-    members = write_table(keys.join(sizes, "k").select("k", "last", "node", "size").distinct(), "dedup-buckets")
-    banded = own.join(members.select("node").distinct(), "node", "left_semi").select("node", "bands").dropDuplicates(["node"])
-    links = _links(docs, members, classes, write_table(banded, "dedup-bands"))
+    members = write_table(keys.join(sizes, "k").select("k", "node", "size").distinct(), "dedup-buckets")
+    links = _links(docs, members, classes)
     joined = classes.join(components(links, "x", "hub"), "node", "left").select("print", "rep", F.coalesce("component", "node").alias("c"))
     names = joined.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = write_table(joined.join(names, "c").select("print", "c", "component_id"), "dedup-components")
