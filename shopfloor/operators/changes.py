@@ -49,6 +49,26 @@ def _apply_updates(
     return joined.select(*out)
 
 
+def audit_updates(base: DataFrame, requests: DataFrame, keys: Sequence[str], order: Sequence[str] = (), editable: Column | None = None) -> DataFrame:
+    """Every update request with its ``reason``: NULL where it is applied, else unknown, locked or superseded.
+
+    A request is unknown when ``base`` has no row of its key (a null key never
+    has one), locked when no row of its key is ``editable`` (a condition on the
+    base row), superseded when a later request of the batch has the same key:
+    the greatest by ``order`` is applied.  Only the asked keys of ``base`` are
+    looked at; applied and rejected requests together are the batch.
+    """
+    batch = _numbered_batch(requests, "update_requests")
+    asked = sized_side(batch.select(*keys).distinct(), "update_asked")
+    open_ = F.coalesce(editable, F.lit(False)) if editable is not None else F.lit(True)
+    found = base.join(asked, list(keys), "left_semi").select(*keys, open_.alias("_open")).groupBy(*keys).agg(F.bool_or("_open").alias("_open"))
+    last = batch.groupBy(*keys).agg(F.max(F.struct(*order, "_rid"))["_rid"].alias("_rid")).select("_rid", F.lit(True).alias("_last"))
+    reason = (
+        F.when(F.col("_open").isNull(), "unknown").when(~F.col("_open"), "locked").when(F.col("_last").isNull(), "superseded")
+    )
+    return batch.join(found, list(keys), "left").join(last, "_rid", "left").select(*requests.columns, reason.alias("reason"))
+
+
 # ---- prices ---------------------------------------------------------------
 
 
@@ -71,8 +91,11 @@ def add_prices(prices: DataFrame, items: DataFrame, adds: DataFrame) -> PricesCh
     ``rejects`` with the reason: unknown sku, already priced, or repeated.
     """
     ids = items.select(F.col("id").alias("item_id"), "sku")
-    known = prices.select("item_id", "country_id", F.lit(True).alias("_priced")).distinct()
-    batch = _numbered_batch(adds, "price_adds").join(ids, "sku", "left").join(known, ["item_id", "country_id"], "left")
+    batch = _numbered_batch(adds, "price_adds").join(ids, "sku", "left")
+    # only the asked pairs of the price table are looked at, past a side of proven size
+    asked = sized_side(batch.select("item_id", "country_id").distinct(), "price_adds_asked")
+    known = prices.join(asked, ["item_id", "country_id"], "left_semi").select("item_id", "country_id", F.lit(True).alias("_priced")).distinct()
+    batch = batch.join(known, ["item_id", "country_id"], "left")
     ranked = first_rows(batch, ["item_id", "country_id"], [*(["seq"] if "seq" in adds.columns else []), "retailprice"])
     reason = (
         F.when(F.col("item_id").isNull(), "unknown sku")
@@ -95,6 +118,12 @@ def update_prices(prices: DataFrame, updates: DataFrame) -> DataFrame:
     return _apply_updates(prices, one, ["item_id", "country_id"], ["retailprice"])
 
 
+def update_prices_rejects(prices: DataFrame, updates: DataFrame) -> DataFrame:
+    """Price updates that ``update_prices`` does not apply, with the reason (see ``audit_updates``)."""
+    order = [*(["seq"] if "seq" in updates.columns else []), "retailprice"]
+    return audit_updates(prices, updates, ["item_id", "country_id"], order).filter("reason is not null")
+
+
 def remove_prices(prices: DataFrame, keys: DataFrame) -> DataFrame:
     """Delete prices whose (item_id, country_id) is in ``keys``."""
     return prices.join(sized_side(keys.select("item_id", "country_id"), "price_keys"), ["item_id", "country_id"], "left_anti")
@@ -205,26 +234,27 @@ def set_store_quantity(lines: DataFrame, stores: DataFrame, bins: DataFrame, ite
     """Set the quantity of an item in the Outbound bin of a named store's warehouse.
 
     ``requests`` has store_name, sku, quantity (and optionally seq).  Two
-    requests reaching the same (bin, item) keep the last one.  A request that
-    reaches no bin is in ``rejects``: unknown store, unknown sku, or a
-    warehouse without Outbound bin.
+    requests reaching the same (bin, item) keep the last one.  A store name
+    may stand for several stores and a warehouse may have several Outbound
+    bins: a request that reaches one line at least is applied there.  Any
+    other request is in ``rejects``, once: unknown store, unknown sku, no
+    outbound bin, or no line of the item in the bins.
     """
+    batch = _numbered_batch(requests, "store_requests")
     st = stores.select(F.col("name").alias("store_name"), "warehouse_id", F.lit(True).alias("_store"))
     ob = bins.filter(F.col("type") == K.BIN_OUTBOUND).select(F.col("id").alias("bin_id"), "warehouse_id")
     it = items.select(F.col("id").alias("item_id"), "sku")
-    targets = (
-        requests.join(maybe_broadcast(st), "store_name", "left")
-        .join(maybe_broadcast(ob), "warehouse_id", "left")
-        .join(it, "sku", "left")
-        .withColumn(
-            "reason",
-            F.when(F.col("_store").isNull(), "unknown store")
-            .when(F.col("item_id").isNull(), "unknown sku")
-            .when(F.col("bin_id").isNull(), "no outbound bin"),
-        )
-    )
-    rejects = targets.filter("reason is not null").select("store_name", "sku", "quantity", "reason")
-    one = last_value(targets.filter("reason is null"), ["bin_id", "item_id"], "quantity")
+    targets = batch.join(maybe_broadcast(st), "store_name", "left").join(maybe_broadcast(ob), "warehouse_id", "left").join(it, "sku", "left")
+    targets = write_table(targets, "store_targets")
+    pairs = sized_side(targets.select("bin_id", "item_id").filter("bin_id is not null and item_id is not null").distinct(), "store_pairs")
+    held = lines.join(pairs, ["bin_id", "item_id"], "left_semi").select("bin_id", "item_id", F.lit(True).alias("_line")).distinct()
+    reached = targets.join(held, ["bin_id", "item_id"], "left")
+    # the furthest a request came, over all bins it may mean
+    step = F.when(F.col("_store").isNull(), 0).when(F.col("item_id").isNull(), 1).when(F.col("bin_id").isNull(), 2).when(F.col("_line").isNull(), 3).otherwise(4)
+    furthest = reached.groupBy("_rid").agg(F.max(step).alias("_step")).filter(F.col("_step") < 4)
+    reasons = F.array(*[F.lit(r) for r in ("unknown store", "unknown sku", "no outbound bin", "no line of the item")])
+    rejects = batch.join(furthest, "_rid").select("store_name", "sku", "quantity", F.get(reasons, F.col("_step")).alias("reason"))
+    one = last_value(reached.filter("_line"), ["bin_id", "item_id"], "quantity")
     return LinesChange(lines=_apply_updates(lines, one, ["bin_id", "item_id"], ["quantity"]), rejects=rejects)
 
 
@@ -255,6 +285,21 @@ def update_line_quantity(lines: DataFrame, changes: DataFrame, mode: str = "set"
     return _apply_updates(lines, last_value(changes, ["id"], "quantity"), ["id"], ["quantity"])
 
 
+def update_line_quantity_rejects(lines: DataFrame, changes: DataFrame, mode: str = "set", orders: DataFrame | None = None) -> DataFrame:
+    """Line changes that ``update_line_quantity`` does not apply, with the reason (see ``audit_updates``; deltas never supersede)."""
+    asked = sized_side(changes.select("id").distinct(), "line_audit_keys")
+    base = lines.select("id", "order_id").join(asked, "id", "left_semi")
+    editable = None
+    if orders is not None:
+        status = orders.select(F.col("id").alias("order_id"), F.coalesce("status", F.lit("")).alias("_status"))
+        base = base.join(status, "order_id", "left")
+        editable = F.coalesce("_status", F.lit(K.PENDING)) == K.PENDING
+    order = [*(["seq"] if "seq" in changes.columns else []), "quantity"]
+    judged = audit_updates(base, changes, ["id"], order, editable)
+    wanted = F.col("reason").isNotNull() if mode == "set" else F.col("reason").isin("unknown", "locked")
+    return judged.filter(wanted)
+
+
 def remove_order_lines(lines: DataFrame, line_ids: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """Delete lines (and with them their order links) by line id; with ``orders``, lines of a non-Pending order stay."""
     return lines.join(_editable(lines, line_ids, orders), "id", "left_anti")
@@ -272,6 +317,13 @@ def update_orders(orders: DataFrame, changes: DataFrame, editable_status: str =
     return _apply_updates(orders, one, ["id"], cols, guard=F.col("status") == editable_status)
 
 
+def update_orders_rejects(orders: DataFrame, changes: DataFrame, editable_status: str = K.PENDING) -> DataFrame:
+    """Order updates that ``update_orders`` does not apply, with the reason (see ``audit_updates``)."""
+    cols = [c for c in ("expecteddate", "origin_id", "supplier_id", "destination_id") if c in changes.columns]
+    order = [*(["seq"] if "seq" in changes.columns else []), *cols]
+    return audit_updates(orders, changes, ["id"], order, F.col("status") == editable_status).filter("reason is not null")
+
+
 @dataclass
 class StatusChange:
     orders: DataFrame

@@ -6,8 +6,8 @@ each step is a DataFrame operator, so it runs over all rows on the cluster:
 * search -> one ``filter`` over a per-row search text (JVM string functions);
 * sort   -> ``orderBy`` on typed sort keys plus a caller-supplied position
             column, which makes the sort stable and the order total;
-* page   -> a top-K for a page near the top; any other page by row number
-            from a range-partitioned sort and a filter on it;
+* page   -> a top-K for a page near the top; any other page by order
+            statistics of the keys, so that only a small range is sorted;
 * info   -> both counts in one aggregate pass;
 * types  -> one aggregate pass over all columns.
 """
@@ -23,7 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.datetext import is_date, may_be_date, parse_date
 from ..plans.ids import number_rows
+from ..plans.materialize import sized_side, write_table
 
 # FIXED VALUES — the grid's own rules, which results must follow.
 # Characters the grid strips from formatted numbers: ' , $ £ € ¥ % thin space, narrow no-break space.
@@ -32,20 +34,12 @@ NUMBER_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 MARKUP_RE = "<.*?>"  # what the cleaner of an HTML column drops
 TAG_RE = "<[A-Za-z/!][^>]*>"  # what a browser takes for a tag
 WORD_RE = r'"[^"]+"|[^ ]+'  # a word or quoted phrase of a smart search
-DATE_RE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
-US_DATE_RE = r"^\d{1,2}/\d{1,2}/\d{4}$"
 TYPE_ORDER = ["num", "date", "num-fmt", "html-num", "html-num-fmt", "html"]
 ENTITY_RE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
 # References to the C1 range mean the characters of this code page, as in every browser.
 LEGACY_CODE_PAGE = "cp1252"
 
 
-def parse_date(s: Column) -> Column:
-    """Timestamp of an ISO date or date-time (with fraction and zone, if any) or an M/d/yyyy date; NULL otherwise."""
-    iso = F.when(s.rlike(DATE_RE), s.try_cast("timestamp"))
-    return F.coalesce(iso, F.when(s.rlike(US_DATE_RE), F.try_to_timestamp(s, F.lit("M/d/yyyy"))))
-
-
 def _as_text(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("string")
 
@@ -87,6 +81,25 @@ def decode_entities(value: Column) -> Column:
     return F.array_join(pieces, "")
 
 
+def _flat(value: Column, kind: str) -> Column:
+    """A cell's text before references are read: line breaks made blanks, an html column's markup dropped."""
+    v = F.coalesce(value, F.lit(""))
+    if kind in ("string", "html"):
+        v = F.replace(F.replace(v, F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" "))
+    else:
+        v = F.when(F.instr(v, "&") == 0, _unbroken(v)).otherwise(v)
+    return F.regexp_replace(v, MARKUP_RE, "") if kind == "html" else v
+
+
+def _unbroken(v: Column) -> Column:
+    return F.replace(F.replace(v, F.lit("\r")), F.lit("\n"))
+
+
+def _read(v: Column) -> Column:
+    """A cell with '&' is read as HTML: tags dropped, character references decoded, line breaks that are left removed."""
+    return F.when(F.instr(v, "&") > 0, _unbroken(decode_entities(F.regexp_replace(v, TAG_RE, "")))).otherwise(v)
+
+
 def cell_text(value: Column, kind: str = "string") -> Column:
     """Search text of one cell, cleaned by its column's type.
 
@@ -95,13 +108,7 @@ def cell_text(value: Column, kind: str = "string") -> Column:
     (tags dropped, character references decoded), and line breaks that are
     left are removed.  NULL is ''.
     """
-    v = F.coalesce(value, F.lit(""))
-    if kind in ("string", "html"):
-        v = F.translate(v, "\r\n", "  ")
-    if kind == "html":
-        v = F.regexp_replace(v, MARKUP_RE, "")
-    v = F.when(F.instr(v, "&") > 0, decode_entities(F.regexp_replace(v, TAG_RE, ""))).otherwise(v)
-    return F.translate(v, "\r\n", "")
+    return _read(_flat(value, kind))
 
 
 def row_text(df: DataFrame, cols: Sequence[str] | None = None, types: dict[str, str] | None = None,
@@ -109,19 +116,18 @@ def row_text(df: DataFrame, cols: Sequence[str] | None = None, types: dict[str,
     """Searchable text of a row: its cells, cleaned by column type, joined by two spaces.
 
     ``types`` are the columns' grid types; those left out come from the schema
-    or are detected (one aggregate pass, see ``column_types``).
+    or are detected (see ``column_types``).
     """
     cols = list(cols or df.columns)
     kinds = column_types(df, cols, types, position)
-    cells = []
-    for c in cols:
-        v = _as_text(df, c)
-        if isinstance(df.schema[c].dataType, T.NumericType):
-            # a number's text has no entities or line breaks: nothing to clean
-            cells.append(F.coalesce(v, F.lit("")))
-        else:
-            cells.append(cell_text(v, kinds[c]))
-    return F.concat_ws("  ", *cells)
+    # a number's text has no entities or line breaks: nothing to clean
+    cells = [
+        F.coalesce(_as_text(df, c), F.lit("")) if isinstance(df.schema[c].dataType, T.NumericType) else _flat(_as_text(df, c), kinds[c])
+        for c in cols
+    ]
+    # references are read in one lambda over the cells, so their table stands in the plan once, not once a column
+    any_reference = F.exists(F.array(*cells), lambda v: F.instr(v, "&") > 0)
+    return F.when(any_reference, F.array_join(F.transform(F.array(*cells), _read), "  ")).otherwise(F.concat_ws("  ", *cells))
 
 
 def search_terms(text: str, smart: bool = True) -> list[str]:
@@ -191,6 +197,57 @@ def grid_search(
     return df.filter(cond)
 
 
+GRAM = 3
+
+
+def _grams(text: Column, lengths: Sequence[int]) -> Column:
+    """The distinct character grams of a text of the given lengths."""
+
+    def of(chars: Column, n: int) -> Column:
+        places = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+
+    # the characters are bound to a lambda variable; written directly, every gram would split the text again
+    found = F.transform(F.array(F.split(text, "")), lambda c: F.array_distinct(F.concat(*[of(c, n) for n in lengths])))
+    return F.get(found, 0)
+
+
+def grid_search_many(df: DataFrame, searches: DataFrame, position: str, cols: Sequence[str] | None = None,
+                     types: dict[str, str] | None = None) -> DataFrame:
+    """search_id and ``position`` of every row that a smart search of ``searches`` (search_id, text) keeps.
+
+    Searches are not tried on rows one by one.  Every search is looked up by
+    one character gram of its terms, the one that stands in the fewest rows:
+    the rows' grams are joined with the searches' grams (no text is carried
+    there), the counts choose the gram, and only the rows that hold it are met
+    again for containment of all terms.  ``position`` must identify a row.
+    A search without words keeps all rows and is not listed.
+    """
+    word = F.regexp_extract_all(F.lower("text"), F.lit(WORD_RE), F.lit(0))
+    bare = F.transform(word, lambda w: F.when(w.rlike('^".+"$'), F.regexp_replace(w, '^"|"$', "")).otherwise(w))
+    asked = searches.select("search_id", F.array_distinct(bare).alias("terms")).filter(F.size("terms") > 0)
+    asked = write_table(asked, "grid-searches")
+    # grams of GRAM characters; a shorter term is its own gram
+    pieces = asked.select("search_id", F.explode("terms").alias("term")).select(
+        "search_id", F.explode(F.when(F.length("term") < GRAM, F.array("term")).otherwise(_grams(F.col("term"), [GRAM]))).alias("gram")
+    ).distinct()
+    pieces = write_table(pieces, "grid-search-grams")
+    lengths = [r[0] for r in pieces.select(F.length("gram")).distinct().collect()]
+    if not lengths:
+        return df.select(position).limit(0).select(F.lit(None).cast(searches.schema["search_id"].dataType).alias("search_id"), position)
+    body = F.lower(row_text(df, cols, types, position))
+    rows = df.select(F.col(position).alias("_row"), F.explode(_grams(body, sorted(lengths))).alias("gram"))
+    held = write_table(rows.join(sized_side(pieces.select("gram").distinct(), "grid-grams"), "gram"), "grid-row-grams")
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a gram that no row holds counts 0: its search finds nothing
+    rarest = pieces.join(counts, "gram", "left").groupBy("search_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("g"))
+    chosen = rarest.select("search_id", F.col("g.gram").alias("gram")).join(asked, "search_id")
+    near = held.join(sized_side(chosen, "grid-chosen"), "gram").select("_row", "search_id", "terms")
+    texts = df.select(F.col(position).alias("_row"), body.alias("body"))
+    met = texts.join(near, "_row").filter(F.forall("terms", lambda t: F.contains(F.col("body"), t)))
+    return met.select("search_id", F.col("_row").alias(position))
+
+
 # ---- sorting ----------------------------------------------------------------
 
 
@@ -198,6 +255,11 @@ def _empty(s: Column) -> Column:
     return s.isNull() | (s == "") | (s == "-")
 
 
+def _text_order(s: Column) -> Column:
+    """Texts are compared by UTF-16 code units, as in a browser: U+1F600 (a surrogate pair) before U+FB01."""
+    return F.encode(s, "UTF-16BE")
+
+
 def sort_key(value: Column, kind: str = "string", dtype: T.DataType | None = None) -> Column:
     """Typed sort key of a cell.
 
@@ -205,13 +267,13 @@ def sort_key(value: Column, kind: str = "string", dtype: T.DataType | None = Non
     ``num`` and ``date``.  Text is read by type: string: lower case, blank -> '';
     html: markup dropped, lower case; num and its variants: formatting stripped,
     then a number, blank -> NULL (first ascending, like minus infinity); date:
-    see ``parse_date``, anything else -> epoch 0.
+    see ``functions.datetext``, anything else -> epoch 0.
     """
     s = value.cast("string")
     if kind == "string":
-        return F.when(_empty(s), F.lit("")).otherwise(F.lower(s))
+        return _text_order(F.when(_empty(s), F.lit("")).otherwise(F.lower(s)))
     if kind == "html":
-        return F.when(_empty(s), F.lit("")).otherwise(F.lower(F.regexp_replace(s, MARKUP_RE, "")))
+        return _text_order(F.when(_empty(s), F.lit("")).otherwise(F.lower(F.regexp_replace(s, MARKUP_RE, ""))))
     if kind in ("num", "num-fmt", "html-num", "html-num-fmt"):
         if isinstance(dtype, T.NumericType):
             return value
@@ -289,20 +351,81 @@ def grid_rank(df: DataFrame, *args, rank_col: str = "row_pos", **kwargs) -> Data
     return number_rows(keyed, orders, id_col=rank_col).drop(*names)
 
 
-TOP_ROWS = 10_000  # a page within the first rows is a top-K; a deeper one is found by position
+TOP_ROWS = 10_000  # a page within the first rows is a top-K; a deeper one is found by order statistics
+SPLITTERS = 64  # ranges a round cuts the keys into
+
+
+def _after(names: Sequence[str], directions: Sequence[str], row: Sequence) -> Column:
+    """Whether a row's keys come after those of ``row`` in grid order (nulls first ascending, last descending)."""
+    cond = F.lit(False)
+    for name, direction, value in reversed(list(zip(names, directions, row))):
+        key, same = F.col(name), F.col(name).eqNullSafe(F.lit(value))
+        if value is None:
+            later = key.isNotNull() if direction != "desc" else F.lit(False)
+        else:
+            later = F.coalesce(key < F.lit(value), F.lit(True)) if direction == "desc" else F.coalesce(key > F.lit(value), F.lit(False))
+        cond = later | (same & cond)
+    return cond
+
+
+def _cut_to(keyed: DataFrame, names: list[str], directions: list[str], orders: list[Column], start: int, stop: int | None) -> tuple[DataFrame, int] | None:
+    """A small range of ``keyed`` that holds the rows start+1 .. stop (None: start+1 alone), and how many rows come before it.
+
+    Every round takes sampled keys as splitters, counts the rows between them
+    in one aggregate over the key columns and goes on with the ranges that are
+    wanted.  None when the keys do not tell the rows apart.
+    """
+    stop = start + 1 if stop is None else stop
+    part, before = keyed, 0
+    size = part.count()
+    while size > TOP_ROWS:
+        sample = part.select(*names).sample(min(1.0, 40.0 * SPLITTERS / size), seed=11).orderBy(*orders).limit(100 * SPLITTERS).collect()
+        picked = list(dict.fromkeys(tuple(r) for r in sample[:: max(1, len(sample) // SPLITTERS)]))
+        if not picked:
+            return None
+        beyond = [_after(names, directions, r) for r in picked]
+        counts = part.agg(*[F.count_if(c) for c in beyond]).first()
+        upto = [size - n for n in counts]  # rows up to and with each splitter
+        low = max((k for k, n in enumerate(upto) if before + n <= start), default=None)
+        high = min((k for k, n in enumerate(upto) if before + n >= stop), default=None)
+        if high is not None:
+            part = part.filter(~beyond[high])
+        if low is not None:
+            part = part.filter(beyond[low])
+        smaller = (upto[high] if high is not None else size) - (upto[low] if low is not None else 0)
+        if smaller >= size:
+            return None
+        before, size = before + (upto[low] if low is not None else 0), smaller
+    return part, before
 
 
 def grid_page(df: DataFrame, start: int = 0, length: int = 10, *args, **kwargs) -> DataFrame:
     """One page in grid order: rows start+1 .. start+length (length -1 = all that follow); further arguments as ``sort_spec``.
 
-    A page within the first TOP_ROWS rows is a top-K per task.  Any other page
-    numbers the rows (``grid_rank``, a range-partitioned sort) and filters on
-    the position, so no task handles more than its share of the rows.
+    A page within the first TOP_ROWS rows is a top-K per task.  A deeper page
+    is found by order statistics: the keys' ranges are counted and refined
+    until the wanted one is small, and only that range is sorted.  What follows
+    a row (length -1) is a filter on that row's keys.  Where equal keys leave
+    the order open, rows are numbered by a range-partitioned sort instead.
     """
     start = max(start, 0)
     rest = length is None or length < 0
     if not rest and start + length <= TOP_ROWS:
         return grid_sort(df, *args, **kwargs).offset(start).limit(length)
+    if rest and start == 0:
+        return grid_sort(df, *args, **kwargs)
+    keyed, orders, names = keyed_frame(df, *args, **kwargs)
+    directions = [direction for _, direction in sort_spec(df, *args, **kwargs)]
+    found = _cut_to(keyed, names, directions, orders, start - 1 if rest else start, None if rest else start + length)
+    if found is not None:
+        part, before = found
+        if not rest:
+            return part.orderBy(*orders).offset(start - before).limit(length).drop(*names)
+        last = part.orderBy(*orders).offset(start - 1 - before).limit(1).select(*names).collect()
+        if not last:
+            return df.limit(0)
+        if keyed.filter(~_after(names, directions, last[0])).count() == start:
+            return keyed.filter(_after(names, directions, last[0])).orderBy(*orders).drop(*names)
     ranked = grid_rank(df, *args, rank_col="_row_pos", **kwargs)
     wanted = F.col("_row_pos") > start
     if not rest:
@@ -359,34 +482,31 @@ def grid_page_info(df: DataFrame, match: Column, start: int = 0, length: int = 1
 # ---- type detection --------------------------------------------------------
 
 
+# What may begin a number, a formatted number or markup; no text that begins otherwise passes a number's detector.
+NUMBER_LEAD_RE = "^[\\s0-9+.<" + FORMAT_CHARS + "-]"
+ALL_TYPES = (1 << (len(TYPE_ORDER) - 1)) - 1
+
+
 def _is_number(s: Column) -> Column:
     return s.rlike(NUMBER_RE)
 
 
-def _detectors(s: Column) -> dict[str, Column]:
-    """Per-value detector results.  Cheap guards decide first: without '<'
-    the html variants equal the plain ones, without formatting characters
-    the formatted ones do, and only digit-led text is parsed as a date."""
-    empty = _empty(s)
-    has_lt = F.instr(s, "<") > 0
+def type_mask(s: Column) -> Column:
+    """Which detectors a value passes, one bit for each of TYPE_ORDER but html; a blank passes all.
+
+    The first character decides for nearly every text: what no number, markup
+    or date can begin with passes nothing and is not looked at any further.
+    """
+    bit = {name: 1 << k for k, name in enumerate(TYPE_ORDER[:-1])}
+    num, fmt_, html_num, html_fmt = bit["num"], bit["num-fmt"], bit["html-num"], bit["html-num-fmt"]
     fmt = F.translate(s, FORMAT_CHARS, "")
-    has_fmt = F.length(fmt) != F.length(s)
-    num_s = _is_number(s)
-    num_fmt = F.when(has_fmt, _is_number(fmt)).otherwise(num_s)
     stripped = F.regexp_replace(s, MARKUP_RE, "")
-    html_num = F.when(has_lt, _is_number(stripped)).otherwise(num_s)
-    html_num_fmt = F.when(has_lt, _is_number(F.translate(stripped, FORMAT_CHARS, ""))).otherwise(num_fmt)
-    # every accepted date text starts and ends with a digit or a zone, so the grid's
-    # start/end character rule holds whenever the parse succeeds
-    digit_led = F.substring(s, 1, 1).between("0", "9")
-    date_ok = digit_led & parse_date(s).isNotNull()
-    return {
-        "num": empty | num_s,
-        "date": empty | date_ok,
-        "num-fmt": empty | num_fmt,
-        "html-num": empty | html_num,
-        "html-num-fmt": empty | html_num_fmt,
-    }
+    bare = F.translate(stripped, FORMAT_CHARS, "")
+    plain = F.when(_is_number(s), num | fmt_ | html_num | html_fmt).when(_is_number(fmt), fmt_ | html_fmt).otherwise(0)
+    marked = F.when(_is_number(stripped), html_num | html_fmt).when(_is_number(bare), html_fmt).otherwise(0)
+    numeric = F.when(s.rlike(NUMBER_LEAD_RE), F.when(F.instr(s, "<") > 0, marked).otherwise(plain)).otherwise(0)
+    date = F.when(is_date(s), bit["date"]).otherwise(0)
+    return F.when(_empty(s), ALL_TYPES).when(~s.rlike(NUMBER_LEAD_RE) & ~may_be_date(s), 0).otherwise(numeric.bitwiseOR(date))
 
 
 _MOMENTS = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -398,44 +518,73 @@ def _schema_type(df: DataFrame, c: str) -> str | None:
     return "num" if isinstance(dtype, T.NumericType) else "date" if isinstance(dtype, _MOMENTS) else None
 
 
+def _markup(s: Column, position: str | None) -> Column:
+    """Aggregate: whether the grid takes a column for html (its first row, else any row, holds markup)."""
+    markup = F.instr(s, "<") > 0
+    if position is None:
+        return F.bool_or(F.coalesce(markup, F.lit(False)))
+    # min over (position, flag): the smallest position's flag, as a hash aggregate over plain values
+    return F.min_by(F.coalesce(_empty(s) | markup, F.lit(True)), F.col(position))
+
+
+def _kind(mask: Column, html: Column) -> Column:
+    """The type of a column from the bits all its values pass (NULL: no rows)."""
+    kind = F.when(html, F.lit("html")).otherwise(F.lit("string"))
+    for k in reversed(range(len(TYPE_ORDER) - 1)):
+        kind = F.when(F.getbit(mask, F.lit(k)) == 1, F.lit(TYPE_ORDER[k])).otherwise(kind)
+    return kind
+
+
 def grid_column_types(df: DataFrame, cols: Sequence[str] | None = None, position: str | None = None) -> DataFrame:
     """Grid type of every column, one row per column, in one aggregate pass.
 
     A text column has the first of num, date, num-fmt, html-num, html-num-fmt
-    that every value passes.  Else it is html when the grid meets markup: the
-    grid looks at its first row only (blank or with '<'), which is the row of
-    the smallest ``position``; without a position, one value with '<' is
-    enough.  Else, and for an empty table, it is string.
+    that every value passes: one bit mask per value, folded by ``bit_and``.
+    Else it is html when the grid meets markup: the grid looks at its first
+    row only (blank or with '<'), which is the row of the smallest
+    ``position``; without a position, one value with '<' is enough.  Else, and
+    for an empty table, it is string.
     """
     cols = list(cols or df.columns)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):
         if _schema_type(df, c) is None:
             s = F.col(c).cast("string")
-            dets = _detectors(s)
-            aggs += [F.bool_and(dets[name]).alias(f"_{i}_{j}") for j, name in enumerate(TYPE_ORDER[:-1])]
-            markup = F.instr(s, "<") > 0
-            if position is None:
-                html = F.bool_or(F.coalesce(markup, F.lit(False)))
-            else:
-                # min over (position, flag): the smallest position's flag, as a hash aggregate over plain values
-                html = F.min_by(F.coalesce(_empty(s) | markup, F.lit(True)), F.col(position))
-            aggs.append(html.alias(f"_{i}_{len(TYPE_ORDER) - 1}"))
+            aggs += [F.bit_and(type_mask(s)).alias(f"_m{i}"), _markup(s, position).alias(f"_h{i}")]
     flags = df.agg(*aggs)
     rows = []
     for i, c in enumerate(cols):
-        kind = F.lit(_schema_type(df, c) or "string")
-        if _schema_type(df, c) is None:
-            for j in reversed(range(len(TYPE_ORDER))):
-                kind = F.when(F.col(f"_{i}_{j}"), F.lit(TYPE_ORDER[j])).otherwise(kind)
+        known = _schema_type(df, c)
+        kind = F.lit(known) if known else _kind(F.col(f"_m{i}"), F.col(f"_h{i}"))
         rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"), kind.alias("type")))
     return flags.select(F.inline(F.array(*rows)))
 
 
+PROBE = 20  # rows looked at first: a column with one value that passes no detector is html or string
+
+
+def _settled(df: DataFrame, cols: Sequence[str], position: str) -> dict[str, str]:
+    """Types of the columns that a few rows and the first row decide (see ``grid_column_types``), without a full pass."""
+    texts = [F.col(c).cast("string") for c in cols]
+    # a value that passes nothing settles that the column is no number and no date
+    masks = df.limit(PROBE).agg(*[F.bit_and(type_mask(s)).alias(f"_m{i}") for i, s in enumerate(texts)]).first()
+    done = [i for i in range(len(cols)) if masks[i] == 0]
+    if not done:
+        return {}
+    least = df.agg(F.min(position)).first()[0]
+    if least is None:
+        return {}
+    first = df.filter(F.col(position) == F.lit(least)).agg(*[_markup(texts[i], position).alias(f"_h{i}") for i in done]).first()
+    return {cols[i]: "html" if first[k] else "string" for k, i in enumerate(done)}
+
+
 def column_types(df: DataFrame, cols: Sequence[str], given: dict[str, str] | None = None, position: str | None = None) -> dict[str, str]:
-    """Column -> grid type: the given one, else the schema's, else detected (one aggregate pass over those columns)."""
+    """Column -> grid type: the given one, else the schema's, else detected (a full pass only over columns that a few rows do not decide)."""
     kinds = {c: (given or {}).get(c) or _schema_type(df, c) for c in dict.fromkeys(cols)}
     open_ = [c for c, kind in kinds.items() if kind is None]
+    if open_ and position is not None:
+        kinds |= _settled(df, open_, position)
+        open_ = [c for c, kind in kinds.items() if kind is None]
     if open_:
         kinds |= {r["column_name"]: r["type"] for r in grid_column_types(df, open_, position).collect()}
     return kinds

@@ -116,6 +116,19 @@ def update_prices(t: RetailTables) -> DataFrame:
     return X.update_prices(t.item_country, price_updates(t))
 
 
+@register(
+    "update_prices_rejects",
+    """WITH upd AS (SELECT p.item_id, p.country_id, coalesce(ic.retailprice, 100.0) * (1 - p.discountrate) AS retailprice,
+  p.startdate AS seq, ic.item_id IS NULL AS gone,
+  row_number() OVER (PARTITION BY p.item_id, p.country_id ORDER BY p.startdate DESC, coalesce(ic.retailprice, 100.0) * (1 - p.discountrate) DESC) AS rn
+  FROM v_promotion p LEFT JOIN v_item_country ic ON ic.item_id = p.item_id AND ic.country_id = p.country_id)
+SELECT item_id, country_id, retailprice, CASE WHEN gone THEN 'unknown' ELSE 'superseded' END AS reason FROM upd WHERE gone OR rn > 1""",
+)
+def update_prices_rejects(t: RetailTables) -> DataFrame:
+    """Price changes that were not applied: no such price, or a later change of the same price."""
+    return X.update_prices_rejects(t.item_country, price_updates(t)).select("item_id", "country_id", "retailprice", "reason")
+
+
 @register(
     "remove_prices",
     f"""SELECT p.* FROM v_item_country p WHERE NOT EXISTS (SELECT 1 FROM v_promotion q
@@ -262,13 +275,16 @@ def store_quantity_requests(t: RetailTables) -> DataFrame:
     )
 
 
-_STORE_QUANTITY_SQL = """req AS (SELECT CASE si.leadtime WHEN 1 THEN concat(s.name, ' (closed)') ELSE s.name END AS store_name,
-    CASE si.leadtime WHEN 2 THEN concat('GONE_', i.sku) ELSE i.sku END AS sku, si.lotsize * 10 AS quantity, si.supplier_id AS seq
+_STORE_QUANTITY_SQL = """req AS MATERIALIZED (SELECT CASE si.leadtime WHEN 1 THEN concat(s.name, ' (closed)') ELSE s.name END AS store_name,
+    CASE si.leadtime WHEN 2 THEN concat('GONE_', i.sku) ELSE i.sku END AS sku, si.lotsize * 10 AS quantity, si.supplier_id AS seq,
+    row_number() OVER () AS rid
   FROM v_supplier_item si JOIN v_store s ON s.id = si.supplier_id JOIN v_item i ON i.id = si.item_id),
-tg AS (SELECT r.*, b.id AS bin_id, i.id AS item_id, CASE WHEN s.id IS NULL THEN 'unknown store'
-    WHEN i.id IS NULL THEN 'unknown sku' WHEN b.id IS NULL THEN 'no outbound bin' END AS reason
+held AS (SELECT DISTINCT bin_id, item_id FROM v_line WHERE bin_id IS NOT NULL),
+tg AS MATERIALIZED (SELECT r.*, b.id AS bin_id, i.id AS item_id, CASE WHEN s.id IS NULL THEN 1
+    WHEN i.id IS NULL THEN 2 WHEN b.id IS NULL THEN 3 WHEN h.bin_id IS NULL THEN 4 END AS lacks
   FROM req r LEFT JOIN v_store s ON s.name = r.store_name
-  LEFT JOIN v_storagebin b ON b.warehouse_id = s.warehouse_id AND b.type = 'Outbound' LEFT JOIN v_item i ON i.sku = r.sku)"""
+  LEFT JOIN v_storagebin b ON b.warehouse_id = s.warehouse_id AND b.type = 'Outbound' LEFT JOIN v_item i ON i.sku = r.sku
+  LEFT JOIN held h ON h.bin_id = b.id AND h.item_id = i.id)"""
 
 
 def _store_quantity(t: RetailTables) -> X.LinesChange:
@@ -278,7 +294,7 @@ def _store_quantity(t: RetailTables) -> X.LinesChange:
 @register(
     "set_store_quantity",
     f"""WITH {_STORE_QUANTITY_SQL},
-one AS ({_latest("tg WHERE reason IS NULL", "bin_id, item_id", "seq DESC, quantity DESC", "bin_id, item_id, quantity")})
+one AS ({_latest("tg WHERE lacks IS NULL", "bin_id, item_id", "seq DESC, quantity DESC", "bin_id, item_id, quantity")})
 SELECT l.id, l.item_id, CASE WHEN o.bin_id IS NOT NULL THEN o.quantity ELSE l.quantity END AS quantity, l.order_id, l.bin_id
 FROM v_line l LEFT JOIN one o ON o.bin_id = l.bin_id AND o.item_id = l.item_id""",
 )
@@ -287,9 +303,15 @@ def set_store_quantity(t: RetailTables) -> DataFrame:
     return _store_quantity(t).lines
 
 
-@register("set_store_quantity_rejects", f"WITH {_STORE_QUANTITY_SQL} SELECT store_name, sku, quantity, reason FROM tg WHERE reason IS NOT NULL")
+@register(
+    "set_store_quantity_rejects",
+    f"""WITH {_STORE_QUANTITY_SQL}
+SELECT any_value(store_name) AS store_name, any_value(sku) AS sku, any_value(quantity) AS quantity,
+  CASE max(lacks) WHEN 1 THEN 'unknown store' WHEN 2 THEN 'unknown sku' WHEN 3 THEN 'no outbound bin' ELSE 'no line of the item' END AS reason
+FROM tg GROUP BY rid HAVING bool_and(lacks IS NOT NULL)""",
+)
 def set_store_quantity_rejects(t: RetailTables) -> DataFrame:
-    """Stock requests that reach no bin, with the reason."""
+    """Stock requests that reach no line, each once, with the reason."""
     return _store_quantity(t).rejects
 
 
@@ -355,6 +377,28 @@ def update_orders(t: RetailTables) -> DataFrame:
     return X.update_orders(so, changes)
 
 
+@register(
+    "update_orders_rejects",
+    """SELECT o.o_orderkey AS id, o.o_custkey % 10 AS origin_id, CASE WHEN s.id IS NULL THEN 'unknown' ELSE 'locked' END AS reason
+FROM orders o LEFT JOIN v_shippingorder s ON s.id = o.o_orderkey WHERE year(o.o_orderdate) = 1998 AND (s.id IS NULL OR s.status <> 'Pending')""",
+)
+def update_orders_rejects(t: RetailTables) -> DataFrame:
+    """New origins asked for every order of 1998 that are not set: purchase orders (unknown here) and orders past Pending."""
+    asked = t.raw("orders").filter(F.year("o_orderdate") == 1998).select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 10).alias("origin_id"))
+    return X.update_orders_rejects(t.shippingorder, asked)
+
+
+@register(
+    "update_line_quantity_rejects",
+    """SELECT l.id, cast(40 AS BIGINT) AS quantity, 'locked' AS reason FROM v_line l JOIN v_shippingorder s ON s.id = l.order_id
+WHERE l.quantity > 40 AND s.status <> 'Pending'""",
+)
+def update_line_quantity_rejects(t: RetailTables) -> DataFrame:
+    """Caps asked for the lines of all shipping orders that the edit lock refuses."""
+    changes = _order_lines(t).filter(F.col("quantity") > 40).select("id", F.lit(40).cast("long").alias("quantity"))
+    return X.update_line_quantity_rejects(t.line, changes, orders=t.shippingorder)
+
+
 _STATUS_BY_PRIORITY = {"1": K.SUBMITTED, "2": K.SHIPPED, "3": K.COMPLETED, "4": K.UNFULFILLABLE, "5": K.PENDING}
 
 

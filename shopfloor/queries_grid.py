@@ -258,3 +258,121 @@ def _types_sql() -> str:
 def grid_column_types(t: RetailTables) -> DataFrame:
     """Grid type of every column of the sales grid."""
     return G.grid_column_types(_typed_sales(t), _TYPE_COLS, position="id")
+
+
+# ---- texts as the pages show them ------------------------------------------------------
+
+_SHOWN = ["'%-m/%-d/%Y, %-I:%M:%S %p'", "'%Y/%m/%d %H:%M:%S'", "'%b %-d, %Y %H:%M:%S'", "'%a, %d %b %Y %H:%M:%S GMT'"]
+_SHOWN_SQL = f"""SELECT event_id, strftime(date_trunc('second', ts), {_SHOWN[0]}) AS us_text, strftime(date_trunc('second', ts), {_SHOWN[1]}) AS slashed_text,
+  strftime(date_trunc('second', ts), {_SHOWN[2]}) AS month_text, strftime(date_trunc('second', ts), {_SHOWN[3]}) AS zone_text, strftime(ts, '%A') AS day_text FROM events"""
+# the oracle reads the texts back with a parser of its own
+_READ_SHOWN = [f"try_strptime({{0}}, {f})" for f in _SHOWN]
+
+
+def shown_events(t: RetailTables) -> DataFrame:
+    """Events with their time in the renderings of the staff pages (12-hour clock, slashes, month names, a zone name)."""
+    texts = {"us_text": "M/d/yyyy, h:mm:ss a", "slashed_text": "yyyy/MM/dd HH:mm:ss", "month_text": "MMM d, yyyy HH:mm:ss",
+             "zone_text": "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "day_text": "EEEE"}
+    return t.raw("events").select("event_id", *[F.date_format("ts", f).alias(n) for n, f in texts.items()])
+
+
+def _shown_order(col: str, k: int) -> str:
+    return f"""SELECT event_id, {col}, row_number() OVER (ORDER BY {_READ_SHOWN[k].format(col)} DESC, event_id) AS row_pos FROM ({_SHOWN_SQL})"""
+
+
+@register("grid_sort_shown_dates", _shown_order("us_text", 0))
+def grid_sort_shown_dates(t: RetailTables) -> DataFrame:
+    """Events by the text the order pages show (date and 12-hour time, detected as dates), newest first."""
+    return G.grid_rank(shown_events(t).select("event_id", "us_text"), [("us_text", "desc")], "event_id")
+
+
+@register("grid_sort_month_names", _shown_order("zone_text", 3))
+def grid_sort_month_names(t: RetailTables) -> DataFrame:
+    """Events by a text with weekday, month name and zone name, newest first."""
+    return G.grid_rank(shown_events(t).select("event_id", "zone_text"), [("zone_text", "desc")], "event_id")
+
+
+_SHOWN_COLS = ["us_text", "slashed_text", "month_text", "zone_text", "day_text"]
+
+
+@register(
+    "grid_types_shown_dates",
+    f"WITH s AS ({_SHOWN_SQL})\n" + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {i} AS position, CASE WHEN bool_and({_READ_SHOWN[i].format(c)} IS NOT NULL) THEN 'date' ELSE 'string' END AS type FROM s"
+        for i, c in enumerate(_SHOWN_COLS[:-1])
+    ) + "\nUNION ALL SELECT 'day_text', 4, 'string'",
+)
+def grid_types_shown_dates(t: RetailTables) -> DataFrame:
+    """Grid types of the renderings: dates, but for a bare weekday."""
+    return G.grid_column_types(shown_events(t), _SHOWN_COLS, position="event_id")
+
+
+@register(
+    "grid_sort_characters",
+    """SELECT c_custkey, label, row_number() OVER (ORDER BY kind, lower(c_name), c_custkey) AS row_pos
+FROM (SELECT c_custkey, c_name, c_custkey % 3 AS kind, concat(CASE c_custkey % 3 WHEN 0 THEN 'z' WHEN 1 THEN '😀' ELSE 'ﬁ' END, c_name) AS label FROM customer)""",
+)
+def grid_sort_characters(t: RetailTables) -> DataFrame:
+    """Customers by a label that begins with a letter, a surrogate pair or a ligature: the order of code units."""
+    lead = F.element_at(F.array(F.lit("z"), F.lit("😀"), F.lit("ﬁ")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    rows = t.raw("customer").select("c_custkey", F.concat(lead, "c_name").alias("label"))
+    return G.grid_rank(rows, [("label", "asc")], "c_custkey", {"label": "string"})
+
+
+# ---- many searches, further grid options -------------------------------------------------
+
+
+@register(
+    "grid_search_many",
+    f"""WITH q AS (
+  SELECT item_id AS search_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+d AS MATERIALIZED (SELECT doc_id, lower({_ROW}) AS body FROM documents)
+SELECT search_id, doc_id FROM q, d WHERE contains(body, concat_ws(' ', w[1], w[2])) AND contains(body, coalesce(w[3], '')) AND contains(body, coalesce(w[7], ''))""",
+)
+def grid_search_many(t: RetailTables) -> DataFrame:
+    """All documents that a smart search for the beginning of a benchmark item keeps (a phrase and two words), for all items at once."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    quoted = F.concat(F.lit('"'), F.concat_ws(" ", F.get(w, 0), F.get(w, 1)), F.lit('"'))
+    searches = t.raw("benchmark").select(F.col("item_id").alias("search_id"), F.concat_ws(" ", quoted, F.get(w, 2), F.get(w, 6)).alias("text"))
+    return G.grid_search_many(documents(t), searches, "doc_id")
+
+
+@register(
+    "grid_search_custom",
+    f"{_SELECT} contains(lower({_ROW}), 'licen') AND n_chars > 2000 AND lang <> 'en'",
+)
+def grid_search_custom(t: RetailTables) -> DataFrame:
+    """A search narrowed by the caller's own filter functions."""
+    return G.grid_search(documents(t), "licen", extra=[F.col("n_chars") > 2000, F.col("lang") != "en"], position="doc_id")
+
+
+@register(
+    "grid_search_tags",
+    f"""SELECT id, note_html FROM (SELECT id, concat('<b class="note">', currency, ' ', id, '</b>') AS note_html FROM v_sale)
+WHERE contains(lower(regexp_replace(note_html, '<.*?>', '', 'g')), 'd 1') AND NOT contains(regexp_replace(note_html, '<.*?>', '', 'g'), 'class')""",
+)
+def grid_search_tags(t: RetailTables) -> DataFrame:
+    """Notes in markup: tags are dropped before the search (nothing is found by a tag's attribute)."""
+    note = F.concat(F.lit('<b class="note">'), "currency", F.lit(" "), F.col("id").cast("string"), F.lit("</b>")).alias("note_html")
+    rows = t.sale.select("id", note)
+    return G.grid_search(rows, '"d 1"', cols=["note_html"], position="id")
+
+
+@register(
+    "grid_sort_through",
+    """SELECT p_partkey, p_type, p_size, p_retailprice,
+  row_number() OVER (ORDER BY p_size, p_retailprice DESC, lower(p_type), p_partkey) AS row_pos FROM part""",
+)
+def grid_sort_through(t: RetailTables) -> DataFrame:
+    """Parts sorted through other columns, with a fixed sort before and after."""
+    rows = t.raw("part").select("p_partkey", "p_type", "p_size", "p_retailprice")
+    return G.grid_rank(
+        rows, [("p_partkey", "desc")], "p_partkey", {"p_type": "string"}, fixed_pre=[("p_size", "asc")], fixed_post=[("p_type", "asc")],
+        data_sort={"p_partkey": ["p_retailprice"]},
+    )
+
+
+@register("grid_sort_first_column", "SELECT p_type, p_partkey, row_number() OVER (ORDER BY lower(p_type), p_partkey) AS row_pos FROM part")
+def grid_sort_first_column(t: RetailTables) -> DataFrame:
+    """Parts by the default sort: the first column, ascending."""
+    return G.grid_rank(t.raw("part").select("p_type", "p_partkey"), position="p_partkey", types={"p_type": "string"})
