@@ -20,8 +20,9 @@ combinations would be as many as the square of the frequent words, which no
 trie can hold and nothing bounds.
 
 A block holds the phrases that begin or end in overlaps of one hash class, so
-every pair of neighbours is met in exactly one block.  The lookup of words is
-broadcast as 64-bit hashes with numbers: 12 bytes for each frequent word.
+every pair of neighbours is met in exactly one block.  Up to ``PRELOADED``
+frequent words are broadcast as text; beyond, the lookup of words is broadcast
+as 64-bit hashes with numbers, 12 bytes for each frequent word.
 
 Defined cases: null or empty text has no words; a null language is ``und``
 (one with the language of that name); rows that repeat an id each count; very
@@ -34,9 +35,11 @@ from __future__ import annotations
 import string
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +56,8 @@ NO_LANG = "und"
 BLOCK = 500_000
 # Distinct entries a task holds before it hands them on.
 HELD = 1 << 19
+# Frequent words that are broadcast as text (some 130 bytes each in a worker).
+PRELOADED = 1 << 20
 # What ends a piece, and a byte that UTF-8 never holds to stand for it.
 PIECE_ENDS, MARK = b".,;:!?\x0a\x0b\x0c\x0d", b"\xff"
 _TO_WORDS = bytes.maketrans(string.ascii_uppercase.encode() + PIECE_ENDS, string.ascii_lowercase.encode() + MARK * len(PIECE_ENDS))
@@ -87,39 +92,63 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Numbers(dict):
-    """Word to its number within one language (0: not frequent), remembering recent words."""
+    """Word to its number within one language (0: not frequent).
 
-    def __init__(self, lang: str, hashes: np.ndarray, numbers: np.ndarray):
+    Holds the preloaded words; any other word is looked up by its hash and
+    remembered for a while, or is not frequent where all words are preloaded.
+    """
+
+    def __init__(self, lang: str, known: dict[bytes, int], hashes: np.ndarray | None, numbers: np.ndarray | None):
+        super().__init__(known)
         # as xxhash64(lang, word) of Spark: the first value's hash seeds the second
         self.seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-        self.hashes, self.numbers = hashes, numbers
+        self.known, self.hashes, self.numbers = known, hashes, numbers
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        if word == MARK:
+            return 0
+        if len(self) >= len(self.known) + (1 << 18):
             self.clear()
+            self.update(self.known)
         value = xxhash.xxh64_intdigest(word, self.seed)
         at = int(np.searchsorted(self.hashes, np.uint64(value)))
-        found = int(self.numbers[at]) if word != MARK and at < len(self.hashes) and int(self.hashes[at]) == value else 0
-        self[word] = found
+        self[word] = found = int(self.numbers[at]) if at < len(self.hashes) and int(self.hashes[at]) == value else 0
         return found
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        found = map(self.get, words, repeat(0)) if self.hashes is None else map(self.__getitem__, words)
+        return np.fromiter(found, np.int32, len(words))
 
-def _encode(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """Texts as arrays of word numbers; runs of 0 are written once."""
-    table = words.select(F.xxhash64("lang", "word").alias("h"), F.col("id").cast("int").alias("id")).toArrow()
-    hashes = table["h"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(hashes, kind="stable")
-    known = docs.sparkSession.sparkContext.broadcast((hashes[order], table["id"].to_numpy()[order]))
+
+def _encode(docs: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """Texts as arrays of word numbers; runs of 0 are written once.
+
+    Up to ``PRELOADED`` words (the most frequent ones) are broadcast as text;
+    beyond, all are broadcast as sorted hashes besides.
+    """
+    table = None
+    top = words
+    if total > PRELOADED:
+        least = words.approxQuantile("n", [1 - PRELOADED / total], 0.01)[0]
+        top = words.filter(F.col("n") > least)
+        found = words.select(F.xxhash64("lang", "word").alias("h"), F.col("id").cast("int").alias("id")).toArrow()
+        hashes = found["h"].to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        table = (hashes[order], found["id"].to_numpy()[order])
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((top.select("lang", "word", F.col("id").cast("int").alias("id")).toArrow(), table or (None, None)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, (hashes, numbers) = shared.value
         by_lang: dict[str, _Numbers] = {}
         for batch in batches:
             out = []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 if lang not in by_lang:
-                    by_lang[lang] = _Numbers(lang, *known.value)
-                found = tokens(text.as_py())
-                ids = np.fromiter(map(by_lang[lang].__getitem__, found), np.int32, len(found))
+                    own = texts.filter(pc.equal(texts["lang"], lang))
+                    known = dict(zip(own["word"].cast(pa.binary()).to_pylist(), own["id"].to_pylist(), strict=True))
+                    by_lang[lang] = _Numbers(lang, known, hashes, numbers)
+                ids = by_lang[lang].of(tokens(text.as_py()))
                 if len(ids):
                     ids = ids[np.append(True, (ids[1:] > 0) | (ids[:-1] > 0))]
                 out.append(ids)
@@ -242,7 +271,10 @@ class _Sums:
 
 
 def _pairs(texts: DataFrame, trie, names, counted) -> DataFrame:
-    """left, right, n per task: neighbouring frequent phrases that overlap in all but one word (trie None: words)."""
+    """key, n per task: neighbouring frequent phrases that overlap in all but one word (trie None: words).
+
+    The key packs the numbers of the left and the right phrase, 32 bits each.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = names.value if names else None
@@ -251,11 +283,10 @@ def _pairs(texts: DataFrame, trie, names, counted) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             keys, n = sums.merge()
-            left, right = keys >> 32, keys & 0xFFFFFFFF
             if ids is not None:
-                left, right = ids[left], ids[right]
+                keys = (ids[keys >> 32] << 32) | ids[keys & 0xFFFFFFFF]
             sums.parts, sums.held = [], 0
-            yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(n, pa.int64())], names=["left", "right", "n"])
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
 
         for batch in batches:
             lists = batch.column(0)
@@ -269,13 +300,13 @@ def _pairs(texts: DataFrame, trie, names, counted) -> DataFrame:
                 good = (state[:-1] >= 0) & (state[1:] >= 0)
                 good[good] = own[state[:-1][good]]
             sums.add((state[:-1][good] << 32) | state[1:][good])
-            if sums.held > 2 * HELD:
+            if sums.held > 8 * HELD:
                 sums.merge()
-                if sums.held > HELD:
+                if sums.held > 4 * HELD:
                     yield from out()
         yield from out()
 
-    return texts.mapInArrow(count, "left long, right long, n long")
+    return texts.mapInArrow(count, "key long, n long")
 
 
 def _level(texts: DataFrame, below: DataFrame, words: int, width: int, min_count: int, block: int) -> DataFrame:
@@ -309,7 +340,8 @@ def _level(texts: DataFrame, below: DataFrame, words: int, width: int, min_count
 
 
 def _summed(pairs: DataFrame, min_count: int) -> DataFrame:
-    return pairs.groupBy("left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    summed = pairs.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    return summed.select(F.shiftrightunsigned("key", 32).alias("left"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("right"), "n")
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -320,7 +352,8 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     counted = _languages(docs).mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = write_table(counted, "phrases-words")
     numbered = write_table(number_rows(words.filter(F.col("n") >= min_count), ["lang", F.desc("n"), "word"]), "phrases-frequent")
-    texts, total = _encode(docs, numbered), numbered.count()
+    total = numbered.count()
+    texts = _encode(docs, numbered, total)
     below = numbered.select("id", F.array("id").alias("ws"), "n")
     phrases = below.limit(0).select("ws", "n")
     for width in range(1, longest):

@@ -157,8 +157,9 @@ def test_shared_sets_are_made_once():
     assert got.tolist() == [value[i].sum() for i in items]
 
 
-@pytest.mark.parametrize("block", [collocations.BLOCK, 400])
-def test_collocations_match_brute_force(spark, block):
+@pytest.mark.parametrize("block, preloaded", [(collocations.BLOCK, collocations.PRELOADED), (400, 6)])
+def test_collocations_match_brute_force(spark, monkeypatch, block, preloaded):
+    monkeypatch.setattr(collocations, "PRELOADED", preloaded)
     rows = messy()
     got = collocations.collocations(frame(spark, rows).repartition(4), min_count=4, block=block).collect()
     want = brute.collocations([(lang, t) for _, t, lang in rows], 4)
