@@ -141,6 +141,21 @@ def first_basis(sizes: np.ndarray, demand: np.ndarray, length: int) -> tuple[np.
     return np.stack(columns, axis=1), np.array(used)
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by elimination in elementwise numpy: threaded linear algebra can hang in a driver that has forked."""
+    n = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(n)])
+    for k in range(n):
+        best = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, best]] = work[[best, k]]
+        work[k] /= work[k, k]
+        factor = work[:, k].copy()
+        factor[k] = 0
+        rows = np.flatnonzero(factor)
+        work[rows] -= factor[rows, None] * work[k]
+    return work[:, n:].copy()
+
+
 def solve(sizes: np.ndarray, demand: np.ndarray, length: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one a row) and how often each is used, meeting the demand exactly; fractional, within ``gap`` of the least total.
 
@@ -148,7 +163,7 @@ def solve(sizes: np.ndarray, demand: np.ndarray, length: int, gap: float = GAP)
     so stopping early (``STEPS``) costs sequences, never pieces.
     """
     basis, used = first_basis(sizes, demand, length)
-    inverse = np.linalg.inv(basis)
+    inverse = _inverse(basis)
     bound = float(sizes @ demand) / length  # no packing beats the sum of the lengths
     for step in range(1, STEPS):
         total = used.sum()
@@ -158,7 +173,7 @@ def solve(sizes: np.ndarray, demand: np.ndarray, length: int, gap: float = GAP)
         bound = max(bound, total / max(worth, 1e-9))
         if worth <= 1 + 1e-9 or total <= (1 + gap) * bound:
             break
-        change = inverse @ pattern
+        change = (inverse * pattern).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(change > 1e-9, used / change, np.inf)
         least = ratio.min()
@@ -169,12 +184,12 @@ def solve(sizes: np.ndarray, demand: np.ndarray, length: int, gap: float = GAP)
         used = np.maximum(used - taken * change, 0)
         used[leaves] = taken
         row = inverse[leaves] / change[leaves]
-        inverse -= np.outer(change, row)
+        inverse -= change[:, None] * row
         inverse[leaves] = row
         basis[:, leaves] = pattern
         if step % 100 == 0:
-            inverse = np.linalg.inv(basis)
-            used = np.maximum(inverse @ demand, 0)
+            inverse = _inverse(basis)
+            used = np.maximum((inverse * demand).sum(axis=1), 0)
     return basis.T.astype(np.int64), used
 
 
