@@ -6,7 +6,11 @@ All new snapshots are computed from the old ones before anything is written,
 so a multi-table change is all-or-nothing at the write step.  Batches are
 never collected; duplicate keys in a batch are resolved first (updates: last
 by ``seq``, ties by the larger value; inserts: the first) so joins never
-multiply rows.  Rows of an insert that are not applied come back as rejects.
+multiply rows.  Rows of an insert that are not applied come back as rejects;
+updates and removals have a ``*_rejects`` operator beside them.  An update or
+removal given an ``Observation`` (``touched``) counts the rows it changes while
+the new snapshot is written, without a job of its own: after the write,
+``touched.get["touched"]`` is the number of rows.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import datetime as _dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -31,7 +35,7 @@ def _seq(batch: DataFrame) -> list[Column]:
 
 
 def _apply_updates(
-    base: DataFrame, changes: DataFrame, keys: Sequence[str], cols: Sequence[str], guard: Column | None = None
+    base: DataFrame, changes: DataFrame, keys: Sequence[str], cols: Sequence[str], guard: Column | None = None, touched: Observation | None = None
 ) -> DataFrame:
     """Left join ``changes`` (one row per key) and take the new value where
     matched (and where ``guard``, a condition on the base row, holds)."""
@@ -42,6 +46,7 @@ def _apply_updates(
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     if guard is not None:
         hit = hit & F.coalesce(guard, F.lit(False))
+    joined = _counted(joined, hit, touched)
     out = [
         F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
         for c in base.columns
@@ -49,6 +54,20 @@ def _apply_updates(
     return joined.select(*out)
 
 
+def _counted(rows: DataFrame, hit: Column, touched: Observation | None) -> DataFrame:
+    """``rows`` that report how many of them are ``hit`` to ``touched``, where one is given."""
+    return rows if touched is None else rows.observe(touched, F.count_if(hit).alias("touched"))
+
+
+def _remove(base: DataFrame, gone: DataFrame, keys: Sequence[str], touched: Observation | None) -> DataFrame:
+    """Rows of ``base`` whose keys are not in ``gone`` (distinct keys where ``touched`` is given)."""
+    if touched is None:
+        return base.join(gone, list(keys), "left_anti")
+    hit = F.coalesce(F.col("_gone"), F.lit(False))
+    marked = base.join(maybe_broadcast(gone.withColumn("_gone", F.lit(True))), list(keys), "left")
+    return _counted(marked, hit, touched).filter(~hit).select(*base.columns)
+
+
 def audit_updates(base: DataFrame, requests: DataFrame, keys: Sequence[str], order: Sequence[str] = (), editable: Column | None = None) -> DataFrame:
     """Every update request with its ``reason``: NULL where it is applied, else unknown, locked or superseded.
 
@@ -108,14 +127,14 @@ def add_prices(prices: DataFrame, items: DataFrame, adds: DataFrame) -> PricesCh
     return PricesChange(prices=prices.unionByName(fresh), rejects=rejects)
 
 
-def update_prices(prices: DataFrame, updates: DataFrame) -> DataFrame:
+def update_prices(prices: DataFrame, updates: DataFrame, touched: Observation | None = None) -> DataFrame:
     """Set new prices by (item_id, country_id), rounded half-up to one decimal.
 
     Pairs without a price are not inserted (the update touches no row).
     """
     one = last_value(updates, ["item_id", "country_id"], "retailprice")
     one = one.withColumn("retailprice", round_half_up_1("retailprice"))
-    return _apply_updates(prices, one, ["item_id", "country_id"], ["retailprice"])
+    return _apply_updates(prices, one, ["item_id", "country_id"], ["retailprice"], touched=touched)
 
 
 def update_prices_rejects(prices: DataFrame, updates: DataFrame) -> DataFrame:
@@ -124,9 +143,15 @@ def update_prices_rejects(prices: DataFrame, updates: DataFrame) -> DataFrame:
     return audit_updates(prices, updates, ["item_id", "country_id"], order).filter("reason is not null")
 
 
-def remove_prices(prices: DataFrame, keys: DataFrame) -> DataFrame:
+def remove_prices(prices: DataFrame, keys: DataFrame, touched: Observation | None = None) -> DataFrame:
     """Delete prices whose (item_id, country_id) is in ``keys``."""
-    return prices.join(sized_side(keys.select("item_id", "country_id"), "price_keys"), ["item_id", "country_id"], "left_anti")
+    pairs = keys.select("item_id", "country_id").distinct()
+    return _remove(prices, sized_side(pairs, "price_keys"), ["item_id", "country_id"], touched)
+
+
+def remove_prices_rejects(prices: DataFrame, keys: DataFrame) -> DataFrame:
+    """Removals that find no price, or repeat another of the batch (superseded)."""
+    return audit_updates(prices, keys, ["item_id", "country_id"]).filter("reason is not null")
 
 
 # ---- items ----------------------------------------------------------------
@@ -159,8 +184,11 @@ def add_items(items: DataFrame, subtypes: DataFrame, new: DataFrame) -> ItemsCha
     for c in ("length", "width", "height"):
         dims_ok = dims_ok & F.coalesce(F.col(c) >= 1, F.lit(False))
         whole = whole & F.coalesce(F.col(c) == F.floor(F.col(c)), F.lit(True))
-    taken = items.select("sku", F.lit(True).alias("_taken")).distinct()
-    checked = _numbered_batch(new, "new_items").join(taken, "sku", "left").withColumn("_reason", F.concat_ws(
+    batch = _numbered_batch(new, "new_items")
+    # only the proposed SKUs of the item table are looked at
+    proposed = sized_side(batch.select("sku").distinct(), "new_items_skus")
+    taken = items.select("sku").join(proposed, "sku", "left_semi").distinct().withColumn("_taken", F.lit(True))
+    checked = batch.join(taken, "sku", "left").withColumn("_reason", F.concat_ws(
         "; ",
         F.when(~text_ok, F.lit("missing required field")),
         F.when(~type_ok, F.lit("unknown type")),
@@ -196,12 +224,21 @@ def add_items(items: DataFrame, subtypes: DataFrame, new: DataFrame) -> ItemsCha
     )
 
 
-def update_items(items: DataFrame, updates: DataFrame) -> DataFrame:
+ITEM_FIELDS = ("name", "category", "description")
+
+
+def update_items(items: DataFrame, updates: DataFrame, touched: Observation | None = None) -> DataFrame:
     """Set name, category and description by id."""
-    cols = ["name", "category", "description"]
+    cols = list(ITEM_FIELDS)
     one = last_per_key(updates.select("id", *cols, *(["seq"] if "seq" in updates.columns else [])), ["id"],
                        [*_seq(updates), F.struct(*cols)]).drop("seq")
-    return _apply_updates(items, one, ["id"], cols)
+    return _apply_updates(items, one, ["id"], cols, touched=touched)
+
+
+def update_items_rejects(items: DataFrame, updates: DataFrame) -> DataFrame:
+    """Item updates that ``update_items`` does not apply, with the reason (see ``audit_updates``)."""
+    order = [*(["seq"] if "seq" in updates.columns else []), *ITEM_FIELDS]
+    return audit_updates(items, updates, ["id"], order).filter("reason is not null")
 
 
 @dataclass
@@ -211,16 +248,21 @@ class RemoveItems:
     prices: DataFrame
 
 
-def remove_items(items: DataFrame, subtypes: DataFrame, prices: DataFrame, ids: DataFrame) -> RemoveItems:
-    """Delete items with their subtype rows and all their prices (one key set, three anti joins)."""
+def remove_items(items: DataFrame, subtypes: DataFrame, prices: DataFrame, ids: DataFrame, touched: Observation | None = None) -> RemoveItems:
+    """Delete items with their subtype rows and all their prices (one key set, three anti joins); ``touched`` counts items."""
     keys = sized_side(ids.select("id").distinct(), "item_keys")
     return RemoveItems(
-        items=items.join(keys, "id", "left_anti"),
+        items=_remove(items, keys, ["id"], touched),
         subtypes=subtypes.join(keys, "id", "left_anti"),
         prices=prices.join(keys.withColumnRenamed("id", "item_id"), "item_id", "left_anti"),
     )
 
 
+def remove_items_rejects(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """Removals of unknown items, or that repeat another of the batch (superseded)."""
+    return audit_updates(items, ids, ["id"]).filter("reason is not null")
+
+
 # ---- lines ----------------------------------------------------------------
 
 
@@ -263,12 +305,16 @@ def _editable(lines: DataFrame, ids: DataFrame, orders: DataFrame | None) -> Dat
     ids = ids.select("id").distinct()
     if orders is None:
         return sized_side(ids, "line_keys")
-    asked = lines.select("id", "order_id").join(sized_side(ids, "line_keys"), "id", "left_semi")
-    locked = orders.filter(F.coalesce(F.col("status") != K.PENDING, F.lit(True))).select(F.col("id").alias("order_id"))
+    asked = write_table(lines.select("id", "order_id").join(sized_side(ids, "line_keys"), "id", "left_semi"), "line_keys_asked")
+    # only the orders of the asked lines are looked at
+    held = sized_side(asked.select(F.col("order_id").alias("id")).distinct(), "line_keys_orders")
+    locked = orders.join(held, "id", "left_semi").filter(F.coalesce(F.col("status") != K.PENDING, F.lit(True))).select(F.col("id").alias("order_id"))
     return sized_side(asked.join(locked, "order_id", "left_anti").select("id"), "line_keys_open")
 
 
-def update_line_quantity(lines: DataFrame, changes: DataFrame, mode: str = "set", orders: DataFrame | None = None) -> DataFrame:
+def update_line_quantity(
+    lines: DataFrame, changes: DataFrame, mode: str = "set", orders: DataFrame | None = None, touched: Observation | None = None
+) -> DataFrame:
     """Set (``mode='set'``, last change wins) or add (``mode='add'``, deltas summed) line quantities by id.
 
     With ``orders``, only lines whose order is Pending (or that belong to none of them) change: the edit lock.
@@ -277,16 +323,25 @@ def update_line_quantity(lines: DataFrame, changes: DataFrame, mode: str = "set"
         changes = changes.join(_editable(lines, changes, orders), "id", "left_semi")
     if mode == "add":
         deltas = sum_per_key(changes.select("id", "quantity"), ["id"], "quantity").withColumnRenamed("quantity", "_d")
-        joined = lines.join(sized_side(deltas, "line_deltas"), "id", "left")
+        joined = lines.join(sized_side(deltas.withColumn("_hit", F.lit(True)), "line_deltas"), "id", "left")
+        joined = _counted(joined, F.coalesce(F.col("_hit"), F.lit(False)), touched)
         return joined.select(
             *[(F.col(c) + F.coalesce(F.col("_d"), F.lit(0))).cast("long").alias(c) if c == "quantity" else F.col(c)
               for c in lines.columns]
         )
-    return _apply_updates(lines, last_value(changes, ["id"], "quantity"), ["id"], ["quantity"])
+    return _apply_updates(lines, last_value(changes, ["id"], "quantity"), ["id"], ["quantity"], touched=touched)
 
 
 def update_line_quantity_rejects(lines: DataFrame, changes: DataFrame, mode: str = "set", orders: DataFrame | None = None) -> DataFrame:
     """Line changes that ``update_line_quantity`` does not apply, with the reason (see ``audit_updates``; deltas never supersede)."""
+    order = [*(["seq"] if "seq" in changes.columns else []), "quantity"]
+    judged = _audit_lines(lines, changes, order, orders)
+    wanted = F.col("reason").isNotNull() if mode == "set" else F.col("reason").isin("unknown", "locked")
+    return judged.filter(wanted)
+
+
+def _audit_lines(lines: DataFrame, changes: DataFrame, order: Sequence[str], orders: DataFrame | None) -> DataFrame:
+    """``audit_updates`` of requests by line id; with ``orders``, lines of a non-Pending order are locked."""
     asked = sized_side(changes.select("id").distinct(), "line_audit_keys")
     base = lines.select("id", "order_id").join(asked, "id", "left_semi")
     editable = None
@@ -294,27 +349,29 @@ def update_line_quantity_rejects(lines: DataFrame, changes: DataFrame, mode: str
         status = orders.select(F.col("id").alias("order_id"), F.coalesce("status", F.lit("")).alias("_status"))
         base = base.join(status, "order_id", "left")
         editable = F.coalesce("_status", F.lit(K.PENDING)) == K.PENDING
-    order = [*(["seq"] if "seq" in changes.columns else []), "quantity"]
-    judged = audit_updates(base, changes, ["id"], order, editable)
-    wanted = F.col("reason").isNotNull() if mode == "set" else F.col("reason").isin("unknown", "locked")
-    return judged.filter(wanted)
+    return audit_updates(base, changes, ["id"], order, editable)
 
 
-def remove_order_lines(lines: DataFrame, line_ids: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+def remove_order_lines(lines: DataFrame, line_ids: DataFrame, orders: DataFrame | None = None, touched: Observation | None = None) -> DataFrame:
     """Delete lines (and with them their order links) by line id; with ``orders``, lines of a non-Pending order stay."""
-    return lines.join(_editable(lines, line_ids, orders), "id", "left_anti")
+    return _remove(lines, _editable(lines, line_ids, orders), ["id"], touched)
+
+
+def remove_order_lines_rejects(lines: DataFrame, line_ids: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    """Removals of unknown or locked lines, or that repeat another of the batch (superseded)."""
+    return _audit_lines(lines, line_ids, [], orders).filter("reason is not null")
 
 
 # ---- orders ---------------------------------------------------------------
 
 
-def update_orders(orders: DataFrame, changes: DataFrame, editable_status: str = K.PENDING) -> DataFrame:
+def update_orders(orders: DataFrame, changes: DataFrame, editable_status: str = K.PENDING, touched: Observation | None = None) -> DataFrame:
     """Set expected date, origin and destination by id; only Pending orders are editable."""
     cols = [c for c in ("expecteddate", "origin_id", "supplier_id", "destination_id") if c in changes.columns]
     one = last_per_key(changes.select("id", *cols, *(["seq"] if "seq" in changes.columns else [])), ["id"],
                        [*_seq(changes), F.struct(*cols)]).drop("seq")
     # the edit lock is a condition on the order row itself: no join against all orders
-    return _apply_updates(orders, one, ["id"], cols, guard=F.col("status") == editable_status)
+    return _apply_updates(orders, one, ["id"], cols, guard=F.col("status") == editable_status, touched=touched)
 
 
 def update_orders_rejects(orders: DataFrame, changes: DataFrame, editable_status: str = K.PENDING) -> DataFrame:
@@ -391,10 +448,16 @@ def apply_status(orders: DataFrame, lines: DataFrame, changes: DataFrame, as_of:
     return StatusChange(orders=joined.select(*out), rejects=rejects)
 
 
-def set_status(orders: DataFrame, changes: DataFrame) -> DataFrame:
+def set_status(orders: DataFrame, changes: DataFrame, touched: Observation | None = None) -> DataFrame:
     """Set the status of orders by id without a state machine (purchase orders); the last change wins."""
     one = last_value(changes.withColumnRenamed("new_status", "status"), ["id"], "status")
-    return _apply_updates(orders, one, ["id"], ["status"])
+    return _apply_updates(orders, one, ["id"], ["status"], touched=touched)
+
+
+def set_status_rejects(orders: DataFrame, changes: DataFrame) -> DataFrame:
+    """Status changes that ``set_status`` does not apply, with the reason (see ``audit_updates``)."""
+    order = [*(["seq"] if "seq" in changes.columns else []), "new_status"]
+    return audit_updates(orders, changes, ["id"], order).filter("reason is not null")
 
 
 @dataclass
@@ -476,23 +539,38 @@ def receive_shipments(orders: DataFrame, lines: DataFrame, bins: DataFrame, rece
 PASSWORD_FIELDS = ("passwordhash", "passwordsalt", "passwordreset", "securityanswer")
 
 
-def update_profiles(people: DataFrame, changes: DataFrame, key: str = "email", cols: Sequence[str] | None = None) -> DataFrame:
+PROFILE_FIELDS = ("name", "phone", "address", "zipcode")
+
+
+def _profile_fields(people: DataFrame, changes: DataFrame, key: str, cols: Sequence[str] | None) -> list[str]:
+    wanted = [c for c in (cols or changes.columns) if c not in (key, "seq") and c in people.columns and c in changes.columns]
+    return [c for c in wanted if c.lower() not in PASSWORD_FIELDS]
+
+
+def update_profiles(
+    people: DataFrame, changes: DataFrame, key: str = "email", cols: Sequence[str] | None = None, touched: Observation | None = None
+) -> DataFrame:
     """Set profile fields of members or staff by ``key`` (password fields are never changed here)."""
-    wanted = [c for c in (cols or changes.columns) if c not in (key, "seq") and c in people.columns]
-    wanted = [c for c in wanted if c.lower() not in PASSWORD_FIELDS]
+    wanted = _profile_fields(people, changes, key, cols)
     one = last_per_key(changes.select(key, *wanted, *(["seq"] if "seq" in changes.columns else [])), [key],
                        [*_seq(changes), F.struct(*wanted)]).drop("seq")
-    return _apply_updates(people, one, [key], wanted)
+    return _apply_updates(people, one, [key], wanted, touched=touched)
 
 
-def update_members(members: DataFrame, changes: DataFrame, cols: Sequence[str] = ("name", "phone", "address", "zipcode")) -> DataFrame:
+def update_profiles_rejects(people: DataFrame, changes: DataFrame, key: str = "email", cols: Sequence[str] | None = None) -> DataFrame:
+    """Profile updates that ``update_profiles`` does not apply, with the reason (see ``audit_updates``)."""
+    order = [*(["seq"] if "seq" in changes.columns else []), *_profile_fields(people, changes, key, cols)]
+    return audit_updates(people, changes, [key], order).filter("reason is not null")
+
+
+def update_members(members: DataFrame, changes: DataFrame, cols: Sequence[str] = PROFILE_FIELDS, touched: Observation | None = None) -> DataFrame:
     """Set member profile and delivery fields by email."""
-    return update_profiles(members, changes, "email", [c for c in cols if c in changes.columns])
+    return update_profiles(members, changes, "email", cols, touched)
 
 
-def update_staff(staff: DataFrame, changes: DataFrame, key: str = "email") -> DataFrame:
+def update_staff(staff: DataFrame, changes: DataFrame, key: str = "email", touched: Observation | None = None) -> DataFrame:
     """Set staff profile fields (id number, name, phone, address, ...) by email."""
-    return update_profiles(staff, changes, key)
+    return update_profiles(staff, changes, key, touched=touched)
 
 
 # ---- appends --------------------------------------------------------------
@@ -518,8 +596,13 @@ def append_orders(
     return orders.unionByName(filled.select(*orders.columns))
 
 
-def append_lines(lines: DataFrame, new: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Append line items (quantity, item and links); ids continue after the largest."""
+def append_lines(lines: DataFrame, new: DataFrame, order_by: Sequence[str], orders: DataFrame | None = None) -> DataFrame:
+    """Append line items (quantity, item and links); ids continue after the largest.
+
+    With ``orders``, a line of an unknown or non-Pending order is not added (the edit lock).
+    """
+    if orders is not None:
+        new = _judged_lines(new, orders).filter("reason is null").drop("reason")
     start = max_id(lines)
     numbered = number_rows(new, list(order_by), id_col="id", start=start)
     for c in lines.columns:
@@ -528,6 +611,21 @@ def append_lines(lines: DataFrame, new: DataFrame, order_by: Sequence[str]) -> D
     return lines.unionByName(numbered.select(*[F.col(c).cast(lines.schema[c].dataType) for c in lines.columns]))
 
 
+def append_lines_rejects(new: DataFrame, orders: DataFrame) -> DataFrame:
+    """New lines that ``append_lines`` refuses under ``orders``: their order is unknown or locked."""
+    return _judged_lines(new, orders).filter("reason is not null")
+
+
+def _judged_lines(new: DataFrame, orders: DataFrame) -> DataFrame:
+    """``new`` with its ``reason``; a line of no order is never refused.  Only the asked orders are looked at."""
+    asked = sized_side(new.select(F.col("order_id").alias("id")).distinct(), "line_adds_orders")
+    open_ = F.coalesce(F.col("status") == K.PENDING, F.lit(False))
+    known = orders.join(asked, "id", "left_semi").select(F.col("id").alias("order_id"), open_.alias("_open"))
+    known = sized_side(known, "line_adds_status")
+    reason = F.when(F.col("order_id").isNull(), None).when(F.col("_open").isNull(), "unknown").when(~F.col("_open"), "locked")
+    return new.join(known, "order_id", "left").select(*new.columns, reason.alias("reason"))
+
+
 def append_sales(sales: DataFrame, new: DataFrame, as_of: _dt.datetime | _dt.date, order_by: Sequence[str]) -> DataFrame:
     """Append sales records: amount due = amount paid, currency SGD, created ``as_of``."""
     start = max_id(sales)

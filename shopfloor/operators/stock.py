@@ -8,13 +8,13 @@ and a hot bin or item is combined map-side instead of landing in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.exprs import availability
 from ..plans.joins import maybe_broadcast
-from ..plans.materialize import sized_side
+from ..plans.materialize import sized_side, write_table
 from ..sources.fixtures import RetailTables
 
 
@@ -151,3 +151,72 @@ def cart_fold(adds: DataFrame, stock: DataFrame, on: tuple[str, ...] = ("session
     if "price" in adds.columns:
         cols.append("price")
     return guarded.select(*cols)
+
+
+EDGE_ROWS = 4096
+SLOTS = 256
+
+
+def _micros(adds: DataFrame) -> Column:
+    """``ts`` as whole microseconds; a time without zone is read field by field, so no zone's clock change reorders it."""
+    kind = adds.schema["ts"].dataType.typeName()
+    if kind == "timestamp":
+        return F.unix_micros("ts")
+    seconds = "0" if kind == "date" else "hour(ts) * 3600 + minute(ts) * 60 + extract(second from ts)"
+    return F.expr(f"unix_date(cast(ts as date)) * 86400000000L + cast(({seconds}) * 1000000 as bigint)")
+
+
+def _narrowed(adds: DataFrame, wide: DataFrame, keys: list[str], col: str, lo: str, hi: str) -> DataFrame:
+    """Each pair's range of ``col`` cut to the one of ``SLOTS`` slots that holds its last accepted add."""
+    state = [c for c in wide.columns if c not in keys]
+    step = f"(({hi} - {lo}) div {SLOTS} + 1)"
+    slots = _in_range(adds, wide, keys).withColumn("_slot", F.expr(f"({col} - {lo}) div {step}"))
+    # partial sums in every task: a hot pair is at most SLOTS rows a task
+    counts = slots.groupBy(*keys, *state, "_slot").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_slot"))
+    edge = counts.withColumn("_upto", upto).filter("_upto >= _need and _upto - _c < _need")
+    new = {
+        "_need": "_need - (_upto - _c)", "_n": "_c",
+        lo: f"{lo} + _slot * {step}", hi: f"least({hi}, {lo} + _slot * {step} + {step} - 1)",
+    }
+    return edge.select(*keys, *[F.expr(new.get(c, c)).alias(c) for c in state])
+
+
+def _in_range(adds: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    return adds.join(maybe_broadcast(state), keys).filter("_at between _lo and _hi and add_id between _lo_id and _hi_id")
+
+
+def cart_outcomes(adds: DataFrame, stock: DataFrame, on: tuple[str, ...] = ("session", "item_id"), edge_rows: int = EDGE_ROWS) -> DataFrame:
+    """Every add (session, item_id, ``on``, add_id) with ``accepted``: what the guard of ``cart_fold`` answers to it.
+
+    The first ``stock`` adds of a (session, item) in time are accepted, equal
+    times by ``add_id`` (unique).  An add without session, item, time or id, or
+    without a stock above zero, is refused.  ``stock`` has one row per ``on``.
+
+    No pair is ranked whole: pairs whose stock covers all their adds need no
+    order, and for the others the range of times (then of ids at one time) that
+    holds the last accepted add is narrowed by histograms of ``SLOTS`` slots
+    until it holds at most ``edge_rows`` adds; only these are ranked.
+    """
+    keys = ["session", "item_id", *[c for c in on if c not in ("session", "item_id")]]
+    placed = write_table(adds.select(*keys, "add_id", _micros(adds).alias("_at")), "cart_adds")
+    valid = placed.dropna(subset=[*keys, "add_id", "_at"])
+    folded = valid.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"),
+        F.min("add_id").alias("_lo_id"), F.max("add_id").alias("_hi_id"),
+    )
+    limits = stock.select(*on, F.col("stock").cast("long").alias("_need")).filter("_need > 0")
+    pairs = write_table(folded.join(limits, list(on)), "cart_pairs")
+    state = pairs.filter("_n > _need")
+    for col, lo, hi in (("_at", "_lo", "_hi"), ("add_id", "_lo_id", "_hi_id")):
+        open_ = (F.col("_n") > edge_rows) & (F.col(lo) < F.col(hi))
+        while not state.filter(open_).isEmpty():
+            cut = _narrowed(valid, state.filter(open_), keys, col, lo, hi)
+            state = write_table(state.filter(~open_).unionByName(cut), "cart_ranges")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_at", "add_id"))
+    edges = _in_range(valid, state, keys).withColumn("_nth", nth).filter("_nth = _need")
+    last = edges.select(*keys, F.col("_at").alias("_last"), F.col("add_id").alias("_last_id"))
+    covered = pairs.filter("_n <= _need").select(*keys, F.col("_hi").alias("_last"), F.col("_hi_id").alias("_last_id"))
+    lasts = sized_side(last.unionByName(covered), "cart_lasts")
+    accepted = F.expr("coalesce(_at < _last or (_at = _last and add_id <= _last_id), false)")
+    return placed.join(lasts, keys, "left").select(*keys, "add_id", accepted.alias("accepted"))

@@ -232,6 +232,22 @@ def update_items(t: RetailTables) -> DataFrame:
     return X.update_items(t.item, changes)
 
 
+@register(
+    "update_items_rejects",
+    """WITH asked AS (SELECT p_partkey AS id, p_partkey AS seq FROM part WHERE p_size >= 45
+  UNION ALL SELECT p_partkey * 2, p_partkey FROM part WHERE p_size >= 45),
+judged AS (SELECT a.id, a.seq, i.id IS NULL AS gone, row_number() OVER (PARTITION BY a.id ORDER BY a.seq DESC) AS nth
+  FROM asked a LEFT JOIN v_item i ON i.id = a.id)
+SELECT id, seq, CASE WHEN gone THEN 'unknown' ELSE 'superseded' END AS reason FROM judged WHERE gone OR nth > 1""",
+)
+def update_items_rejects(t: RetailTables) -> DataFrame:
+    """Renames of large items and of the items of twice their number that are not applied."""
+    large = t.raw("part").filter(F.col("p_size") >= 45).select(F.col("p_partkey").alias("seq"), F.upper("p_name").alias("name"), "p_type", "p_brand")
+    fields = ["seq", "name", F.col("p_type").alias("category"), F.col("p_brand").alias("description")]
+    asked = large.select(F.col("seq").alias("id"), *fields).unionByName(large.select((F.col("seq") * 2).alias("id"), *fields))
+    return X.update_items_rejects(t.item, asked).select("id", "seq", "reason")
+
+
 def _remove_items(t: RetailTables) -> X.RemoveItems:
     ids = t.item.filter(F.col("isdeleted") == F.lit(True)).select("id")
     return _memo(t, "remove_items", lambda: X.remove_items(t.item, t.subtype, t.item_country, ids))
@@ -355,6 +371,18 @@ def remove_order_lines(t: RetailTables) -> DataFrame:
     return X.remove_order_lines(t.line, _order_lines(t).filter(F.col("quantity") > 45).select("id"), t.shippingorder)
 
 
+@register(
+    "remove_order_lines_rejects",
+    """SELECT l.id, CASE WHEN s.status IS NULL OR s.status = 'Pending' THEN 'superseded' ELSE 'locked' END AS reason
+FROM v_line l JOIN v_shippingorder s ON s.id = l.order_id, (VALUES (1), (2)) twice(n)
+WHERE l.quantity > 45 AND (n = 1 OR s.status <> 'Pending')""",
+)
+def remove_order_lines_rejects(t: RetailTables) -> DataFrame:
+    """Removals of order lines over 45, each asked for twice, that do nothing: locked or repeated."""
+    asked = _order_lines(t).filter(F.col("quantity") > 45).select("id")
+    return X.remove_order_lines_rejects(t.line, asked.unionByName(asked), t.shippingorder)
+
+
 # ---- orders ---------------------------------------------------------------
 
 
@@ -545,6 +573,20 @@ def update_members(t: RetailTables) -> DataFrame:
     return X.update_members(t.member, changes)
 
 
+@register(
+    "update_members_rejects",
+    """WITH asked AS (SELECT CASE WHEN c.c_acctbal < -500 THEN concat('gone.', m.email) ELSE m.email END AS email, z.n AS seq, c.c_acctbal < -500 AS gone
+  FROM v_member m JOIN customer c ON c.c_custkey = m.id, (VALUES (1), (2)) z(n) WHERE c.c_acctbal < 0)
+SELECT email, seq, CASE WHEN gone THEN 'unknown' ELSE 'superseded' END AS reason FROM asked WHERE gone OR seq = 1""",
+)
+def update_members_rejects(t: RetailTables) -> DataFrame:
+    """Two address changes of every member in arrears, the deepest under an unknown address: those not applied."""
+    debtors = t.raw("customer").filter(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("id"), "c_acctbal")
+    email = F.when(F.col("c_acctbal") < -500, F.concat(F.lit("gone."), "email")).otherwise(F.col("email"))
+    asked = t.member.join(debtors, "id").select(email.alias("email"), "address", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
+    return X.update_profiles_rejects(t.member, asked).select("email", "seq", "reason")
+
+
 @register(
     "update_staff",
     """SELECT s.id, CASE WHEN c.c_acctbal < 0 THEN upper(s.name) ELSE s.name END AS name
@@ -638,6 +680,32 @@ def append_order_lines(t: RetailTables) -> DataFrame:
     return X.append_lines(t.line, new, ["order_id", "old_line"])
 
 
+def _repeated_lines(t: RetailTables) -> DataFrame:
+    """Every line asked for once more in its order."""
+    return t.line.select("item_id", "quantity", "order_id", F.col("id").alias("old_line"))
+
+
+@register(
+    "append_lines_open",
+    """SELECT * FROM v_line UNION ALL
+SELECT (SELECT max(id) FROM v_line) + row_number() OVER (ORDER BY l.order_id, l.id), l.item_id, l.quantity, l.order_id, cast(NULL AS BIGINT)
+FROM v_line l JOIN v_shippingorder s ON s.id = l.order_id WHERE s.status = 'Pending'""",
+)
+def append_lines_open(t: RetailTables) -> DataFrame:
+    """Line snapshot after every line was asked for once more: only Pending shipping orders take theirs."""
+    return X.append_lines(t.line, _repeated_lines(t), ["order_id", "old_line"], t.shippingorder)
+
+
+@register(
+    "append_lines_rejects",
+    """SELECT l.order_id, l.id AS old_line, CASE WHEN s.id IS NULL THEN 'unknown' ELSE 'locked' END AS reason
+FROM v_line l LEFT JOIN v_shippingorder s ON s.id = l.order_id WHERE s.id IS NULL OR s.status <> 'Pending'""",
+)
+def append_lines_rejects(t: RetailTables) -> DataFrame:
+    """Lines asked for once more whose order is no shipping order or past Pending."""
+    return X.append_lines_rejects(_repeated_lines(t), t.shippingorder).select("order_id", "old_line", "reason")
+
+
 @register(
     "append_delivery",
     """SELECT * FROM v_delivery UNION ALL

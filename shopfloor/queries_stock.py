@@ -164,3 +164,18 @@ FROM agg a LEFT JOIN x_store_stock x ON x.store_id = a.session % 10 AND x.item_i
 def cart_fold(t: RetailTables) -> DataFrame:
     """Add-to-cart folds under the stock guard."""
     return S.cart_fold(cart_adds(t), cart_stock(t), on=("store_id", "item_id"))
+
+
+@register(
+    "cart_add_outcomes",
+    """SELECT l.bin_id // 2 AS session, l.item_id, l.id AS add_id,
+  row_number() OVER (PARTITION BY l.bin_id // 2, l.item_id ORDER BY o.o_orderdate, l.id) <= greatest(coalesce(x.stock % 4, 0), 0) AS accepted
+FROM v_line l JOIN orders o ON o.o_orderkey = l.order_id
+LEFT JOIN x_store_stock x ON x.store_id = l.bin_id // 2 AND x.item_id = l.item_id""",
+)
+def cart_add_outcomes(t: RetailTables) -> DataFrame:
+    """Every ordered line as an add at the kiosk of its supplier's store, over all stores and items: accepted or refused."""
+    at = t.sale.select(F.col("id").alias("order_id"), F.col("createddate").alias("ts"))
+    adds = t.line.join(at, "order_id").select(F.expr("bin_id div 2").alias("session"), "item_id", F.col("id").alias("add_id"), "ts")
+    stock = S.store_item_stock(t).select(F.col("store_id").alias("session"), "item_id", (F.col("stock") % 4).alias("stock"))
+    return S.cart_outcomes(adds, stock)
