@@ -41,7 +41,7 @@ START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 CONTROLS = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 TRAINED_ROLE = "assistant"
 
-_CONTROL = re.compile("|".join(re.escape(c) for c in sorted(CONTROLS, key=len, reverse=True)))
+_CONTROL = re.compile("(?:" + "|".join(f"(?={re.escape(c)})" for c in CONTROLS) + ")(.)")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(f"{re.escape(START)}(.*?){re.escape(SEP)}(.*?){re.escape(END)}", re.DOTALL)
 _READY: dict[str, object] = {}
@@ -53,8 +53,8 @@ SCHEMA = (
 
 
 def escape(text: str) -> str:
-    """Double backslashes, and part every control string after its first character."""
-    return _CONTROL.sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text.replace("\\", "\\\\"))
+    """Double backslashes, and part every control string after its first character (overlapping ones too)."""
+    return _CONTROL.sub(r"\1\\", text.replace("\\", "\\\\"))
 
 
 def unescape(text: str) -> str:

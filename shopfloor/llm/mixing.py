@@ -10,15 +10,18 @@ seeded order; the document at the edge gives only the words still missing (a
 fractional repetition), so a source's total is its target rounded to a word.
 
 Scale.  Texts are read once, into a narrow table (id, source, size, seeded
-hash).  The fill only handles one row per source.  The seeded order is cut
-into hash slots per source, and the slot at the edge of the fill again, so
-that only one document in some sixteen million is sorted: a source holding a
-third of all rows is never ordered as a whole.
+order).  The fill only handles one row per source.  The seeded order is cut
+into slots per source, and the slot at the edge of the fill again, until it
+holds at most ``EDGE_ROWS`` documents; only these are sorted.  A source, an id
+or one repeated row holding a third of all rows is never ordered as a whole:
+behind the id's hash stand the text's digest and a number of the row.
 
 Defined cases: null text has size 0; a null source is a source of its own
-(last in order); null ids are ordered by their text's digest; repeated rows
-are documents of their own; an empty table gives no rows; sources without
-words have target 0.  Extra columns are ignored.
+(last in order); null ids are ordered by their text's digest; repeated ids
+by their texts' digests; repeated rows are documents of their own (which of
+equal rows is taken is open, the rows of the result are the same); an empty
+table gives no rows; sources without words have target 0.  Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -36,18 +39,27 @@ from .common import whole_text, words
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = "mix-v1"
-DIGITS, LEVELS = 2, 3  # the edge is found in LEVELS steps of 16 ** DIGITS hash slots per source
+# the edge is found in steps over longer prefixes of the order: 32 digits of the id's hash, 16 of the text's, 6 of the row
+PREFIXES = (2, 4, 6, 32, 34, 36, 38, 48, 50, 52, 54)
+EDGE_ROWS = 10_000
 
 
 def sized_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source, its null-safe key (no_source, source_key), size in words, seeded order ``h``."""
+    """doc_id, source, its null-safe key (no_source, source_key), size in words, seeded order ``h``.
+
+    The row's digits are fixed only once the table is written.
+    """
+    row = F.substring(F.md5(F.monotonically_increasing_id().cast("string").cast("binary")), 1, 6)
     ident = F.coalesce(F.col("doc_id").cast("string"), F.md5(whole_text("text").cast("binary")))
     return docs.select(
         "doc_id",
         F.col("source").isNull().alias("no_source"),
         F.coalesce("source", F.lit("")).alias("source_key"),
         F.size(words(whole_text("text"))).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), ident).cast("binary")).alias("h"),
+        F.concat(
+            F.md5(F.concat(F.lit(f"{seed}:"), ident).cast("binary")),
+            F.substring(F.md5(whole_text("text").cast("binary")), 1, 16), row,
+        ).alias("h"),
     )
 
 
@@ -92,20 +104,29 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX
         F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(0).cast("long").alias("whole"),
         F.when(F.col("source_size") > 0, wanted % F.col("source_size")).otherwise(0).cast("long").alias("part"),
     )
-    # the edge of the fill: the prefix of the seeded hash in which the running size passes ``part``; every level
-    # looks at DIGITS more digits of the documents in the edge found so far, 16 ** DIGITS sums per source
+    # the edge of the fill: the prefix of the seeded order in which the running size passes ``part``; every step looks
+    # at more digits of the documents in the edge found so far, until few enough documents are left there
     plan = plan.withColumn("edge", F.lit("")).withColumn("before", F.lit(0).cast("long"))
-    for level in range(1, LEVELS + 1):
-        plan = maybe_broadcast(write_table(plan, "mix-plan"))
+    plan = write_table(plan, "mix-plan")
+    for digits in PREFIXES:
+        plan = maybe_broadcast(plan)
         inside = sized.join(plan.select(*key, "edge", "part", "before"), key).filter(F.col("h").startswith(F.col("edge")))
-        sums = inside.groupBy(*key, F.substring("h", 1, level * DIGITS).alias("slot"), "part", "before").agg(F.sum("size").alias("slot_size"))
+        sums = inside.groupBy(*key, F.substring("h", 1, digits).alias("slot"), "part", "before").agg(
+            F.sum("size").alias("slot_size"), F.count(F.lit(1)).alias("slot_rows")
+        )
         upto = F.col("before") + F.sum("slot_size").over(Window.partitionBy(*key).orderBy("slot"))
         passed = sums.withColumn("upto", upto).filter(F.col("upto") > F.col("part"))
-        edges = passed.groupBy(*key).agg(F.min_by(F.struct("slot", (F.col("upto") - F.col("slot_size")).alias("before")), "slot").alias("_e"))
-        plan = plan.drop("edge", "before").join(edges, key, "left").select(
-            *plan.drop("edge", "before").columns, F.col("_e.slot").alias("edge"), F.col("_e.before").alias("before")
+        edges = passed.groupBy(*key).agg(
+            F.min_by(F.struct("slot", (F.col("upto") - F.col("slot_size")).alias("before"), "slot_rows"), "slot").alias("_e")
         )
-    plan = maybe_broadcast(write_table(plan, "mix-plan"))
+        rest = [c for c in plan.columns if c not in ("edge", "before", "edge_rows")]
+        plan = plan.select(*rest).join(edges, key, "left").select(
+            *rest, F.col("_e.slot").alias("edge"), F.col("_e.before").alias("before"), F.col("_e.slot_rows").alias("edge_rows")
+        )
+        plan = write_table(plan, "mix-plan")
+        if (plan.agg(F.max("edge_rows")).first()[0] or 0) <= EDGE_ROWS:
+            break
+    plan = maybe_broadcast(plan.drop("edge_rows"))
     rows = sized.join(plan, key)
     in_edge = F.coalesce(F.col("h").startswith(F.col("edge")), F.lit(False))
     outside = rows.filter(~in_edge).withColumn("extra", F.when(F.col("h") < F.col("edge"), F.col("size")).otherwise(0))

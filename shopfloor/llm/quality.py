@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialize import write_table
 from .common import bound_text_batches, fold, whole_text
 
 FOLDS, HELD_OUT = 3, 1
 TRAIN_ROWS = 30_000
+SLOT_BITS = 16  # the sample is found by counts in 2 ** SLOT_BITS slots of the hash
 TREES, DEPTH, RATE, L2, MIN_HESSIAN, BINS = 80, 5, 0.1, 1.0, 3.0, 64
 FEATURES = 28
 
@@ -163,13 +165,31 @@ def _measure(texts: pa.Array) -> np.ndarray:
     return np.stack([statistics(t.as_py()) for t in texts]) if len(texts) else np.zeros((0, FEATURES))
 
 
+def _lowest(df: DataFrame, cols: list[str], rows: int) -> DataFrame:
+    """``o`` and ``cols`` of the ``rows`` rows of smallest hash ``o`` (a row of count ``n`` stands for n), ties by ``cols``.
+
+    Counts per slot of the hash tell which slots hold them; only rows of these
+    slots are sorted, equal rows combined before.
+    """
+    slot = F.shiftright("o", 64 - SLOT_BITS)  # signed, so in the order of ``o``
+    upto, last = 0, None
+    for last, n in sorted(df.groupBy(slot.alias("slot")).agg(F.sum("n")).collect()):
+        upto += n
+        if upto >= rows:
+            break
+    inside = df.filter(slot <= (0 if last is None else last)).groupBy("o", *cols).agg(F.sum("n").alias("n"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.least("n", F.lit(rows)).cast("int")))
+    return inside.select("o", *cols, copies.alias("copy")).drop("copy").orderBy("o", *cols).limit(rows)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     """Fit on at most ``rows`` labelled documents outside the held-out fold."""
     bound_text_batches(docs.sparkSession)
     usable = labels.filter(
         F.col("quality").isin(0, 1) & F.coalesce(fold("doc_id", FOLDS) != HELD_OUT, F.lit(False))
     ).select(F.col("doc_id").alias("l_id"), "quality")
-    picked = usable.withColumn("o", F.xxhash64(F.lit("quality-sample"), "l_id")).orderBy("o", "l_id", "quality").limit(rows)
+    order = F.xxhash64(F.lit("quality-sample"), "l_id")
+    picked = _lowest(usable.withColumn("o", order).withColumn("n", F.lit(1).cast("long")), ["l_id", "quality"], rows)
     picked = picked.groupBy("l_id", "quality").agg(F.count(F.lit(1)).alias("n"))
     texts = docs.select("doc_id", whole_text("text").alias("text"))
     # the sample is bounded by ``rows``, so it goes to the texts and no text is shuffled
@@ -181,8 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
             yield pa.record_batch([batch.column("quality"), batch.column("l_id"), batch.column("n"), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "id", "n", "x"])
 
     measured = joined.mapInArrow(measure, "y int, id long, n long, x array<double>").distinct()
-    each = measured.select("y", "id", "x", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("copy")).drop("copy")
-    found = each.orderBy(F.xxhash64(F.lit("quality-sample"), "id", "x"), "id", "y", "x").limit(rows).toArrow()
+    measured = write_table(measured.withColumn("o", F.xxhash64(F.lit("quality-sample"), "id", "x")), "quality-measured")
+    found = _lowest(measured, ["id", "y", "x"], rows).select("y", "id", "x").toArrow()
     if not found.num_rows:
         return fit(np.zeros((0, FEATURES)), np.zeros(0))
     x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)

@@ -130,8 +130,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ESCAPE = (
-    r"regexp_replace(replace({0}, '\', '\\'), '(<)(</SYS>>|<SYS>>|/s>|s>|\|)|(\[)(/INST\]|INST\])|(\|)(>)',"
-    r" '\1\3\5\\\2\4\6', 'g')"
+    r"regexp_replace(replace(replace({0}, '\', '\\'), '|>', '|\>'), '(<)(</SYS>>|<SYS>>|/s>|s>|\|)|(\[)(/INST\]|INST\])',"
+    r" '\1\3\\\2\4', 'g')"
 )
 
 
@@ -165,7 +165,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
     WITH d AS (
       SELECT doc_id, source, len({_SPACE_WORDS.format('text')})::BIGINT AS size,
-             md5('mix-v1:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS h
+             md5('mix-v1:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) || substr(md5(coalesce(text, '')), 1, 16) AS h
       FROM documents),
     s AS (
       SELECT source, sum(size)::BIGINT AS source_size,

@@ -102,7 +102,8 @@ def mix(docs: list[tuple], seed: str = "mix-v1", epochs: int = 3) -> Counter:
     rows = []
     for doc_id, text, source in docs:
         ident = str(doc_id) if doc_id is not None else hashlib.md5((text or "").encode()).hexdigest()
-        rows.append((hashlib.md5(f"{seed}:{ident}".encode()).hexdigest(), doc_id, len(space_words(text)), source))
+        digest = hashlib.md5((text or "").encode()).hexdigest()[:16]
+        rows.append((hashlib.md5(f"{seed}:{ident}".encode()).hexdigest() + digest, doc_id, len(space_words(text)), source))
     size = defaultdict(int)
     for _, _, n, s in rows:
         size[s] += n

@@ -304,6 +304,22 @@ def test_wrapped_headers_and_license_texts(spark):
     assert got == {**{p: (k, "own") for p, (k, _) in files.items()}, "three/x.py": ("BSD-3-Clause", "inherited")}
 
 
+def test_quality_sample_is_the_lowest_hashes(spark):
+    """The sample found by slot counts is the one a whole sort gives, with counts and ties."""
+    data = [(int(o) * 2**50, i % 7, 1 + i % 3) for i, o in enumerate([-4000, -5, -5, -5, 0, 0, 3, 3, 9, 4000] * 3)]
+    df = spark.createDataFrame(data, "o long, k int, n long")
+    whole = sorted((o, k) for o, k, n in data for _ in range(n))
+    for rows in (1, 5, 17, 1000):
+        assert sorted((r["o"], r["k"]) for r in quality._lowest(df, ["k"], rows).collect()) == whole[:rows]
+    assert quality._lowest(df.limit(0), ["k"], 5).collect() == []
+
+
+def test_controls_that_overlap_are_parted(spark):
+    for text in ("<|>", "<|>|><|", "\\<|>\\", "a<|im_start|>b", "<<SYS>><</SYS>></s><s>[/INST]"):
+        escaped = chat.escape(text)
+        assert chat.unescape(escaped) == text and not [c for c in chat.CONTROLS if c in escaped]
+
+
 def test_quality_sample_is_bounded_after_the_join(spark, monkeypatch):
     """One labelled id on many document rows: equal rows count once, different ones up to the bound."""
     seen = []

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from shopfloor.llm import components, decontaminate, mixing, neardup, pii
 
@@ -206,6 +207,22 @@ def test_redaction_joins_overlapping_spans(spark):
     assert pii.scan(frame(spark, [])).count() == 0 and pii.redact(frame(spark, [])).count() == 0
 
 
+def test_mix_splits_a_hot_id_and_a_hot_row(spark, monkeypatch):
+    """One id with many texts, and one row many times: the edge of the fill is cut down to a few rows all the same."""
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 8)
+    steps = []
+    first = mixing.maybe_broadcast
+    monkeypatch.setattr(mixing, "maybe_broadcast", lambda df: steps.append(df) or first(df))
+    for digits, hot in ((34, [(7, f"w {i} " * (i % 5 + 1), "s0") for i in range(120)]), (50, [(7, "a b c", "s0")] * 120)):
+        steps.clear()
+        data = hot + [(i, "x y z", f"s{i % 3}") for i in range(20, 50)]
+        docs = frame(spark, [(d, t, None, s, 0, "c", 1, "c", 2, 3, 4, 5, "c", 6) for d, t, s in data])
+        got = mixing.mix(docs).collect()
+        assert Counter((r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in got) == brute.mix(data)
+        edge = next(r["edge"] for r in steps[-1].collect() if r["source_key"] == "s0")
+        assert len(edge) >= digits and mixing.sized_documents(docs).filter(F.col("h").startswith(edge)).count() <= 8
+
+
 def test_mix_matches_brute_force(spark):
     data = [(i, text(RNG.choice([0, 1, 5, 40])), f"s{RNG.choice([0, 0, 0, 0, 1, 2, 3, 4])}") for i in range(400)]
     data += [(1000, None, "s0"), (1001, "x y", None), (None, "n n", "s1"), (None, "n n", "s1"), (1002, "only", "tiny"), (7, "again", "s2"), (1003, "", "empty")]
