@@ -15,7 +15,10 @@ Patterns and instances form a weighted graph, scored in rounds: a pattern's
 confidence is the mean score of its distinct instances, a candidate's score
 is the noisy-or of its patterns' confidences, and seeds keep score 1.  Only
 patterns with ``MIN_SEEDS`` distinct seeds take part.  Candidates in a pattern
-of final confidence ``MIN_CONFIDENCE`` or more are added as spans of its kind.
+of final confidence ``MIN_CONFIDENCE`` or more are found: they are seeds of the
+next hop, where they can open patterns that no base match stands in.  Seeds
+and scores only rise, so the hops end, when one finds nothing new.  Everything
+found is added as a span of its kind.
 
 Only DataFrame functions run on this path.  The texts are scanned once for
 the matches and once for their keys; what is shuffled are matches and tokens
@@ -198,12 +201,24 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 
 def _confident_patterns(seeds: DataFrame, candidates: DataFrame, min_seeds: int, min_confidence: float) -> DataFrame:
-    """(kind, pattern) of the final confidence or more."""
+    """(kind, pattern) of the final confidence or more, hop by hop until no hop finds an instance."""
     def pairs(df: DataFrame, seed: int) -> DataFrame:
         return df.select("kind", F.lower("match").alias("inst"), F.explode("patterns").alias("pattern")).distinct().withColumn("seed", F.lit(seed))
 
     # a seed's text is a seed wherever it stands
     edges = pairs(seeds, 1).unionByName(pairs(candidates, 0)).groupBy("kind", "pattern", "inst").agg(F.max("seed").alias("seed"))
+    while True:
+        edges = write_table(edges, "pii-edges")
+        good = write_table(_scored_patterns(edges, min_seeds, min_confidence), "pii-patterns")
+        found = write_table(edges.filter("seed = 0").join(good, ["kind", "pattern"], "left_semi").select("kind", "inst").distinct(), "pii-found")
+        if found.isEmpty():
+            return good
+        known = found.withColumn("found", F.lit(1))
+        edges = edges.join(known, ["kind", "inst"], "left").select("kind", "pattern", "inst", F.greatest("seed", F.coalesce("found", F.lit(0))).alias("seed"))
+
+
+def _scored_patterns(edges: DataFrame, min_seeds: int, min_confidence: float) -> DataFrame:
+    """(kind, pattern) of the final confidence or more, after one hop's rounds over the graph of patterns with enough seeds."""
     strong = edges.groupBy("kind", "pattern").agg(F.sum("seed").alias("n")).filter(F.col("n") >= min_seeds).select("kind", "pattern")
     graph = write_table(edges.join(strong, ["kind", "pattern"]), "pii-graph")
     scores = graph.groupBy("kind", "inst").agg(F.max("seed").cast("double").alias("score"))

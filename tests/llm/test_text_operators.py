@@ -175,6 +175,23 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     assert cut[0] == "please call me at [PHONE] today" and cut[8] == cut[0] and cut[9] == unseen[1] and cut[10] is None
 
 
+def test_found_identifiers_open_patterns(spark):
+    """Three hops: base phones, numbers found beside them, and numbers found only in contexts of found ones."""
+    base = [f"please call me at +1 (487) 555-72{i:02d} today" for i in range(30)]
+    first = [f"please call me at 555-01{i:02d} today" for i in range(4)]
+    second = [f"her desk line reads 555-01{i:02d} always" for i in range(4)] + ["her desk line reads 555-0777 always"] * 2
+    third = [f"the gate code says {n} twice" for n in ("555-0777", "555-0100", "555-0101", "555-0888")]
+    loose = ["the part number 555-0133 is sold out", "her desk line was 555-0999"]
+    data = base + first + second + third + loose
+    got = {r["doc_id"]: r["spans"] for r in pii.scan(frame(spark, rows(data))).collect()}
+    at = len(base)
+    assert all(got[at + i] == "phone:18:26" for i in range(4))
+    # 4 of 5 numbers behind "line reads" are found ones: their share of 0.8 rises in the rounds
+    assert all(got[at + 4 + i] == "phone:20:28" for i in range(6))
+    assert all(got[at + 10 + i] == "phone:19:27" for i in range(4))
+    assert got[at + 14] == got[at + 15] == ""
+
+
 def test_contexts_find_identifiers_written_in_groups(spark):
     def card(i):  # the last digit makes the number pass Luhn
         stem = f"453957876362{i:03d}"
