@@ -16,18 +16,19 @@ the new snapshot is written, without a job of its own: after the write,
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.exprs import round_half_up_1, sku_image, volume
 from ..plans.batches import first_rows, last_per_key, last_value, sum_per_key
 from ..plans.ids import max_id, number_rows
-from ..plans.joins import fixed_broadcast, maybe_broadcast
-from ..plans.materialize import sized_side, write_table
+from ..plans.joins import counted_side, fixed_broadcast, maybe_broadcast
+from ..plans.materialize import sized_side, write_counted, write_table
 
 
 def _seq(batch: DataFrame) -> list[Column]:
@@ -405,11 +406,11 @@ def apply_status(orders: DataFrame, lines: DataFrame, changes: DataFrame, as_of:
     spark = orders.sparkSession
     one = last_per_key(changes.select("id", "new_status", *(["seq"] if "seq" in changes.columns else [])), ["id"],
                        [*_seq(changes), F.col("new_status")]).drop("seq")
-    # written once: its real size decides the broadcast of the id list below
-    one = write_table(one, "status_requests")
-    ids = maybe_broadcast(one.select("id"))
+    # written once: its rows decide the broadcast of the id list below
+    one, rows = write_counted(one, "status_requests")
+    ids = counted_side(one.select("id"), rows)
     rules = fixed_broadcast(transition_table(spark))
-    # only the requested orders and their lines are read past the scan (map-side semi joins)
+    # only the requested orders and their lines are read past the scan (map-side semi joins, where the batch is small)
     cur = orders.select("id", "status").join(ids, "id", "left_semi")
     counted = (
         lines.select(F.col("order_id").alias("id"))
@@ -418,9 +419,9 @@ def apply_status(orders: DataFrame, lines: DataFrame, changes: DataFrame, as_of:
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     checked = (
-        one.join(cur, "id", "left")
+        one.join(counted_side(cur, rows), "id", "left")
+        .join(counted_side(counted, rows), "id", "left")
         .join(rules, ["status", "new_status"], "left")
-        .join(counted, "id", "left")
     )
     n = F.coalesce(F.col("_n"), F.lit(0))
     reason = (
@@ -436,7 +437,8 @@ def apply_status(orders: DataFrame, lines: DataFrame, changes: DataFrame, as_of:
     day = F.lit(as_of).cast("timestamp_ntz")
     moved = ok.withColumn("_ship", F.when(F.col("status") == K.SHIPPED, day))
     renamed = moved.select("id", F.col("status").alias("_new_status"), "_ship", F.lit(True).alias("_hit"))
-    joined = orders.join(sized_side(renamed, "status_changes"), "id", "left")
+    # planned, not run: the new snapshot costs nothing where only the rejects are asked for
+    joined = orders.join(counted_side(renamed, rows), "id", "left")
     out = []
     for c in orders.columns:
         if c == "status":
