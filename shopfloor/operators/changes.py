@@ -110,19 +110,24 @@ def add_prices(prices: DataFrame, items: DataFrame, adds: DataFrame) -> PricesCh
     (by ``seq``, then the smaller price).  Every row that is not inserted is in
     ``rejects`` with the reason: unknown sku, already priced, or repeated.
     """
-    ids = items.select(F.col("id").alias("item_id"), "sku")
-    batch = _numbered_batch(adds, "price_adds").join(ids, "sku", "left")
-    # only the asked pairs of the price table are looked at, past a side of proven size
-    asked = sized_side(batch.select("item_id", "country_id").distinct(), "price_adds_asked")
-    known = prices.join(asked, ["item_id", "country_id"], "left_semi").select("item_id", "country_id", F.lit(True).alias("_priced")).distinct()
-    batch = batch.join(known, ["item_id", "country_id"], "left")
-    ranked = first_rows(batch, ["item_id", "country_id"], [*(["seq"] if "seq" in adds.columns else []), "retailprice"])
+    ids = items.groupBy(F.col("id").alias("item_id"), "sku").agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    batch = adds.join(ids, "sku", "left")
+    seq = ["seq"] if "seq" in adds.columns else []
+    # existing prices go before the batch's rows of their pair, so one pass over a pair judges all of its rows
+    held = prices.select(*[F.col(c).cast(batch.schema[c].dataType).alias(c) for c in ("item_id", "country_id")]).dropna()
+    both = batch.withColumn("_add", F.lit(1)).unionByName(held.withColumn("_add", F.lit(0)), allowMissingColumns=True)
+    # rows of unknown items have no pair: they are dealt out by their own values
+    alone = F.when(F.col("item_id").isNull(), F.xxhash64(*adds.columns))
+    pair = Window.partitionBy("item_id", "country_id", alone).orderBy("_add", *seq, "retailprice", "sku")
     reason = (
         F.when(F.col("item_id").isNull(), "unknown sku")
-        .when(F.col("_priced"), "already priced")
-        .when(~F.col("_first"), "repeated in the batch")
+        .when(F.min("_add").over(pair) == 0, "already priced")
+        .when(F.row_number().over(pair) > 1, "repeated in the batch")
     )
-    ranked = write_table(ranked.withColumn("reason", reason), "price_adds_checked")
+    judged = both.withColumn("reason", reason).filter("_add = 1")
+    # an item listed more than once takes the row as often
+    judged = judged.select("sku", "item_id", "country_id", "retailprice", "reason", F.explode(F.array_repeat(F.lit(0), F.coalesce("_times", F.lit(1)))).alias("_n"))
+    ranked = write_table(judged.drop("_n"), "price_adds_checked")
     fresh = ranked.filter("reason is null").select(*prices.columns)
     rejects = ranked.filter("reason is not null").select("sku", "country_id", "retailprice", "reason")
     return PricesChange(prices=prices.unionByName(fresh), rejects=rejects)

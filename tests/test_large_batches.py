@@ -58,3 +58,17 @@ def test_status_rejects_need_neither_snapshot_nor_broadcast(spark, monkeypatch,
     assert states == {0: "Submitted", 1: "Submitted", 2: "Completed", 3: "Pending", 4: "Submitted", 5: "Completed", 6: "Pending", 7: "Submitted", 8: "Completed"}
 
 
+def test_price_adds_are_written_once_and_judged_by_pair(spark, monkeypatch):
+    prices = spark.createDataFrame([(1, 1, 5.0), (2, None, 5.0)], "item_id long, country_id int, retailprice double")
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (3, "c")], "id long, sku string")
+    adds = [("a", 1, 1.0, 1), ("a", 2, 9.0, 2), ("a", 2, 8.0, 2), ("a", 2, 1.0, 3), ("b", None, 4.0, 1), ("c", 1, 2.0, 1), ("c", 1, 2.0, 1), ("z", 1, 1.0, 1), ("z", 1, 1.0, 1), (None, 1, 1.0, 1)]
+    names = _written(spark, monkeypatch)
+    change = X.add_prices(prices, items, spark.createDataFrame(adds, "sku string, country_id int, retailprice double, seq long"))
+    assert names == ["price_adds_checked"]
+    assert Counter(map(tuple, change.prices.collect())) == Counter([(1, 1, 5.0), (2, None, 5.0), (1, 2, 8.0), (2, None, 4.0), (3, 1, 2.0), (3, 1, 2.0)])
+    assert Counter(map(tuple, change.rejects.collect())) == Counter(
+        [("a", 1, 1.0, "already priced"), ("a", 2, 9.0, "repeated in the batch"), ("a", 2, 1.0, "repeated in the batch")]
+        + [("c", 1, 2.0, "repeated in the batch")] * 2 + [("z", 1, 1.0, "unknown sku")] * 2 + [(None, 1, 1.0, "unknown sku")]
+    )
+
+
