@@ -306,16 +306,22 @@ def set_store_quantity(lines: DataFrame, stores: DataFrame, bins: DataFrame, ite
     return LinesChange(lines=_apply_updates(lines, one, ["bin_id", "item_id"], ["quantity"]), rejects=rejects)
 
 
-def _editable(lines: DataFrame, ids: DataFrame, orders: DataFrame | None) -> DataFrame:
-    """The line ids of a change that may be edited: with ``orders``, lines of an order that is not Pending are locked."""
-    ids = ids.select("id").distinct()
+def _by_id(changes: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``changes`` dealt by line id before they are grouped: nearly every id stands once, so a task would
+    only fill its memory with the ids of its whole split before the shuffle."""
+    return changes.select("id", *cols).repartition("id")
+
+
+def _editable(lines: DataFrame, keyed: DataFrame, orders: DataFrame | None) -> DataFrame:
+    """The rows of ``keyed`` (one per line id) that may be applied: with ``orders``, lines of an order that is not Pending are locked."""
     if orders is None:
-        return sized_side(ids, "line_keys")
-    asked = write_table(lines.select("id", "order_id").join(sized_side(ids, "line_keys"), "id", "left_semi"), "line_keys_asked")
-    # only the orders of the asked lines are looked at
-    held = sized_side(asked.select(F.col("order_id").alias("id")).distinct(), "line_keys_orders")
-    locked = orders.join(held, "id", "left_semi").filter(F.coalesce(F.col("status") != K.PENDING, F.lit(True))).select(F.col("id").alias("order_id"))
-    return sized_side(asked.join(locked, "order_id", "left_anti").select("id"), "line_keys_open")
+        return keyed
+    keyed, rows = write_counted(keyed, "line_keys")
+    ids = keyed.select("id")
+    asked = lines.select("id", "order_id").join(counted_side(ids, rows), "id", "left_semi")
+    locked = orders.filter(F.coalesce(F.col("status") != K.PENDING, F.lit(True))).select(F.col("id").alias("order_id"))
+    open_ = asked.join(locked.hint("merge"), "order_id", "left_anti").select("id")
+    return keyed.join(open_.hint("merge"), "id", "left_semi")
 
 
 def update_line_quantity(
@@ -325,17 +331,16 @@ def update_line_quantity(
 
     With ``orders``, only lines whose order is Pending (or that belong to none of them) change: the edit lock.
     """
-    if orders is not None:
-        changes = changes.join(_editable(lines, changes, orders), "id", "left_semi")
     if mode == "add":
-        deltas = sum_per_key(changes.select("id", "quantity"), ["id"], "quantity").withColumnRenamed("quantity", "_d")
-        joined = lines.join(sized_side(deltas.withColumn("_hit", F.lit(True)), "line_deltas"), "id", "left")
+        deltas = _editable(lines, sum_per_key(_by_id(changes, ["quantity"]), ["id"], "quantity"), orders).withColumnRenamed("quantity", "_d")
+        joined = lines.join(counted_side(*write_counted(deltas.withColumn("_hit", F.lit(True)), "line_deltas")), "id", "left")
         joined = _counted(joined, F.coalesce(F.col("_hit"), F.lit(False)), touched)
         return joined.select(
             *[(F.col(c) + F.coalesce(F.col("_d"), F.lit(0))).cast("long").alias(c) if c == "quantity" else F.col(c)
               for c in lines.columns]
         )
-    return _apply_updates(lines, last_value(changes, ["id"], "quantity"), ["id"], ["quantity"], touched=touched)
+    one = last_value(_by_id(changes, ["quantity", *(["seq"] if "seq" in changes.columns else [])]), ["id"], "quantity")
+    return _apply_updates(lines, _editable(lines, one, orders), ["id"], ["quantity"], touched=touched)
 
 
 def update_line_quantity_rejects(lines: DataFrame, changes: DataFrame, mode: str = "set", orders: DataFrame | None = None) -> DataFrame:
@@ -360,7 +365,8 @@ def _audit_lines(lines: DataFrame, changes: DataFrame, order: Sequence[str], ord
 
 def remove_order_lines(lines: DataFrame, line_ids: DataFrame, orders: DataFrame | None = None, touched: Observation | None = None) -> DataFrame:
     """Delete lines (and with them their order links) by line id; with ``orders``, lines of a non-Pending order stay."""
-    return _remove(lines, _editable(lines, line_ids, orders), ["id"], touched)
+    ids = _by_id(line_ids, []).distinct()
+    return _remove(lines, sized_side(_editable(lines, ids, orders), "line_keys_open"), ["id"], touched)
 
 
 def remove_order_lines_rejects(lines: DataFrame, line_ids: DataFrame, orders: DataFrame | None = None) -> DataFrame:

@@ -72,3 +72,15 @@ def test_price_adds_are_written_once_and_judged_by_pair(spark, monkeypatch):
     )
 
 
+@pytest.mark.parametrize("mode", ["set", "add"])
+def test_line_changes_write_their_batch_and_what_is_open(spark, monkeypatch, mode):
+    orders = spark.createDataFrame([(1, "Pending"), (2, "Shipped"), (3, None), (2, "Pending")], "id long, status string")
+    lines = spark.createDataFrame([(i, 1, 5, [1, 2, 3, 4, None][i], None) for i in range(5)], "id long, item_id long, quantity long, order_id long, bin_id long")
+    asked = spark.createDataFrame([(i, q) for i in range(7) for q in (1, 2)], "id long, quantity long")
+    names = _written(spark, monkeypatch)
+    got = {r.id: r.quantity for r in X.update_line_quantity(lines, asked, mode, orders).collect()}
+    new = {"set": 2, "add": 8}[mode]
+    assert got == {0: new, 1: 5, 2: 5, 3: new, 4: new}
+    assert len(names) == 2
+
+
