@@ -155,15 +155,13 @@ class RetailTables:
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
             "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
         ]
-        shaped = li.select(
-            *order,
+        cols = [
             F.col("l_partkey").alias("item_id"),
             F.col("l_quantity").cast("long").alias("quantity"),
             F.col("l_orderkey").alias("order_id"),
             (F.col("l_suppkey") * 2 + F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("bin_id"),
-        )
-        cols = ["item_id", "quantity", "order_id", "bin_id"]
-        numbered = number_rows(shaped, order, id_col="id", keep=cols).select("id", *cols)
+        ]
+        numbered = number_rows(li.select(*order), order, id_col="id", keep=cols).select("id", "item_id", "quantity", "order_id", "bin_id")
         # written once as parquet: later readers prune columns and push filters
         return write_table(numbered, "line")
 

@@ -33,6 +33,13 @@ def test_counted_side_is_broadcast_by_its_rows_only(spark):
     assert "SortMergeJoin" in joined(10**7)
 
 
+def test_sorted_partitions_follow_the_input(spark, monkeypatch):
+    sizes = {1 << 20: 8, 64 << 30: 2048, 100 << 40: (100 << 40) // (512 << 20)}
+    for size, want in sizes.items():
+        monkeypatch.setattr("shopfloor.plans.joins.input_bytes", lambda _df, size=size: size)
+        assert sort_partitions(spark.range(1)) == want
+
+
 def _status(spark):
     orders = spark.createDataFrame([(i, ["Pending", "Submitted", "Shipped"][i % 3], None) for i in range(9)], "id long, status string, shippeddate timestamp_ntz")
     lines = spark.createDataFrame([(i, i % 3) for i in range(9)], "id long, order_id long")
@@ -84,3 +91,18 @@ def test_line_changes_write_their_batch_and_what_is_open(spark, monkeypatch, mod
     assert len(names) == 2
 
 
+def test_lines_are_sorted_without_derived_columns(spark, monkeypatch, tmp_path):
+    from shopfloor.plans import ids
+    from shopfloor.sources.fixtures import RetailTables
+
+    cols = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    day = dt.datetime(1996, 1, 1)
+    rows = [(2, 7, 3, 1, 4.0, 1.0, 0.0, 0.0, "N", "O", day), (1, 8, 4, 2, 5.0, 1.0, 0.0, 0.0, "N", "F", day), (1, 8, 4, 1, None, 1.0, 0.0, 0.0, "N", None, day)]
+    spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, real = [], ids.sort_partitions
+    monkeypatch.setattr(ids, "sort_partitions", lambda df: (seen.append(set(df.columns)), real(df))[1])
+    got = sorted(map(tuple, RetailTables(spark, str(tmp_path)).line.collect()))
+    assert seen == [{c.split()[0] for c in cols.split(", ")}]
+    assert got == [(1, 8, None, 1, 8), (2, 8, 5, 1, 8), (3, 7, 4, 2, 7)]
+
+
