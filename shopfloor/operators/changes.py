@@ -274,8 +274,13 @@ def remove_items_rejects(items: DataFrame, ids: DataFrame) -> DataFrame:
 
 @dataclass
 class LinesChange:
-    lines: DataFrame
     rejects: DataFrame
+    build: Callable[[], DataFrame]
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """The new snapshot; its batch of changes is written when it is first asked for."""
+        return self.build()
 
 
 def set_store_quantity(lines: DataFrame, stores: DataFrame, bins: DataFrame, items: DataFrame, requests: DataFrame) -> LinesChange:
@@ -288,22 +293,30 @@ def set_store_quantity(lines: DataFrame, stores: DataFrame, bins: DataFrame, ite
     other request is in ``rejects``, once: unknown store, unknown sku, no
     outbound bin, or no line of the item in the bins.
     """
-    batch = _numbered_batch(requests, "store_requests")
-    st = stores.select(F.col("name").alias("store_name"), "warehouse_id", F.lit(True).alias("_store"))
+    batch = write_table(requests, "store_requests")
+    st = stores.select(F.col("name").alias("store_name"), "warehouse_id")
     ob = bins.filter(F.col("type") == K.BIN_OUTBOUND).select(F.col("id").alias("bin_id"), "warehouse_id")
     it = items.select(F.col("id").alias("item_id"), "sku")
-    targets = batch.join(maybe_broadcast(st), "store_name", "left").join(maybe_broadcast(ob), "warehouse_id", "left").join(it, "sku", "left")
-    targets = write_table(targets, "store_targets")
-    pairs = sized_side(targets.select("bin_id", "item_id").filter("bin_id is not null and item_id is not null").distinct(), "store_pairs")
-    held = lines.join(pairs, ["bin_id", "item_id"], "left_semi").select("bin_id", "item_id", F.lit(True).alias("_line")).distinct()
-    reached = targets.join(held, ["bin_id", "item_id"], "left")
-    # the furthest a request came, over all bins it may mean
-    step = F.when(F.col("_store").isNull(), 0).when(F.col("item_id").isNull(), 1).when(F.col("bin_id").isNull(), 2).when(F.col("_line").isNull(), 3).otherwise(4)
-    furthest = reached.groupBy("_rid").agg(F.max(step).alias("_step")).filter(F.col("_step") < 4)
-    reasons = F.array(*[F.lit(r) for r in ("unknown store", "unknown sku", "no outbound bin", "no line of the item")])
-    rejects = batch.join(furthest, "_rid").select("store_name", "sku", "quantity", F.get(reasons, F.col("_step")).alias("reason"))
-    one = last_value(reached.filter("_line"), ["bin_id", "item_id"], "quantity")
-    return LinesChange(lines=_apply_updates(lines, one, ["bin_id", "item_id"], ["quantity"]), rejects=rejects)
+    # what a store name and a sku reach is found from the lines, so no request is repeated for the
+    # stores and bins that it may mean
+    shown = lines.select("bin_id", "item_id").join(maybe_broadcast(ob), "bin_id").join(maybe_broadcast(st), "warehouse_id")
+    held = shown.join(it, "item_id").select("store_name", "sku")
+    lost = batch.join(held, ["store_name", "sku"], "left_anti")
+    names = st.join(ob, "warehouse_id", "left").groupBy("store_name").agg(F.count("bin_id").alias("_bins"))
+    known = it.select("sku").distinct().withColumn("_sku", F.lit(True))
+    judged = lost.join(maybe_broadcast(names), "store_name", "left").join(known, "sku", "left")
+    reason = (
+        F.when(F.col("_bins").isNull(), "unknown store").when(F.col("_sku").isNull(), "unknown sku")
+        .when(F.col("_bins") == 0, "no outbound bin").otherwise("no line of the item")
+    )
+    rejects = judged.select("store_name", "sku", "quantity", reason.alias("reason"))
+
+    def build() -> DataFrame:
+        targets = batch.join(maybe_broadcast(st.join(ob, "warehouse_id").select("store_name", "bin_id")), "store_name").join(it, "sku")
+        one = last_value(targets, ["bin_id", "item_id"], "quantity")
+        return _apply_updates(lines, one, ["bin_id", "item_id"], ["quantity"])
+
+    return LinesChange(rejects=rejects, build=build)
 
 
 def _by_id(changes: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -79,6 +79,21 @@ def test_price_adds_are_written_once_and_judged_by_pair(spark, monkeypatch):
     )
 
 
+def test_store_requests_are_not_repeated_for_stores_of_one_name(spark, monkeypatch):
+    n = 40
+    stores = spark.createDataFrame([(i, "Same", i) for i in range(n)] + [(99, "Bare", 99)], "id long, name string, warehouse_id long")
+    bins = spark.createDataFrame([(i, "Outbound", i) for i in range(n)], "id long, type string, warehouse_id long")
+    items = spark.createDataFrame([(1, "a"), (2, "b")], "id long, sku string")
+    lines = spark.createDataFrame([(1, 1, 7, None, 3), (2, 1, 7, None, 5), (3, 1, 7, None, None)], "id long, item_id long, quantity long, order_id long, bin_id long")
+    asked = [("Same", "a", 10, 1), ("Same", "a", 20, 2), ("Same", "b", 30, 1), ("Bare", "a", 40, 1), ("Same", "z", 50, 1), ("None", "z", 60, 1)]
+    names = _written(spark, monkeypatch)
+    change = X.set_store_quantity(lines, stores, bins, items, spark.createDataFrame(asked, "store_name string, sku string, quantity long, seq long"))
+    got = {(r.quantity, r.reason) for r in change.rejects.collect()}
+    assert names == ["store_requests"]
+    assert got == {(30, "no line of the item"), (40, "no outbound bin"), (50, "unknown sku"), (60, "unknown store")}
+    assert {r.id: r.quantity for r in change.lines.collect()} == {1: 20, 2: 20, 3: 7}
+
+
 @pytest.mark.parametrize("mode", ["set", "add"])
 def test_line_changes_write_their_batch_and_what_is_open(spark, monkeypatch, mode):
     orders = spark.createDataFrame([(1, "Pending"), (2, "Shipped"), (3, None), (2, "Pending")], "id long, status string")
