@@ -1,9 +1,9 @@
 """Stock by store and item, bin contents, inbound bins and the cart guard.
 
 Stock is the sum of line quantities in a warehouse's Outbound bins; a store
-sees the stock of its warehouse.  Lines are aggregated per (bin or warehouse,
-item) before anything is fanned out to stores, so the big side shrinks first
-and a hot bin or item is combined map-side instead of landing in one task.
+sees the stock of its warehouse.  Lines are aggregated per (warehouse, item)
+before anything is fanned out to stores, so the big side shrinks first and a
+hot warehouse or item is combined map-side instead of landing in one task.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ def warehouse_item_stock(t: RetailTables) -> DataFrame:
     """(warehouse_id, item_id, stock) over Outbound bins."""
     lines = t.line.select("bin_id", "item_id", "quantity")
     bins = _outbound_bins(t)
-    per_bin = lines.groupBy("bin_id", "item_id").agg(F.sum("quantity").alias("stock"))
-    located = per_bin.join(maybe_broadcast(bins), "bin_id")
-    return located.groupBy("warehouse_id", "item_id").agg(F.sum("stock").alias("stock"))
+    # a bin and an item mostly meet on one line: lines of other bins are dropped, and the rest is summed once
+    located = lines.join(maybe_broadcast(bins), "bin_id")
+    return located.groupBy("warehouse_id", "item_id").agg(F.sum("quantity").alias("stock"))
 
 
 def store_item_stock(t: RetailTables) -> DataFrame:

@@ -121,3 +121,14 @@ def test_lines_are_sorted_without_derived_columns(spark, monkeypatch, tmp_path):
     assert got == [(1, 8, None, 1, 8), (2, 8, 5, 1, 8), (3, 7, 4, 2, 7)]
 
 
+def test_warehouse_stock_moves_no_line_twice(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from shopfloor.operators import stock as S
+
+    lines = spark.createDataFrame([(1, 1, 2), (1, 1, 3), (2, 1, 4), (3, 1, 5), (None, 1, 6), (1, None, 7)], "bin_id long, item_id long, quantity long")
+    bins = spark.createDataFrame([(1, "Outbound", 10), (2, "Inbound", 10), (3, "Outbound", 11)], "id long, type string, warehouse_id long")
+    t = SimpleNamespace(line=lines, storagebin=bins, warehouse=spark.createDataFrame([(10,)], "id long"))
+    stock = S.warehouse_item_stock(t)
+    assert {tuple(r) for r in stock.collect()} == {(10, 1, 5), (10, None, 7)}
+    assert stock._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
