@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions.datetext import is_date, may_be_date, parse_date
 from ..plans.ids import number_rows
+from ..plans.joins import broadcast_limit, is_small
 from ..plans.materialize import sized_side, write_table
 
 # FIXED VALUES — the grid's own rules, which results must follow.
@@ -125,8 +126,12 @@ def row_text(df: DataFrame, cols: Sequence[str] | None = None, types: dict[str,
         F.coalesce(_as_text(df, c), F.lit("")) if isinstance(df.schema[c].dataType, T.NumericType) else _flat(_as_text(df, c), kinds[c])
         for c in cols
     ]
-    # references are read in one lambda over the cells, so their table stands in the plan once, not once a column
-    any_reference = F.exists(F.array(*cells), lambda v: F.instr(v, "&") > 0)
+    # references are read in one lambda over the cells, so their table stands in the plan once, not once a column;
+    # whether there are any is seen from the raw cells, which flattening gives no '&'
+    raw = [_as_text(df, c) for c in cols if not isinstance(df.schema[c].dataType, T.NumericType)]
+    any_reference = F.lit(False)
+    for v in raw:
+        any_reference = any_reference | (F.instr(F.coalesce(v, F.lit("")), "&") > 0)
     return F.when(any_reference, F.array_join(F.transform(F.array(*cells), _read), "  ")).otherwise(F.concat_ws("  ", *cells))
 
 
@@ -198,6 +203,8 @@ def grid_search(
 
 
 GRAM = 3
+RIVALS = 3  # pieces of a search, the rarest by their grams, whose words are listed to find its rarest one
+SIDE_TIMES = 4  # of the broadcast limit: the words that lead to searches, looked up beside the texts so that these need no shuffle
 
 
 def _grams(text: Column, lengths: Sequence[int]) -> Column:
@@ -211,40 +218,85 @@ def _grams(text: Column, lengths: Sequence[int]) -> Column:
     return F.array_distinct(F.concat(*found))
 
 
+def _pieces(term: Column) -> Column:
+    """A term parted at its blanks, each part with the blanks beside it: a text that
+    holds the term has every piece in one of its words, written between two blanks."""
+    parts = F.split(term, " ")
+    last = F.size(parts) - 1
+    blank = lambda there: F.when(there, F.lit(" ")).otherwise(F.lit(""))
+    return F.transform(parts, lambda p, i: F.concat(blank(i > 0), p, blank(i < last)))
+
+
+def _search_grams(asked: DataFrame) -> DataFrame:
+    """_search, piece, gram: the grams of GRAM characters of every piece of a search's terms.
+
+    Shorter pieces are left to the trial of all terms; a search that has no
+    other is looked up by them, each its own gram.
+    """
+    pieces = asked.select("_search", F.explode("terms").alias("term")).select("_search", F.explode(_pieces(F.col("term"))).alias("piece")).distinct()
+    listed = pieces.groupBy("_search").agg(F.collect_list("piece").alias("pieces"))
+    long = F.filter("pieces", lambda p: F.length(p) >= GRAM)
+    used = listed.select("_search", F.explode(F.when(F.size(long) > 0, long).otherwise(F.col("pieces"))).alias("piece"))
+    own = F.when(F.length("piece") < GRAM, F.array("piece")).otherwise(_grams(F.col("piece"), [GRAM]))
+    return used.select("_search", "piece", F.explode(own).alias("gram"))
+
+
 def grid_search_many(df: DataFrame, searches: DataFrame, position: str, cols: Sequence[str] | None = None,
                      types: dict[str, str] | None = None) -> DataFrame:
     """search_id and ``position`` of every row that a smart search of ``searches`` (search_id, text) keeps.
 
-    Searches are not tried on rows one by one.  Every search is looked up by
-    one character gram of its terms, the one that stands in the fewest rows:
-    the rows' grams are joined with the searches' grams (no text is carried
-    there), the counts choose the gram, and only the rows that hold it are met
-    again for containment of all terms.  ``position`` must identify a row.
+    Searches are not tried on rows one by one, nor is every text cut into
+    grams.  Rows and terms are parted at blanks.  The pieces of the terms are
+    looked up by grams in the distinct words of all rows; every search takes the
+    piece that the fewest rows hold, and the words with it lead to the rows where
+    all its terms are tried.  ``position`` must identify a row; rows that share
+    one are met with each other, as in a join by it.
     A search without words keeps all rows and is not listed.
     """
     word = F.regexp_extract_all(F.lower("text"), F.lit(WORD_RE), F.lit(0))
     bare = F.transform(word, lambda w: F.when(w.rlike('^".+"$'), F.regexp_replace(w, '^"|"$', "")).otherwise(w))
-    asked = searches.select("search_id", F.array_distinct(bare).alias("terms")).filter(F.size("terms") > 0)
-    asked = write_table(asked, "grid-searches")
-    # grams of GRAM characters; a shorter term is its own gram
-    pieces = asked.select("search_id", F.explode("terms").alias("term")).select(
-        "search_id", F.explode(F.when(F.length("term") < GRAM, F.array("term")).otherwise(_grams(F.col("term"), [GRAM]))).alias("gram")
-    ).distinct()
-    pieces = write_table(pieces, "grid-search-grams")
-    lengths = [r[0] for r in pieces.select(F.length("gram")).distinct().collect()]
+    asked = searches.select("search_id", F.array_distinct(bare).alias("terms")).filter((F.size("terms") > 0) & F.col("search_id").isNotNull())
+    asked = asked.groupBy("search_id", "terms").agg(F.count(F.lit(1)).alias("times"))
+    asked = write_table(asked.select("*", F.monotonically_increasing_id().alias("_search")), "grid-searches")
+    wanted = write_table(_search_grams(asked), "grid-search-grams")
+    lengths = [r[0] for r in wanted.select(F.length("gram")).distinct().collect()]
     if not lengths:
         return df.select(position).limit(0).select(F.lit(None).cast(searches.schema["search_id"].dataType).alias("search_id"), position)
-    body = F.lower(row_text(df, cols, types, position))
-    rows = df.select(F.col(position).alias("_row"), F.explode(_grams(body, sorted(lengths))).alias("gram"))
-    held = write_table(rows.join(sized_side(pieces.select("gram").distinct(), "grid-grams"), "gram"), "grid-row-grams")
-    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # a gram that no row holds counts 0: its search finds nothing
-    rarest = pieces.join(counts, "gram", "left").groupBy("search_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("g"))
-    chosen = rarest.select("search_id", F.col("g.gram").alias("gram")).join(asked, "search_id")
-    near = held.join(sized_side(chosen, "grid-chosen"), "gram").select("_row", "search_id", "terms")
-    texts = df.select(F.col(position).alias("_row"), body.alias("body"))
-    met = texts.join(near, "_row").filter(F.forall("terms", lambda t: F.contains(F.col("body"), t)))
-    return met.select("search_id", F.col("_row").alias(position))
+
+    # explode_outer: from a plain explode Spark infers a filter that takes every text apart a second time
+    texts = df.filter(F.col(position).isNotNull()).select(
+        F.col(position).alias("_row"), F.monotonically_increasing_id().alias("_copy"), F.lower(row_text(df, cols, types, position)).alias("body"))
+    rows = texts.select("*", F.explode_outer(F.array_distinct(F.split("body", " "))).alias("word"))
+    words = write_table(rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "grid-words")
+    spaced = F.concat(F.lit(" "), "word", F.lit(" "))
+    spelled = words.select("*", F.explode_outer(_grams(spaced, sorted(lengths))).alias("gram"))
+    counts = spelled.join(sized_side(wanted.select("gram").distinct(), "grid-grams"), "gram").groupBy("gram").agg(F.sum("n").alias("n"))
+    # a gram that no word holds counts 0: its search finds nothing
+    bound = wanted.join(counts, "gram", "left").groupBy("_search", "piece").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    few = bound.groupBy("_search").agg(F.slice(F.sort_array(F.collect_list(F.struct("g.n", "g.gram", "piece"))), 1, RIVALS).alias("few"))
+    few = write_table(few.select("_search", F.inline("few")).drop("n"), "grid-few")
+    lookup = sized_side(few.select("gram", "piece").distinct(), "grid-pieces")
+    found = write_table(spelled.join(lookup, "gram").filter(F.contains(spaced, F.col("piece"))).select("piece", "word", "n"), "grid-found")
+    held = few.join(found.groupBy("piece").agg(F.sum("n").alias("n")), "piece", "left")
+    rarest = held.groupBy("_search").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("p")).select("_search", "p.piece")
+    rarest = write_table(rarest.join(asked.select("_search", "terms"), "_search"), "grid-rarest")
+    chosen = write_table(found.join(rarest.select("_search", "piece"), "piece").select("word", "_search"), "grid-chosen")
+
+    # the term of the piece is nearly sure to hold: the others are tried first
+    own = lambda t: F.contains(t, F.col("piece"))
+    terms = rarest.select("_search", F.concat(F.filter("terms", lambda t: ~own(t)), F.filter("terms", own)).alias("terms"))
+    holds = F.forall("terms", lambda t: F.contains(F.col("body"), t))
+    if is_small(chosen, SIDE_TIMES * broadcast_limit(df)) and is_small(rarest):
+        # the text is at hand where its words are looked up; a row may hold several words of a search
+        near = rows.join(F.broadcast(chosen.join(F.broadcast(terms), "_search")), "word")
+        met = near.filter(holds).select("_search", "_row", "_copy").distinct()
+    else:
+        # no text is carried to the words' shuffle
+        near = rows.select("_row", "word").join(chosen, "word").select("_row", "_search").distinct()
+        met = texts.join(near.join(terms, "_search"), "_row").filter(holds)
+    met = met.groupBy("_search", "_row").agg(F.count(F.lit(1)).alias("n")).join(asked.select("_search", "search_id", "times"), "_search")
+    each = F.explode(F.array_repeat(F.lit(0), (F.col("n") * F.col("n") * F.col("times")).cast("int")))
+    return met.select("search_id", F.col("_row").alias(position), each).select("search_id", position)
 
 
 # ---- sorting ----------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -77,6 +78,38 @@ def test_many_searches_equal_single_ones(spark):
     assert G.grid_search_many(df.limit(0), searches, "id").collect() == []
 
 
+def test_many_searches_cut_only_distinct_words_into_grams(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"the old  oak chair {i % 7} the oak", "é&amp;" if i % 3 else "a <b") for i in range(300)] + [(400, None, None), (401, "  ", "x")], "id long, t string, u string")
+    texts = ["oak chair", '"old  oak"', '" chair 3 "', '"  "', "th ir", '"k c" é&', '"<b" 5', "z", '"the oak  "', "o"]
+    searches = spark.createDataFrame(list(enumerate(texts)), "search_id int, text string")
+    want = Counter((k, r.id) for k, t in enumerate(texts) for r in G.grid_search(df, t, position="id").select("id").collect())
+    written = {}
+    real = G.write_table
+    monkeypatch.setattr(G, "write_table", lambda d, name: written.setdefault(name, real(d, name)))
+    got = G.grid_search_many(df, searches, "id")
+    assert Counter((r.search_id, r.id) for r in got.collect()) == want
+    # no table of grams by rows: every row has the same few words, but for its id
+    assert "grid-row-grams" not in written and max(d.count() for d in written.values()) < 1500
+    assert written["grid-words"].agg({"n": "max"}).first()[0] == 302
+    # the text is read once where words are looked up, with no shuffle of texts
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and not re.search(r"Filter \(size\(array_distinct", plan)
+    written.clear()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert Counter((r.search_id, r.id) for r in G.grid_search_many(df, searches, "id").collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_many_searches_with_repeated_and_null_keys(spark):
+    df = spark.createDataFrame([(1, "red oak red"), (1, "red oak red"), (2, "oaken reds"), (None, "red oak")], "id long, t string")
+    searches = spark.createDataFrame([(7, "red oak"), (7, "red oak"), (8, "red"), (None, "red")], "search_id int, text string")
+    got = Counter((r.search_id, r.id) for r in G.grid_search_many(df, searches, "id", types={"t": "string"}).collect())
+    assert got == {(7, 1): 8, (7, 2): 2, (8, 1): 4, (8, 2): 1}
+
+
 def test_deep_pages_by_order_statistics(spark, monkeypatch):
     monkeypatch.setattr(G, "TOP_ROWS", 50)
     monkeypatch.setattr(G, "SPLITTERS", 8)
