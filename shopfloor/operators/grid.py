@@ -289,7 +289,9 @@ def grid_search_many(df: DataFrame, searches: DataFrame, position: str, cols: Se
     if is_small(chosen, SIDE_TIMES * broadcast_limit(df)) and is_small(rarest):
         # the text is at hand where its words are looked up; a row may hold several words of a search
         near = rows.join(F.broadcast(chosen.join(F.broadcast(terms), "_search")), "word")
-        met = near.filter(holds).select("_search", "_row", "_copy").distinct()
+        # the number keeps the trial out of the join, which with it would copy the text to every word
+        near = near.withColumn("_near", F.monotonically_increasing_id())
+        met = near.filter((F.col("_near") >= 0) & holds).select("_search", "_row", "_copy").distinct()
     else:
         # no text is carried to the words' shuffle
         near = rows.select("_row", "word").join(chosen, "word").select("_row", "_search").distinct()
